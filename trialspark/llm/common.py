@@ -112,8 +112,8 @@ class Words:
 
 
 def text_chunks(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of rows of a string column as (first row, bytes, offsets); a null is an empty text."""
-    column = column.cast(pa.large_string()).fill_null("")
+    """Runs of rows of a string or binary column as (first row, bytes, offsets); a null is an empty text."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
     _, ends, data = column.buffers()
     ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
