@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trialspark.llm.fingerprint import op7_fingerprints
+from trialspark.llm.jaccard import OP6_SQL, op6_similar_documents
 from trialspark.llm.mixing import OP1_SQL, op1_mix_sources
 from trialspark.llm.substring import OP5_SQL, op5_repeated_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op5_repeated_windows": op5_repeated_windows,
+    "op6_similar_documents": op6_similar_documents,
     "op7_fingerprints": op7_fingerprints,
 }
 
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op5_repeated_windows": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op5_repeated_windows": OP5_SQL, "op6_similar_documents": OP6_SQL}
