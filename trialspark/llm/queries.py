@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trialspark.llm.decontaminate import op8_benchmark_leaks
 from trialspark.llm.fingerprint import op7_fingerprints
 from trialspark.llm.jaccard import OP6_SQL, op6_similar_documents
 from trialspark.llm.mixing import OP1_SQL, op1_mix_sources
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repeated_windows": op5_repeated_windows,
     "op6_similar_documents": op6_similar_documents,
     "op7_fingerprints": op7_fingerprints,
+    "op8_benchmark_leaks": op8_benchmark_leaks,
 }
 
 ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op5_repeated_windows": OP5_SQL, "op6_similar_documents": OP6_SQL}
