@@ -19,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import documents, id_key
+from trialspark.llm.common import documents, id_key, stored
 
-SLOTS = 16
+SLOTS = 24
 SEED = 7
 
 
@@ -78,11 +78,13 @@ def following(keys: DataFrame) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str, slots: int = SLOTS) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_key", id_key("doc_id"))
+    table = documents(spark, sf_dir)
+    # All branches below use the same two columns, so they share one shuffle of the texts.
+    docs = table.select(id_key("doc_id").alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.repartition("_key").withColumn("_row", F.row_number().over(Window.partitionBy("_key").orderBy("text")))
-    links = following(documents(spark, sf_dir).select(id_key("doc_id").alias("_key")))
     # What each document takes of the next one: at most a third as many code points as it has itself.
-    longest = docs.groupBy("_key").agg(F.max(F.length("text")).alias("_chars"))
+    longest = table.groupBy(id_key("doc_id").alias("_key")).agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("_chars"))
+    links = following(table.select(id_key("doc_id").alias("_key")))
     wants = longest.join(links, "_key").select(F.col("_key").alias("_for"), F.col("_next").alias("_key"), F.floor(F.col("_chars") / 3).cast("int").alias("_want"))
     heads = docs.filter("_row = 1").join(wants, "_key").select(F.col("_for").alias("_key"), F.col("_key").alias("_next"), F.expr("substring(text, 1, _want)").alias("_head"))
     n = F.length("text")
@@ -91,11 +93,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str, slots: int = SLOTS) -> Da
     both = pairs.select("_key", "_row", F.explode(F.array(F.struct(F.lit(0).alias("_which"), F.col("text").alias("_text")), F.struct(F.lit(1).alias("_which"), F.col("_edited").alias("_text")))).alias("_x"))
     drawn = signatures(both.select("_key", "_row", "_x.*"), ["_key", "_row", "_which"], "_text", slots)
     drawn = drawn.groupBy("_key", "_row").agg(*(F.first(F.when(F.col("_which") == k, F.col("signature")), ignorenulls=True).alias(f"_sig{k}") for k in (0, 1)))
-    facts = pairs.select("_key", "_row", "doc_id", "_next", n.cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"))
-    full = facts.join(drawn, ["_key", "_row"], "left")
-    others = drawn.filter("_row = 1").select(F.col("_key").alias("_next"), F.col("_sig0").alias("_sig2"))
+    facts = pairs.select("_key", "_row", "_next", n.cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"))
+    # Stored, so that signatures are drawn once for both sides of the comparison with the next document.
+    full = stored(facts.join(drawn, ["_key", "_row"], "left"), "signatures")
+    others = full.filter("_row = 1").select(F.col("_key").alias("_next"), F.col("_sig0").alias("_sig2"))
     return full.join(others, "_next", "left").select(
-        "doc_id",
+        F.when(F.col("_key") != F.lit(-(1 << 63)), F.col("_key")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         fingerprint(F.col("_sig0")).alias("fingerprint"),
