@@ -33,6 +33,8 @@ from trialspark.llm.components import components
 
 NGRAM, PERCENT = 5, 75
 FREQUENT_LOCAL, FREQUENT_KEPT, SALTS = 8, 1 << 17, 32
+#: Nodes whose list (16 bytes each) is broadcast rather than joined.
+SETS_BROADCAST = 1 << 20
 _FLUSH = 4_000_000
 
 
@@ -112,11 +114,17 @@ def _prefixes(batches, ngram: int, percent: int, known: np.ndarray, counts: np.n
             )
 
 
-def _node_sets(batches, ngram: int):
+def _node_sets(batches, ngram: int, only: np.ndarray | None = None, keys: np.ndarray | None = None):
+    """(node, sorted n-gram hashes) of batches of (text) or, where `only` names the nodes and `keys` their rows, (text, key)."""
     for batch in batches:
         nodes, sets = [], []
-        for _, grams in _sets(batch.column(0), ngram):
-            nodes.append(_set_hash(grams))
+        for row, grams in _sets(batch.column(0), ngram):
+            node = _set_hash(grams)
+            if only is not None:
+                at = np.searchsorted(only, node)
+                if at == len(only) or only[at] != node or keys[at] != batch.column(1)[row].as_py():
+                    continue
+            nodes.append(node)
             sets.append(grams.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.int64)), blobs(sets)], ["node", "grams"])
 
@@ -149,10 +157,29 @@ def _passes(x: str, y: str, percent: int):
     return long_enough & (F.least(rest(x), rest(y)) * (100 + percent) >= (size(x) + size(y)) * percent)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _sets_of(nodes: DataFrame, keyed: DataFrame, rows: DataFrame, ngram: int) -> DataFrame:
+    """(node, grams) of each of nodes, made from the text of the row with the least (key, tag).
+
+    Up to SETS_BROADCAST nodes, the list goes to the tasks, which read all texts and keep these; beyond, texts are
+    shuffled to a join.
+    """
+    holders = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "tag")).alias("row"))
+    schema = "node long, grams binary"
+    if nodes.count() > SETS_BROADCAST:
+        texts = keyed.join(holders.select("row.*"), ["key", "tag"], "left_semi").select("text")
+        return stored(texts.mapInArrow(lambda b: _node_sets(b, ngram), schema), "sets")
+    told = holders.select("node", "row.key").toArrow()
+    order = np.argsort(nodes_at := told["node"].to_numpy())
+    shared = keyed.sparkSession.sparkContext.broadcast((nodes_at[order], told["key"].to_numpy()[order]))
+    return stored(keyed.select("text", "key").mapInArrow(lambda b: _node_sets(b, ngram, *shared.value), schema), "sets")
+
+
+def _links(pairs: DataFrame, keyed: DataFrame, rows: DataFrame, ngram: int, percent: int) -> DataFrame:
     """The pairs (a, b), each verified once, that are similar."""
+    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    sets = _sets_of(nodes, keyed, rows, ngram)
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    return stored(joined.select("a", "b", "x", "y").mapInArrow(lambda b: _verified(b, percent), "a long, b long"), "links")
+    return stored(joined.select("a", "b", "x", "y").mapInArrow(lambda b: _verified(b, percent), "a long, b long").distinct(), "links")
 
 
 def similar_groups(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -172,23 +199,21 @@ def similar_groups(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT)
     posted = prefixes.select("key", "node", "n", (F.size("grams") - F.col("salted")).alias("rare"), F.posexplode("grams").alias("at", "gram"))
     many = F.col("at") >= F.col("rare")  # told by the n-gram alone
     salt = F.when(many, F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(F.lit(-1)).cast("int")
-    posted = posted.select("gram", salt.alias("salt"), "node", place.alias("place")).repartition("gram", "salt")
-    ends = [F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("place", "node").alias("low_at"), F.max_by("place", "node").alias("high_at")]
-    parts = posted.groupBy("gram", "salt").agg(*ends)
+    # One shuffle: a window tells each row the hubs of its n-gram, or of its part of a salted n-gram.
+    part = Window.partitionBy("gram", "salt")
+    ends = {"low": F.min("node"), "high": F.max("node"), "low_at": F.min_by("place", "node"), "high_at": F.max_by("place", "node")}
+    posted = posted.select("gram", salt.alias("salt"), "node", place.alias("place"))
+    shared_grams = posted.withColumns({k: v.over(part) for k, v in ends.items()}).filter("low <> high OR salt >= 0")
+    held = stored(shared_grams.distinct(), "postings")
     # The parts of a salted n-gram have hubs in common.
-    whole = parts.filter("salt >= 0").groupBy("gram").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.min_by("low_at", "low").alias("low_at"), F.max_by("high_at", "high").alias("high_at")
-    )
-    spread = whole.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hubs = parts.filter("salt < 0").unionByName(spread).filter("low <> high")
-    groups = stored(posted.join(hubs, ["gram", "salt"]).distinct(), "groups")
+    parts = held.filter("salt >= 0").groupBy("gram").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min_by("low_at", "low").alias("low_at"), F.max_by("high_at", "high").alias("high_at"))
+    hubs = parts.filter("low <> high").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = held.filter("salt >= 0").drop(*ends).join(hubs, ["gram", "salt"])
+    groups = held.filter("salt < 0").unionByName(salted)
 
     sides = [groups.filter(f"node <> {h}").filter(_passes("place", f"{h}_at", percent)).select(F.least("node", h).alias("a"), F.greatest("node", h).alias("b")) for h in ("low", "high")]
     tried = stored(sides[0].unionByName(sides[1]).distinct(), "pairs")
-    holders = rows.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "tag")).alias("row")).select("row.*")
-    texts = keyed.join(holders, ["key", "tag"], "left_semi").select("text")
-    sets = stored(texts.mapInArrow(lambda b: _node_sets(b, ngram), "node long, grams binary"), "sets").dropDuplicates(["node"])
-    links = _links(tried, sets, percent)
+    links = _links(tried, keyed, rows, ngram, percent)
     found = components(links)
 
     named = groups.select("gram", "node", "place").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -197,7 +222,7 @@ def similar_groups(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT)
     other = left.select("gram", F.col("node").alias("b"), F.col("place").alias("b_at"), F.col("component").alias("other"))
     cross = left.join(other, "gram").filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("other"))).filter(_passes("place", "b_at", percent))
     cross = cross.select(F.col("node").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = _links(stored(cross, "pairs"), sets, percent)
+    more = _links(stored(cross, "pairs"), keyed, rows, ngram, percent)
     found = components(links.unionByName(more))
 
     least = rows.filter("n > 0").groupBy("node").agg(F.min("key").alias("least"))
