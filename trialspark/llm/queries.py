@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trialspark.llm.decontaminate import op8_benchmark_leaks
 from trialspark.llm.fingerprint import op7_fingerprints
 from trialspark.llm.jaccard import OP6_SQL, op6_similar_documents
+from trialspark.llm.language import op10_languages
 from trialspark.llm.mixing import OP1_SQL, op1_mix_sources
 from trialspark.llm.substring import OP5_SQL, op5_repeated_windows
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repeated_windows": op5_repeated_windows,
     "op6_similar_documents": op6_similar_documents,
     "op7_fingerprints": op7_fingerprints,
+    "op10_languages": op10_languages,
     "op8_benchmark_leaks": op8_benchmark_leaks,
 }
 
