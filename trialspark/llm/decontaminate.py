@@ -5,8 +5,8 @@ of 2 * PIECE words, half over each other, so that every piece's words lie whole
 divided by its score for itself, so one threshold (the share of that score which a passage reaches) holds for all.
 
 Retrieval skips as block-max WAND does, for all passages of a batch at once: pieces are kept in blocks with each term's
-greatest impact in the block. A passage's bound for a block is the sum of its rarer terms' block maxima and its common
-terms' greatest impacts; only blocks whose bound reaches the threshold are scored, and all pieces at or above it are
+greatest impact in the block. A passage's bound for a block is the sum of its terms' block maxima (rarer terms' from
+their postings, common terms' by a product with the table of their maxima); only blocks whose bound reaches the threshold are scored, and all pieces at or above it are
 retrieved. The bound is never less than the score, so none is lost.
 
 A retrieved item counts as leaked if enough of its question's and of its answer's n-grams stand in the document (the
@@ -33,7 +33,7 @@ PIECE, BLOCK = 64, 8
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, NGRAM = 0.5, 0.6, 5
 INDEX_WORDS = 1 << 20
-#: Terms in more than this share of the pieces are bounded by their greatest impact, not block by block.
+#: Terms in more than this share of the pieces are common.
 COMMON = 0.05
 
 
@@ -84,40 +84,50 @@ class Index:
         term, self.piece, self.impact, n = term[order], piece[order], impact[order], n[order]
         self.terms, self.first = np.unique(term, return_index=True)
         self.stop = np.r_[self.first[1:], len(term)]
-        self.most = np.maximum.reduceat(self.impact, self.first)
         self.common = n[self.first] > max(BLOCK, COMMON * total)
         which = np.repeat(np.arange(len(self.terms)), self.stop - self.first)
         self.blocks = int(piece.max()) // BLOCK + 1
         keys, at = np.unique(which * self.blocks + self.piece // BLOCK, return_index=True)
         self.block, self.block_most = keys % self.blocks, np.maximum.reduceat(self.impact, at)
         self.block_first = np.searchsorted(keys // self.blocks, np.arange(len(self.terms) + 1))
+        # The common terms' block maxima as a table: few terms, in nearly all blocks.
+        self.row = np.cumsum(self.common) - 1
+        self.table = np.zeros((int(self.common.sum()), self.blocks), np.float32)
+        owner = keys // self.blocks
+        held = self.common[owner]
+        self.table[self.row[owner[held]], self.block[held]] = self.block_most[held]
+        self.each = np.zeros((len(self.table), self.blocks, BLOCK), np.float32)
+        held = self.common[which]
+        self.each[self.row[which[held]], self.piece[held] // BLOCK, self.piece[held] % BLOCK] = self.impact[held]
 
     def retrieve(self, passage: np.ndarray, term: np.ndarray, threshold: float):
         """(passage, piece, score) of all at or above the threshold; passage and term: distinct pairs, sorted."""
         n = int(passage.max()) + 1
-        rest = np.bincount(passage, np.where(self.common[term], self.most[term], 0), n)
-        rare = ~self.common[term]
-        p, t = passage[rare], term[rare]
+        common = self.common[term]
+        has = np.zeros((n, len(self.table)), np.float32)
+        has[passage[common], self.row[term[common]]] = 1
+        rest = has @ self.table + np.float32(1e-4)  # a bound stays one when it is rounded
+        p, t = passage[~common], term[~common]
         sizes = self.block_first[t + 1] - self.block_first[t]
         at = np.repeat(self.block_first[t] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        keys, where = np.unique(np.repeat(p, sizes) * self.blocks + self.block[at], return_inverse=True)
-        bound = np.bincount(where, self.block_most[at], len(keys)) + rest[keys // self.blocks]
-        asked = keys[bound >= threshold]
-        alone = np.flatnonzero(rest >= threshold)  # common terms alone could reach it: every block is scored
-        if len(alone):
-            asked = np.union1d(asked, (alone[:, None] * self.blocks + np.arange(self.blocks)).ravel())
-        starts = np.searchsorted(passage, np.arange(n + 1))
-        for p in np.unique(asked // self.blocks):
-            t = term[starts[p] : starts[p + 1]]
-            scores = np.zeros((self.blocks) * BLOCK)
-            wanted = np.zeros(self.blocks, bool)
-            wanted[asked[np.searchsorted(asked, p * self.blocks) : np.searchsorted(asked, (p + 1) * self.blocks)] % self.blocks] = True
-            for k in t:
-                pieces = self.piece[self.first[k] : self.stop[k]]
-                mine = wanted[pieces // BLOCK]
-                scores[pieces[mine]] += self.impact[self.first[k] : self.stop[k]][mine]
-            for piece in np.flatnonzero(scores >= threshold - 1e-9):
-                yield int(p), int(piece), float(scores[piece])
+        rest.ravel()[:] += np.bincount(np.repeat(p, sizes) * self.blocks + self.block[at], self.block_most[at], rest.size)
+        asked = np.flatnonzero(rest.ravel() >= threshold)
+        if not len(asked):
+            return
+        of, block = asked // self.blocks, asked % self.blocks
+        scores = np.zeros((len(asked), BLOCK))
+        for k in np.flatnonzero(has[of].any(0)):
+            scores += has[of, k][:, None] * self.each[k, block]
+        wanted = np.isin(p, of)
+        p, t = p[wanted], t[wanted]
+        sizes = self.stop[t] - self.first[t]
+        at = np.repeat(self.first[t] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        keys = np.repeat(p, sizes) * self.blocks + self.piece[at] // BLOCK
+        where = np.minimum(np.searchsorted(asked, keys), len(asked) - 1)
+        hit = asked[where] == keys
+        scores += np.bincount(where[hit] * BLOCK + self.piece[at[hit]] % BLOCK, self.impact[at[hit]], scores.size).reshape(scores.shape)
+        for i, j in zip(*np.nonzero(scores >= threshold - 1e-6), strict=True):
+            yield int(of[i]), int(block[i]) * BLOCK + int(j), float(scores[i, j])
 
 
 _FOUND = "key long, item long, score double, question_overlap double, answer_overlap double"
@@ -153,7 +163,7 @@ def _leaks(batches, index: Index, parts: dict, threshold: float, overlap: float,
             for d in {d for d, _ in best}:
                 h = words.hash[words.at[d] : words.at[d + 1]]
                 have: dict[int, np.ndarray] = {}
-                for item, score in [(i, s) for (e, i), s in best.items() if e == d]:
+                for item, score in sorted((i, s) for (e, i), s in best.items() if e == d):
                     shares = []
                     for grams, size_of in parts[item]:
                         if not len(grams):
