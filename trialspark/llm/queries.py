@@ -12,9 +12,11 @@ from trialspark.llm.jaccard import OP6_SQL, op6_similar_documents
 from trialspark.llm.language import op10_languages
 from trialspark.llm.mixing import OP1_SQL, op1_mix_sources
 from trialspark.llm.substring import OP5_SQL, op5_repeated_windows
+from trialspark.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op4_toxicity": op4_toxicity,
     "op5_repeated_windows": op5_repeated_windows,
     "op6_similar_documents": op6_similar_documents,
     "op7_fingerprints": op7_fingerprints,
