@@ -4,7 +4,7 @@ Nodes are the distinct n-gram sets; copies fall together in a first aggregate. A
 all nodes, rare first: n-grams known as frequent come last, by count, all others before them by hash. Two sets of
 similarity t share an n-gram among the first n - ceil(t n) + 1 of each, so only those prefixes are joined. A pair must
 then pass the length filter, the positional filter (what can still be shared after the common n-gram) and, before the
-sets are intersected, the suffix filter (what two halves, quarters and eighths of the hash space can share).
+sets are intersected, the suffix filter (what equal parts of the hash space, about two n-grams in each, can share).
 
 Groups of many nodes with one n-gram are not expanded into all pairs:
 1. each node of a group is verified against the group's least and greatest node (its hubs) only;
@@ -115,9 +115,9 @@ def _prefixes(batches, ngram: int, percent: int, known: np.ndarray, counts: np.n
 
 
 def _node_sets(batches, ngram: int, only: np.ndarray | None = None, keys: np.ndarray | None = None):
-    """(node, sorted n-gram hashes) of batches of (text) or, where `only` names the nodes and `keys` their rows, (text, key)."""
+    """(node, size, part counts, sorted n-gram hashes) of batches of (text) or, where `only` names the nodes and `keys` their rows, (text, key)."""
     for batch in batches:
-        nodes, sets = [], []
+        nodes, sizes, counts, sets = [], [], [], []
         for row, grams in _sets(batch.column(0), ngram):
             node = _set_hash(grams)
             if only is not None:
@@ -125,15 +125,36 @@ def _node_sets(batches, ngram: int, only: np.ndarray | None = None, keys: np.nda
                 if at == len(only) or only[at] != node or keys[at] != batch.column(1)[row].as_py():
                     continue
             nodes.append(node)
+            sizes.append(len(grams))
+            counts.append(_part_counts(grams).tobytes())
             sets.append(grams.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.int64)), blobs(sets)], ["node", "grams"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.int64)), pa.array(sizes, pa.int64()), blobs(counts), blobs(sets)], ["node", "n", "counts", "grams"])
 
 
-def _can_share(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
-    """At most so many equal numbers: the suffix filter, on 2**depth parts of the hash space."""
-    edges = np.arange(1, 1 << depth, dtype=np.uint64) << np.uint64(64 - depth)
-    parts = [np.diff(np.r_[0, np.searchsorted(x, edges), len(x)]) for x in (a, b)]
-    return int(np.minimum(*parts).sum())
+def _part_counts(grams: np.ndarray) -> np.ndarray:
+    """How many n-grams lie in each of 2**depth equal parts of the hash space, about two in a part; 255 is "or more"."""
+    depth = max(1, (len(grams) // 2).bit_length())
+    return np.minimum(np.bincount(grams >> np.uint64(64 - depth), minlength=1 << depth), 255).astype(np.uint8)
+
+
+def _can_share(a: np.ndarray, b: np.ndarray) -> float:
+    """At most so many equal n-grams, by two sets' part counts: the suffix filter, with as many parts as the sets allow."""
+    a, b = sorted((a.astype(np.float64), b.astype(np.float64)), key=len)
+    a[a == 255], b[b == 255] = np.inf, np.inf
+    b = b.reshape(len(a), -1).sum(1)  # parts of the larger set are joined to those of the smaller
+    return float(np.minimum(a, b).sum())
+
+
+def _may_link(batches, percent: int):
+    """Pairs (a, b) of those with set sizes and part counts that pass the suffix filter."""
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+            a, b = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
+            keep[i] = _can_share(a, b) * (100 + percent) >= percent * sizes[i]
+        mask = pa.array(keep)
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (0, 1)], ["a", "b"])
 
 
 def _verified(batches, percent: int):
@@ -143,8 +164,7 @@ def _verified(batches, percent: int):
         for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
             a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
             need = -(-percent * (len(a) + len(b)) // (100 + percent))
-            if _can_share(a, b) >= need:
-                keep[i] = len(np.intersect1d(a, b, assume_unique=True)) >= need
+            keep[i] = len(np.intersect1d(a, b, assume_unique=True)) >= need
         mask = pa.array(keep)
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (0, 1)], ["a", "b"])
 
@@ -158,13 +178,13 @@ def _passes(x: str, y: str, percent: int):
 
 
 def _sets_of(nodes: DataFrame, keyed: DataFrame, rows: DataFrame, ngram: int) -> DataFrame:
-    """(node, grams) of each of nodes, made from the text of the row with the least (key, tag).
+    """(node, n, counts, grams) of each of nodes, made from the text of the row with the least (key, tag).
 
     Up to SETS_BROADCAST nodes, the list goes to the tasks, which read all texts and keep these; beyond, texts are
     shuffled to a join.
     """
     holders = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "tag")).alias("row"))
-    schema = "node long, grams binary"
+    schema = "node long, n long, counts binary, grams binary"
     if nodes.count() > SETS_BROADCAST:
         texts = keyed.join(holders.select("row.*"), ["key", "tag"], "left_semi").select("text")
         return stored(texts.mapInArrow(lambda b: _node_sets(b, ngram), schema), "sets")
@@ -178,7 +198,10 @@ def _links(pairs: DataFrame, keyed: DataFrame, rows: DataFrame, ngram: int, perc
     """The pairs (a, b), each verified once, that are similar."""
     nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     sets = _sets_of(nodes, keyed, rows, ngram)
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    side = lambda key, **columns: sets.select(F.col("node").alias(key), *(F.col(c).alias(k) for k, c in columns.items()))
+    sketched = pairs.join(side("a", m="n", x="counts"), "a").join(side("b", n="n", y="counts"), "b").select("a", "b", "m", "n", "x", "y")
+    close = stored(sketched.mapInArrow(lambda b: _may_link(b, percent), "a long, b long").distinct(), "close")
+    joined = close.join(side("a", x="grams"), "a").join(side("b", y="grams"), "b")
     return stored(joined.select("a", "b", "x", "y").mapInArrow(lambda b: _verified(b, percent), "a long, b long").distinct(), "links")
 
 
