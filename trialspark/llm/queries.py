@@ -10,12 +10,14 @@ from trialspark.llm.decontaminate import op8_benchmark_leaks
 from trialspark.llm.fingerprint import op7_fingerprints
 from trialspark.llm.jaccard import OP6_SQL, op6_similar_documents
 from trialspark.llm.language import op10_languages
+from trialspark.llm.licenses import op2_licenses
 from trialspark.llm.mixing import OP1_SQL, op1_mix_sources
 from trialspark.llm.substring import OP5_SQL, op5_repeated_windows
 from trialspark.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_licenses": op2_licenses,
     "op4_toxicity": op4_toxicity,
     "op5_repeated_windows": op5_repeated_windows,
     "op6_similar_documents": op6_similar_documents,
