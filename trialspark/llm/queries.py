@@ -13,17 +13,26 @@ from trialspark.llm.language import op10_languages
 from trialspark.llm.licenses import op2_licenses
 from trialspark.llm.mixing import OP1_SQL, op1_mix_sources
 from trialspark.llm.substring import OP5_SQL, op5_repeated_windows
+from trialspark.llm.tokens import op9_token_counts
 from trialspark.llm.toxicity import op4_toxicity
+from trialspark.llm.warc import OP3_SQL, op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_licenses": op2_licenses,
+    "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op5_repeated_windows": op5_repeated_windows,
     "op6_similar_documents": op6_similar_documents,
     "op7_fingerprints": op7_fingerprints,
     "op10_languages": op10_languages,
     "op8_benchmark_leaks": op8_benchmark_leaks,
+    "op9_token_counts": op9_token_counts,
 }
 
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op5_repeated_windows": OP5_SQL, "op6_similar_documents": OP6_SQL}
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": OP1_SQL,
+    "op3_warc": OP3_SQL,
+    "op5_repeated_windows": OP5_SQL,
+    "op6_similar_documents": OP6_SQL,
+}
