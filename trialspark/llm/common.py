@@ -168,3 +168,8 @@ def word_count(text) -> F.Column:
 def id_key(column) -> F.Column:
     """doc_id as a join key that is never null: a null id counts as the least long."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(-(1 << 63)))
+
+
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns `used` and all columns as one struct `row`, so that helper columns can't clash with others of docs."""
+    return docs.select(*used, F.struct(*(docs[c] for c in docs.columns)).alias("row"))

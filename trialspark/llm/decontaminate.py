@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import ALNUM, documents, id_key, lists, windows, words_of
+from trialspark.llm.common import ALNUM, documents, id_key, lists, packed, windows, words_of
 
 PIECE, BLOCK = 64, 8
 K1, B = 1.2, 0.75
@@ -214,7 +214,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs that hold no item."""
     found = leaks(docs, items, **options).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", id_key("doc_id")).join(found, "_key", "left_anti").select(*docs.columns)
+    return packed(docs, id_key("doc_id").alias("_key")).join(found, "_key", "left_anti").select("row.*")
 
 
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import blobs, documents, id_key, lists, mixed, stored, windows, words_of
+from trialspark.llm.common import blobs, documents, id_key, lists, mixed, packed, stored, windows, words_of
 from trialspark.llm.components import components
 
 NGRAM, PERCENT = 5, 75
@@ -260,9 +260,9 @@ def one_of_each_group(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCEN
     """The rows of docs without near duplicates: of each group the one with the least id; texts without words all stay."""
     groups = similar_groups(docs, ngram, percent)
     stays = groups.filter("key = component").groupBy(F.col("key").alias("_key")).agg(F.min("tag").alias("_tag"))
-    keyed = docs.withColumns({"_key": id_key("doc_id"), "_mine": F.coalesce(F.xxhash64("text"), F.lit(0))})
+    keyed = packed(docs, id_key("doc_id").alias("_key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_mine"))
     joined = keyed.join(stays, "_key").withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.col("_mine") != F.col("_tag"))))
-    return joined.filter("_nth = 1").select(*docs.columns)
+    return joined.filter("_nth = 1").select("row.*")
 
 
 def op6_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import documents, stored, text_chunks
+from trialspark.llm.common import documents, packed, stored, text_chunks
 
 BINS, SAMPLE, SEED = 1 << 12, 4000, "language-1"
 FOLDS, HELD_OUT = 5, 0
@@ -177,8 +177,8 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def with_language(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, lang, ...) whose text has a language, by a model of its own labelled rows."""
     model = train(docs.filter(~held_out()))
-    found = by_language(docs, model, tuple(docs.columns))
-    return found.filter(F.col("_lang") != UNKNOWN).select(*docs.columns)
+    found = by_language(packed(docs, "text"), model, ("row",))
+    return found.filter(F.col("_lang") != UNKNOWN).select("row.*")
 
 
 def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

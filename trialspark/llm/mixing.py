@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import documents, word_count
+from trialspark.llm.common import documents, packed, word_count
 
 #: A source's target is at most so many times its size.
 MAX_EPOCHS = 3
@@ -90,9 +90,10 @@ def mix_plan(docs: DataFrame, weight: Column | None = None, max_epochs: int = MA
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target and taken; those never taken are left out."""
+    """The documents that the mix takes, as a struct `row` of their columns with size, source_size, target and taken of
+    their id; those never taken are left out. Ids must tell rows apart."""
     plan = mix_plan(docs, **options).filter("taken > 0").drop("source")
-    return docs.join(plan, "doc_id")
+    return packed(docs, F.col("doc_id").alias("_id")).join(plan, F.col("_id").eqNullSafe(F.col("doc_id"))).drop("_id")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

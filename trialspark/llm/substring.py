@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import NOT_SPACE, Words, _prefix, blobs, documents, id_key, spans, stored, text_chunks, windows, words_of
+from trialspark.llm.common import NOT_SPACE, Words, _prefix, blobs, documents, id_key, packed, spans, stored, text_chunks, windows, words_of
 
 WINDOW = 35
 #: A place is packed as the text's 27-bit tag, the first word's position (31 bits) and the number of windows - 1 (5 bits).
@@ -160,12 +160,13 @@ def factored(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("do
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the repeated words gone from `text` (and n_chars, if there is one, set anew); texts that lose none stay as they are."""
-    out = factored(docs, window, tuple(docs.columns))
+    out = factored(packed(docs, "doc_id", "text"), window, ("row",))
     changed = F.col("_n_removed") > 0
-    out = out.withColumn("text", F.when(changed, F.decode("_kept", F.lit("UTF-8"))).otherwise(F.col("text")))
+    text = F.when(changed, F.col("_kept").cast("string")).otherwise(F.col("row.text"))
+    row = F.col("row").withField("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return out.select(row.alias("row")).select("row.*")
 
 
 def op5_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
