@@ -8,6 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _TINY = 1e-300
 
@@ -122,7 +123,7 @@ def studentized_range_upper(q: float, k: int, df: float) -> float:
 
 
 def _column(f):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def out(*columns: pd.Series) -> pd.Series:
         return pd.Series([f(*map(float, row)) if not any(v is None or pd.isna(v) for v in row) else None for row in zip(*columns, strict=True)], dtype="float64")
 
@@ -132,12 +133,12 @@ def _column(f):
 p_normal, p_f, p_chi2, p_t = (_column(f) for f in (normal_two_sided, f_upper, chi2_upper, t_two_sided))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_studentized_range(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([studentized_range_upper(a, int(b), c) for a, b, c in zip(q, k, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_signed_rank(ranks: pd.Series, w_plus: pd.Series) -> pd.Series:
     """Exact p where ranks are given, null otherwise."""
     return pd.Series([signed_rank_exact(list(r), w) if r is not None and len(r) else None for r, w in zip(ranks, w_plus, strict=True)], dtype="float64")
