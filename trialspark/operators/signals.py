@@ -127,6 +127,6 @@ def template_matches(trace: DataFrame, template: DataFrame, starts: DataFrame, k
     """Per keys the `best` starts whose stretch of the trace (keys, at, v) is nearest the template (k, m) by squared error."""
     n = template.count()
     pieces = starts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("at", F.col("start") + F.col("k"))
-    errors = pieces.join(trace, [*keys, "at"]).join(F.broadcast(template), "k").groupBy(*keys, "start").agg(F.sum((F.col("v") - F.col("m")) ** 2).alias("error"), F.count("*").alias("_n"))
+    errors = pieces.join(trace, [*keys, "at"]).join(template, "k").groupBy(*keys, "start").agg(F.sum((F.col("v") - F.col("m")) ** 2).alias("error"), F.count("*").alias("_n"))
     w = Window.partitionBy(*keys).orderBy("error", "start")
     return errors.filter(F.col("_n") == n).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= best).drop("_n")
