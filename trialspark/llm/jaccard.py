@@ -12,8 +12,8 @@ Groups of many nodes with one n-gram are not expanded into all pairs:
 3. in the groups that are left, pairs of nodes of different components are verified, all of them.
 No link between components is lost, so components are those of all links.
 
-Counts of frequent n-grams cover all documents: tasks count their own and send those that occur FREQUENT_LOCAL times
-or more; the FREQUENT_KEPT most frequent are known to all tasks. The list is bounded and changes the order only, never
+Counts of frequent n-grams cover all documents: tasks count those of their own distinct sets and send what occurs
+FREQUENT_LOCAL times or more; the FREQUENT_KEPT most frequent are known to all tasks. The list is bounded and changes the order only, never
 the result. The same list salts the groups of frequent n-grams over SALTS tasks.
 
 Edge cases: a null text or one without words has an empty set and no links; with fewer words than n, all of them are one
@@ -32,7 +32,7 @@ from trialspark.llm.common import blobs, documents, id_key, lists, mixed, packed
 from trialspark.llm.components import components
 
 NGRAM, PERCENT = 5, 75
-FREQUENT_LOCAL, FREQUENT_KEPT, SALTS = 8, 1 << 17, 32
+FREQUENT_LOCAL, FREQUENT_KEPT, SALTS = 2, 1 << 20, 32
 #: Nodes whose list (16 bytes each) is broadcast rather than joined.
 SETS_BROADCAST = 1 << 20
 _FLUSH = 4_000_000
@@ -60,7 +60,7 @@ _DIGEST = "frequent boolean, key long, tag long, node long, n long"
 
 def _digests(batches, ngram: int):
     """A row (false, key, tag, node, n) for each text, and (true, n-gram, -, -, count) for those frequent in this task."""
-    held, size = [], 0
+    held, size, seen = [], 0, set()
 
     def frequent():
         grams, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -72,6 +72,9 @@ def _digests(batches, ngram: int):
         nodes, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
         for row, grams in _sets(batch.column(2), ngram):
             nodes[row], sizes[row] = _set_hash(grams), len(grams)
+            if int(nodes[row]) in seen:  # a copy
+                continue
+            seen.add(int(nodes[row]))
             held.append(grams)
             size += len(grams)
             if size >= _FLUSH:
