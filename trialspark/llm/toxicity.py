@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import ALNUM, Words, _prefix, documents, mixed, spans, stored, text_chunks
+from trialspark.llm.common import ALNUM, NOT_SPACE, Words, _prefix, documents, mixed, spans, stored, text_chunks
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 SAMPLE, LEAST, LEAST_TEXTS, FEATURES, PREFIXES, SEED = 20_000, 0.55, 5, 1 << 13, (4, 5, 6), "toxicity-1"
@@ -47,7 +47,7 @@ _TAIL = np.zeros(256, bool)
 _TAIL[[ord("@"), ord("$")]] = True
 
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])")
-_DISGUISED = re.compile(r"\S*(?:[^\W\d_][^\w\s]*[0-9@$!|+(<&*#%._\-]+[^\W\d_]|[0-9@$!|+(<][^\W\d_]|[^\W\d_][@$]|([^\W\d_])\1\1)\S*")
+_DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+(<&*#%]+[^\W\d_]|[0-9@$!|+(<][^\W\d_]|[^\W\d_][@$]|([^\W\d_])\1\1")
 
 
 def _trigrams(batches):
@@ -104,10 +104,17 @@ class Restorer:
             states = new
         return min((t + cost[a, b, 0], x) for (a, b), (t, x) in states.items())[1]
 
+    def token(self, word: str) -> str:
+        """A word between spaces, restored if it looks disguised."""
+        return self.word(word) if _DISGUISED.search(word) else word
+
+    def spaced(self, text: str) -> str:
+        """A text with its spaced-out words restored."""
+        return _SPACED.sub(lambda m: self.word(re.sub(r"[ .\-_*]", "", m[0])), text)
+
     def text(self, text: str) -> str:
         """A lower-cased text with its disguised words restored."""
-        text = _SPACED.sub(lambda m: self.word(re.sub(r"[ .\-_*]", "", m[0])), text)
-        return _DISGUISED.sub(lambda m: self.word(m[0]), text)
+        return self.spaced(re.sub(r"\S+", lambda m: self.token(m[0]), text))
 
 
 def _restorer(cost: np.ndarray) -> Restorer:
@@ -116,30 +123,56 @@ def _restorer(cost: np.ndarray) -> Restorer:
     return out
 
 
-def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which texts may hold disguised words."""
-    if len(data) < 3:
-        return np.zeros(len(offsets) - 1, bool)
+def _marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of signs that may stand for letters and of letters three times in a row; places of spaced-out letters."""
+    if len(data) < 7:
+        data = np.r_[data, np.full(7 - len(data), 32, np.uint8)]
     letter = _LETTER[data] | (data >= 128)
-    marks = np.zeros(len(data), bool)
-    marks[:-1] = (_SIGN[data[:-1]] & letter[1:]) | (letter[:-1] & _TAIL[data[1:]])
-    marks[:-2] |= letter[:-2] & (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:])
-    if len(data) > 6:
-        gap = ~letter & (data != 10)
-        marks[:-6] |= letter[:-6] & gap[1:-5] & letter[2:-4] & gap[3:-3] & letter[4:-2] & gap[5:-1] & letter[6:]
-    sums = np.r_[0, np.cumsum(marks)]
-    return sums[offsets[1:]] > sums[offsets[:-1]]
+    disguised = np.zeros(len(data), bool)
+    disguised[:-1] = (_SIGN[data[:-1]] & letter[1:]) | (letter[:-1] & _TAIL[data[1:]])
+    disguised[:-2] |= letter[:-2] & (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:])
+    pair = letter[:-1] & ~letter[1:] & (data[1:] != 10)  # a letter and no letter after it
+    spaced = pair[:-5] & pair[2:-3] & pair[4:-1] & letter[6:]
+    return np.flatnonzero(disguised), np.flatnonzero(spaced)
+
+
+def _restored(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with their disguised words restored: only words at marked places are looked at."""
+    disguised, spaced = _marks(data)
+    if not len(disguised) and not len(spaced):
+        return data, offsets
+    raw = data.tobytes()
+    edge = ~NOT_SPACE[data]
+    parting = edge.copy()
+    parting[offsets[offsets < len(data)]] = True
+    stops = np.flatnonzero(parting)
+    pieces, at, sizes = [], 0, np.diff(offsets)
+    k = np.searchsorted(stops, disguised, "right")
+    for i in np.unique(k):
+        begin, end = int(stops[i - 1]), int(stops[i]) if i < len(stops) else len(data)
+        if begin < len(data) and edge[begin]:
+            begin += 1
+        word = raw[begin:end].decode("utf-8", "replace")
+        new = restorer.token(word)
+        if new != word:
+            new = new.encode()
+            pieces += [raw[at:begin], new]
+            sizes[np.searchsorted(offsets, begin, "right") - 1] += len(new) - (end - begin)
+            at = end
+    pieces.append(raw[at:])
+    out, offsets_out = b"".join(pieces), np.r_[0, np.cumsum(sizes)]
+    if len(spaced):
+        parts = [out[a:b] for a, b in zip(offsets_out[:-1], offsets_out[1:], strict=True)]
+        for d in np.unique(np.searchsorted(offsets, spaced, "right") - 1):
+            parts[d] = restorer.spaced(parts[d].decode("utf-8", "replace")).encode()
+        out, offsets_out = b"".join(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
+    return np.frombuffer(out, np.uint8), offsets_out
 
 
 def _features(column: pa.Array, restorer: Restorer):
     """(row, distinct features with -1 for none, a row for each distinct word: the word and its beginnings) of every text."""
     for row, data, offsets in text_chunks(column):
-        suspects = np.flatnonzero(_suspects(data, offsets))
-        if len(suspects):
-            parts = [data[offsets[d] : offsets[d + 1]] for d in range(len(offsets) - 1)]
-            for d in suspects:
-                parts[d] = np.frombuffer(restorer.text(parts[d].tobytes().decode("utf-8", "replace")).encode(), np.uint8)
-            data, offsets = np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
+        data, offsets = _restored(data, offsets, restorer)
         words = Words(data, offsets, ALNUM, False)
         from_bytes = _prefix(_byte_values(words.data))
         columns = [words.hash]
@@ -198,13 +231,14 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, sample: int = S
         counts[told["k"].to_numpy()] = told["n"].to_numpy()
     restorer = Restorer(counts)
     usable = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "toxic").filter(~held_out())
-    usable = usable.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    usable = usable.distinct().join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sizes = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Model(restorer, np.empty(0, np.int64), np.empty(0), 0.0)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.col("doc_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     chosen = usable.filter(draw < F.when(F.col("toxic") == 1, F.lit(sample / sizes[1])).otherwise(F.lit(sample / sizes[0])))
-    rows = docs.select("doc_id", lower).join(chosen, "doc_id").select("toxic", "text")
+    # About 2 * sample ids whatever the input, so their list goes to the texts.
+    rows = docs.select("doc_id", lower).join(F.broadcast(stored(chosen, "sample")), "doc_id").select("toxic", "text")
     parts = rows.mapInArrow(lambda b: _labelled(b, restorer), "feature long, toxic long, clean long")
     totals = stored(parts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "features")
     drawn = totals.filter("feature = 0").first()
