@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import documents, shared_dir
+from trialspark.llm.common import documents, shared_dir, stored
 
 REVISIT_BYTES = 100
 #: Records in a part file at most; a file is what a reading task holds at once.
 FILE_RECORDS = 4000
+#: Digests of payloads that repeat are broadcast up to so many (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_DIGESTS = 100_000
 _END = b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 _MEMBER = b"\x1f\x8b\x08"
@@ -43,7 +45,9 @@ def records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", least: int = R
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7f]", " ").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("size", F.octet_length("html"))
     repeated = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    told = rows.join(repeated, "digest", "left").withColumn("revisit", F.coalesce(F.col("page_id") != F.col("first"), F.col("page_id").isNull() & F.col("first").isNotNull()))
+    repeated = stored(repeated, "repeated")
+    few = repeated.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    told = rows.join(F.broadcast(repeated) if few else repeated, "digest", "left").withColumn("revisit", F.coalesce(F.col("page_id") != F.col("first"), F.col("page_id").isNull() & F.col("first").isNotNull()))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     block = F.concat(F.lit(_HTTP), F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html")))
     fields = [
