@@ -32,7 +32,7 @@ from trialspark.llm.common import blobs, documents, id_key, lists, mixed, packed
 from trialspark.llm.components import components
 
 NGRAM, PERCENT = 5, 75
-FREQUENT_LOCAL, FREQUENT_KEPT, SALTS = 2, 1 << 20, 32
+FREQUENT_LOCAL, FREQUENT_KEPT, SALTS = 2, 1 << 18, 32
 #: Nodes whose list (16 bytes each) is broadcast rather than joined.
 SETS_BROADCAST = 1 << 20
 _FLUSH = 4_000_000
