@@ -15,7 +15,7 @@ answer is what follows the first question mark or line end; an item without one
 The index is broadcast in parts of at most INDEX_WORDS words each; more items make more parts, each queried by all
 passages. Document frequencies are those of all items whatever the parts.
 
-Edge cases: null and empty texts have no passages and null or wordless items no pieces; rows that repeat an id are
+Edge cases: null and empty texts have no passages and null items and those of fewer than LEAST_WORDS words no pieces; rows that repeat an id are
 reported once per document id and item; a document without leaks has no row; an empty table on either side gives an
 empty result; columns with other names are not used.
 """
@@ -32,6 +32,8 @@ from trialspark.llm.common import ALNUM, documents, id_key, lists, packed, windo
 PIECE, BLOCK = 64, 8
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, NGRAM = 0.5, 0.6, 5
+#: Items of fewer words can't be told from ordinary wording and are not looked for.
+LEAST_WORDS = 5
 INDEX_WORDS = 1 << 20
 #: Terms in more than this share of the pieces are common.
 COMMON = 0.05
@@ -178,12 +180,13 @@ def _leaks(batches, index: Index, parts: dict, threshold: float, overlap: float,
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], ["key", "item", "score", "question_overlap", "answer_overlap"])
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, ngram: int = NGRAM, index_words: int = INDEX_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, ngram: int = NGRAM, index_words: int = INDEX_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """(key, item, score, question_overlap, answer_overlap) of every document (doc_id, text) that holds an item (item_id, text)."""
     spark = docs.sparkSession
     keyed = docs.select(id_key("doc_id").alias("key"), F.col("text").cast("binary").alias("text"))
     split = F.regexp_extract("text", r"(?s)^([^\n?]*[\n?])(.*)$", 1), F.regexp_extract("text", r"(?s)^([^\n?]*[\n?])(.*)$", 2)
-    halves = items.filter("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text", F.when(F.trim(split[1]) == "", "").otherwise(split[1]).alias("_a"), split[0].alias("_q"))
+    long_enough = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")) >= least_words
+    halves = items.filter("text IS NOT NULL AND item_id IS NOT NULL").filter(long_enough).select("item_id", "text", F.when(F.trim(split[1]) == "", "").otherwise(split[1]).alias("_a"), split[0].alias("_q"))
     halves = halves.select(F.col("item_id").cast("long").alias("item"), F.when(F.col("_a") == "", F.col("text")).otherwise(F.col("_q")).alias("question"), F.col("_a").alias("answer"), "text")
     pieces = halves.select("item", "text").mapInArrow(_pieces, "item long, piece int, words array<long>")
     told = pieces.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("words")).first()
