@@ -35,19 +35,19 @@ p AS (SELECT *, greatest(1.0::DOUBLE, least(n::DOUBLE, prc / 100 * n + 0.5::DOUB
 q AS (SELECT {keys}, prc::DOUBLE AS prc, v + coalesce(nv - v, 0) * (pos - i) AS value FROM p WHERE i = floor(pos))"""
 
 
-@query(f"WITH {_hazen_sql('lineitem', 'l_returnflag', 'l_extendedprice', '[5.0::DOUBLE, 25, 50, 75, 95]')} SELECT l_returnflag, prc, round(value, 4) AS value FROM q")
+@query(f"WITH {_hazen_sql('lineitem', 'l_returnflag', 'l_extendedprice', '[5.0::DOUBLE, 25, 50, 75, 95]')} SELECT l_returnflag, prc, round(value, 8) AS value FROM q")
 def a14_hazen_percentiles(spark, d):
-    return rounded(stats.hazen(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [5, 25, 50, 75, 95]), "value", digits=4)
+    return rounded(stats.hazen(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [5, 25, 50, 75, 95]), "value", digits=8)
 
 
 _BINS = f"""WITH {_hazen_sql('lineitem', 'l_returnflag', 'l_extendedprice', 'list_transform(range(0, 21), lambda k: 100.0::DOUBLE * k / 20)')},
 b AS (SELECT l_returnflag, row_number() OVER w AS bin, value AS lo, lead(value) OVER w AS hi FROM q WINDOW w AS (PARTITION BY l_returnflag ORDER BY prc))"""
 
 
-@query(f"{_BINS} SELECT l_returnflag, bin::INT AS bin, round(lo, 4) AS lo, round(hi, 4) AS hi, round((lo + hi) / 2, 3) AS center FROM b WHERE bin <= 20")
+@query(f"{_BINS} SELECT l_returnflag, bin::INT AS bin, round(lo, 8) AS lo, round(hi, 8) AS hi, round((lo + hi) / 2, 8) AS center FROM b WHERE bin <= 20")
 def m1_equal_population_bins(spark, d):
     out = tuning.equal_population_bins(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice")
-    return rounded(rounded(out, "lo", "hi", digits=4), "center", digits=3)
+    return rounded(out, "lo", "hi", "center", digits=8)
 
 
 @query(f"""{_BINS} SELECT l.l_returnflag, l_linestatus, bin::INT AS bin, round(avg(l_quantity), 8) AS rate, count(*) AS n FROM lineitem l JOIN b ON b.l_returnflag = l.l_returnflag AND lo <= l_extendedprice AND l_extendedprice < hi AND bin <= 20 GROUP BY ALL""")
@@ -144,10 +144,10 @@ def a18_unity_histogram(spark, d):
 
 @query(f"""WITH {_hazen_sql('orders', 'o_orderpriority', 'o_totalprice', '[25.0::DOUBLE, 50, 75]')}, s AS (SELECT o_orderpriority, max(CASE WHEN prc = 25 THEN value END) AS q1, max(CASE WHEN prc = 50 THEN value END) AS median,
 max(CASE WHEN prc = 75 THEN value END) AS q3 FROM q GROUP BY 1), f AS (SELECT *, q1 - 0.5::DOUBLE * (q3 - q1) AS low, q3 + 0.5::DOUBLE * (q3 - q1) AS high FROM s)
-SELECT f.o_orderpriority, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, round(low, 4) AS low, round(high, 4) AS high, sum((o_totalprice < low OR o_totalprice > high)::INT)::BIGINT AS outliers
+SELECT f.o_orderpriority, round(q1, 8) AS q1, round(median, 8) AS median, round(q3, 8) AS q3, round(low, 8) AS low, round(high, 8) AS high, sum((o_totalprice < low OR o_totalprice > high)::INT)::BIGINT AS outliers
 FROM orders JOIN f USING (o_orderpriority) GROUP BY ALL""")
 def a19_box_summary(spark, d):
-    return rounded(stats.box_summary(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", 0.5), "q1", "median", "q3", "low", "high", digits=4)
+    return rounded(stats.box_summary(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", 0.5), "q1", "median", "q3", "low", "high", digits=8)
 
 
 @query("""SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY o_orderpriority), 8) AS share FROM orders GROUP BY 1, 2""")
