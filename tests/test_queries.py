@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from trialspark.plans import event_queries, flagship, table_queries
+from trialspark.plans import event_queries, flagship, more_queries, table_queries
 
 DIR = "/root/testdata/sf0.001"
-ORACLES = {**flagship.ORACLES, **event_queries.ORACLES, **table_queries.ORACLES}
-QUERIES = {**flagship.QUERIES, **event_queries.QUERIES, **table_queries.QUERIES}
+ORACLES = {**flagship.ORACLES, **event_queries.ORACLES, **table_queries.ORACLES, **more_queries.ORACLES}
+QUERIES = {**flagship.QUERIES, **event_queries.QUERIES, **table_queries.QUERIES, **more_queries.QUERIES}
 
 
 @pytest.fixture(scope="module")
