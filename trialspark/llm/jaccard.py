@@ -7,7 +7,8 @@ then pass the length filter, the positional filter (what can still be shared aft
 sets are intersected, the suffix filter (what equal parts of the hash space, about two n-grams in each, can share).
 
 Groups of many nodes with one n-gram are not expanded into all pairs:
-1. each node of a group is verified against the group's least and greatest node (its hubs) only;
+1. a group's least and greatest node are its hubs; each node is verified against the one hub with which most of its
+   groups are shared;
 2. links found so far are joined to components, and groups that lie in one component are done with;
 3. in the groups that are left, pairs of nodes of different components are verified, all of them.
 No link between components is lost, so components are those of all links.
@@ -32,7 +33,7 @@ from trialspark.llm.common import blobs, documents, id_key, lists, mixed, packed
 from trialspark.llm.components import components
 
 NGRAM, PERCENT = 5, 75
-FREQUENT_LOCAL, FREQUENT_KEPT, SALTS = 2, 1 << 18, 32
+FREQUENT_LOCAL, FREQUENT_KEPT, SALTS = 2, 1 << 17, 32
 #: Nodes whose list (16 bytes each) is broadcast rather than joined.
 SETS_BROADCAST = 1 << 20
 _FLUSH = 4_000_000
@@ -237,8 +238,10 @@ def similar_groups(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT)
     salted = held.filter("salt >= 0").drop(*ends).join(hubs, ["gram", "salt"])
     groups = held.filter("salt < 0").unionByName(salted)
 
-    sides = [groups.filter(f"node <> {h}").filter(_passes("place", f"{h}_at", percent)).select(F.least("node", h).alias("a"), F.greatest("node", h).alias("b")) for h in ("low", "high")]
-    tried = stored(sides[0].unionByName(sides[1]).distinct(), "pairs")
+    sides = [groups.filter(f"node <> {h}").filter(_passes("place", f"{h}_at", percent)).select("node", F.col(h).alias("hub"), F.lit(h == "low").alias("lower")) for h in ("low", "high")]
+    common = sides[0].unionByName(sides[1]).groupBy("node", "hub").agg(F.count("*").alias("n"), F.max("lower").alias("lower"))
+    best = common.groupBy("node").agg(F.max_by("hub", F.struct("n", "lower", "hub")).alias("hub"))
+    tried = stored(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
     links = _links(tried, keyed, rows, ngram, percent)
     found = components(links)
 
