@@ -42,7 +42,7 @@ def g1_edges(spark, d):
 
 
 _ISLANDS = """x AS (SELECT *, value > 20 AS f FROM e), y AS (SELECT *, (f AND NOT coalesce(lag(f) OVER w, false))::INT AS s FROM x WINDOW w AS (PARTITION BY user_id ORDER BY t)),
-z AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY t) AS island FROM y),
+z AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY t)::BIGINT AS island FROM y),
 i AS (SELECT user_id, island, min(t) AS start, max(t) AS "end", count(*) AS n, max(value) AS peak FROM z WHERE f GROUP BY ALL)"""
 
 
@@ -82,14 +82,14 @@ def g15_acceleration(spark, d):
 
 
 @query(f"""{E}, x AS (SELECT *, coalesce((t - lag(t) OVER w > 43200)::INT, 0) AS n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
-y AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY t) + 1 AS session FROM x)
+y AS (SELECT *, (sum(n) OVER (PARTITION BY user_id ORDER BY t) + 1)::BIGINT AS session FROM x)
 SELECT user_id, session, round(min(t), 6) AS start, round(max(t), 6) AS "end", count(*) AS n FROM y GROUP BY 1, 2""")
 def g18_sessions(spark, d):
     return rounded(segment.session_bounds(events(spark, d), ["user_id"], "t", 12 * HOUR), "start", "end")
 
 
 @query(f"""{E}, x AS (SELECT *, (event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1)::INT AS c FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-y AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id) AS instance FROM x),
+y AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS instance FROM x),
 z AS (SELECT user_id, instance, event_type, min(event_id) AS lower, max(event_id) AS m FROM y GROUP BY ALL)
 SELECT user_id, instance, event_type, lower, coalesce(lead(lower) OVER (PARTITION BY user_id ORDER BY instance), m) AS upper FROM z""")
 def g23_change_points(spark, d):
@@ -156,7 +156,7 @@ def f8_raster(spark, d):
 
 
 @query(f"""{E}, {_AROUND}, h AS (SELECT user_id, round(avg(CASE WHEN lag >= -86400 AND lag < 0 THEN value END), 8) AS baseline, round(avg(CASE WHEN lag >= 0 AND lag < 86400 THEN value END), 8) AS response FROM p GROUP BY 1)
-SELECT *, round(response - baseline, 4) AS delta, row_number() OVER (ORDER BY round(response - baseline, 4) NULLS FIRST, user_id) AS place FROM h""")
+SELECT *, round(response - baseline, 4) AS delta, row_number() OVER (ORDER BY round(response - baseline, 4) NULLS FIRST, user_id)::INT AS place FROM h""")
 def f10_heatmap(spark, d):
     e = events(spark, d)
     triggers = e.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("trigger_id"), F.col("t").alias("t0"))

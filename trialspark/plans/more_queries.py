@@ -30,7 +30,7 @@ def g5_baseline_windows(spark, d):
 
 
 @query(f"""{E}, f AS (SELECT *, value > 100 AS g FROM e), y AS (SELECT *, (g AND NOT coalesce(lag(g) OVER w, false))::INT AS s FROM f WINDOW w AS (PARTITION BY user_id ORDER BY t)),
-z AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY t) AS island FROM y)
+z AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY t)::BIGINT AS island FROM y)
 SELECT user_id, island, count(*) AS n, round(min(t), 6) AS onset, round(max(t), 6) AS "offset", round(max(value - event_id % 7), 6) AS saliency, round(max(t) - min(t), 6) AS duration FROM z WHERE g GROUP BY 1, 2""")
 def g12_mismatches(spark, d):
     e = events(spark, d).withColumns({"gain": F.col("value") / 40, "stage": F.col("value"), "treadmill": (F.col("event_id") % 7).cast("double")})
@@ -86,7 +86,7 @@ def f9_mean_response(spark, d):
 
 
 @query(f"""{E}, m AS (SELECT event_type, floor(value / 10)::INT AS bin, count(*)::DOUBLE AS rate FROM e WHERE value < 100 GROUP BY 1, 2),
-p AS (SELECT event_type, max(rate) AS peak, min_by(bin, (-rate, bin)) AS peak_bin FROM m GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY peak_bin, event_type) AS place FROM p)
+p AS (SELECT event_type, max(rate) AS peak, min_by(bin, (-rate, bin)) AS peak_bin FROM m GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY peak_bin, event_type)::INT AS place FROM p)
 SELECT m.event_type, bin, peak_bin, place, round(rate / peak, 6) AS scaled FROM m JOIN o USING (event_type)""")
 def f16_field_order(spark, d):
     maps = events(spark, d).filter("value < 100").groupBy("event_type", F.floor(F.col("value") / 10).cast("int").alias("bin")).agg(F.count("*").cast("double").alias("rate"))
@@ -151,7 +151,7 @@ def l15_grouped_parameters(spark, d):
 
 @query(f"""{E}, o AS (SELECT user_id, min(t) AS onset FROM e GROUP BY 1), s AS (SELECT e.*, floor((t - onset) / 43200)::INT AS bin FROM e JOIN o USING (user_id)),
 b AS (SELECT user_id, bin, avg(value) AS speed, avg((value > 15)::INT) AS share FROM s GROUP BY 1, 2 HAVING avg((value > 15)::INT) >= 0.5), n AS (SELECT user_id, event_type, bin, count(*) AS k FROM s GROUP BY 1, 2, 3)
-SELECT b.user_id, u.event_type, b.bin, round(speed, 7) AS speed, coalesce(n.k, 0) AS spike_count, round((b.bin + 0.5) * 43200, 3) AS time_since_onset
+SELECT b.user_id, u.event_type, b.bin, round(speed, 7) AS speed, coalesce(n.k, 0) AS spike_count, round((b.bin + 0.5::DOUBLE) * 43200, 3) AS time_since_onset
 FROM b JOIN (SELECT DISTINCT user_id, event_type FROM e) u USING (user_id) LEFT JOIN n ON n.user_id = b.user_id AND n.bin = b.bin AND n.event_type = u.event_type""")
 def l2_time_bins(spark, d):
     e = events(spark, d).withColumn("trial", F.lit(1))
