@@ -22,9 +22,11 @@ def rates_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = []
     for name, flag in (("stationary", F.col("value") <= 20), ("motion", F.col("value") > 20)):
         runs = segment.islands(e, ["user_id"], "t", flag).select("user_id", F.col("start").alias("w0"), F.col("end").alias("w1"))
-        windows = runs.filter("w1 > w0").join(types, "user_id")
-        rates = intervals.window_rates(e, windows, ["user_id", "event_type"], [], DAY, "both")
-        sides.append(rates.select("user_id", "event_type", F.col("rate").alias(f"{name}_fr"), F.col("dt").alias(f"{name}_time")))
+        runs = runs.filter("w1 > w0")
+        hits = intervals.range_join(e.select("user_id", "event_type", "t"), runs, ["user_id"], "t", "w0", "w1", DAY, "both").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+        time = runs.groupBy("user_id").agg(F.sum(F.col("w1") - F.col("w0")).alias(f"{name}_time"))
+        rates = types.join(time, "user_id").join(hits, ["user_id", "event_type"], "left")
+        sides.append(rates.select("user_id", "event_type", (F.coalesce("n", F.lit(0)) / F.col(f"{name}_time")).alias(f"{name}_fr"), f"{name}_time"))
     return sides[0].join(sides[1], ["user_id", "event_type"], "full")
 
 
