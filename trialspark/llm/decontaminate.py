@@ -10,7 +10,7 @@ their postings, common terms' by a product with the table of their maxima); only
 retrieved. The bound is never less than the score, so none is lost.
 
 A retrieved item counts as leaked if enough of its question's and of its answer's n-grams stand in the document (the
-answer is what follows the first question mark or line end; an item without one is all question).
+answer is what follows the first question mark; an item without one is all question).
 
 The index is broadcast in parts of at most INDEX_WORDS words each; more items make more parts, each queried by all
 passages. Document frequencies are those of all items whatever the parts.
@@ -184,7 +184,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
     """(key, item, score, question_overlap, answer_overlap) of every document (doc_id, text) that holds an item (item_id, text)."""
     spark = docs.sparkSession
     keyed = docs.select(id_key("doc_id").alias("key"), F.col("text").cast("binary").alias("text"))
-    split = F.regexp_extract("text", r"(?s)^([^\n?]*[\n?])(.*)$", 1), F.regexp_extract("text", r"(?s)^([^\n?]*[\n?])(.*)$", 2)
+    split = F.regexp_extract("text", r"(?s)^([^?]*\?)(.*)$", 1), F.regexp_extract("text", r"(?s)^([^?]*\?)(.*)$", 2)
     long_enough = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")) >= least_words
     halves = items.filter("text IS NOT NULL AND item_id IS NOT NULL").filter(long_enough).select("item_id", "text", F.when(F.trim(split[1]) == "", "").otherwise(split[1]).alias("_a"), split[0].alias("_q"))
     halves = halves.select(F.col("item_id").cast("long").alias("item"), F.when(F.col("_a") == "", F.col("text")).otherwise(F.col("_q")).alias("question"), F.col("_a").alias("answer"), "text")
