@@ -252,3 +252,14 @@ def test_writers(spark, tmp_path):
     assert sorted(r.number for r in readers.table(spark, str(tmp_path / "c"), "number int, probe string, a string").collect()) == [1, 2]
     writers.save_ids(df, str(tmp_path / "i"), "id")
     assert sorted(r.value for r in readers.single_values(spark, str(tmp_path / "i")).collect()) == [1.0, 2.0]
+
+
+def test_analysis_windows(spark):
+    facts = spark.createDataFrame([(1, "closed", 10.0, 20.0, None, None), (2, "mismatch", 10.0, 20.0, 14.0, None), (3, "replay", None, 5.0, None, 30.0), (4, "replay", None, 5.0, None, 6.0)], "id int, kind string, gate_low double, gate_high double, mismatch_on double, travel_end_t double")
+    out = segment.analysis_windows(facts).select("id", F.round("w0", 6), F.round("w1", 6))
+    assert sorted(map(tuple, out.collect())) == [(1, 7.0, 10.0), (1, 10.2, 19.45), (2, 7.0, 14.0), (2, 17.0, 19.45), (3, 5.2, 30.0), (4, 5.2, 6.0), (4, 7.0, 9.0)]
+
+
+def test_animal_ids(spark):
+    out = spark.createDataFrame([("A1_rec1",), ("B_7_1_rec1",)], "n string").select(select.animal_id(F.col("n"), ("B_7_1_rec1",)).alias("a")).collect()
+    assert [r.a for r in out] == ["A1", "B_7_1"]

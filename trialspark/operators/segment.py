@@ -132,21 +132,22 @@ def baseline_windows(samples: DataFrame, keys: list[str], gate: str, time: str,
     return first.select(*keys, F.when(closed, F.col("_t") - 3).otherwise(F.col("_t") + 2).alias("t0"), F.when(closed, F.col("_t") - 1).otherwise(F.col("_t") + 4).alias("t1"))
 
 
-def analysis_windows(facts: DataFrame, after_start: float = 0.2, before_end: float = 0.55, lead: float = 2.0, after_mismatch: float = 3.0, travel: float = 0.98) -> DataFrame:
-    """Trial times that are analysed, a row per interval (trial columns, w0, w1).
+def analysis_windows(facts: DataFrame, after_start: float = 0.2, before_end: float = 0.55, after_mismatch: float = 3.0) -> DataFrame:
+    """Trial times that are analysed, baseline included: a row per interval (trial columns, w0, w1), none overlapping.
 
-    facts: a row per trial with kind ('closed', 'mismatch' or 'replay'), gate_low, gate_high (s), mismatch_on and
-    mismatch_off (s, null without), travel_end_t (s, when `travel` of the way is done).
+    facts: a row per trial with kind ('closed', 'mismatch' or 'replay'), gate_low and gate_high (s, when the gate falls
+    and rises), mismatch_on (s, null without) and travel_end_t (s, when 98 % of a replay's way is done). Closed loop: 3 s
+    before the fall, then from after_start behind it until before_end ahead of the rise. A mismatch: on until its onset,
+    and again after_mismatch later. Replay: from after_start behind the rise until the way is done, and 2 to 4 s behind it.
     """
-    begin = F.col("gate_low") + after_start
-    end = F.col("gate_high") - before_end
-    pieces = F.when(
-        F.col("kind") == "mismatch",
-        F.array(F.struct(begin.alias("w0"), F.col("mismatch_on").alias("w1")), F.struct((F.col("mismatch_off") + after_mismatch).alias("w0"), end.alias("w1"))),
-    ).when(F.col("kind") == "replay", F.array(F.struct(begin.alias("w0"), F.least(end, F.col("travel_end_t")).alias("w1")))).otherwise(F.array(F.struct(begin.alias("w0"), end.alias("w1"))))
-    before = F.array(F.struct((F.col("gate_low") - lead - 1).alias("w0"), (F.col("gate_low") - 1).alias("w1")))
-    out = facts.withColumn("_w", F.explode(F.concat(before, pieces)))
-    return out.select(*facts.columns, "_w.w0", "_w.w1").filter("w1 > w0")
+    window = lambda a, b: F.struct(a.alias("w0"), b.alias("w1"))
+    low, high = F.col("gate_low"), F.col("gate_high")
+    closed = F.array(window(low - 3, low), window(low + after_start, high - before_end))
+    mismatch = F.array(window(low - 3, F.col("mismatch_on")), window(F.col("mismatch_on") + after_mismatch, high - before_end))
+    done = F.col("travel_end_t")
+    replay = F.when(done >= high + 2, F.array(window(high + after_start, F.greatest(done, high + 4)))).otherwise(F.array(window(high + after_start, done), window(high + 2, high + 4)))
+    pieces = F.when(F.col("kind") == "replay", replay).when((F.col("kind") == "mismatch") & F.col("mismatch_on").isNotNull(), mismatch).otherwise(closed)
+    return facts.withColumn("_w", F.explode(pieces)).select(*facts.columns, "_w.w0", "_w.w1").filter("w1 > w0")
 
 
 def mismatches(samples: DataFrame, keys: list[str], gain: str, time: str, stage: str, treadmill: str, level: float = HIGH) -> DataFrame:

@@ -14,12 +14,12 @@ REGION, REGION_OR_X = r"^VISp\d", r"^VISp[\dX]"
 #: (trial column, value); a label without conditions holds always.
 LABELS = {
     "four_way_protocol": [
-        ("RVT", [("protocol", "Coupled"), ("visual", True)]),
-        ("RV", [("protocol", "EncoderOnly"), ("visual", True)]),
+        ("RVT", [("protocol", "Coupled")]),
+        ("RV", [("protocol", "EncoderOnly")]),
         ("VT_RVT", [("protocol", "StageOnly"), ("replay_of", "Coupled")]),
-        ("VT_RV", [("protocol", "StageOnly"), ("replay_of", "EncoderOnly")]),
+        ("VT_RV", [("protocol", "StageOnly")]),
         ("V_RVT", [("protocol", "ReplayOnly"), ("replay_of", "Coupled")]),
-        ("V_RV", [("protocol", "ReplayOnly"), ("replay_of", "EncoderOnly")]),
+        ("V_RV", [("protocol", "ReplayOnly")]),
     ],
     "locovest_loco_vest": [
         ("RT", [("protocol", "Coupled")]),
@@ -34,17 +34,17 @@ LABELS = {
         ("T_RT", [("protocol", "StageOnly"), ("replay_of", "Coupled")]),
         ("T_R", [("protocol", "StageOnly"), ("replay_of", "EncoderOnly")]),
     ],
-    "head_tilt_mice": [("VT", [("protocol", "StageOnly"), ("visual", True)]), ("V", [("protocol", "ReplayOnly")]), ("T", [("protocol", "StageOnly"), ("visual", False)])],
+    "head_tilt_mice": [("VT", [("protocol", "StageOnly"), ("visual", True)]), ("V", [("protocol", "ReplayOnly")]), ("T", [("protocol", "StageOnly")])],
     "mismatch_nov2020": [
         ("RVT_gain_up", [("protocol", "CoupledMismatch"), ("gain_direction", "up")]),
-        ("RVT_gain_down", [("protocol", "CoupledMismatch"), ("gain_direction", "down")]),
+        ("RVT_gain_down", [("protocol", "CoupledMismatch")]),
         ("RV_gain_up", [("protocol", "EncoderOnlyMismatch"), ("gain_direction", "up")]),
-        ("RV_gain_down", [("protocol", "EncoderOnlyMismatch"), ("gain_direction", "down")]),
+        ("RV_gain_down", [("protocol", "EncoderOnlyMismatch")]),
     ],
     "mismatch_jul2021": [("RVT_gain_up", [("protocol", "CoupledMismatch")]), ("RV_gain_up", [("protocol", "EncoderOnlyMismatch")]), ("T", [("protocol", "StageOnly")]), ("R", [("protocol", "EncoderOnly")])],
     "mismatch_darkness_oct2021": [("R", [("protocol", "EncoderOnly")]), ("T", [("protocol", "StageOnly")]), ("RT_gain_up", [("protocol", "CoupledMismatch")])],
     "mismatch_darkness_jan2022": [("T_RT", [("protocol", "StageOnly")]), ("RT_gain_up", [("protocol", "CoupledMismatch")])],
-    "passive": [("VT", [("protocol", "StageOnly"), ("visual", True)]), ("V", [("protocol", "ReplayOnly")]), ("T", [("protocol", "StageOnly"), ("visual", False)])],
+    "passive": [("VT", [("protocol", "StageOnly"), ("visual", True)]), ("V", [("protocol", "ReplayOnly")]), ("T", [("protocol", "StageOnly")])],
     "passive_always_vis": [("VT", [("trial_sequence", 1)]), ("V", [("trial_sequence", 2)]), ("T_Vstatic", [("trial_sequence", 3)])],
     "passive_motion_clouds": [("VT", [("trial_sequence", 1)]), ("V", [("trial_sequence", 2)]), ("T_Vstatic", [("trial_sequence", 3)])],
     "training_running": [("RT", [])],
@@ -68,10 +68,12 @@ def probe_ids(experiments: DataFrame, groups: list[str]) -> DataFrame:
     return experiments.filter(F.col("experiment_group").isin(groups) & (F.col("discard") == 0)).select("probe_id").distinct()
 
 
-def animal_id(recording: Column, three_parts: tuple[str, ...] = ("CAA", "CA")) -> Column:
-    """The first part of a recording's name between underscores; three parts where the first is a lab's prefix."""
+def animal_id(recording: Column, three_parts: tuple[str, ...] = ()) -> Column:
+    """The first part of a recording's name between underscores; the first three of the recordings in three_parts."""
     parts = F.split(recording, "_")
-    return F.when(parts[0].isin(*three_parts), F.array_join(F.slice(parts, 1, 3), "_")).otherwise(parts[0])
+    if not three_parts:
+        return parts[0]
+    return F.when(recording.isin(*three_parts), F.array_join(F.slice(parts, 1, 3), "_")).otherwise(parts[0])
 
 
 def good_units(clusters: DataFrame, metrics: DataFrame, groups: DataFrame, keys: list[str], limits: dict = QUALITY, group: str = "good") -> DataFrame:
