@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Word separators of most operators, as a regular expression of words.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -173,3 +173,10 @@ def id_key(column) -> F.Column:
 def packed(docs: DataFrame, *used: str) -> DataFrame:
     """The columns `used` and all columns as one struct `row`, so that helper columns can't clash with others of docs."""
     return docs.select(*used, F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows in a batch to Python than Spark's default, since a row holds a whole text; a session's own choice stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))

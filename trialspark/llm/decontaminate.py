@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import ALNUM, documents, id_key, lists, packed, windows, words_of
+from trialspark.llm.common import ALNUM, documents, id_key, lists, packed, small_batches, windows, words_of
 
 PIECE, BLOCK = 64, 8
 K1, B = 1.2, 0.75
@@ -183,6 +183,7 @@ def _leaks(batches, index: Index, parts: dict, threshold: float, overlap: float,
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, ngram: int = NGRAM, index_words: int = INDEX_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """(key, item, score, question_overlap, answer_overlap) of every document (doc_id, text) that holds an item (item_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     keyed = docs.select(id_key("doc_id").alias("key"), F.col("text").cast("binary").alias("text"))
     split = F.regexp_extract("text", r"(?s)^([^?]*\?)(.*)$", 1), F.regexp_extract("text", r"(?s)^([^?]*\?)(.*)$", 2)
     long_enough = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")) >= least_words

@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import blobs, documents, id_key, lists, mixed, packed, stored, windows, words_of
+from trialspark.llm.common import blobs, documents, id_key, lists, mixed, packed, small_batches, stored, windows, words_of
 from trialspark.llm.components import components
 
 NGRAM, PERCENT = 5, 75
 FREQUENT_LOCAL, FREQUENT_KEPT, SALTS = 2, 1 << 17, 32
 #: Nodes whose list (16 bytes each) is broadcast rather than joined.
 SETS_BROADCAST = 1 << 20
+#: Rows to leave out (16 bytes each) whose list is broadcast rather than joined by a shuffle of the texts.
+DROPS_BROADCAST = 1 << 18
 _FLUSH = 4_000_000
 
 
@@ -64,7 +66,10 @@ def _digests(batches, ngram: int):
     held, size, seen = [], 0, set()
 
     def frequent():
-        grams, counts = np.unique(np.concatenate(held), return_counts=True)
+        grams = np.concatenate(held)
+        grams.sort()
+        grams, counts = np.unique(grams[1:][grams[1:] == grams[:-1]], return_counts=True)  # all but the first of equals
+        counts += 1
         grams, counts = grams[counts >= FREQUENT_LOCAL], counts[counts >= FREQUENT_LOCAL]
         none = np.zeros(len(grams), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(grams), bool)), pa.array(grams.view(np.int64)), pa.array(none), pa.array(none), pa.array(counts.astype(np.int64))], ["frequent", "key", "tag", "node", "n"])
@@ -213,6 +218,7 @@ def similar_groups(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT)
     """(key, tag, node, n_shingles, component) of every row of docs (doc_id, text): component is the least key that
     links reach; tag is a hash of the text."""
     spark = docs.sparkSession
+    small_batches(spark)
     keyed = docs.select(id_key("doc_id").alias("key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tag"), F.col("text").cast("binary").alias("text"))
     told = stored(keyed.mapInArrow(lambda b: _digests(b, ngram), _DIGEST), "digests", "frequent")
     rows = told.filter("NOT frequent").drop("frequent")
@@ -264,11 +270,20 @@ def similar_groups(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT)
 
 def one_of_each_group(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """The rows of docs without near duplicates: of each group the one with the least id; texts without words all stay."""
-    groups = similar_groups(docs, ngram, percent)
-    stays = groups.filter("key = component").groupBy(F.col("key").alias("_key")).agg(F.min("tag").alias("_tag"))
-    keyed = packed(docs, id_key("doc_id").alias("_key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_mine"))
-    joined = keyed.join(stays, "_key").withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.col("_mine") != F.col("_tag"))))
-    return joined.filter("_nth = 1").select("row.*")
+    groups = stored(similar_groups(docs, ngram, percent), "groups")
+    texts = groups.groupBy("key", "tag").agg(F.count("*").alias("n"), F.min("component").alias("component"))
+    stays = (F.col("key") == F.col("component")) & (F.col("tag") == F.min(F.when(F.col("key") == F.col("component"), F.col("tag"))).over(Window.partitionBy("key")))
+    told = texts.withColumn("stays", F.coalesce(stays, F.lit(False))).select(F.col("key").alias("_key"), F.col("tag").alias("_tag"), "n", "stays")
+    told = stored(told.filter("n > 1 OR NOT stays"), "leaves")
+    keyed = packed(docs, id_key("doc_id").alias("_key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_tag"))
+    few = told.limit(DROPS_BROADCAST + 1).count() <= DROPS_BROADCAST
+    hint = F.broadcast if few else (lambda df: df)
+    out = keyed.join(hint(told.select("_key", "_tag")), ["_key", "_tag"], "left_anti").select("row")
+    again = told.filter("stays").select("_key", "_tag")  # rows that are repeated wholly: one of them
+    if again.limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("_key", "_tag").orderBy("_tag"))
+        out = out.unionByName(keyed.join(hint(again), ["_key", "_tag"], "left_semi").withColumn("_nth", nth).filter("_nth = 1").select("row"))
+    return out.select("row.*")
 
 
 def op6_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import documents, packed, stored, text_chunks
+from trialspark.llm.common import documents, packed, small_batches, stored, text_chunks
 
-BINS, SAMPLE, SEED = 1 << 12, 4000, "language-1"
+BINS, SAMPLE, SEED = 1 << 12, 2000, "language-1"
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
 #: Families of languages by ISO 639-1 code. A language that is not here is a family of its own.
@@ -80,7 +80,7 @@ def _train(pair: pd.DataFrame, steps: int = 300, penalty: float = 1e-4) -> pd.Da
     y = pair["side"].to_numpy(np.float32)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     center = x.mean(0)
-    x = x - center
+    x -= center
     w, bias = np.zeros(x.shape[1], np.float32), 0.0
     v, v_bias, rate = w, bias, 1.0 / (2 * float((x * x).sum(1).max() + 1) + penalty)
     for k in range(steps):
@@ -123,6 +123,7 @@ class Model:
 def train(docs: DataFrame, sample: int = SAMPLE, bins: int = BINS) -> Model:
     """A model learned from docs (doc_id, text, lang): all rows may be learned from but those with a null text or lang."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
     families: dict[str, list[str]] = {}

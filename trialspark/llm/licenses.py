@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import ALNUM, documents, words_of
+from trialspark.llm.common import ALNUM, documents, small_batches, words_of
 
 #: Phrases of the base scan and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -181,6 +181,7 @@ def _scanned(batches, scanner: Scanner):
 
 def license_scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """doc_id and the scan's columns of every row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     scanner = Scanner(base, templates)
     rows = docs.select(F.col("text").cast("binary").alias("text"), "doc_id")
     return rows.mapInArrow(lambda b: _scanned(b, scanner), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}")

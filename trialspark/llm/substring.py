@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import NOT_SPACE, Words, _prefix, blobs, documents, id_key, packed, spans, stored, text_chunks, windows, words_of
+from trialspark.llm.common import NOT_SPACE, Words, _prefix, blobs, documents, id_key, packed, small_batches, spans, stored, text_chunks, windows, words_of
 
 WINDOW = 35
 #: A place is packed as the text's 27-bit tag, the first word's position (31 bits) and the number of windows - 1 (5 bits).
@@ -133,6 +133,7 @@ def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(_key, _places): of every document with repeated windows, where runs of them start, packed."""
     if not 2 <= window:
         raise ValueError("window is at least 2 words")
+    small_batches(docs.sparkSession)
     texts = _keyed(docs)
     blocks = texts.mapInArrow(lambda b: _blocks(b, window), "anchor long, block long, key long, place long")
     anchors = blocks.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("block") != F.max("block")).alias("several")).filter("n > 1").drop("n")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import documents
+from trialspark.llm.common import documents, small_batches
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are cut to pieces before they are encoded.
@@ -108,6 +108,7 @@ def count_by_section(docs: DataFrame, rule: str = "most", separator: str = "\n",
     """A row for each section (part between separators, which end the part before them) of every row of docs (doc_id, text)."""
     if rule not in RULES or len(separator.encode()) != 1:
         raise ValueError(f"rule is one of {RULES}, separator one ASCII character")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_encoder(tokenizer))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}"
     return docs.select("text", "doc_id").mapInArrow(lambda b: _attributed(b, shared.value, rule, ord(separator)), schema)

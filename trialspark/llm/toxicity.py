@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import ALNUM, NOT_SPACE, Words, _prefix, documents, mixed, spans, stored, text_chunks
+from trialspark.llm.common import ALNUM, NOT_SPACE, Words, _prefix, documents, mixed, small_batches, spans, stored, text_chunks
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 SAMPLE, LEAST, LEAST_TEXTS, FEATURES, PREFIXES, SEED = 20_000, 0.55, 5, 1 << 13, (4, 5, 6), "toxicity-1"
@@ -223,6 +223,7 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the labelled rows of docs (doc_id, text; labels: doc_id, toxic), its language model counted over corpus."""
     spark = docs.sparkSession
+    small_batches(spark)
     lower = F.lower("text").cast("binary").alias("text")
     tasks = corpus.select(lower).mapInArrow(_trigrams, "counts array<long>")
     told = tasks.select(F.posexplode("counts").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).toArrow()
