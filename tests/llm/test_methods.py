@@ -77,6 +77,19 @@ def test_join_by_text_beyond_the_broadcast(spark, monkeypatch):
     assert {r.key: r.component for r in out.collect()} == {k: v[1] for k, v in brute.groups(docs).items()}
 
 
+def test_rows_without_an_id_or_of_one_id_stand_for_themselves(spark):
+    rng = random.Random(6)
+    texts = [" ".join(words(rng, 60)) for _ in range(7)]
+    rows = [(None, t) for t in texts[:3]] + [(None, texts[0] + " tail"), (5, texts[3]), (5, texts[4]), (7, texts[5]), (8, texts[5] + " tail"), (8, texts[6]), (None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [(r.doc_id, r.text) for r in jaccard.one_of_each_group(docs).collect()]
+    pair = [r for r in left if r in (rows[0], rows[3])]
+    assert len(pair) == 1 and sorted(map(str, left)) == sorted(map(str, pair + rows[1:3] + rows[4:7] + rows[8:]))
+    items = spark.createDataFrame([(1, texts[1]), (2, texts[4])], "item_id long, text string")
+    kept = [(r.doc_id, r.text) for r in decontaminate.without_leaks(docs, items).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [r for r in rows if r[1] not in (texts[1], texts[4])]))
+
+
 def test_suffix_filter_never_loses_a_pair():
     rng = np.random.default_rng(1)
     for _ in range(300):

@@ -132,14 +132,14 @@ class Index:
             yield int(of[i]), int(block[i]) * BLOCK + int(j), float(scores[i, j])
 
 
-_FOUND = "key long, item long, score double, question_overlap double, answer_overlap double"
+_FOUND = "key long, tag long, item long, score double, question_overlap double, answer_overlap double"
 
 
 def _leaks(batches, index: Index, parts: dict, threshold: float, overlap: float, ngram: int):
-    """Rows (key, item, score, overlaps) of batches of (key, text)."""
+    """Rows (key, tag, item, score, overlaps) of batches of (key, tag, text)."""
     for batch in batches:
         out = []
-        for row, words in words_of(batch.column(1), ALNUM, True):
+        for row, words in words_of(batch.column(2), ALNUM, True):
             if not len(words.hash):
                 continue
             lengths = np.diff(words.at)
@@ -175,16 +175,21 @@ def _leaks(batches, index: Index, parts: dict, threshold: float, overlap: float,
                             have[size_of] = np.unique(windows(h, size_of))
                         shares.append(float(np.isin(grams, have[size_of], assume_unique=True).mean()))
                     if min(shares) >= overlap:
-                        out.append((batch.column(0)[row + d].as_py(), item, score, *shares))
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], ["key", "item", "score", "question_overlap", "answer_overlap"])
+                        out.append((batch.column(0)[row + d].as_py(), batch.column(1)[row + d].as_py(), item, score, *shares))
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.float64()] * 3, strict=True)], ["key", "tag", "item", "score", "question_overlap", "answer_overlap"])
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, ngram: int = NGRAM, index_words: int = INDEX_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(key, item, score, question_overlap, answer_overlap) of every document (doc_id, text) that holds an item (item_id, text)."""
+def _tag() -> F.Column:
+    """A hash of the text, which tells rows of one id apart."""
+    return F.coalesce(F.xxhash64("text"), F.lit(0))
+
+
+def _leaking_rows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, ngram: int = NGRAM, index_words: int = INDEX_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(key, tag, item, score, question_overlap, answer_overlap) of every row (doc_id, text) that holds an item (item_id, text); tag is a hash of the text."""
     spark = docs.sparkSession
     small_batches(spark)
-    keyed = docs.select(id_key("doc_id").alias("key"), F.col("text").cast("binary").alias("text"))
+    keyed = docs.select(id_key("doc_id").alias("key"), _tag().alias("tag"), F.col("text").cast("binary").alias("text"))
     split = F.regexp_extract("text", r"(?s)^([^?]*\?)(.*)$", 1), F.regexp_extract("text", r"(?s)^([^?]*\?)(.*)$", 2)
     long_enough = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")) >= least_words
     halves = items.filter("text IS NOT NULL AND item_id IS NOT NULL").filter(long_enough).select("item_id", "text", F.when(F.trim(split[1]) == "", "").otherwise(split[1]).alias("_a"), split[0].alias("_q"))
@@ -210,15 +215,19 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
         shared = spark.sparkContext.broadcast((index, parts))
         found = keyed.mapInArrow(lambda b, s=shared: _leaks(b, *s.value, threshold, overlap, ngram), _FOUND)
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        return empty
+    return empty if out is None else out
+
+
+def leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """(key, item, score, question_overlap, answer_overlap) of every document (doc_id, text) that holds an item (item_id, text)."""
+    out = _leaking_rows(docs, items, **options)
     return out.groupBy("key", "item").agg(*(F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs that hold no item."""
-    found = leaks(docs, items, **options).select(F.col("key").alias("_key")).distinct()
-    return packed(docs, id_key("doc_id").alias("_key")).join(found, "_key", "left_anti").select("row.*")
+    found = _leaking_rows(docs, items, **options).select(F.col("key").alias("_key"), F.col("tag").alias("_tag")).distinct()
+    return packed(docs, id_key("doc_id").alias("_key"), _tag().alias("_tag")).join(found, ["_key", "_tag"], "left_anti").select("row.*")
 
 
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

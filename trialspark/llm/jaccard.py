@@ -215,8 +215,8 @@ def _links(pairs: DataFrame, keyed: DataFrame, rows: DataFrame, ngram: int, perc
 
 
 def similar_groups(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """(key, tag, node, n_shingles, component) of every row of docs (doc_id, text): component is the least key that
-    links reach; tag is a hash of the text."""
+    """(key, tag, node, n_shingles, component, head) of every row of docs (doc_id, text): component is the least key that
+    links reach, head the tag of the least (key, tag); tag is a hash of the text."""
     spark = docs.sparkSession
     small_batches(spark)
     keyed = docs.select(id_key("doc_id").alias("key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tag"), F.col("text").cast("binary").alias("text"))
@@ -260,20 +260,22 @@ def similar_groups(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT)
     more = _links(stored(cross, "pairs"), keyed, rows, ngram, percent)
     found = components(links.unionByName(more))
 
-    least = rows.filter("n > 0").groupBy("node").agg(F.min("key").alias("least"))
+    least = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("key", "tag")).alias("least"))
     joined = least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = joined.groupBy("component").agg(F.min("least").alias("id"))
     ids = joined.join(best, "component").select("node", "id")
     out = rows.withColumn("some", F.when(F.col("n") > 0, F.col("node"))).join(ids.withColumnRenamed("node", "some"), "some", "left")
-    return out.select("key", "tag", "node", F.col("n").alias("n_shingles"), F.coalesce("id", "key").alias("component"))
+    head = [F.coalesce(f"id.{c}", c).alias(n) for c, n in (("key", "component"), ("tag", "head"))]
+    return out.select("key", "tag", "node", F.col("n").alias("n_shingles"), *head)
 
 
 def one_of_each_group(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs without near duplicates: of each group the one with the least id; texts without words all stay."""
+    """The rows of docs without near duplicates: of each group the one with the least (id, hash of the text);
+    texts without words all stay."""
     groups = stored(similar_groups(docs, ngram, percent), "groups")
-    texts = groups.groupBy("key", "tag").agg(F.count("*").alias("n"), F.min("component").alias("component"))
-    stays = (F.col("key") == F.col("component")) & (F.col("tag") == F.min(F.when(F.col("key") == F.col("component"), F.col("tag"))).over(Window.partitionBy("key")))
-    told = texts.withColumn("stays", F.coalesce(stays, F.lit(False))).select(F.col("key").alias("_key"), F.col("tag").alias("_tag"), "n", "stays")
+    stays = (F.col("key") == F.col("component")) & (F.col("tag") == F.col("head"))
+    texts = groups.filter("n_shingles > 0").groupBy("key", "tag").agg(F.count("*").alias("n"), F.min(stays).alias("stays"))
+    told = texts.select(F.col("key").alias("_key"), F.col("tag").alias("_tag"), "n", "stays")
     told = stored(told.filter("n > 1 OR NOT stays"), "leaves")
     keyed = packed(docs, id_key("doc_id").alias("_key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_tag"))
     few = told.limit(DROPS_BROADCAST + 1).count() <= DROPS_BROADCAST
