@@ -188,6 +188,22 @@ def test_restores_disguised_words():
     assert r.word("worthl3$$") == "worthless"
 
 
+def test_restores_separators_spaced_signs_and_signs_at_the_end():
+    counts = np.zeros(toxicity.SYMBOLS**3)
+    plain = "the idiot and a moron are worthless pathetic losers an ass stupid well known end of it "
+    for batch in toxicity._trigrams([pa.RecordBatch.from_arrays([pa.array([plain * 50])], ["t"])]):
+        counts += batch.column(0)[0].values.to_numpy()
+    r = toxicity.Restorer(counts)
+
+    def restored(*texts):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        out, offsets = toxicity._restored(data, np.r_[0, np.cumsum([len(t.encode()) for t in texts])], r)
+        return [out.tobytes()[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+    assert restored("an id.iot, st-upid mo_ron", "1 d 1 0 t", "i d i 0 t the a55 and a s s", "idi07") == ["an idiot stupid moron", "idiot", "idiot the ass and ass", "idiot"]
+    assert restored("well-known", "the end.of it", "idiot!", "1 2 3 4", "1 0 1") == ["well-known", "the end.of it", "idiot!", "1 2 3 4", "1 0 1"]
+
+
 def test_toxic_words_are_learned_whole_disguised_and_by_beginning(spark):
     rng = random.Random(2)
     rows = []

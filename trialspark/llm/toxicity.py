@@ -1,9 +1,10 @@
 """Toxicity of texts after noisy-channel deobfuscation.
 
 1. A character language model (trigrams of letters) is counted over the words of all documents.
-2. Words that look disguised (signs or digits among letters, a letter three times in a row, letters spaced out) become a
-   lattice: each sign may stand for the letters it resembles, a run for one or two of its letter, a sign within a word for
-   nothing. The Viterbi path, least cost under the channel and the language model, is the word restored.
+2. Words that look disguised (signs or digits among letters, a letter three times in a row, separators within a word,
+   three or more letters and signs spaced out) become a lattice: each sign may stand for the letters it resembles, a run
+   for one or two of its letter, a sign within a word for nothing; a separator may also part words, and punctuation end
+   one. The Viterbi path, least cost under the channel and the language model, is the word restored.
 3. Features of the restored text are its words and their beginnings (PREFIXES letters). A feature's toxicity is the lower
    bound of its share of toxic texts in a bounded sample of labelled ones (about SAMPLE of each label, by hash of the id,
    weighted back to all); features of LEAST_TEXTS toxic texts or more, surely above LEAST, are kept, FEATURES of them at most.
@@ -34,6 +35,8 @@ RESEMBLES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "&": "e", "*": "aeiou", "#": "h", "%": "x",
 }
+#: Signs that are no punctuation at a word's end.
+_NO_END = "0123456789@$"
 _COST, _STAYS, _DROPS, _DROPS_SIGN, _ABSORBED = 1.0, 5.0, 1.0, 9.0, 0.3
 #: Symbols of the language model: 0 a word's edge, 1 to 26 letters, 27 any other letter or digit.
 SYMBOLS = 28
@@ -43,11 +46,15 @@ _SYMBOL[48:58] = _SYMBOL[128:] = 27
 _LETTER = (_SYMBOL > 0) & (_SYMBOL < 27)
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in RESEMBLES]] = True
-_TAIL = np.zeros(256, bool)
-_TAIL[[ord("@"), ord("$")]] = True
+_PARTS, _GAPS = np.zeros(256, bool), np.zeros(256, bool)
+_PARTS[[ord(c) for c in "._-"]] = True
+_GAPS[[ord(c) for c in " ._-*"]] = True
 
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])")
-_DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+(<&*#%]+[^\W\d_]|[0-9@$!|+(<][^\W\d_]|[^\W\d_][@$]|([^\W\d_])\1\1")
+_SPACED = re.compile(r"(?<![^\W_])(?:(?:[^\W\d_]|[0-9@$!|+(<&*#%])[ .\-_*]){2,}(?:[^\W\d_]|[0-9@$!|+(<&*#%])(?![^\W_])")
+_DISGUISED = re.compile(
+    r"[^\W\d_][0-9@$!|+(<&*#%]|[0-9@$!|+(<][^\W\d_]|([^\W\d_])\1\1"
+    r"|[^\W\d_][._\-]+(?:[^\W\d_]|[0-9@$!|+(<&*#%])|[0-9@$!|+(<&*#%][._\-]+[^\W\d_]"
+)
 
 
 def _trigrams(batches):
@@ -78,10 +85,16 @@ class Restorer:
         """The least costly reading of a word's lattice."""
         cost = self.cost
         states = {(0, 0): (0.0, "")}
-        n = len(word)
-        for i, c in enumerate(word):
+        solid = "".join(c for c in word if c.isalpha() or c in RESEMBLES)
+        n, i = len(solid), -1
+        last = max((k for k, c in enumerate(solid) if c.isalpha()), default=-1)
+        for c in word:
             letter = c.isalpha()
-            run = (i >= 2 and word[i - 2 : i + 1] == c * 3) or (0 < i < n - 1 and word[i - 1 : i + 2] == c * 3)
+            parts = not letter and c not in RESEMBLES
+            i += not parts
+            run = not parts and ((i >= 2 and solid[i - 2 : i + 1] == c * 3) or (0 < i < n - 1 and solid[i - 1 : i + 2] == c * 3))
+            # What parts two words is an edge to the language model, and so is a sign of punctuation at the end.
+            ends = 0.0 if parts and 0 <= i < n - 1 else _COST if i > last and not parts and c not in _NO_END else None
             if letter:
                 readings = [(c, 0.0)]
             elif c in RESEMBLES:
@@ -94,6 +107,8 @@ class Restorer:
                 for x, channel in readings:
                     s = ord(x) - 96 if "a" <= x <= "z" else 27
                     options.append(((b, s), total + channel + cost[a, b, s], text + x))
+                if ends is not None:
+                    options.append(((0, 0), total + (ends + cost[a, b, 0] if b else 0.0), text + c))
                 if not letter:
                     options.append(((a, b), total + (_DROPS_SIGN if c in RESEMBLES else _DROPS), text))
                 elif run and text.endswith(c):
@@ -102,7 +117,7 @@ class Restorer:
                     if state not in new or (t, x) < new[state]:
                         new[state] = (t, x)
             states = new
-        return min((t + cost[a, b, 0], x) for (a, b), (t, x) in states.items())[1]
+        return min((t + (cost[a, b, 0] if b else 0.0), x) for (a, b), (t, x) in states.items())[1]
 
     def token(self, word: str) -> str:
         """A word between spaces, restored if it looks disguised."""
@@ -110,7 +125,13 @@ class Restorer:
 
     def spaced(self, text: str) -> str:
         """A text with its spaced-out words restored."""
-        return _SPACED.sub(lambda m: self.word(re.sub(r"[ .\-_*]", "", m[0])), text)
+        return _SPACED.sub(lambda m: self._joined(m[0]), text)
+
+    def _joined(self, run: str) -> str:
+        """A run of letters and signs, each apart from the next by one character, as the language model reads it."""
+        if not any(c.isalpha() for c in run[::2]):
+            return run
+        return self.word("".join(" " if k % 2 and c == "*" else c for k, c in enumerate(run)))
 
     def text(self, text: str) -> str:
         """A lower-cased text with its disguised words restored."""
@@ -123,22 +144,33 @@ def _restorer(cost: np.ndarray) -> Restorer:
     return out
 
 
-def _marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of signs that may stand for letters and of letters three times in a row; places of spaced-out letters."""
+def _marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of signs that may stand for letters, of separators within words and of letters three times in a row; places of spaced-out letters and signs."""
     if len(data) < 7:
         data = np.r_[data, np.full(7 - len(data), 32, np.uint8)]
     letter = _LETTER[data] | (data >= 128)
     disguised = np.zeros(len(data), bool)
-    disguised[:-1] = (_SIGN[data[:-1]] & letter[1:]) | (letter[:-1] & _TAIL[data[1:]])
+    disguised[:-1] = (_SIGN[data[:-1]] & letter[1:]) | (letter[:-1] & _SIGN[data[1:]])
     disguised[:-2] |= letter[:-2] & (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:])
-    pair = letter[:-1] & ~letter[1:] & (data[1:] != 10)  # a letter and no letter after it
-    spaced = pair[:-5] & pair[2:-3] & pair[4:-1] & letter[6:]
+    sign, parts = _SIGN[data], _PARTS[data]
+    solid = letter | sign
+    within = parts[1:-1] & (solid | parts)[:-2] & (solid | parts)[2:]
+    disguised[:-2] |= within & (letter[:-2] | letter[2:])
+    # Three characters with one between each two, the first and the last not part of a word.
+    wordly = letter | ((data >= 48) & (data <= 57))
+    begins, ends = np.ones(len(data), bool), np.ones(len(data), bool)
+    begins[1:], ends[:-1] = ~wordly[:-1], ~wordly[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    begins[inner] = ends[inner - 1] = True
+    gap = _GAPS[data]
+    some = letter[:-4] | letter[2:-2] | letter[4:]
+    spaced = begins[:-4] & solid[:-4] & gap[1:-3] & solid[2:-2] & gap[3:-1] & solid[4:] & ends[4:] & some
     return np.flatnonzero(disguised), np.flatnonzero(spaced)
 
 
 def _restored(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple[np.ndarray, np.ndarray]:
     """The texts with their disguised words restored: only words at marked places are looked at."""
-    disguised, spaced = _marks(data)
+    disguised, spaced = _marks(data, offsets)
     if not len(disguised) and not len(spaced):
         return data, offsets
     raw = data.tobytes()
