@@ -234,6 +234,18 @@ def test_decontamination_against_plain_bm25(spark):
         assert {(r.key, r.item) for r in decontaminate.leaks(docs, items, index_words=size).collect()} == told
 
 
+def test_items_without_an_id_of_one_id_and_of_few_words_are_found(spark):
+    rng = random.Random(8)
+    texts = [" ".join(words(rng, 30)) for _ in range(4)]
+    items = [(None, texts[0]), (7, texts[1]), (7, texts[2]), (8, "Alpha, beta? gamma"), (None, "solo"), (9, "beta alpha"), (3, "...")]
+    docs = [(k, f"start {t} end") for k, t in enumerate(texts)] + [(4, "x alpha beta GAMMA"), (5, "alpha beta x gamma"), (6, "a solo b"), (7, "alpha beta"), (8, "gamma")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 20):
+        found = {(r.key, r.item) for r in decontaminate.leaks(docs.coalesce(1), items, index_words=size).collect()}
+        assert found == {(0, None), (1, 7), (2, 7), (4, 8), (6, None)}
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, items).collect()} == {3, 5, 7, 8}
+
+
 def test_block_bounds_retrieve_all_above_the_threshold():
     rng = np.random.default_rng(4)
     pieces = [rng.integers(0, 200, rng.integers(5, 40)).astype(np.int64) for _ in range(50)]

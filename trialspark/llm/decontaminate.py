@@ -15,8 +15,12 @@ answer is what follows the first question mark; an item without one is all quest
 The index is broadcast in parts of at most INDEX_WORDS words each; more items make more parts, each queried by all
 passages. Document frequencies are those of all items whatever the parts.
 
-Edge cases: null and empty texts have no passages and null items and those of fewer than LEAST_WORDS words no pieces; rows that repeat an id are
-reported once per document id and item; a document without leaks has no row; an empty table on either side gives an
+Items of fewer than LEAST_WORDS words are not in the index: they are looked for by their exact sequence of words, with
+score and overlaps of 1.
+
+Items are told apart by row, not by item_id, which is only put out; a null item_id is put out as null. Edge cases: null
+and wordless texts and items find nothing; rows that repeat an id are reported once per document id and item id, with the
+greatest of each figure; a document without leaks has no row; an empty table on either side gives an
 empty result; columns with other names are not used.
 """
 
@@ -27,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import ALNUM, documents, id_key, lists, packed, small_batches, windows, words_of
+from trialspark.llm.common import ALNUM, documents, id_key, lists, packed, small_batches, stored, windows, words_of
 
 PIECE, BLOCK = 64, 8
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, NGRAM = 0.5, 0.6, 5
-#: Items of fewer words can't be told from ordinary wording and are not looked for.
+#: Items of fewer words are looked for by their exact sequence of words.
 LEAST_WORDS = 5
 INDEX_WORDS = 1 << 20
 #: Terms in more than this share of the pieces are common.
@@ -69,6 +73,41 @@ def _parts_of_items(batches, ngram: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), *(lists(x, pa.int64()) for x in grams), *(pa.array(x, pa.int32()) for x in sizes)], ["item", "question", "answer", "q", "a"])
 
 
+def _sequences(batches):
+    """(item_id, n, hash of the word sequence) of batches of (item_id, text)."""
+    for batch in batches:
+        sizes, hashes = [], []
+        for _, words in words_of(batch.column(1), ALNUM, True):
+            for a, b in zip(words.at[:-1], words.at[1:], strict=True):
+                sizes.append(int(b - a))
+                hashes.append(windows(words.hash[a:b], int(b - a)).view(np.int64)[0])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(hashes, pa.int64())], ["item_id", "n", "sequence"])
+
+
+class Short:
+    """Short items by their number of words: sorted hashes of the word sequences, and the ids of each."""
+
+    def __init__(self, rows: list[dict]):
+        ids: dict[int, dict[int, set]] = {}
+        for r in rows:
+            ids.setdefault(r["n"], {}).setdefault(r["sequence"], set()).add(r["item_id"])
+        self.held = {n: (np.array(sorted(x), np.int64), [list(x[h]) for h in sorted(x)]) for n, x in ids.items()}
+
+    def find(self, words):
+        """(document, item id) of the texts of `words`, each once."""
+        found = set()
+        for n, (known, ids) in self.held.items():
+            h = windows(words.hash, n).view(np.int64)
+            if not len(h):
+                continue
+            doc = np.searchsorted(words.at, np.arange(len(h)), "right") - 1
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = (known[at] == h) & (np.arange(len(h)) + n <= words.at[doc + 1])
+            pairs = np.unique(np.stack([doc[hit], at[hit]], 1), axis=0)
+            found.update((int(d), i) for d, k in pairs for i in ids[k])
+        return found
+
+
 class Index:
     """Postings of some pieces, as arrays sorted by term and piece; impacts are shares of a piece's own score."""
 
@@ -135,13 +174,16 @@ class Index:
 _FOUND = "key long, tag long, item long, score double, question_overlap double, answer_overlap double"
 
 
-def _leaks(batches, index: Index, parts: dict, threshold: float, overlap: float, ngram: int):
+def _leaks(batches, index: Index | None, parts: dict, short: Short, threshold: float, overlap: float, ngram: int):
     """Rows (key, tag, item, score, overlaps) of batches of (key, tag, text)."""
     for batch in batches:
         out = []
         for row, words in words_of(batch.column(2), ALNUM, True):
             if not len(words.hash):
                 continue
+            out += [(batch.column(0)[row + d].as_py(), batch.column(1)[row + d].as_py(), item, 1.0, 1.0, 1.0) for d, item in short.find(words)]
+            if index is None:
+                continue
             lengths = np.diff(words.at)
             doc = np.repeat(np.arange(len(lengths)), lengths)
             # Passages of a document: one begins at every PIECE words; the last may be short.
@@ -167,7 +209,8 @@ def _leaks(batches, index: Index, parts: dict, threshold: float, overlap: float,
                 have: dict[int, np.ndarray] = {}
                 for item, score in sorted((i, s) for (e, i), s in best.items() if e == d):
                     shares = []
-                    for grams, size_of in parts[item]:
+                    item_id, halves = parts[item]
+                    for grams, size_of in halves:
                         if not len(grams):
                             shares.append(1.0)
                             continue
@@ -175,7 +218,7 @@ def _leaks(batches, index: Index, parts: dict, threshold: float, overlap: float,
                             have[size_of] = np.unique(windows(h, size_of))
                         shares.append(float(np.isin(grams, have[size_of], assume_unique=True).mean()))
                     if min(shares) >= overlap:
-                        out.append((batch.column(0)[row + d].as_py(), batch.column(1)[row + d].as_py(), item, score, *shares))
+                        out.append((batch.column(0)[row + d].as_py(), batch.column(1)[row + d].as_py(), item_id, score, *shares))
         columns = list(zip(*out, strict=True)) or [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.float64()] * 3, strict=True)], ["key", "tag", "item", "score", "question_overlap", "answer_overlap"])
 
@@ -191,31 +234,36 @@ def _leaking_rows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
     small_batches(spark)
     keyed = docs.select(id_key("doc_id").alias("key"), _tag().alias("tag"), F.col("text").cast("binary").alias("text"))
     split = F.regexp_extract("text", r"(?s)^([^?]*\?)(.*)$", 1), F.regexp_extract("text", r"(?s)^([^?]*\?)(.*)$", 2)
-    long_enough = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")) >= least_words
-    halves = items.filter("text IS NOT NULL AND item_id IS NOT NULL").filter(long_enough).select("item_id", "text", F.when(F.trim(split[1]) == "", "").otherwise(split[1]).alias("_a"), split[0].alias("_q"))
-    halves = halves.select(F.col("item_id").cast("long").alias("item"), F.when(F.col("_a") == "", F.col("text")).otherwise(F.col("_q")).alias("question"), F.col("_a").alias("answer"), "text")
+    n_words = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
+    numbered = items.select(F.col("item_id").cast("long").alias("item_id"), "text", n_words.alias("n")).filter("n > 0")
+    numbered = stored(numbered.withColumn("item", F.monotonically_increasing_id()), "items")  # numbers that stay the same
+    halves = numbered.filter(F.col("n") >= least_words).select("item", "item_id", "text", F.when(F.trim(split[1]) == "", "").otherwise(split[1]).alias("_a"), split[0].alias("_q"))
+    halves = halves.select("item", "item_id", F.when(F.col("_a") == "", F.col("text")).otherwise(F.col("_q")).alias("question"), F.col("_a").alias("answer"), "text")
     pieces = halves.select("item", "text").mapInArrow(_pieces, "item long, piece int, words array<long>")
     told = pieces.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("words")).first()
-    empty = spark.createDataFrame([], _FOUND)
-    if not told["n"]:
-        return empty
+    few = numbered.filter(F.col("n") < least_words)
+    total = (told["words"] or 0) + (few.agg(F.sum("n")).first()[0] or 0)
     frequency = pieces.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    count = -(-told["words"] // index_words)
+    count = -(-total // index_words)
     out = None
     for k in range(count):
         mine = F.pmod(F.xxhash64("item"), F.lit(count)) == k
         held = pieces.filter(mine).orderBy("item", "piece").toArrow()
-        if not held.num_rows:
+        sequences = few.filter(mine).select("item_id", "text").mapInArrow(_sequences, "item_id long, n int, sequence long").distinct().toArrow().to_pylist()
+        if not held.num_rows and not sequences:
             continue
-        used = pieces.filter(mine).select(F.explode("words").alias("term")).distinct()
-        df = frequency.join(used, "term").toArrow()
-        index = Index(held["item"].to_numpy(), [x.values.to_numpy() for x in held["words"]], dict(zip(df["term"].to_pylist(), df["df"].to_pylist(), strict=True)), told["n"], told["words"] / told["n"])
+        index, short = None, Short(sequences)
+        if held.num_rows:
+            used = pieces.filter(mine).select(F.explode("words").alias("term")).distinct()
+            df = frequency.join(used, "term").toArrow()
+            index = Index(held["item"].to_numpy(), [x.values.to_numpy() for x in held["words"]], dict(zip(df["term"].to_pylist(), df["df"].to_pylist(), strict=True)), told["n"], told["words"] / told["n"])
         grams = halves.filter(mine).select("item", "question", "answer").mapInArrow(lambda b: _parts_of_items(b, ngram), "item long, question array<long>, answer array<long>, q int, a int")
-        parts = {r["item"]: [(np.array(r[c], np.int64).view(np.uint64), r[n]) for c, n in (("question", "q"), ("answer", "a"))] for r in grams.toArrow().to_pylist()}
-        shared = spark.sparkContext.broadcast((index, parts))
+        ids = {r["item"]: r["item_id"] for r in halves.filter(mine).select("item", "item_id").toArrow().to_pylist()}
+        parts = {r["item"]: (ids[r["item"]], [(np.array(r[c], np.int64).view(np.uint64), r[n]) for c, n in (("question", "q"), ("answer", "a"))]) for r in grams.toArrow().to_pylist()}
+        shared = spark.sparkContext.broadcast((index, parts, short))
         found = keyed.mapInArrow(lambda b, s=shared: _leaks(b, *s.value, threshold, overlap, ngram), _FOUND)
         out = found if out is None else out.unionByName(found)
-    return empty if out is None else out
+    return spark.createDataFrame([], _FOUND) if out is None else out
 
 
 def leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -225,7 +273,7 @@ def leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs that hold no item."""
+    """The rows of docs that hold no item, whatever its length."""
     found = _leaking_rows(docs, items, **options).select(F.col("key").alias("_key"), F.col("tag").alias("_tag")).distinct()
     return packed(docs, id_key("doc_id").alias("_key"), _tag().alias("_tag")).join(found, ["_key", "_tag"], "left_anti").select("row.*")
 
