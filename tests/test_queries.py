@@ -1,11 +1,13 @@
 """Every registered query that has SQL, against DuckDB on the smallest tables."""
 
+import inspect
 import math
 import os
 
 import duckdb
 import pytest
 
+from trialspark.operators import rf, tuning
 from trialspark.plans import event_queries, flagship, more_queries, table_queries
 
 DIR = "/root/testdata/sf0.001"
@@ -39,3 +41,19 @@ def test_same_rows_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
+
+
+def test_resampling_queries_use_all_models_and_the_operators_own_numbers(spark, monkeypatch):
+    asked = {}
+    for module, name in ((tuning, "selected_models"), (tuning, "model_p"), (rf, "resampled_null")):
+        def told(*args, _real=getattr(module, name), _name=name, **options):
+            call = inspect.signature(_real).bind(*args, **options)
+            call.apply_defaults()
+            asked[_name] = call.arguments
+            return _real(*args, **options)
+
+        monkeypatch.setattr(module, name, told)
+    QUERIES["m13_model_p"](spark, DIR)
+    QUERIES["v9_resampled_null"](spark, DIR)
+    assert asked["selected_models"]["models"] == tuning.MODELS
+    assert (asked["model_p"]["reps"], asked["model_p"]["blocks"], asked["resampled_null"]["reps"]) == (1000, 20, 100)

@@ -192,8 +192,8 @@ def m13_model_p(spark, d):
     cells = events(spark, d).groupBy("event_type", F.floor(F.col("t") / (3 * DAY)).cast("int").alias("bin"), (F.col("user_id") % 4).alias("trial")).agg(F.avg("value").alias("rate"))
     cells = cells.withColumn("x", F.col("bin").cast("double"))
     means = cells.groupBy("event_type", "x").agg(F.avg("rate").alias("rate"))
-    best = tuning.selected_models(means, ["event_type"], "x", "rate", ("linear", "quadratic"))
-    return rounded(tuning.model_p(cells, best, ["event_type"], "bin", "x", "rate", 100, 4), "p")
+    best = tuning.selected_models(means, ["event_type"], "x", "rate")
+    return rounded(tuning.model_p(cells, best, ["event_type"], "bin", "x", "rate"), "p")
 
 
 @query()
@@ -206,7 +206,7 @@ def v9_resampled_null(spark, d):
     frames = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("frame"), F.col("embedding").alias("pixels"))
     n = frames.agg(F.count("*")).scalar()
     counts = events(spark, d).select((F.col("user_id") % 3).alias("unit"), (F.col("event_id") % n).alias("frame")).groupBy("unit", "frame").agg(F.count("*").alias("n"))
-    return rounded(rf.resampled_null(counts, frames, ["unit"], 10), "null_mean", "null_std")
+    return rounded(rf.resampled_null(counts, frames, ["unit"]), "null_mean", "null_std")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'VT' WHEN c_mktsegment = 'MACHINERY' AND c_acctbal > 0 THEN 'V' WHEN c_mktsegment = 'MACHINERY' THEN 'T' END AS label FROM customer""")
