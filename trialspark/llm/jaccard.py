@@ -1,21 +1,22 @@
-"""Similarity join of documents on their sets of word n-grams (Jaccard), by prefix filtering.
-
-Nodes are the distinct n-gram sets; copies fall together in a first aggregate. A node's n-grams are put in one order for
-all nodes, rare first: n-grams known as frequent come last, by count, all others before them by hash. Two sets of
-similarity t share an n-gram among the first n - ceil(t n) + 1 of each, so only those prefixes are joined. A pair must
-then pass the length filter, the positional filter (what can still be shared after the common n-gram) and, before the
-sets are intersected, the suffix filter (what equal parts of the hash space, about two n-grams in each, can share).
-
-Groups of many nodes with one n-gram are not expanded into all pairs:
-1. a group's least and greatest node are its hubs; each node is verified against the one hub with which most of its
-   groups are shared;
-2. links found so far are joined to components, and groups that lie in one component are done with;
-3. in the groups that are left, pairs of nodes of different components are verified, all of them.
-No link between components is lost, so components are those of all links.
-
-Counts of frequent n-grams cover all documents: tasks count those of their own distinct sets and send what occurs
-FREQUENT_LOCAL times or more; the FREQUENT_KEPT most frequent are known to all tasks. The list is bounded and changes the order only, never
-the result. The same list salts the groups of frequent n-grams over SALTS tasks.
+"""Similarity join of documents on their sets of word n-grams (Jaccard), by rare-first prefix filtering.
+
+Nodes are the distinct n-gram sets, so copies fall together at once. All n-grams stand in one order: first those of the
+counted part of the hash space (COUNTED of 256 equal parts), by the number of nodes that hold them; then the others, by
+hash. Counts cover all documents. Two sets of similarity t share an n-gram among the first n - ceil(t n) + 1 of each, and
+what one node alone holds joins nothing: a node whose prefix holds only such n-grams is done with, and others post only
+the rest of their prefix. A pair must pass the length filter, the positional filter (what can still be shared after the
+common n-gram) and, before its sets meet, the suffix filter (what equal parts of the hash space, about two n-grams in
+each, can share). Each pair is verified once.
+
+Groups of many nodes with one n-gram are not expanded into their pairs at once. In every round some nodes of each group,
+those with the smallest share of n-grams of their own, are its pivots: 1, then 3 more, then 12 more and so on. Pivots are
+verified against the nodes that come after them in the group's order and lie in another component so far. Groups that lie
+in one component, or whose nodes have all been pivots, are done with. A pair is met in the round of the earlier of the
+two unless a chain of links joins them by then, so components are those of all links.
+
+Shuffled counts: tasks send their distinct n-grams by buckets, packed. The FREQUENT_KEPT n-grams that are most frequent
+within tasks aren't gathered by n-gram: their counts come from those of the tasks, whose sum is the same for all. This
+moves n-grams in the order only and never changes the result.
 
 Edge cases: a null text or one without words has an empty set and no links; with fewer words than n, all of them are one
 n-gram; rows that repeat an id are documents of their own; a null id counts as the least id; an empty table gives an
@@ -29,16 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import blobs, documents, id_key, lists, mixed, packed, small_batches, stored, windows, words_of
+from trialspark.llm.common import blobs, discard, documents, id_key, mixed, packed, small_batches, stored, windows, words_of
 from trialspark.llm.components import components
 
 NGRAM, PERCENT = 5, 75
-FREQUENT_LOCAL, FREQUENT_KEPT, SALTS = 2, 1 << 17, 32
-#: Nodes whose list (16 bytes each) is broadcast rather than joined.
-SETS_BROADCAST = 1 << 20
-#: Rows to leave out (16 bytes each) whose list is broadcast rather than joined by a shuffle of the texts.
-DROPS_BROADCAST = 1 << 18
-_FLUSH = 4_000_000
+#: Of 256 equal parts of the hash space, n-grams in the first so many are counted.
+COUNTED = 128
+#: An n-gram is frequent in a task that holds it in so many sets, of at most _FLUSH n-grams in all.
+FREQUENT_LOCAL, FREQUENT_KEPT = 4, 1 << 17
+#: Each round has so many times as many pivots as the rounds before.
+PIVOTS = 4
+#: Nodes whose list (32 bytes each) is broadcast to the texts; of more, Spark joins it.
+SETS_BROADCAST = 1 << 12
+_FLUSH = 1_500_000
+_RESERVE = 1 << 41
 
 
 def _sets(column: pa.Array, ngram: int):
@@ -58,26 +63,33 @@ def _set_hash(grams: np.ndarray) -> np.int64:
         return mixed(np.array([mixed(grams).sum(dtype=np.uint64) + np.uint64(len(grams))])).view(np.int64)[0]
 
 
-_DIGEST = "frequent boolean, key long, tag long, node long, n long"
+def _counted(grams: np.ndarray) -> int:
+    """How many of sorted n-grams are in the counted part; these come first."""
+    return int(np.searchsorted(grams, np.uint64(COUNTED << 56))) if COUNTED < 256 else len(grams)
+
+
+_DIGEST = "frequent boolean, key long, tag long, node long, n long, counted long"
 
 
 def _digests(batches, ngram: int):
-    """A row (false, key, tag, node, n) for each text, and (true, n-gram, -, -, count) for those frequent in this task."""
+    """A row (false, key, tag, node, n, counted) for each text, and (true, n-gram, -, -, count, -) for those frequent in this task."""
     held, size, seen = [], 0, set()
 
+    def rows(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["frequent", "key", "tag", "node", "n", "counted"])
+
     def frequent():
         grams = np.concatenate(held)
         grams.sort()
         grams, counts = np.unique(grams[1:][grams[1:] == grams[:-1]], return_counts=True)  # all but the first of equals
-        counts += 1
-        grams, counts = grams[counts >= FREQUENT_LOCAL], counts[counts >= FREQUENT_LOCAL]
+        grams, counts = grams[counts >= FREQUENT_LOCAL - 1], counts[counts >= FREQUENT_LOCAL - 1] + 1
         none = np.zeros(len(grams), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(grams), bool)), pa.array(grams.view(np.int64)), pa.array(none), pa.array(none), pa.array(counts.astype(np.int64))], ["frequent", "key", "tag", "node", "n"])
+        return rows(np.ones(len(grams), bool), grams.view(np.int64), none, none, counts.astype(np.int64), none)
 
     for batch in batches:
-        nodes, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        nodes, sizes, counted = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
         for row, grams in _sets(batch.column(2), ngram):
-            nodes[row], sizes[row] = _set_hash(grams), len(grams)
+            nodes[row], sizes[row], counted[row] = _set_hash(grams), len(grams), _counted(grams)
             if int(nodes[row]) in seen:  # a copy
                 continue
             seen.add(int(nodes[row]))
@@ -86,53 +98,103 @@ def _digests(batches, ngram: int):
             if size >= _FLUSH:
                 yield frequent()
                 held, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, bool)), batch.column(0), batch.column(1), pa.array(nodes), pa.array(sizes)], ["frequent", "key", "tag", "node", "n"])
+        yield rows(np.zeros(batch.num_rows, bool), batch.column(0), batch.column(1), nodes, sizes, counted)
     if held:
         yield frequent()
 
 
-_PREFIX = "key long, node long, n int, grams array<long>, salted int"
+def _prefix_length(n: int, percent: int) -> int:
+    return n - (n * percent + 99) // 100 + 1
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on: planes of zeros take no room once compressed."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
-def _prefixes(batches, ngram: int, percent: int, known: np.ndarray, counts: np.ndarray):
-    """Each text's node, set size and prefix, rare first; the last `salted` n-grams of it are frequent ones."""
+def _numbers(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+_PACKED = "bucket int, frequent boolean, nodes binary, owners binary, grams binary"
+
+
+def _sent(batches, ngram: int, percent: int, known: np.ndarray, buckets: int):
+    """The counted n-grams of each set, and others as far as its prefix reaches, packed by bucket."""
+    held, nodes, size, seen = [], [], 0, set()
+
+    def rows():
+        node, lengths = np.array(nodes, np.int64), np.array([len(x) for x in held])
+        grams, owner = np.concatenate(held), np.repeat(np.arange(len(held)), lengths)
+        at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
+        frequent = known[at] == grams if len(known) else np.zeros(len(grams), bool)
+        bucket = np.where(frequent, (node % buckets)[owner], (grams & np.uint64(0xFFFFFFFF)).astype(np.int64) % buckets)
+        order = np.lexsort((grams, bucket, frequent))
+        grams, owner, bucket, frequent = grams[order], owner[order], bucket[order], frequent[order]
+        first = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (frequent[1:] != frequent[:-1])])
+        out = [], [], []
+        for i, j in zip(first, np.r_[first[1:], len(grams)], strict=True):
+            mine, local = np.unique(owner[i:j], return_inverse=True)
+            out[0].append(node[mine].tobytes())
+            out[1].append(_planes(local.astype(np.uint32)))
+            out[2].append(_planes(np.diff(grams[i:j], prepend=np.uint64(0))))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(frequent[first]), *map(blobs, out)], ["bucket", "frequent", "nodes", "owners", "grams"])
+
     for batch in batches:
-        rows, nodes, sizes, parts, salted = [], [], [], [], []
-        for row, grams in _sets(batch.column(1), ngram):
-            if not (n := len(grams)):
+        for _, grams in _sets(batch.column(0), ngram):
+            if not len(grams) or (node := int(_set_hash(grams))) in seen:
                 continue
-            rows.append(row)
-            nodes.append(_set_hash(grams))
-            length = n - (n * percent + 99) // 100 + 1
-            if len(known):
-                at = np.searchsorted(known, grams)
-                at[at == len(known)] = 0
-                rank = np.where(known[at] == grams, counts[at], 0)
-                if rank.any():
-                    order = np.argsort(rank, kind="stable")[:length]
-                    grams, rank = grams[order], rank[order]
-                salted.append(int((rank[:length] > 0).sum()))
-            else:
-                salted.append(0)
-            sizes.append(n)
-            parts.append(grams[:length].view(np.int64))
-        if nodes:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), pa.array(np.array(nodes)), pa.array(sizes, pa.int32()), lists(parts, pa.int64()), pa.array(salted, pa.int32())],
-                ["key", "node", "n", "grams", "salted"],
-            )
-
-
-def _node_sets(batches, ngram: int, only: np.ndarray | None = None, keys: np.ndarray | None = None):
-    """(node, size, part counts, sorted n-gram hashes) of batches of (text) or, where `only` names the nodes and `keys` their rows, (text, key)."""
+            seen.add(node)
+            nodes.append(node)
+            held.append(grams[: max(_counted(grams), _prefix_length(len(grams), percent))])
+            size += len(held[-1])
+            if size >= _FLUSH:
+                yield rows()
+                held, nodes, size = [], [], 0
+    if held:
+        yield rows()
+
+
+_SHARED = "node long, gram long, rank long"
+
+
+def _shared(batches, known: np.ndarray, counts: np.ndarray):
+    """(node, n-gram, rank) of the n-grams that several nodes hold; rank is the number of nodes, or _RESERVE of those not counted."""
+    held: dict[bool, list] = {False: [], True: []}
+    for batch in batches:
+        for frequent, nodes, owners, grams in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+            held[frequent].append((np.cumsum(_numbers(grams, np.uint64)), np.frombuffer(nodes, np.int64)[_numbers(owners, np.uint32)]))
+    for frequent, parts in held.items():
+        if not parts:
+            continue
+        grams, nodes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        order = np.lexsort((nodes, grams))
+        grams, nodes = grams[order], nodes[order]
+        new = np.r_[True, (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])]
+        grams, nodes = grams[new], nodes[new]
+        if frequent:
+            rank = counts[np.searchsorted(known, grams)]
+        else:
+            first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+            sizes = np.diff(np.r_[first, len(grams)])
+            rank = np.repeat(sizes, sizes)
+            grams, nodes, rank = grams[rank > 1], nodes[rank > 1], rank[rank > 1]
+        rank = np.where(grams >> np.uint64(56) < COUNTED, rank, _RESERVE)
+        for i in range(0, len(grams), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (nodes, grams.view(np.int64), rank)], ["node", "gram", "rank"])
+
+
+def _node_sets(batches, ngram: int):
+    """(node, size, part counts, sorted n-gram hashes) of the texts, each node once in a task."""
+    seen = set()
     for batch in batches:
         nodes, sizes, counts, sets = [], [], [], []
-        for row, grams in _sets(batch.column(0), ngram):
-            node = _set_hash(grams)
-            if only is not None:
-                at = np.searchsorted(only, node)
-                if at == len(only) or only[at] != node or keys[at] != batch.column(1)[row].as_py():
-                    continue
+        for _, grams in _sets(batch.column(0), ngram):
+            if (node := int(_set_hash(grams))) in seen:
+                continue
+            seen.add(node)
             nodes.append(node)
             sizes.append(len(grams))
             counts.append(_part_counts(grams).tobytes())
@@ -186,79 +248,92 @@ def _passes(x: str, y: str, percent: int):
     return long_enough & (F.least(rest(x), rest(y)) * (100 + percent) >= (size(x) + size(y)) * percent)
 
 
-def _sets_of(nodes: DataFrame, keyed: DataFrame, rows: DataFrame, ngram: int) -> DataFrame:
-    """(node, n, counts, grams) of each of nodes, made from the text of the row with the least (key, tag).
+def _postings(keyed: DataFrame, rows: DataFrame, top: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """(gram, node, place, own) of every prefix n-gram that several nodes hold: place packs the node's size and the
+    n-gram's position in its order, own is the share of the node's counted n-grams that no other node holds."""
+    spark = keyed.sparkSession
+    told = top.toArrow()
+    known, counts = told["key"].to_numpy().view(np.uint64), told["n"].to_numpy()
+    order = np.argsort(known)
+    shared = spark.sparkContext.broadcast((known[order], counts[order]))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = keyed.select("text").mapInArrow(lambda b: _sent(b, ngram, percent, shared.value[0], buckets), _PACKED)
+    held = sent.repartition("bucket").mapInArrow(lambda b: _shared(b, *shared.value), _SHARED)
+    lists = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("grams"), F.count_if(F.col("rank") < _RESERVE).alias("held"))
+    sizes = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("counted").alias("counted"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = lists.join(sizes, "node").withColumn("own", F.col("counted") - F.col("held")).withColumn("take", (length - F.col("own")).cast("int")).filter("take > 0")
+    each = prefix.select("node", "n", "counted", "own", F.posexplode(F.slice("grams", F.lit(1), F.col("take"))).alias("at", "gram"))
+    place = F.col("n") * F.lit(1 << 32) + F.least(F.col("own") + F.col("at"), "counted")
+    return stored(each.select("gram.gram", "node", place.alias("place"), (F.col("own") / F.col("n")).alias("own")), "postings")
+
 
-    Up to SETS_BROADCAST nodes, the list goes to the tasks, which read all texts and keep these; beyond, texts are
-    shuffled to a join.
-    """
+def _sets_of(nodes: DataFrame, keyed: DataFrame, rows: DataFrame, ngram: int) -> DataFrame:
+    """(node, n, counts, grams) of each of nodes, made from the text of the row with the least (key, tag)."""
     holders = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "tag")).alias("row"))
-    schema = "node long, n long, counts binary, grams binary"
-    if nodes.count() > SETS_BROADCAST:
-        texts = keyed.join(holders.select("row.*"), ["key", "tag"], "left_semi").select("text")
-        return stored(texts.mapInArrow(lambda b: _node_sets(b, ngram), schema), "sets")
-    told = holders.select("node", "row.key").toArrow()
-    order = np.argsort(nodes_at := told["node"].to_numpy())
-    shared = keyed.sparkSession.sparkContext.broadcast((nodes_at[order], told["key"].to_numpy()[order]))
-    return stored(keyed.select("text", "key").mapInArrow(lambda b: _node_sets(b, ngram, *shared.value), schema), "sets")
+    listed = holders.select("row.*")
+    if nodes.count() <= SETS_BROADCAST:
+        listed = F.broadcast(listed)
+    texts = keyed.join(listed, ["key", "tag"], "left_semi").select("text")
+    sets = texts.mapInArrow(lambda b: _node_sets(b, ngram), "node long, n long, counts binary, grams binary")
+    return stored(sets.dropDuplicates(["node"]), "sets")
 
 
-def _links(pairs: DataFrame, keyed: DataFrame, rows: DataFrame, ngram: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b), each verified once, that are similar."""
-    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    sets = _sets_of(nodes, keyed, rows, ngram)
     side = lambda key, **columns: sets.select(F.col("node").alias(key), *(F.col(c).alias(k) for k, c in columns.items()))
     sketched = pairs.join(side("a", m="n", x="counts"), "a").join(side("b", n="n", y="counts"), "b").select("a", "b", "m", "n", "x", "y")
-    close = stored(sketched.mapInArrow(lambda b: _may_link(b, percent), "a long, b long").distinct(), "close")
+    close = stored(sketched.mapInArrow(lambda b: _may_link(b, percent), "a long, b long"), "close")
     joined = close.join(side("a", x="grams"), "a").join(side("b", y="grams"), "b")
-    return stored(joined.select("a", "b", "x", "y").mapInArrow(lambda b: _verified(b, percent), "a long, b long").distinct(), "links")
+    out = stored(joined.select("a", "b", "x", "y").mapInArrow(lambda b: _verified(b, percent), "a long, b long"), "links")
+    discard(close)
+    return out
+
+
+def _linked(posted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of every node with links."""
+    spark = posted.sparkSession
+    found = stored(spark.createDataFrame([], "node long, component long"), "components")
+    tried, before, pivots = None, 0, 1
+    while True:
+        named = posted.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_ = named.groupBy("gram").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("k")).filter(F.expr("c <> d") & (F.col("k") > before)).select("gram")
+        left = stored(named.join(open_, "gram", "left_semi"), "left")
+        if not left.limit(1).count():
+            discard(left)
+            return found
+        nth = F.row_number().over(Window.partitionBy("gram").orderBy("own", "node"))
+        chosen = left.withColumn("nth", nth).filter((F.col("nth") <= pivots)).filter(F.col("nth") > before)
+        chosen = chosen.select("gram", F.col("node").alias("p"), F.col("place").alias("p_at"), F.col("own").alias("p_own"), F.col("component").alias("other"))
+        later = (F.col("own") > F.col("p_own")) | ((F.col("own") == F.col("p_own")) & (F.col("node") > F.col("p")))
+        met = left.join(chosen, "gram").filter(later & (F.col("component") != F.col("other"))).filter(_passes("place", "p_at", percent))
+        pairs = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
+        links = _links(pairs, sets, percent)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        names = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+        between = links.join(names("a"), "a", "left").join(names("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+        merged = components(between).select(F.col("node").alias("old"), F.col("component").alias("new"))
+        nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "full").select("node", F.coalesce("component", "node").alias("old"))
+        renamed = stored(nodes.join(merged, "old", "left").select("node", F.coalesce("new", "old").alias("component")), "components")
+        for table in (found, left, links):
+            discard(table)
+        found, before, pivots = renamed, pivots, PIVOTS * pivots
 
 
 def similar_groups(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """(key, tag, node, n_shingles, component, head) of every row of docs (doc_id, text): component is the least key that
     links reach, head the tag of the least (key, tag); tag is a hash of the text."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     keyed = docs.select(id_key("doc_id").alias("key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tag"), F.col("text").cast("binary").alias("text"))
     told = stored(keyed.mapInArrow(lambda b: _digests(b, ngram), _DIGEST), "digests", "frequent")
     rows = told.filter("NOT frequent").drop("frequent")
-    top = told.filter("frequent").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT_KEPT).toPandas()
-    known, counts = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(known)
-    shared = spark.sparkContext.broadcast((known[order], counts[order]))
-
-    prefixes = keyed.select("key", "text").mapInArrow(lambda b: _prefixes(b, ngram, percent, *shared.value), _PREFIX)
-    place = F.col("n").cast("long") * F.lit(1 << 32) + F.col("at")
-    posted = prefixes.select("key", "node", "n", (F.size("grams") - F.col("salted")).alias("rare"), F.posexplode("grams").alias("at", "gram"))
-    many = F.col("at") >= F.col("rare")  # told by the n-gram alone
-    salt = F.when(many, F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(F.lit(-1)).cast("int")
-    # One shuffle: a window tells each row the hubs of its n-gram, or of its part of a salted n-gram.
-    part = Window.partitionBy("gram", "salt")
-    ends = {"low": F.min("node"), "high": F.max("node"), "low_at": F.min_by("place", "node"), "high_at": F.max_by("place", "node")}
-    posted = posted.select("gram", salt.alias("salt"), "node", place.alias("place"))
-    shared_grams = posted.withColumns({k: v.over(part) for k, v in ends.items()}).filter("low <> high OR salt >= 0")
-    held = stored(shared_grams.distinct(), "postings")
-    # The parts of a salted n-gram have hubs in common.
-    parts = held.filter("salt >= 0").groupBy("gram").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min_by("low_at", "low").alias("low_at"), F.max_by("high_at", "high").alias("high_at"))
-    hubs = parts.filter("low <> high").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = held.filter("salt >= 0").drop(*ends).join(hubs, ["gram", "salt"])
-    groups = held.filter("salt < 0").unionByName(salted)
-
-    sides = [groups.filter(f"node <> {h}").filter(_passes("place", f"{h}_at", percent)).select("node", F.col(h).alias("hub"), F.lit(h == "low").alias("lower")) for h in ("low", "high")]
-    common = sides[0].unionByName(sides[1]).groupBy("node", "hub").agg(F.count("*").alias("n"), F.max("lower").alias("lower"))
-    best = common.groupBy("node").agg(F.max_by("hub", F.struct("n", "lower", "hub")).alias("hub"))
-    tried = stored(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
-    links = _links(tried, keyed, rows, ngram, percent)
-    found = components(links)
-
-    named = groups.select("gram", "node", "place").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = named.groupBy("gram").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c <> d").select("gram")
-    left = stored(named.join(split, "gram", "left_semi"), "left")
-    other = left.select("gram", F.col("node").alias("b"), F.col("place").alias("b_at"), F.col("component").alias("other"))
-    cross = left.join(other, "gram").filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("other"))).filter(_passes("place", "b_at", percent))
-    cross = cross.select(F.col("node").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = _links(stored(cross, "pairs"), keyed, rows, ngram, percent)
-    found = components(links.unionByName(more))
+    top = told.filter("frequent").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT_KEPT)
+    posted = _postings(keyed, rows, top, ngram, percent)
+    sets = _sets_of(posted.select("node").distinct(), keyed, rows, ngram)
+    found = _linked(posted, sets, percent)
+    discard(posted)
+    discard(sets)
 
     least = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("key", "tag")).alias("least"))
     joined = least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -278,13 +353,11 @@ def one_of_each_group(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCEN
     told = texts.select(F.col("key").alias("_key"), F.col("tag").alias("_tag"), "n", "stays")
     told = stored(told.filter("n > 1 OR NOT stays"), "leaves")
     keyed = packed(docs, id_key("doc_id").alias("_key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_tag"))
-    few = told.limit(DROPS_BROADCAST + 1).count() <= DROPS_BROADCAST
-    hint = F.broadcast if few else (lambda df: df)
-    out = keyed.join(hint(told.select("_key", "_tag")), ["_key", "_tag"], "left_anti").select("row")
+    out = keyed.join(told.select("_key", "_tag"), ["_key", "_tag"], "left_anti").select("row")
     again = told.filter("stays").select("_key", "_tag")  # rows that are repeated wholly: one of them
     if again.limit(1).count():
         nth = F.row_number().over(Window.partitionBy("_key", "_tag").orderBy("_tag"))
-        out = out.unionByName(keyed.join(hint(again), ["_key", "_tag"], "left_semi").withColumn("_nth", nth).filter("_nth = 1").select("row"))
+        out = out.unionByName(keyed.join(again, ["_key", "_tag"], "left_semi").withColumn("_nth", nth).filter("_nth = 1").select("row"))
     return out.select("row.*")
 
 
