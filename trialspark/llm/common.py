@@ -141,6 +141,17 @@ def blobs(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on: planes of zeros take no room once compressed."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def numbers(data: bytes, kind) -> np.ndarray:
+    """The numbers that `planes` made bytes of."""
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the one the cluster shares; where spark.checkpoint.dir is unset, below the warehouse."""
     if not (top := spark.conf.get("spark.checkpoint.dir", None)):

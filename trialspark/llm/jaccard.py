@@ -1,15 +1,18 @@
 """Similarity join of documents on their sets of word n-grams (Jaccard), by rare-first prefix filtering.
 
-Nodes are the distinct n-gram sets, so copies fall together at once. All n-grams stand in one order: first those of the
-counted part of the hash space (COUNTED of 256 equal parts), by the number of nodes that hold them; then the others, by
-hash. Counts cover all documents. Two sets of similarity t share an n-gram among the first n - ceil(t n) + 1 of each, and
-what one node alone holds joins nothing: a node whose prefix holds only such n-grams is done with, and others post only
-the rest of their prefix. A pair must pass the length filter, the positional filter (what can still be shared after the
-common n-gram) and, before its sets meet, the suffix filter (what equal parts of the hash space, about two n-grams in
-each, can share). Each pair is verified once.
+Nodes are the distinct n-gram sets, so copies fall together at once. Two sets of similarity t share an n-gram among the
+first n - ceil(t n) + 1 of each in any order that is the same for all. What one node alone holds joins nothing, so the
+rarer an n-gram, the earlier it comes:
+1. the n-grams of a part of the hash space (COUNTED of 256 equal parts) are counted over all documents; a node is done
+   with if so many of them are its own that they fill its prefix;
+2. of the nodes that are left, all n-grams are counted over these nodes, and all are ordered by count. A node whose own
+   ones fill its prefix is done with; others post the rest of their prefix.
+A pair must pass the length filter, the positional filter (what can still be shared after the common n-gram) and, before
+its sets meet, the suffix filter (what equal parts of the hash space, about two n-grams in each, can share). Each pair
+is verified once.
 
 Groups of many nodes with one n-gram are not expanded into their pairs at once. In every round some nodes of each group,
-those with the smallest share of n-grams of their own, are its pivots: 1, then 3 more, then 12 more and so on. Pivots are
+those with the smallest share of n-grams of their own, are its pivots: 1, then 15 more, then 240 more and so on. Pivots are
 verified against the nodes that come after them in the group's order and lie in another component so far. Groups that lie
 in one component, or whose nodes have all been pivots, are done with. A pair is met in the round of the earlier of the
 two unless a chain of links joins them by then, so components are those of all links.
@@ -30,20 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import blobs, discard, documents, id_key, mixed, packed, small_batches, stored, windows, words_of
+from trialspark.llm.common import blobs, discard, documents, id_key, mixed, numbers, packed, planes, small_batches, stored, windows, words_of
 from trialspark.llm.components import components
 
 NGRAM, PERCENT = 5, 75
-#: Of 256 equal parts of the hash space, n-grams in the first so many are counted.
-COUNTED = 128
+#: Of 256 equal parts of the hash space, n-grams in the first so many are counted over all documents.
+COUNTED = 96
 #: An n-gram is frequent in a task that holds it in so many sets, of at most _FLUSH n-grams in all.
 FREQUENT_LOCAL, FREQUENT_KEPT = 4, 1 << 17
 #: Each round has so many times as many pivots as the rounds before.
-PIVOTS = 4
+PIVOTS = 16
 #: Nodes whose list (32 bytes each) is broadcast to the texts; of more, Spark joins it.
 SETS_BROADCAST = 1 << 12
 _FLUSH = 1_500_000
-_RESERVE = 1 << 41
 
 
 def _sets(column: pa.Array, ngram: int):
@@ -64,7 +66,7 @@ def _set_hash(grams: np.ndarray) -> np.int64:
 
 
 def _counted(grams: np.ndarray) -> int:
-    """How many of sorted n-grams are in the counted part; these come first."""
+    """How many of sorted n-grams are in the counted part."""
     return int(np.searchsorted(grams, np.uint64(COUNTED << 56))) if COUNTED < 256 else len(grams)
 
 
@@ -103,26 +105,12 @@ def _digests(batches, ngram: int):
         yield frequent()
 
 
-def _prefix_length(n: int, percent: int) -> int:
-    return n - (n * percent + 99) // 100 + 1
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """The first bytes of all numbers, then the second ones and so on: planes of zeros take no room once compressed."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
-
-
-def _numbers(data: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
-
-
 _PACKED = "bucket int, frequent boolean, nodes binary, owners binary, grams binary"
 
 
-def _sent(batches, ngram: int, percent: int, known: np.ndarray, buckets: int):
-    """The counted n-grams of each set, and others as far as its prefix reaches, packed by bucket."""
-    held, nodes, size, seen = [], [], 0, set()
+def _sent(sets, known: np.ndarray, buckets: int):
+    """The n-grams of (node, n-grams), packed by bucket: the n-gram's, or of a frequent one the node's."""
+    held, nodes, size = [], [], 0
 
     def rows():
         node, lengths = np.array(nodes, np.int64), np.array([len(x) for x in held])
@@ -137,34 +125,43 @@ def _sent(batches, ngram: int, percent: int, known: np.ndarray, buckets: int):
         for i, j in zip(first, np.r_[first[1:], len(grams)], strict=True):
             mine, local = np.unique(owner[i:j], return_inverse=True)
             out[0].append(node[mine].tobytes())
-            out[1].append(_planes(local.astype(np.uint32)))
-            out[2].append(_planes(np.diff(grams[i:j], prepend=np.uint64(0))))
+            out[1].append(planes(local.astype(np.uint32)))
+            out[2].append(planes(np.diff(grams[i:j], prepend=np.uint64(0))))
         return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(frequent[first]), *map(blobs, out)], ["bucket", "frequent", "nodes", "owners", "grams"])
 
+    for node, grams in sets:
+        nodes.append(node)
+        held.append(grams)
+        size += len(grams)
+        if size >= _FLUSH:
+            yield rows()
+            held, nodes, size = [], [], 0
+    if size:
+        yield rows()
+
+
+def _counted_sets(batches, ngram: int):
+    """(node, its n-grams in the counted part) of the texts, each node once in a task."""
+    seen = set()
     for batch in batches:
         for _, grams in _sets(batch.column(0), ngram):
-            if not len(grams) or (node := int(_set_hash(grams))) in seen:
-                continue
-            seen.add(node)
-            nodes.append(node)
-            held.append(grams[: max(_counted(grams), _prefix_length(len(grams), percent))])
-            size += len(held[-1])
-            if size >= _FLUSH:
-                yield rows()
-                held, nodes, size = [], [], 0
-    if held:
-        yield rows()
+            if len(grams) and (node := int(_set_hash(grams))) not in seen:
+                seen.add(node)
+                yield node, grams[: _counted(grams)]
 
 
-_SHARED = "node long, gram long, rank long"
+def _stored_sets(batches):
+    for batch in batches:
+        for node, grams in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield node, np.frombuffer(grams.as_buffer(), np.uint64)
 
 
 def _shared(batches, known: np.ndarray, counts: np.ndarray):
-    """(node, n-gram, rank) of the n-grams that several nodes hold; rank is the number of nodes, or _RESERVE of those not counted."""
+    """(n-grams, nodes, number of the n-gram's nodes) of those that several nodes hold, in arrays."""
     held: dict[bool, list] = {False: [], True: []}
     for batch in batches:
         for frequent, nodes, owners, grams in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
-            held[frequent].append((np.cumsum(_numbers(grams, np.uint64)), np.frombuffer(nodes, np.int64)[_numbers(owners, np.uint32)]))
+            held[frequent].append((np.cumsum(numbers(grams, np.uint64)), np.frombuffer(nodes, np.int64)[numbers(owners, np.uint32)]))
     for frequent, parts in held.items():
         if not parts:
             continue
@@ -175,13 +172,23 @@ def _shared(batches, known: np.ndarray, counts: np.ndarray):
         new = np.r_[True, (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])]
         grams, nodes = grams[new], nodes[new]
         if frequent:
-            rank = counts[np.searchsorted(known, grams)]
-        else:
-            first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-            sizes = np.diff(np.r_[first, len(grams)])
-            rank = np.repeat(sizes, sizes)
-            grams, nodes, rank = grams[rank > 1], nodes[rank > 1], rank[rank > 1]
-        rank = np.where(grams >> np.uint64(56) < COUNTED, rank, _RESERVE)
+            yield grams, nodes, counts[np.searchsorted(known, grams)]
+            continue
+        first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+        sizes = np.diff(np.r_[first, len(grams)])
+        rank = np.repeat(sizes, sizes)
+        yield grams[rank > 1], nodes[rank > 1], rank[rank > 1]
+
+
+def _shared_numbers(batches, known: np.ndarray, counts: np.ndarray):
+    """(node, how many of its n-grams other nodes hold too)."""
+    for _, nodes, _ in _shared(batches, known, counts):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(nodes, return_counts=True)], ["node", "held"])
+
+
+def _shared_grams(batches, known: np.ndarray, counts: np.ndarray):
+    """(node, n-gram, number of the n-gram's nodes)."""
+    for grams, nodes, rank in _shared(batches, known, counts):
         for i in range(0, len(grams), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (nodes, grams.view(np.int64), rank)], ["node", "gram", "rank"])
 
@@ -248,23 +255,35 @@ def _passes(x: str, y: str, percent: int):
     return long_enough & (F.least(rest(x), rest(y)) * (100 + percent) >= (size(x) + size(y)) * percent)
 
 
-def _postings(keyed: DataFrame, rows: DataFrame, top: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """(gram, node, place, own) of every prefix n-gram that several nodes hold: place packs the node's size and the
-    n-gram's position in its order, own is the share of the node's counted n-grams that no other node holds."""
-    spark = keyed.sparkSession
-    told = top.toArrow()
-    known, counts = told["key"].to_numpy().view(np.uint64), told["n"].to_numpy()
-    order = np.argsort(known)
-    shared = spark.sparkContext.broadcast((known[order], counts[order]))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = keyed.select("text").mapInArrow(lambda b: _sent(b, ngram, percent, shared.value[0], buckets), _PACKED)
-    held = sent.repartition("bucket").mapInArrow(lambda b: _shared(b, *shared.value), _SHARED)
-    lists = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("grams"), F.count_if(F.col("rank") < _RESERVE).alias("held"))
+def _candidates(keyed: DataFrame, rows: DataFrame, frequent, ngram: int, percent: int) -> DataFrame:
+    """The nodes whose own n-grams in the counted part don't fill their prefix."""
+    buckets = _buckets(keyed)
+    sent = keyed.select("text").mapInArrow(lambda b: _sent(_counted_sets(b, ngram), frequent.value[0], buckets), _PACKED)
+    held = sent.repartition("bucket").mapInArrow(lambda b: _shared_numbers(b, *frequent.value), "node long, held long")
     sizes = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("counted").alias("counted"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = lists.join(sizes, "node").withColumn("own", F.col("counted") - F.col("held")).withColumn("take", (length - F.col("own")).cast("int")).filter("take > 0")
-    each = prefix.select("node", "n", "counted", "own", F.posexplode(F.slice("grams", F.lit(1), F.col("take"))).alias("at", "gram"))
-    place = F.col("n") * F.lit(1 << 32) + F.least(F.col("own") + F.col("at"), "counted")
+    told = sizes.join(held.groupBy("node").agg(F.sum("held").alias("held")), "node", "left")
+    return stored(told.filter(F.col("counted") - F.coalesce("held", F.lit(0)) < _prefix(percent)).select("node"), "candidates")
+
+
+def _buckets(df: DataFrame) -> int:
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _prefix(percent: int) -> F.Column:
+    return F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+
+
+def _postings(sets: DataFrame, frequent, percent: int) -> DataFrame:
+    """(gram, node, place, own) of every prefix n-gram that several of the sets' nodes hold: place packs the node's size
+    and the n-gram's position in its order, own is the share of the node's n-grams that no other node holds."""
+    buckets = _buckets(sets)
+    sent = sets.select("node", "grams").mapInArrow(lambda b: _sent(_stored_sets(b), frequent.value[0], buckets), _PACKED)
+    held = sent.repartition("bucket").mapInArrow(lambda b: _shared_grams(b, *frequent.value), "node long, gram long, rank long")
+    lists = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("grams"))
+    mine = lists.join(sets.select("node", "n"), "node").withColumn("own", F.col("n") - F.size("grams"))
+    prefix = mine.withColumn("take", (_prefix(percent) - F.col("own")).cast("int")).filter("take > 0")
+    each = prefix.select("node", "n", "own", F.posexplode(F.slice("grams", F.lit(1), F.col("take"))).alias("at", "gram"))
+    place = F.col("n") * F.lit(1 << 32) + F.col("own") + F.col("at")
     return stored(each.select("gram.gram", "node", place.alias("place"), (F.col("own") / F.col("n")).alias("own")), "postings")
 
 
@@ -329,8 +348,12 @@ def similar_groups(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT)
     told = stored(keyed.mapInArrow(lambda b: _digests(b, ngram), _DIGEST), "digests", "frequent")
     rows = told.filter("NOT frequent").drop("frequent")
     top = told.filter("frequent").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT_KEPT)
-    posted = _postings(keyed, rows, top, ngram, percent)
-    sets = _sets_of(posted.select("node").distinct(), keyed, rows, ngram)
+    known = top.toArrow()
+    order = np.argsort(grams := known["key"].to_numpy().view(np.uint64))
+    frequent = docs.sparkSession.sparkContext.broadcast((grams[order], known["n"].to_numpy()[order]))
+    left = _candidates(keyed, rows, frequent, ngram, percent)
+    sets = _sets_of(left, keyed, rows, ngram)
+    posted = _postings(sets, frequent, percent)
     found = _linked(posted, sets, percent)
     discard(posted)
     discard(sets)
