@@ -180,10 +180,28 @@ def _shared(batches, known: np.ndarray, counts: np.ndarray):
         yield grams[rank > 1], nodes[rank > 1], rank[rank > 1]
 
 
-def _shared_numbers(batches, known: np.ndarray, counts: np.ndarray):
-    """(node, how many of its n-grams other nodes hold too)."""
+_NUMBERS = "bucket int, nodes binary, held binary"
+
+
+def _shared_numbers(batches, known: np.ndarray, counts: np.ndarray, buckets: int):
+    """How many of each node's n-grams other nodes hold too, packed by the node's bucket."""
     for _, nodes, _ in _shared(batches, known, counts):
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(nodes, return_counts=True)], ["node", "held"])
+        nodes, held = np.unique(nodes, return_counts=True)
+        bucket = nodes % buckets
+        order = np.argsort(bucket, kind="stable")
+        nodes, held, bucket = nodes[order], held[order], bucket[order]
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+        parts = list(zip(first, np.r_[first[1:], len(nodes)], strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), blobs([planes(nodes[i:j]) for i, j in parts]), blobs([planes(held[i:j]) for i, j in parts])], ["bucket", "nodes", "held"])
+
+
+def _summed(batches):
+    """(node, sum of its numbers): all of a bucket are in one task."""
+    parts = [(numbers(n, np.int64), numbers(h, np.int64)) for batch in batches for n, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+    if parts:
+        nodes, held = (np.concatenate(x) for x in zip(*parts, strict=True))
+        nodes, at = np.unique(nodes, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.bincount(at, held).astype(np.int64))], ["node", "held"])
 
 
 def _shared_grams(batches, known: np.ndarray, counts: np.ndarray):
@@ -259,9 +277,10 @@ def _candidates(keyed: DataFrame, rows: DataFrame, frequent, ngram: int, percent
     """The nodes whose own n-grams in the counted part don't fill their prefix."""
     buckets = _buckets(keyed)
     sent = keyed.select("text").mapInArrow(lambda b: _sent(_counted_sets(b, ngram), frequent.value[0], buckets), _PACKED)
-    held = sent.repartition("bucket").mapInArrow(lambda b: _shared_numbers(b, *frequent.value), "node long, held long")
+    told = sent.repartition("bucket").mapInArrow(lambda b: _shared_numbers(b, *frequent.value, buckets), _NUMBERS)
+    held = told.repartition("bucket").mapInArrow(_summed, "node long, held long")
     sizes = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("counted").alias("counted"))
-    told = sizes.join(held.groupBy("node").agg(F.sum("held").alias("held")), "node", "left")
+    told = sizes.join(held, "node", "left")
     return stored(told.filter(F.col("counted") - F.coalesce("held", F.lit(0)) < _prefix(percent)).select("node"), "candidates")
 
 
@@ -288,14 +307,15 @@ def _postings(sets: DataFrame, frequent, percent: int) -> DataFrame:
 
 
 def _sets_of(nodes: DataFrame, keyed: DataFrame, rows: DataFrame, ngram: int) -> DataFrame:
-    """(node, n, counts, grams) of each of nodes, made from the text of the row with the least (key, tag)."""
+    """(node, n, counts, grams) of each of nodes, made from the text of the row with the least (key, tag); a row that is
+    repeated wholly may make its set more than once, which adds nothing to links."""
     holders = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("key", "tag")).alias("row"))
     listed = holders.select("row.*")
     if nodes.count() <= SETS_BROADCAST:
         listed = F.broadcast(listed)
     texts = keyed.join(listed, ["key", "tag"], "left_semi").select("text")
     sets = texts.mapInArrow(lambda b: _node_sets(b, ngram), "node long, n long, counts binary, grams binary")
-    return stored(sets.dropDuplicates(["node"]), "sets")
+    return stored(sets, "sets")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
