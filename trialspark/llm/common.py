@@ -195,8 +195,8 @@ def packed(docs: DataFrame, *used: str) -> DataFrame:
     return docs.select(*used, F.struct(*(docs[c] for c in docs.columns)).alias("row"))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Fewer rows in a batch to Python than Spark's default, since a row holds a whole text; a session's own choice stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 1 << 23) -> None:
+    """Fewer rows and bytes in a batch to Python than Spark's default, since a row holds a whole text; a session's own choice stays."""
+    for name, default, value in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", "67108864b", size)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
