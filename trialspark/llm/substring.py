@@ -1,19 +1,21 @@
-"""Substring dedup: documents factored against an index of all documents' blocks, in the manner of relative Lempel-Ziv.
+"""Substring dedup by relative Lempel-Ziv parsing: each document is factored against an index of all documents' blocks.
 
-A window of W words is repeated if its words also start at another place. Checking every window would shuffle a row a
-word, so the reference is indexed by blocks that the text itself defines: of the k-word grams of a window the one with
-the least hash (the leftmost of equals) is its anchor; windows in a row with one anchor make a block, the span of words
-that they cover. Equal windows have equal anchors, so windows whose anchor occurs once need no look-up at all.
+A window of W words is repeated if its words also start at another place. The reference is indexed by blocks that the
+text itself defines: of the k-word grams of a window the one with the least hash (the leftmost of equals) is its anchor;
+windows in a row with one anchor make a block, the span of words that they cover, about one per nine words. Equal windows
+have equal anchors, so a block whose anchor occurs nowhere else holds no repeated window.
 
-1. Index: a row (anchor, block hash, document, place) for each block, about one per nine words. Anchors that occur once
-   are dropped after a count that is combined before the shuffle.
-2. Factors: a block whose hash occurs twice is a copy as a whole; such blocks in a row form a factor.
-3. Boundaries: a block without a whole copy, whose anchor occurs elsewhere, is at the edge of a factor. Its windows are
-   compared one by one with those of the anchor's other blocks, one of each content.
-4. All words under copied blocks and windows are removed.
+1. Index: a row (anchor, block hash, document, place) of each block whose anchor occurs again. Tasks settle anchors that
+   repeat within them and send each only once for the count over all tasks, so a hot anchor is a row a task there.
+2. Whole blocks: a block whose content occurs again has a reference, another place of that content.
+3. Boundaries: a block that occurs once, whose anchor occurs again, lies across a factor's boundary. Its windows are
+   looked up one by one among those of the anchor's other contents, which tells how far the factors beside it reach.
+4. Factors: the document's referenced blocks and windows, in order, are taken greedily: a factor goes on as long as the
+   next one begins where the last ended or before and its reference is the same document, as far away. A factor is
+   (place, words, reference document, reference place); all are W words or longer and all their words are removed.
 
-Equality is that of 64-bit hashes of word sequences. No group is gathered: counts are partial aggregates, and a hot
-anchor's rows only stream through a join that Spark can split.
+Equality is that of 64-bit hashes of word sequences. No group is gathered: counts are partial aggregates, and rows of one
+key only stream through joins that Spark can split; what is collected are the distinct places of one text.
 
 Edge cases: a null or empty text has no words; texts of fewer than W words lose none; rows that repeat an id are
 documents of their own, so a row that is repeated wholly repeats all its windows; a null id counts as the least id;
@@ -29,11 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import NOT_SPACE, Words, _prefix, blobs, documents, id_key, packed, small_batches, spans, stored, text_chunks, windows, words_of
+from trialspark.llm.common import NOT_SPACE, Words, _prefix, blobs, discard, documents, id_key, lists, numbers, packed, planes, small_batches, spans, stored, text_chunks, windows, words_of
 
 WINDOW = 35
 #: A place is packed as the text's 27-bit tag, the first word's position (31 bits) and the number of windows - 1 (5 bits).
 TAG, POSITION, RUN = 27, 31, 5
+#: Blocks that a task holds before it sends them.
+_FLUSH = 500_000
+#: What is sent: blocks whose anchor repeats in the task, blocks whose anchor doesn't, and one anchor for each that does.
+_KNOWN, _ALONE, _TOLD = 0, 1, 2
 
 
 def _sliding_argmin(x: np.ndarray, m: int) -> np.ndarray:
@@ -52,8 +58,16 @@ def _gram(window: int) -> int:
     return max(1, (window + 1) // 2, window + 1 - (1 << RUN))
 
 
+def _start(places):
+    return (places >> RUN) & ((1 << POSITION) - 1)
+
+
+def _run(places):
+    return places & ((1 << RUN) - 1)
+
+
 def _blocks(batches, window: int):
-    """Rows (anchor, block, key, place) of batches of (key, tag, text)."""
+    """(anchors, blocks, keys, places) of batches of (key, tag, text)."""
     gram = _gram(window)
     for batch in batches:
         keys, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
@@ -72,50 +86,133 @@ def _blocks(batches, window: int):
             first, last = inside[new], inside[np.r_[new[1:] - 1, len(inside) - 1]]
             d = doc[first]
             place = (tags[row + d].astype(np.int64) << (POSITION + RUN)) | ((first - words.at[d]) << RUN) | (last - first)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[at[new]].view(np.int64)), pa.array(spans(_prefix(h), first, last + window).view(np.int64)), pa.array(keys[row + d]), pa.array(place)],
-                ["anchor", "block", "key", "place"],
-            )
+            yield grams[at[new]], spans(_prefix(h), first, last + window).view(np.int64), keys[row + d], place
+
+
+_SENT = "bucket int, kind int, anchors binary, blocks binary, keys binary, places binary"
+
+
+def _indexed(batches, window: int, buckets: int):
+    """The blocks of the texts, packed by bucket: an anchor's bucket, or for known ones any."""
+    held, size = [], 0
+
+    def rows():
+        anchor, block, key, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(anchor, kind="stable")
+        anchor, block, key, place = anchor[order], block[order], key[order], place[order]
+        first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        sizes = np.diff(np.r_[first, len(anchor)])
+        kind = np.repeat(np.where(sizes > 1, _KNOWN, _ALONE), sizes)
+        bucket = np.where(kind == _KNOWN, place % buckets, (anchor & np.uint64(0xFFFFFFFF)).astype(np.int64) % buckets)
+        told = first[sizes > 1]
+        columns = [np.r_[x, x[told]] for x in (anchor, block, key, place)]
+        kind = np.r_[kind, np.full(len(told), _TOLD)]
+        bucket = np.r_[bucket, (anchor[told] & np.uint64(0xFFFFFFFF)).astype(np.int64) % buckets]
+        order = np.lexsort((columns[0], kind, bucket))
+        kind, bucket = kind[order], bucket[order]
+        columns = [x[order] for x in columns]
+        at = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (bucket[1:] != bucket[:-1])])
+        out = [], [], [], []
+        for i, j in zip(at, np.r_[at[1:], len(kind)], strict=True):
+            out[0].append(planes(np.diff(columns[0][i:j], prepend=np.uint64(0))))
+            for k in (1, 2, 3):
+                out[k].append(planes(columns[k][i:j]) if kind[i] != _TOLD else b"")
+        return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(kind[at].astype(np.int32)), *map(blobs, out)], ["bucket", "kind", "anchors", "blocks", "keys", "places"])
+
+    for part in _blocks(batches, window):
+        held.append(part)
+        size += len(part[0])
+        if size >= _FLUSH:
+            yield rows()
+            held, size = [], 0
+    if held:
+        yield rows()
+
+
+_INDEX = "anchor long, block long, key long, place long"
+
+
+def _repeated_anchors(batches):
+    """(anchor, block, key, place) of the blocks whose anchor occurs again, in the task that sent it or in others."""
+    alone, told = [], []
+
+    def rows(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], ["anchor", "block", "key", "place"])
+
+    for batch in batches:
+        for kind, anchors, *others in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
+            anchors = np.cumsum(numbers(anchors, np.uint64))
+            if kind == _TOLD:
+                told.append(anchors)
+                continue
+            part = (anchors, *(numbers(x, np.int64) for x in others))
+            if kind == _KNOWN:
+                yield rows(*part)
+            else:
+                alone.append(part)
+    if alone:
+        columns = [np.concatenate(x) for x in zip(*alone, strict=True)]
+        anchors, counts = np.unique(np.concatenate([columns[0], *told]), return_counts=True)
+        keep = counts[np.searchsorted(anchors, columns[0])] > 1
+        yield rows(*(c[keep] for c in columns))
 
 
 def _boundary_windows(batches, window: int):
     """Rows (window, key, place, single) of batches of (key, tag, text, [place], [whether its block is single])."""
     for batch in batches:
-        out = [], [], [], []
         for row, data, offsets in text_chunks(batch.column(2), 1):
             h = windows(Words(data, offsets, NOT_SPACE, False).hash, window).view(np.int64)
             places = batch.column(3)[row].values.to_numpy()
             single = batch.column(4)[row].values.to_numpy(zero_copy_only=False)
-            mine = (places >> (POSITION + RUN)) == batch.column(1)[row].as_py()
-            places, single = places[mine], single[mine]
-            runs = (places & ((1 << RUN) - 1)) + 1
-            start = (places >> RUN) & ((1 << POSITION) - 1)
+            runs = _run(places) + 1
             nth = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-            at = np.repeat(start, runs) + nth
-            out[0].append(h[at])
-            out[1].append(np.full(len(at), batch.column(0)[row].as_py()))
-            out[2].append((np.int64(batch.column(1)[row].as_py()) << (POSITION + RUN)) | (at << RUN))
-            out[3].append(np.repeat(single, runs))
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["window", "key", "place", "single"])
+            at = np.repeat(_start(places), runs) + nth
+            keys = np.full(len(at), batch.column(0)[row].as_py())
+            tag = np.int64(batch.column(1)[row].as_py()) << (POSITION + RUN)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[at], keys, tag | (at << RUN), np.repeat(single, runs))], ["window", "key", "place", "single"])
+
+
+def _greedy(places: np.ndarray, ref_keys: np.ndarray, ref_places: np.ndarray, window: int):
+    """(start, words, reference key, reference start) of a text's factors, from its referenced blocks and windows."""
+    start, run, ref = _start(places), _run(places), _start(ref_places)
+    order = np.lexsort((-run, start))
+    out: list[list[int]] = []
+    for i in order:
+        a, b, key, r = int(start[i]), int(start[i] + run[i]) + window, int(ref_keys[i]), int(ref[i])
+        if out and key == out[-1][2] and r - a == out[-1][3] - out[-1][0] and a <= out[-1][0] + out[-1][1] - window + 1:
+            out[-1][1] = max(out[-1][1], b - out[-1][0])
+        else:
+            out.append([a, b - a, key, r])
+    return np.array(out, np.int64).reshape(-1, 4)
 
 
-def _without(batches, window: int):
-    """n_words, n_removed and the kept words, of batches of (tag, text, [place], other columns)."""
+_FACTORS = "_key long, _tag long, starts array<long>, words array<long>, refs array<long>, ref_starts array<long>"
+
+
+def _factors_of(batches, window: int):
+    """A text's factors from batches of (key, tag, [(place, reference key, reference place)])."""
+    for batch in batches:
+        out: tuple[list, ...] = ([], [], [], [])
+        for row in batch.column(2):
+            found = _greedy(*(row.values.field(k).to_numpy() for k in range(3)), window)
+            for k in range(4):
+                out[k].append(found[:, k])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(lists(x, pa.int64()) for x in out)], ["_key", "_tag", "starts", "words", "refs", "ref_starts"])
+
+
+def _without(batches):
+    """n_words, n_removed and the kept words, of batches of (text, [start], [words], other columns)."""
     for batch in batches:
         kept, total, removed = [], [], []
-        for tag, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for text, starts, lengths in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             words = (text or b"").split()
             total.append(len(words))
-            places = places.values.to_numpy() if places.is_valid else np.empty(0, np.int64)
-            places = places[(places >> (POSITION + RUN)) == tag]
-            if len(places):
-                start = (places >> RUN) & ((1 << POSITION) - 1)
+            if starts.is_valid:
+                start = starts.values.to_numpy()
                 cover = np.zeros(len(words) + 1, np.int64)
                 np.add.at(cover, start, 1)
-                np.add.at(cover, start + (places & ((1 << RUN) - 1)) + window, -1)
-                stays = np.cumsum(cover[:-1]) == 0
-                words = list(compress(words, stays))
+                np.add.at(cover, start + lengths.values.to_numpy(), -1)
+                words = list(compress(words, np.cumsum(cover[:-1]) == 0))
             removed.append(total[-1] - len(words))
             kept.append(b" ".join(words))
         yield pa.RecordBatch.from_arrays(
@@ -129,33 +226,48 @@ def _keyed(docs: DataFrame, *others: str) -> DataFrame:
     return docs.select(id_key("doc_id").alias("_key"), tag.alias("_tag"), F.col("text").cast("binary").alias("_text"), *others)
 
 
-def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(_key, _places): of every document with repeated windows, where runs of them start, packed."""
+def factor_lists(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(_key, _tag, starts, words, refs, ref_starts) of every text with factors; _tag is a hash of the text."""
     if not 2 <= window:
         raise ValueError("window is at least 2 words")
-    small_batches(docs.sparkSession)
-    texts = _keyed(docs)
-    blocks = texts.mapInArrow(lambda b: _blocks(b, window), "anchor long, block long, key long, place long")
-    anchors = blocks.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("block") != F.max("block")).alias("several")).filter("n > 1").drop("n")
-    shared = stored(blocks.join(anchors, "anchor"), "blocks")
-    several = shared.filter("several").drop("several")
-    contents = several.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min("key").alias("holder"))
-    told = stored(several.join(contents, ["anchor", "block"]).select("key", "place", "n", "holder"), "edges")
-    asks = told.filter("key = holder").groupBy("key").agg(F.collect_list("place").alias("places"), F.collect_list(F.expr("n = 1")).alias("single"))
-    ask = texts.join(asks, F.col("_key") == F.col("key")).select("_key", "_tag", "_text", "places", "single")
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts, tag_of = _keyed(docs), F.shiftrightunsigned("place", POSITION + RUN)
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = texts.mapInArrow(lambda b: _indexed(b, window, buckets), _SENT)
+    index = stored(sent.repartition("bucket").mapInArrow(_repeated_anchors, _INDEX), "index")
+    here = F.struct("key", "place")
+    contents = stored(index.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min(here).alias("low"), F.max(here).alias("high")), "contents")
+    other = F.when(here == F.col("low"), F.col("high")).otherwise(F.col("low"))
+    whole = index.join(contents.filter("n > 1"), ["anchor", "block"]).select("key", "place", other.alias("ref"))
+    # A content that occurs once is compared with all others of its anchor, each from one document.
+    open_ = contents.join(contents.filter("n = 1").select("anchor").distinct(), "anchor", "left_semi")
+    asked = open_.select("low.*", (F.col("n") == 1).alias("single")).groupBy(F.col("key").alias("_key"), tag_of.alias("_tag"))
+    asks = asked.agg(F.collect_list("place").alias("places"), F.collect_list("single").alias("single"))
+    ask = texts.join(asks, ["_key", "_tag"]).select("_key", "_tag", "_text", "places", "single")
     edges = stored(ask.mapInArrow(lambda b: _boundary_windows(b, window), "window long, key long, place long, single boolean"), "windows")
-    seen = edges.groupBy("window").agg(F.count("*").alias("n"), F.max("single").alias("any")).filter("n > 1 AND any").select("window")
-    found = edges.filter("single").join(seen, "window", "left_semi").select("key", "place")
-    whole = shared.filter("NOT several").select("key", "place").unionByName(told.filter("n > 1").select("key", "place"))
-    return whole.unionByName(found).groupBy(F.col("key").alias("_key")).agg(F.collect_list("place").alias("_places"))
+    seen = edges.groupBy("window").agg(F.count("*").alias("n"), F.max("single").alias("any"), F.min(here).alias("low"), F.max(here).alias("high")).filter("n > 1 AND any")
+    found = edges.filter("single").join(seen.select("window", "low", "high"), "window").select("key", "place", other.alias("ref"))
+    each = whole.unionByName(found).groupBy(F.col("key").alias("_key"), tag_of.alias("_tag"), "place").agg(F.min("ref").alias("ref"))
+    told = each.groupBy("_key", "_tag").agg(F.collect_list(F.struct("place", F.col("ref.key").alias("k"), F.col("ref.place").alias("p"))).alias("found"))
+    return told.mapInArrow(lambda b: _factors_of(b, window), _FACTORS)
+
+
+def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, start, n_words, ref_doc_id, ref_start): every factor of every row of docs (doc_id, text), in words from 0."""
+    real = lambda c: F.when(F.col(c) != F.lit(-(1 << 63)), F.col(c))
+    each = F.explode(F.arrays_zip("starts", "words", "refs", "ref_starts")).alias("f")
+    found = _keyed(docs).select("_key", "_tag").join(factor_lists(docs, window), ["_key", "_tag"]).select("_key", each).select("_key", "f.*")
+    return found.select(real("_key").alias("doc_id"), F.col("starts").alias("start"), F.col("words").alias("n_words"), real("refs").alias("ref_doc_id"), F.col("ref_starts").alias("ref_start"))
 
 
 def factored(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and _n_words, _n_removed, _kept (the words that stay, joined by one space, UTF-8 bytes)."""
     texts = _keyed(docs, *(F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)))
-    joined = texts.join(repeated_places(docs, window), "_key", "left").select("_tag", "_text", "_places", *(f"_c{i}" for i in range(len(keep))))
+    found = factor_lists(docs, window).select("_key", "_tag", "starts", "words")
+    joined = texts.join(found, ["_key", "_tag"], "left").select("_text", "starts", "words", *(f"_c{i}" for i in range(len(keep))))
     schema = ", ".join(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = joined.mapInArrow(lambda b: _without(b, window), f"{schema}, _n_words long, _n_removed long, _kept binary")
+    out = joined.mapInArrow(_without, f"{schema}, _n_words long, _n_removed long, _kept binary")
     return out.withColumnsRenamed({f"_c{i}": c for i, c in enumerate(keep)})
 
 
