@@ -10,8 +10,12 @@ Words are counted and slots filled within the task that holds the document, so n
 
 Edge cases: a null text is empty; a text without words has the fingerprint '' and is 1.0 like another such one and 0.0
 like any other; rows that repeat an id each get a row (their next document is the one with the next lower id, and of
-several rows with that id the one with the least text); a null id counts as the least id; an empty table gives an empty
-result; other columns, whatever their names, are not used.
+several rows with that id the one with the least hash of its text); rows that repeat an id and a text are worked on once
+and put out as often; a null id counts as the least id; an empty table gives an empty result; other columns, whatever
+their names, are not used.
+
+Error: with s slots the likeness of two texts of similarity j has a deviation of sqrt(j (1 - j) / s), at most 0.11 for
+24 slots and 0.05 for 100.
 """
 
 from __future__ import annotations
@@ -70,7 +74,7 @@ def following(keys: DataFrame) -> DataFrame:
     dealt = keys.distinct().repartitionByRange(F.col("_key").desc()).withColumn("_part", F.spark_partition_id())
     in_part = Window.partitionBy("_part").orderBy(F.col("_key").desc())
     inner = dealt.withColumn("_next", F.lead("_key").over(in_part)).withColumn("_top", F.first("_key").over(in_part))
-    checked = inner.checkpoint() if keys.sparkSession.conf.get("spark.checkpoint.dir", None) else inner
+    checked = stored(inner, "following")  # both uses below must see the same parts
     tops = checked.filter("_key = _top").select("_part", "_top")
     order = Window.orderBy(F.col("_part"))
     links = tops.withColumn("_after", F.coalesce(F.lead("_top").over(order), F.first("_top").over(order))).select("_part", "_after")
@@ -79,25 +83,29 @@ def following(keys: DataFrame) -> DataFrame:
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str, slots: int = SLOTS) -> DataFrame:
     table = documents(spark, sf_dir)
-    # All branches below use the same two columns, so they share one shuffle of the texts.
-    docs = table.select(id_key("doc_id").alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.repartition("_key").withColumn("_row", F.row_number().over(Window.partitionBy("_key").orderBy("text")))
-    # What each document takes of the next one: at most a third as many code points as it has itself.
-    longest = table.groupBy(id_key("doc_id").alias("_key")).agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("_chars"))
-    links = following(table.select(id_key("doc_id").alias("_key")))
-    wants = longest.join(links, "_key").select(F.col("_key").alias("_for"), F.col("_next").alias("_key"), F.floor(F.col("_chars") / 3).cast("int").alias("_want"))
-    heads = docs.filter("_row = 1").join(wants, "_key").select(F.col("_for").alias("_key"), F.col("_key").alias("_next"), F.expr("substring(text, 1, _want)").alias("_head"))
+    same = ["_key", "_tag"]
+    tagged = table.select(id_key("doc_id").alias("_key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_tag"), F.coalesce("text", F.lit("")).alias("text"))
+    # The table without its texts: how often a text of an id occurs, how long it is, whose beginning it takes.
+    sizes = tagged.groupBy(*same).agg(F.count("*").alias("_n"), F.max(F.length("text")).alias("_chars"))
+    sizes = stored(sizes, "sizes")
+    heads = sizes.groupBy("_key").agg(F.min("_tag").alias("_head_tag"))
+    links = following(sizes.select("_key")).join(heads.withColumnRenamed("_key", "_next"), "_next")
+    wants = sizes.join(links, "_key").select(F.col("_key").alias("_for"), F.col("_tag").alias("_for_tag"), "_n", F.col("_next").alias("_key"), F.col("_head_tag").alias("_tag"), F.floor(F.col("_chars") / 3).cast("int").alias("_want"))
+    # All branches below use the same three columns, so they share one shuffle of the texts.
+    docs = tagged.dropDuplicates(same)
+    cuts = docs.join(wants, same).select(F.col("_for").alias("_key"), F.col("_for_tag").alias("_tag"), "_n", F.col("_key").alias("_next"), F.col("_tag").alias("_next_tag"), F.expr("substring(text, 1, _want)").alias("_head"))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
-    pairs = docs.join(heads, "_key").withColumn("_edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("_head"), F.lit(1), cut)))
-    both = pairs.select("_key", "_row", F.explode(F.array(F.struct(F.lit(0).alias("_which"), F.col("text").alias("_text")), F.struct(F.lit(1).alias("_which"), F.col("_edited").alias("_text")))).alias("_x"))
-    drawn = signatures(both.select("_key", "_row", "_x.*"), ["_key", "_row", "_which"], "_text", slots)
-    drawn = drawn.groupBy("_key", "_row").agg(*(F.first(F.when(F.col("_which") == k, F.col("signature")), ignorenulls=True).alias(f"_sig{k}") for k in (0, 1)))
-    facts = pairs.select("_key", "_row", "_next", n.cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"))
+    pairs = docs.join(cuts, same).withColumn("_edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("_head"), F.lit(1), cut)))
+    both = pairs.select(*same, F.explode(F.array(F.struct(F.lit(0).alias("_which"), F.col("text").alias("_text")), F.struct(F.lit(1).alias("_which"), F.col("_edited").alias("_text")))).alias("_x"))
+    drawn = signatures(both.select(*same, "_x.*"), [*same, "_which"], "_text", slots)
+    drawn = drawn.groupBy(*same).agg(*(F.first(F.when(F.col("_which") == k, F.col("signature")), ignorenulls=True).alias(f"_sig{k}") for k in (0, 1)))
+    facts = pairs.select(*same, "_n", "_next", "_next_tag", n.cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"))
     # Stored, so that signatures are drawn once for both sides of the comparison with the next document.
-    full = stored(facts.join(drawn, ["_key", "_row"], "left"), "signatures")
-    others = full.filter("_row = 1").select(F.col("_key").alias("_next"), F.col("_sig0").alias("_sig2"))
-    return full.join(others, "_next", "left").select(
+    full = stored(facts.join(drawn, same, "left"), "signatures")
+    others = full.select(F.col("_key").alias("_next"), F.col("_tag").alias("_next_tag"), F.col("_sig0").alias("_sig2"))
+    compared = full.join(others, ["_next", "_next_tag"], "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return compared.select(
         F.when(F.col("_key") != F.lit(-(1 << 63)), F.col("_key")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
