@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import documents, packed, word_count
+from trialspark.llm.common import documents, id_key, packed, stored, word_count
 
 #: A source's target is at most so many times its size.
 MAX_EPOCHS = 3
@@ -47,8 +47,9 @@ def targets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return ranked.withColumn("target", target).drop("_cap", "_ratio", "_left", "_weights", "_factor")
 
 
-def mix_plan(docs: DataFrame, weight: Column | None = None, max_epochs: int = MAX_EPOCHS, seed: str = SEED, buckets: int | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every row of docs (doc_id, text, source).
+def mix_plan(docs: DataFrame, weight: Column | None = None, max_epochs: int = MAX_EPOCHS, seed: str = SEED, buckets: int | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of every row of docs (doc_id, text, source), and columns
+    `more` (expressions over docs).
 
     weight: a source's weight, an expression of `position` (sources by code point, null last, from 0); by default
     1, 2, 3 and again.
@@ -62,8 +63,9 @@ def mix_plan(docs: DataFrame, weight: Column | None = None, max_epochs: int = MA
         F.col("source").isNull().alias("_null"),
         word_count(F.col("text")).alias("size"),
         key.alias("_key"),
+        *(c.alias(n) for n, c in (more or {}).items()),
     ).withColumn("_bucket", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("int"))
-    slim = slim.repartition("_null", "_name", "_bucket")  # sums and windows below need no shuffle of their own
+    slim = stored(slim, "sizes")  # words are counted once for the sums and for the places
     sums = slim.groupBy("_null", "_name", "_bucket").agg(F.sum("size").alias("_sum"))
     in_source = Window.partitionBy("_null", "_name")
     order = Window.orderBy("_null", "_name")
@@ -86,14 +88,17 @@ def mix_plan(docs: DataFrame, weight: Column | None = None, max_epochs: int = MA
         "source_size",
         "target",
         (epochs * F.col("size") + part).cast("long").alias("taken"),
+        *(more or {}),
     )
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, as a struct `row` of their columns with size, source_size, target and taken of
-    their id; those never taken are left out. Ids must tell rows apart."""
-    plan = mix_plan(docs, **options).filter("taken > 0").drop("source")
-    return packed(docs, F.col("doc_id").alias("_id")).join(plan, F.col("_id").eqNullSafe(F.col("doc_id"))).drop("_id")
+    """The documents that the mix takes, with size, source_size, target and taken (in place of columns of docs of these
+    names); those never taken are left out. Id and text must tell rows apart."""
+    tag, told = F.coalesce(F.xxhash64("text"), F.lit(0)), ["size", "source_size", "target", "taken"]
+    plan = mix_plan(docs, more={"_tag": tag}, **options).filter("taken > 0").select(id_key("doc_id").alias("_key"), "_tag", *told)
+    rows = packed(docs, id_key("doc_id").alias("_key"), tag.alias("_tag")).join(plan, ["_key", "_tag"])
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in told), *told)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
