@@ -176,10 +176,13 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text, lang, ...) whose text has a language, by a model of its own labelled rows."""
+    """The rows of docs (doc_id, text, lang, ...) whose text has a language, by a model of its own labelled rows; a null
+    lang becomes the language found. Where no row may be learned from, all texts with letters stay as they are."""
     model = train(docs.filter(~held_out()))
-    found = by_language(packed(docs, "text"), model, ("row",))
-    return found.filter(F.col("_lang") != UNKNOWN).select("row.*")
+    if not model.families:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = by_language(packed(docs, "text"), model, ("row",)).filter(F.col("_lang") != UNKNOWN)
+    return found.select(F.col("row").withField("lang", F.coalesce("row.lang", "_lang")).alias("row")).select("row.*")
 
 
 def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
