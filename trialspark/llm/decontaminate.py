@@ -10,7 +10,8 @@ their postings, common terms' by a product with the table of their maxima); only
 retrieved. The bound is never less than the score, so none is lost.
 
 A retrieved item counts as leaked if enough of its question's and of its answer's n-grams stand in the document (the
-answer is what follows the first question mark; an item without one is all question).
+answer is what follows the first question mark; an item without one is all question, so on a table of plain passages
+without question marks this is the overlap with the whole item).
 
 The index is broadcast in parts of at most INDEX_WORDS words each; more items make more parts, each queried by all
 passages. Document frequencies are those of all items whatever the parts.
@@ -39,6 +40,8 @@ THRESHOLD, OVERLAP, NGRAM = 0.5, 0.6, 5
 #: Items of fewer words are looked for by their exact sequence of words.
 LEAST_WORDS = 5
 INDEX_WORDS = 1 << 20
+#: Passages whose bounds are worked out at once.
+TILE = 1024
 #: Terms in more than this share of the pieces are common.
 COMMON = 0.05
 
@@ -171,6 +174,15 @@ class Index:
             yield int(of[i]), int(block[i]) * BLOCK + int(j), float(scores[i, j])
 
 
+def _retrieved(index: Index, passage: np.ndarray, term: np.ndarray, threshold: float):
+    """Index.retrieve for TILE passages at a time, so that a long text's bounds take no more room than a short one's."""
+    cuts = np.searchsorted(passage, np.arange(0, int(passage[-1]) + TILE, TILE))
+    for k, (i, j) in enumerate(zip(cuts, np.r_[cuts[1:], len(passage)], strict=True)):
+        if i < j:
+            for p, piece, score in index.retrieve(passage[i:j] - k * TILE, term[i:j], threshold):
+                yield p + k * TILE, piece, score
+
+
 _FOUND = "key long, tag long, item long, score double, question_overlap double, answer_overlap double"
 
 
@@ -200,7 +212,7 @@ def _leaks(batches, index: Index | None, parts: dict, short: Short, threshold: f
             size = len(index.terms)
             pairs = np.unique(np.r_[begun * size + term, (begun[second] - 1) * size + term[second]])
             best: dict[tuple[int, int], float] = {}
-            for p, piece, score in index.retrieve(pairs // size, pairs % size, threshold):
+            for p, piece, score in _retrieved(index, pairs // size, pairs % size, threshold):
                 d = int(np.searchsorted(base, p, "right")) - 1
                 key = (d, int(index.items[piece]))
                 best[key] = max(score, best.get(key, 0.0))
