@@ -4,6 +4,9 @@ A template is text with `[[ ... ]]` around an optional region and `{{name:m-n}}`
 words. It is compiled to an automaton over words; a text matches where the automaton accepts, which takes every
 mandatory word, unchanged and in place. Words are those of the lower-cased text, so signs and layout do not matter.
 
+A template may begin with such regions: they are set apart, and the automaton begins with the first mandatory word. What
+is optional there asks for nothing, what is replaceable for as many words as it holds at least before that place.
+
 Places where a template may begin are found for a whole batch of texts by the hashes of its first mandatory words; only
 there the automaton runs. Besides the templates there are the base phrases, whose words must stand consecutively.
 
@@ -48,6 +51,59 @@ TEMPLATES = {
     "all-rights-reserved": ["copyright [[c]] {{year:1-2}} {{holder:1-8}} all rights reserved"],
 }
 
+#: Whole license texts as templates, by label. Wording is that of the public license texts.
+FULL = {
+    "mit-full": """[[the]] [[mit license]] [[copyright [[c]] {{year:1-4}} {{holder:1-12}}]] [[all rights reserved]]
+permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation
+files the software to deal in the software without restriction including without limitation the rights to use copy modify
+merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is
+furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including
+the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as
+is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness
+for a particular purpose and noninfringement in no event shall the {{holder:1-12}} be liable for any claim damages or
+other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software
+or the use or other dealings in the software""",
+    "bsd-full": """[[copyright [[c]] {{year:1-4}} {{holder:1-12}}]] [[all rights reserved]]
+redistribution and use in source and binary forms with or without modification are permitted provided that the following
+conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and
+the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of
+conditions and the following disclaimer in the documentation and or other materials provided with the distribution
+[[ [[3]] neither the name of {{holder:1-12}} nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission ]] this software is provided by {{holder:1-12}} as is
+and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness
+for a particular purpose are disclaimed in no event shall {{holder:1-12}} be liable for any direct indirect incidental
+special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss
+of use data or profits or business interruption however caused and on any theory of liability whether in contract strict
+liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of
+the possibility of such damage""",
+    "isc-full": """[[isc license]] [[copyright [[c]] {{year:1-4}} {{holder:1-12}}]]
+permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted
+provided that the above copyright notice and this permission notice appear in all copies the software is provided as is
+and {{holder:1-12}} disclaims all warranties with regard to this software including all implied warranties of
+merchantability and fitness in no event shall {{holder:1-12}} be liable for any special direct indirect or consequential
+damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or
+other tortious action arising out of or in connection with the use or performance of this software""",
+    "zlib-full": """[[copyright [[c]] {{year:1-4}} {{holder:1-12}}]]
+this software is provided as is without any express or implied warranty in no event will the authors be held liable for any
+damages arising from the use of this software permission is granted to anyone to use this software for any purpose
+including commercial applications and to alter it and redistribute it freely subject to the following restrictions [[1]]
+the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use
+this software in a product an acknowledgment in the product documentation would be appreciated but is not required [[2]]
+altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[3]]
+this notice may not be removed or altered from any source distribution""",
+    "apache-2.0-notice": """[[copyright [[c]] {{year:1-4}} {{holder:1-12}}]]
+licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+you may obtain a copy of the license at {{address:4-10}} unless required by applicable law or agreed to in writing software
+distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express
+or implied see the license for the specific language governing permissions and limitations under the license""",
+    "gpl-notice": """[[copyright [[c]] {{year:1-4}} {{holder:1-12}}]]
+[[this program is]] free software [[you]] can redistribute it and or modify it under the terms of the gnu general public
+license as published by the free software foundation [[either]] version {{version:1-1}} [[of the license or at your option
+any later version]] this program is distributed in the hope that it will be useful but without any warranty without even
+the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more
+details""",
+}
+
 _WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
 _MARKUP = re.compile(r"(\[\[)|(\]\])|\{\{(\w+):(\d+)-(\d+)\}\}|([0-9a-z\u0080-\U0010ffff]+)")
 
@@ -118,13 +174,32 @@ class Automaton:
         return len(self.arcs)
 
 
+def _leading(markup: str) -> tuple[int, str]:
+    """How many words a template asks for ahead of its first mandatory word, and the template from there on."""
+    before = 0
+    while m := re.match(r"\s*(\[\[|\{\{\w+:(\d+)-\d+\}\})", markup):
+        if m[2]:
+            before += int(m[2])
+            markup = markup[m.end() :]
+            continue
+        depth, at = 1, m.end()
+        while depth:
+            mark = re.compile(r"\[\[|\]\]").search(markup, at)
+            if not mark:
+                raise ValueError(f"an optional region isn't closed: {markup}")
+            depth, at = depth + (1 if mark[0] == "[[" else -1), mark.end()
+        markup = markup[at:]
+    return before, markup
+
+
 class Scanner:
     """Base phrases and compiled templates, with the hashes of the words that begin them."""
 
     def __init__(self, base: dict[str, str], templates: dict[str, list[str]]):
         self.base = [(words_of_text(p), label) for p, label in base.items()]
-        self.templates = [(Automaton(t), label) for label, each in templates.items() for t in each]
-        heads = [w for w, _ in self.base] + [a.head for a, _ in self.templates]
+        parts = [(*_leading(t), label) for label, each in templates.items() for t in each]
+        self.templates = [(before, Automaton(rest), label) for before, rest, label in parts]
+        heads = [w for w, _ in self.base] + [a.head for _, a, _ in self.templates]
         names = sorted({w for h in heads for w in h})
         hashes = next(words_of(pa.array([" ".join(names)]), ALNUM, True))[1].hash
         of = dict(zip(names, hashes, strict=True))
@@ -149,10 +224,10 @@ class Scanner:
                 found = self.places(words.hash, words.at, head)
                 for d, i in zip(np.searchsorted(words.at, found, "right") - 1, found, strict=True):
                     base[d].append((int(i - words.at[d]), label))
-            for (automaton, label), head in zip(self.templates, self.heads[len(self.base) :], strict=True):
+            for (before, automaton, label), head in zip(self.templates, self.heads[len(self.base) :], strict=True):
                 found = self.places(words.hash, words.at, head)
                 for d, i in zip(np.searchsorted(words.at, found, "right") - 1, found, strict=True):
-                    if label in labels[d]:
+                    if label in labels[d] or i - words.at[d] < before:
                         continue
                     stop = min(int(words.at[d + 1]), int(i) + automaton.longest)
                     text = [words.data[words.start[k] : words.end[k]].tobytes().decode("utf-8", "replace") for k in range(int(i), stop)]
@@ -179,7 +254,7 @@ def _scanned(batches, scanner: Scanner):
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*batch.schema.names[1:], *names])
 
 
-def license_scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
+def license_scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, list[str]] = TEMPLATES | {k: [v] for k, v in FULL.items()}) -> DataFrame:
     """doc_id and the scan's columns of every row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
     scanner = Scanner(base, templates)
