@@ -1,14 +1,21 @@
 """A training corpus from raw documents: five stages, each a job over all that the one before kept.
 
-1. language: rows without a recognizable language go;
+1. language: rows without a recognizable language go, a null lang becomes the language found;
 2. near_duplicates: of each group of similar texts the document with the least id stays;
 3. repeated_passages: words of passages that repeat elsewhere in what is left go from the texts;
 4. benchmark: documents that hold a benchmark item of two words or more go (a single word is wording of any text, and
    tests/llm/test_edge_cases.py keeps it; op8 reports such items too);
-5. mix: how many words of each document the mixture takes (a document whose epochs and cut come to none is left out).
+5. mix: the documents that the mixture takes, with how many words of each (size, source_size, target and taken; columns
+   of documents with these names are replaced).
 
 Each stage's result is written as Parquet in the shared folder and read again, so a lost executor repeats tasks of one
-stage only. A stage keeps columns that it does not know. Edge cases are those of the operators.
+stage only. A stage keeps columns that it does not know.
+
+Edge cases: null and empty texts and those without letters go in the first stage; where no row has a lang, all texts
+with letters stay; rows that repeat an id with other texts are documents of their own in all stages, rows that repeat id
+and text are one from the second stage on; a null id counts as the least; a text that loses all its words in the third
+stage stays, empty, and the last one leaves it out; an empty table gives an empty corpus; texts of any length are worked
+on whole.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from trialspark.llm.common import documents, stored
 from trialspark.llm.decontaminate import without_leaks
 from trialspark.llm.jaccard import one_of_each_group
 from trialspark.llm.language import with_language
-from trialspark.llm.mixing import mix_plan
+from trialspark.llm.mixing import mix_documents
 from trialspark.llm.substring import remove_repeats
 
 
@@ -44,7 +51,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_plan(docs).filter(F.col("taken") > 0)
+    return mix_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
