@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialspark.operators.ordered import neighbours
+
 #: What an interval holds: closed on the left only, on both sides, on neither.
 CLOSED = {"left": (">=", "<"), "both": (">=", "<="), "neither": (">", "<")}
 
@@ -58,17 +60,15 @@ def psth(spikes: DataFrame, triggers: DataFrame, keys: list[str], bin_s: float,
 def nearest(points: DataFrame, targets: DataFrame, keys: list[str], place: str, target: str) -> DataFrame:
     """Each point with the target of its keys nearest by place (of equals the lower), its columns prefixed `near_`.
 
-    Points and targets are merged in order once; each point looks at the last target before and the first after.
+    Points and targets are merged in order and dealt by range, so a key may have any number of them; each point looks at
+    the last target before and the first after.
     """
     names = [c for c in targets.columns if c not in keys]
     tagged = targets.select(*keys, F.col(target).cast("double").alias("_at"), F.struct(*names).alias("_t"), F.lit(0).alias("_kind"))
     rest = [c for c in points.columns if c not in keys]
     mine = points.select(*keys, F.col(place).cast("double").alias("_at"), F.struct(*rest).alias("_p"), F.lit(1).alias("_kind"))
     both = tagged.unionByName(mine, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_at", "_kind") if keys else Window.orderBy("_at", "_kind")
-    before = F.last(F.when(F.col("_kind") == 0, F.struct("_at", "_t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(F.when(F.col("_kind") == 0, F.struct("_at", "_t")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumns({"_b": before, "_a": after}).filter("_kind = 1")
+    found = neighbours(both, keys, ["_at", "_kind"], F.when(F.col("_kind") == 0, F.struct("_at", "_t")), "_b", "_a").filter("_kind = 1")
     use_before = F.col("_a").isNull() | (F.col("_b").isNotNull() & (F.col("_at") - F.col("_b._at") <= F.col("_a._at") - F.col("_at")))
     best = F.when(use_before, F.col("_b._t")).otherwise(F.col("_a._t"))
     return found.withColumn("_best", best).select(*keys, "_p.*", *(F.col("_best")[n].alias(f"near_{n}") for n in names))
@@ -77,23 +77,22 @@ def nearest(points: DataFrame, targets: DataFrame, keys: list[str], place: str,
 def interpolated(events: DataFrame, samples: DataFrame, keys: list[str], time: str, value: str, name: str = "value_at", extrapolate: bool = False) -> DataFrame:
     """Each event with the samples' value at its time, linear between the two around it.
 
-    Outside the samples it is null, or with extrapolate follows the two samples at that end.
+    Outside the samples it is null, or with extrapolate follows the two samples at that end. Events and samples are merged
+    in order and dealt by range, so a key may have any number of them.
     """
     rest = [c for c in events.columns if c not in keys]
     mine = events.select(*keys, F.col(time).alias("_at"), F.struct(*rest).alias("_e"), F.lit(1).alias("_kind"))
     points = samples.select(*keys, F.col(time).alias("_at"), F.struct(F.col(time).alias("t"), F.col(value).cast("double").alias("v")).alias("_s"), F.lit(0).alias("_kind"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_kind")
-    order = Window.partitionBy(*keys).orderBy("t")
-    chained = points.select(*keys, "_at", "_s", "_kind", "_s.t").withColumns({"_prev": F.lag("_s").over(order), "_next": F.lead("_s").over(order)})
-    chained = chained.select(*keys, "_at", "_kind", F.struct("_s", "_prev", "_next").alias("_c"))
-    both = chained.unionByName(mine, allowMissingColumns=True)
-    last = F.last("_c", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("_c", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumns({"_b": last, "_a": first}).filter("_kind = 1")
-    p = F.coalesce(F.col("_b._s"), F.col("_a._s"))
-    q = F.when(F.col("_b").isNull(), F.col("_a._next")).otherwise(F.coalesce(F.col("_b._next"), F.col("_b._prev")))
-    inside = F.col("_b").isNotNull() & (F.col("_b._next").isNotNull() | (F.col("_at") == F.col("_b._s.t")))
-    line = p["v"] + F.coalesce((q["v"] - p["v"]) / (q["t"] - p["t"]), F.lit(0.0)) * (F.col("_at") - p["t"])
+    both = points.unionByName(mine, allowMissingColumns=True)
+    found = neighbours(both, keys, ["_at", "_kind"], F.col("_s"), "_b", "_a").filter("_kind = 1")
+    p, q = F.col("_b"), F.col("_a")
+    inside = p.isNotNull() & (q.isNotNull() | (F.col("_at") == p["t"]))
+    if extrapolate:
+        end = lambda order, n: points.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_nth <= 2").groupBy(*keys).agg(F.max_by("_s", "_nth").alias(n))
+        found = found.join(end(F.col("_at"), "_second"), keys, "left").join(end(F.col("_at").desc(), "_last_but_one"), keys, "left")
+        p, q = F.coalesce(p, q), F.when(p.isNull(), F.col("_second")).otherwise(F.coalesce(q, F.col("_last_but_one")))
+    slope = F.when(q["t"] != p["t"], (q["v"] - p["v"]) / (q["t"] - p["t"])).otherwise(0.0)
+    line = p["v"] + slope * (F.col("_at") - p["t"])
     return found.select(*keys, "_e.*", (line if extrapolate else F.when(inside, line)).alias(name))
 
 

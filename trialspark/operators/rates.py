@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.operators.intervals import range_join
+from trialspark.operators.ordered import row_numbers
 
 SIGMA, REACH, RATE = 0.02, 0.5, 10_000
 
@@ -21,6 +22,17 @@ def spike_train(spikes: DataFrame, keys: list[str], rate: float = RATE) -> DataF
     return spikes.groupBy(*keys, F.floor(F.col("t") * rate + 1.5).cast("long").alias("sample")).agg(F.count("*").alias("n"))
 
 
+def counts_on_axis(spikes: DataFrame, keys: list[str], rate: float) -> DataFrame:
+    """Spikes by keys and cell of a time axis with `rate` cells a second; cells without spikes are absent."""
+    return spikes.groupBy(*keys, F.floor(F.col("t") * F.lit(float(rate))).cast("int").alias("cell")).agg(F.count("*").alias("n"))
+
+
+def population_mean(table: DataFrame, unit: list[str], keys: list[str], axis: str, value: str) -> DataFrame:
+    """Mean of value over all units, by keys and place on an axis; a unit without a row there counts 0."""
+    units = table.select(*unit).distinct().agg(F.count("*")).scalar()
+    return table.groupBy(*keys, axis).agg(F.sum(value).alias("_s")).select(*keys, axis, (F.col("_s") / units).alias(f"mean_{'count' if value == 'n' else value}"))
+
+
 def histogram(spikes: DataFrame, keys: list[str], low: float, high: float, width: float) -> DataFrame:
     """Counts of spikes between low and high (both excluded) in bins of a width; bins without spikes have no row."""
     inside = spikes.filter((F.col("t") > low) & (F.col("t") < high))
@@ -75,19 +87,28 @@ def grid(triggers: DataFrame, before: float, after: float, rate: float = 60.0) -
     return out.withColumn("at", F.col("t0") + F.col("lag"))
 
 
-def mean_response(spikes: DataFrame, triggers: DataFrame, keys: list[str], before: float, after: float, rate: float = 60.0) -> DataFrame:
+def mean_response(spikes: DataFrame, triggers: DataFrame, keys: list[str], before: float, after: float, rate: float = 60.0, sigma: float = SIGMA, reach: float = REACH) -> DataFrame:
     """Mean smoothed rate by lag around triggers (keys, t0)."""
     points = grid(triggers, before, after, rate)
-    rates = smoothed_at(spikes, points.select(*keys, "at").distinct(), keys)
+    rates = smoothed_at(spikes, points.select(*keys, "at").distinct(), keys, sigma, reach)
     return points.join(rates, [*keys, "at"]).groupBy(*keys, "step").agg(F.avg("rate").alias("rate"), F.count("*").alias("n_triggers"))
 
 
 def heatmap(responses: DataFrame, keys: list[str], lag: str, value: str, base: tuple[float, float], response: tuple[float, float]) -> DataFrame:
     """Per keys the mean of value in both lag windows, their difference, and the order by it (least first)."""
+    return response_order(responses_within(responses, keys, lag, value, base, response), keys)
+
+
+def responses_within(responses: DataFrame, keys: list[str], lag: str, value: str, base: tuple[float, float], response: tuple[float, float]) -> DataFrame:
+    """Per keys the mean of value in both lag windows and their difference."""
     within = lambda w: F.avg(F.when((F.col(lag) >= w[0]) & (F.col(lag) < w[1]), F.col(value)))
     out = responses.groupBy(*keys).agg(within(base).alias("baseline"), within(response).alias("response"))
-    out = out.withColumn("delta", F.col("response") - F.col("baseline"))
-    return out.withColumn("place", F.row_number().over(Window.orderBy("delta", *keys)))
+    return out.withColumn("delta", F.col("response") - F.col("baseline"))
+
+
+def response_order(responses: DataFrame, keys: list[str], value: str = "delta") -> DataFrame:
+    """responses with `place`, their number by value (least first)."""
+    return row_numbers(responses, [value, *keys], "place")
 
 
 def baseline_subtracted(responses: DataFrame, keys: list[str], lag: str, value: str, base: tuple[float, float]) -> DataFrame:
@@ -120,7 +141,7 @@ def smoothed_over_bins(table: DataFrame, keys: list[str], value: str, width: flo
 def field_order(maps: DataFrame, keys: list[str], rate: str = "rate") -> DataFrame:
     """Maps scaled to each unit's peak, with the peak's bin (of equals the first) and the units' order by it."""
     peak = maps.groupBy(*keys).agg(F.max_by("bin", F.struct(F.col(rate), -F.col("bin"))).alias("peak_bin"), F.max(rate).alias("peak"))
-    peak = peak.withColumn("place", F.row_number().over(Window.orderBy("peak_bin", *keys)))
+    peak = row_numbers(peak, ["peak_bin", *keys], "place")
     return maps.join(peak, keys).withColumn("scaled", F.when(F.col("peak") > 0, F.col(rate) / F.col("peak")))
 
 

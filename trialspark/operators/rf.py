@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialspark.operators.ordered import following
 from trialspark.operators.tuning import draw_index
 
 DEGREES = 5.0
@@ -16,8 +17,7 @@ DEGREES = 5.0
 
 def stimulus_counts(spikes: DataFrame, onsets: DataFrame, keys: list[str], unit: str, last_s: float = 0.25) -> DataFrame:
     """Spikes of each unit during each stimulus (keys, stim, onset), which lasts until the next onset, the last last_s."""
-    w = Window.partitionBy(*keys).orderBy("onset")
-    shown = onsets.withColumns({"w0": F.col("onset"), "w1": F.coalesce(F.lead("onset").over(w), F.col("onset") + last_s)})
+    shown = following(onsets, keys, "onset", "w1").withColumns({"w0": F.col("onset"), "w1": F.coalesce("w1", F.col("onset") + last_s)})
     from trialspark.operators.intervals import range_join
 
     hits = range_join(spikes, shown, keys, "t", "w0", "w1", 1.0).groupBy(*keys, unit, "stim").agg(F.count("*").alias("n"))

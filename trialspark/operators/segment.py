@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialspark.operators.intervals import range_join
+
 HIGH = 2.5
 
 
@@ -34,6 +36,24 @@ def islands(df: DataFrame, keys: list[str], order: str, flag: Column, measures:
     return numbered.groupBy(*keys, "island").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n"), *more)
 
 
+def merged(windows: DataFrame, keys: list[str], low: str = "w0", high: str = "w1") -> DataFrame:
+    """Windows (keys, low, high) with those that overlap or touch made one."""
+    w = _by(keys, low)
+    before = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((F.col(low) > before).cast("int"), F.lit(1))
+    numbered = windows.select(*keys, low, high, new.alias("_new")).withColumn("_group", F.sum("_new").over(w))
+    return numbered.groupBy(*keys, "_group").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("_group")
+
+
+def states(df: DataFrame, keys: list[str], order: str, state: Column) -> DataFrame:
+    """Runs of one state (any value; rows with a null one break runs): keys, state, run (from 1), start, end and n samples."""
+    w = _by(keys, order)
+    marked = df.withColumn("state", state)
+    new = (~F.col("state").eqNullSafe(F.lag("state").over(w)) | (F.row_number().over(w) == 1)).cast("int")
+    numbered = marked.withColumn("_new", new).withColumn("run", F.sum("_new").over(w)).filter(F.col("state").isNotNull())
+    return numbered.groupBy(*keys, "run", "state").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n"))
+
+
 def long_runs(runs: DataFrame, least: float, rate: float = 1.0, strict: bool = False) -> DataFrame:
     """Runs with duration (end - start) / rate of at least (strict: more than) `least`."""
     duration = (F.col("end") - F.col("start")) / F.lit(float(rate))
@@ -166,9 +186,10 @@ def change_points(df: DataFrame, keys: list[str], order: str, value: str, offset
     return runs.withColumn("upper", upper + offset).withColumn("lower", F.col("lower") + offset).drop("_last")
 
 
-def blank(samples: DataFrame, ranges: DataFrame, keys: list[str], order: str, channel: str, baseline: float) -> DataFrame:
-    """samples with the channel set to baseline within any of ranges (keys, low, high)."""
-    hit = samples.join(ranges, keys).filter(F.col(order).between(F.col("low"), F.col("high"))).select(*keys, order).distinct().withColumn("_hit", F.lit(True))
+def blank(samples: DataFrame, ranges: DataFrame, keys: list[str], order: str, channel: str, baseline: float, bucket: float = 10_000) -> DataFrame:
+    """samples with the channel set to baseline within any of ranges (keys, low, high), ends included."""
+    near = range_join(samples.select(*keys, order), ranges.select(*keys, "low", "high"), keys, order, "low", "high", bucket, "both")
+    hit = near.select(*keys, order).distinct().withColumn("_hit", F.lit(True))
     return samples.join(hit, [*keys, order], "left").withColumn(channel, F.when(F.col("_hit"), F.lit(baseline)).otherwise(F.col(channel))).drop("_hit")
 
 
@@ -176,9 +197,9 @@ def trial_lengths(samples: DataFrame, keys: list[str], place: str, far: float =
     return samples.groupBy(*keys).agg(F.max(place).alias("reach")).withColumn("length_class", F.when(F.col("reach") > far, "long").otherwise("short"))
 
 
-def slices(samples: DataFrame, intervals: DataFrame, keys: list[str], order: str = "sample_idx") -> DataFrame:
+def slices(samples: DataFrame, intervals: DataFrame, keys: list[str], order: str = "sample_idx", bucket: float = 10_000) -> DataFrame:
     """Samples of each interval (keys, trial columns, start_idx, end_idx), ends included, with `offset` from its start."""
-    joined = samples.join(intervals, keys).filter(F.col(order).between(F.col("start_idx"), F.col("end_idx")))
+    joined = range_join(samples, intervals, keys, order, "start_idx", "end_idx", bucket, "both")
     return joined.withColumn("offset", F.col(order) - F.col("start_idx"))
 
 

@@ -141,5 +141,54 @@ def stimulus_batch(name: Column, rules: list[tuple[str, str, float]]) -> tuple[C
     return batch, gain
 
 
+def with_labels(trials: DataFrame, labels: list[str], label: str = "label") -> DataFrame:
+    return trials.filter(F.col(label).isin(labels))
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (trials, clusters) whose keys are among ids."""
+    return rows.join(ids.select(*keys), keys, "left_semi")
+
+
+def without(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are not among others."""
+    return rows.join(others.select(*keys), keys, "left_anti")
+
+
+def intersected(units: DataFrame, selections: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Units that every selection (chosen ids, a spiking class, a region) holds."""
+    for s in selections:
+        units = with_ids(units, s, keys)
+    return units
+
+
+def blanked_channels(profile: DataFrame, bad: DataFrame, keys: list[str], value: str, reference: Column) -> DataFrame:
+    """A profile with the value of reference and bad channels null, the rows kept."""
+    marked = profile.join(bad.select(*keys).distinct().withColumn("_bad", F.lit(True)), keys, "left")
+    return marked.withColumn(value, F.when(~(F.coalesce("_bad", F.lit(False)) | reference), F.col(value))).drop("_bad")
+
+
+def looked_up(rows: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what the catalogue says of their keys; rows that it lacks go."""
+    return rows.join(catalogue, keys)
+
+
+def merged_labels(rows: DataFrame, label: str, merges: dict[str, str]) -> DataFrame:
+    """Rows with labels replaced before they are grouped by."""
+    return rows.replace(merges, subset=[label])
+
+
+def lengths_agree(frames: DataFrame, triggers: DataFrame, keys: list[str]) -> DataFrame:
+    """By keys (a session) the number of camera frames and of triggers, and whether they are equal."""
+    count = lambda df, n: df.groupBy(*keys).agg(F.count("*").alias(n))
+    out = count(frames, "n_frames").join(count(triggers, "n_triggers"), keys, "full").fillna(0, ["n_frames", "n_triggers"])
+    return out.withColumn("agrees", F.col("n_frames") == F.col("n_triggers"))
+
+
+def motion_session(sessions: DataFrame, rules: DataFrame) -> DataFrame:
+    """The sessions that hold a recording's motion trials: those of the protocol that the rules (probe_type, protocol) name."""
+    return sessions.join(rules.select("probe_type", "protocol"), ["probe_type", "protocol"], "left_semi")
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)

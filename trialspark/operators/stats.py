@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions.tails import p_chi2, p_f, p_normal, p_signed_rank, p_studentized_range, p_t
+from trialspark.operators.ordered import stored, value_places
 
 #: Pairs up to which the signed-rank p is exact.
 EXACT_PAIRS = 15
@@ -14,12 +15,13 @@ EXACT_PAIRS = 15
 def hazen(df: DataFrame, keys: list[str], value: str, percents: list[float], name: str = "value") -> DataFrame:
     """Percentiles with the ith of n values at 100 (i - 0.5) / n, linear between, the extremes beyond: keys, prc, value."""
     kept = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    w = Window.partitionBy(*keys).orderBy("_v")
-    ranked = kept.withColumns({"_i": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(*keys)), "_next": F.lead("_v").over(w)})
-    at = ranked.withColumn("prc", F.explode(F.array(*(F.lit(float(p)) for p in percents))))
-    place = F.greatest(F.lit(1.0), F.least(F.col("_n").cast("double"), F.col("prc") / 100 * F.col("_n") + 0.5))
-    hit = at.withColumn("_at", place).filter(F.col("_i") == F.floor("_at"))
-    line = F.col("_v") + F.coalesce(F.col("_next") - F.col("_v"), F.lit(0.0)) * (F.col("_at") - F.col("_i"))
+    places = value_places(kept, keys, "_v")
+    at = lambda prc: F.greatest(F.lit(1.0), F.least(F.col("total").cast("double"), prc / 100 * F.col("total") + 0.5))
+    last = F.col("before") + F.col("n")
+    here = lambda prc: (F.floor(at(prc)) > F.col("before")) & (F.floor(at(prc)) <= last)
+    hit = places.withColumn("prc", F.explode(F.filter(F.array(*(F.lit(float(p)) for p in percents)), here))).withColumn("_at", at(F.col("prc")))
+    above = F.when(F.floor("_at") + 1 <= last, F.col("_v")).otherwise(F.col("next"))
+    line = F.col("_v") + F.coalesce(above - F.col("_v"), F.lit(0.0)) * (F.col("_at") - F.floor("_at"))
     return hit.select(*keys, "prc", line.alias(name))
 
 
@@ -37,10 +39,11 @@ def described(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def mid_ranks(df: DataFrame, keys: list[str], value: str, name: str = "rank") -> DataFrame:
     """df with the rank of value within keys, equals sharing the mean of their ranks, and `ties`, how many are equal."""
-    same = Window.partitionBy(*keys, value)
-    ties = F.count("*").over(same)
-    rank = F.rank().over(Window.partitionBy(*keys).orderBy(value))
-    return df.withColumn("ties", ties).withColumn(name, rank + (F.col("ties") - 1) / 2)
+    places = value_places(df.select(*keys, value), keys, value).select(*(F.col(c).alias(f"_p_{c}") for c in (*keys, value)), F.col("n").alias("ties"), (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+    match = F.lit(True)
+    for c in (*keys, value):
+        match = match & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
+    return df.join(places, match).drop(*(f"_p_{c}" for c in (*keys, value)))
 
 
 def signed_rank(df: DataFrame, keys: list[str], x: str, y: str, exact_pairs: int = EXACT_PAIRS, p_values: bool = True, digits: int = 9) -> DataFrame:
@@ -50,7 +53,8 @@ def signed_rank(df: DataFrame, keys: list[str], x: str, y: str, exact_pairs: int
     over all signs up to exact_pairs used pairs, else normal with ties and half a step of continuity. Direction: 0 unless
     p < 0.05; else 1 where y's median is greater, -1 where less; of equal medians by the greater rank sum.
     """
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_d", F.round(F.col(x) - F.col(y), digits))
+    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y, F.round(F.col(x) - F.col(y), digits).alias("_d"))
+    pairs = stored(pairs)  # read by the medians, the counts of equal differences and their ranks
     medians = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.median(x).alias("x_median"), F.median(y).alias("y_median"))
     used = pairs.filter("_d <> 0").select(*keys, "_d", F.abs("_d").alias("_a"))
     ranked = mid_ranks(used, keys, "_a", "_rank")
@@ -132,14 +136,14 @@ def two_way_anova(df: DataFrame, keys: list[str], a: str, b: str, value: str, p_
 
 def lilliefors(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Greatest gap of the standardised values' distribution from the normal one, its 5 % critical value, and whether it is normal."""
-    w = Window.partitionBy(*keys)
-    z = (F.col(value) - F.avg(value).over(w)) / F.stddev_samp(value).over(w)
-    ranked = df.filter(F.col(value).isNotNull()).withColumns({"_z": z, "_i": F.row_number().over(w.orderBy(value)), "_n": F.count("*").over(w)})
     from trialspark.operators.rates import cumulative_kernel
 
-    cdf = cumulative_kernel(F.col("_z"), 1.0, 8.0, 4000)
-    gap = F.greatest(F.abs(F.col("_i") / F.col("_n") - cdf), F.abs(cdf - (F.col("_i") - 1) / F.col("_n")))
-    out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.max(gap).alias("d"))
+    kept = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    moments = kept.groupBy(*keys).agg(F.avg("_v").alias("_mean"), F.stddev_samp("_v").alias("_sd"))
+    placed = value_places(kept, keys, "_v").join(moments, keys)
+    cdf = cumulative_kernel((F.col("_v") - F.col("_mean")) / F.when(F.col("_sd") > 0, F.col("_sd")), 1.0, 8.0, 4000)
+    gap = F.greatest(F.abs((F.col("before") + F.col("n")) / F.col("total") - cdf), F.abs(cdf - F.col("before") / F.col("total")))
+    out = placed.groupBy(*keys).agg(F.max("total").alias("n"), F.max(gap).alias("d"))
     critical = 0.895 / (F.sqrt("n") - 0.01 + 0.85 / F.sqrt("n"))  # the published approximation of the 5 % table
     return out.withColumn("critical", critical).withColumn("normal", F.col("d") <= F.col("critical"))
 
@@ -204,6 +208,26 @@ def normalised(df: DataFrame, keys: list[str], value: str, reference: Column, na
     return df.withColumn(name, F.when(mean != 0, F.col(value) / mean))
 
 
+def rescaled_to(df: DataFrame, reference: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """df with value scaled so that its mean (by keys, or of all) becomes the reference's."""
+    if keys:
+        means = df.groupBy(*keys).agg(F.avg(value).alias("_own")).join(reference.groupBy(*keys).agg(F.avg(value).alias("_other")), keys)
+        joined = df.join(means, keys)
+    else:
+        own, other = (t.agg(F.avg(value).alias("m")).scalar() for t in (df, reference))
+        joined = df.withColumn("_own", own).withColumn("_other", other)
+    return joined.withColumn(name, F.when(F.col("_own") != 0, F.col(value) / F.col("_own") * F.col("_other"))).drop("_own", "_other")
+
+
+def distribution(df: DataFrame, keys: list[str], value: str, width: float, n_edges: int = 20) -> DataFrame:
+    """Share of values by keys and cell of a width, with how many of the equal-population edges lie below the cell's end."""
+    cells = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.floor(F.col(value) / width).cast("int").alias("cell")).agg(F.count("*").alias("_n"))
+    edges = hazen(df, keys, value, [100.0 * k / n_edges for k in range(n_edges + 1)], "_edge").groupBy(*keys).agg(F.collect_list("_edge").alias("_edges"))
+    below = F.size(F.filter("_edges", lambda e: e < (F.col("cell") + 1) * F.lit(float(width)))).alias("edges_below")
+    share = (F.col("_n") / F.sum("_n").over(Window.partitionBy(*keys))).alias("share")
+    return cells.join(edges, keys).select(*keys, "cell", share, below)
+
+
 def scorecard(df: DataFrame, keys: list[str], x: str, y: str, direction: str) -> DataFrame:
     """Medians and quartiles of both sides, how many went up, down or neither, and how many lack a side."""
     return df.groupBy(*keys).agg(

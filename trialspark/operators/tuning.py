@@ -26,9 +26,18 @@ def equal_population_bins(samples: DataFrame, keys: list[str], value: str, n_bin
 
 def signed_bins(samples: DataFrame, keys: list[str], value: str, n_bins: int = 20) -> DataFrame:
     """Bins of all values, of those above 0 and of those below, told by `mode`: all, acc or dec."""
+    return equal_population_bins(by_mode(samples, value), [*keys, "mode"], value, n_bins)
+
+
+def by_mode(samples: DataFrame, value: str) -> DataFrame:
+    """Each sample under mode all, and under acc (above 0) or dec (below)."""
     modes = F.array(*(F.when(c, F.lit(m)) for m, c in (("all", F.lit(True)), ("acc", F.col(value) > 0), ("dec", F.col(value) < 0))))
-    spread = samples.withColumn("mode", F.explode(F.array_compact(modes)))
-    return equal_population_bins(spread, [*keys, "mode"], value, n_bins)
+    return samples.withColumn("mode", F.explode(F.array_compact(modes)))
+
+
+def tagged(curves: DataFrame, tests: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Tuning curves (or records) with columns of the tests (significance, direction) of their keys."""
+    return curves.join(tests.select(*keys, *columns), keys)
 
 
 def scaled_by_gain(samples: DataFrame, gains: DataFrame, keys: list[str], speed: str, name: str = "tf") -> DataFrame:
