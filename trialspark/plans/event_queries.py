@@ -161,16 +161,15 @@ def f10_heatmap(spark, d):
     e = events(spark, d)
     triggers = e.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("trigger_id"), F.col("t").alias("t0"))
     around = intervals.raster(e.select("user_id", "value", "t"), triggers, ["user_id"], 2 * DAY, 2 * DAY)
-    out = rounded(rates.heatmap(around, ["user_id"], "lag", "value", (-DAY, 0), (0, DAY)), "baseline", "response", digits=8).withColumn("delta", F.round(F.col("response") - F.col("baseline"), 4))
-    from pyspark.sql import Window
-
-    return out.withColumn("place", F.row_number().over(Window.orderBy("delta", "user_id")))
+    out = rounded(rates.responses_within(around, ["user_id"], "lag", "value", (-DAY, 0), (0, DAY)), "baseline", "response", digits=8)
+    return rates.response_order(out.withColumn("delta", F.round(F.col("response") - F.col("baseline"), 4)), ["user_id"])
 
 
 _KERNEL = f"{rates._table(3600.0, 86400.0, 1000)}"
 
 
-@query(f"""{E}, {_ISLANDS}, v AS (SELECT user_id, start - 7200 AS w0, "end" + 7200 AS w1 FROM i WHERE island % 2 = 0),
+@query(f"""{E}, {_ISLANDS}, a AS (SELECT user_id, start - 7200 AS w0, "end" + 7200 AS w1 FROM i), b AS (SELECT *, (w0 > coalesce(max(w1) OVER (PARTITION BY user_id ORDER BY w0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w0 - 1))::INT AS new FROM a),
+o AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY w0) AS k FROM b), v AS (SELECT user_id, min(w0) AS w0, max(w1) AS w1 FROM o GROUP BY user_id, k),
 c AS (SELECT v.user_id, v.w0, v.w1, e.t, greatest(0, least(1000, (w1 - t + 86400) * (1000 / 172800.0::DOUBLE))) AS hi, greatest(0, least(1000, (w0 - t + 86400) * (1000 / 172800.0::DOUBLE))) AS lo
 FROM v JOIN e ON e.user_id = v.user_id AND e.t >= w0 - 86400 AND e.t <= w1 + 86400),
 k AS (SELECT {_KERNEL} AS a),
@@ -180,9 +179,9 @@ s AS (SELECT user_id, sum(mass) AS mass FROM m GROUP BY 1), g AS (SELECT user_id
 SELECT user_id, round(dt, 4) AS dt, round(coalesce(mass, 0) / dt, 10) AS rate FROM g LEFT JOIN s USING (user_id)""")
 def f2_smoothed_means(spark, d):
     e = events(spark, d)
-    runs = segment.islands(e, ["user_id"], "t", F.col("value") > 20).filter("island % 2 = 0")
+    runs = segment.islands(e, ["user_id"], "t", F.col("value") > 20)
     windows = runs.select("user_id", (F.col("start") - 7200).alias("w0"), (F.col("end") + 7200).alias("w1"))
-    out = rates.smoothed_means(e, windows, ["user_id"], [], DAY, HOUR, DAY)
+    out = rates.smoothed_means(e, segment.merged(windows, ["user_id"]), ["user_id"], [], DAY, HOUR, DAY)
     return rounded(rounded(out, "dt", digits=4), "rate", digits=10)
 
 

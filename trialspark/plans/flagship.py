@@ -18,16 +18,14 @@ QUERIES, ORACLES = {}, {}
 def rates_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, event_type, stationary_fr, stationary_time, motion_fr and motion_time."""
     e = events(spark, sf_dir)
-    types = e.select("user_id", "event_type").distinct()
-    sides = []
-    for name, flag in (("stationary", F.col("value") <= 20), ("motion", F.col("value") > 20)):
-        runs = segment.islands(e, ["user_id"], "t", flag).select("user_id", F.col("start").alias("w0"), F.col("end").alias("w1"))
-        runs = runs.filter("w1 > w0")
-        hits = intervals.range_join(e.select("user_id", "event_type", "t"), runs, ["user_id"], "t", "w0", "w1", DAY, "both").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-        time = runs.groupBy("user_id").agg(F.sum(F.col("w1") - F.col("w0")).alias(f"{name}_time"))
-        rates = types.join(time, "user_id").join(hits, ["user_id", "event_type"], "left")
-        sides.append(rates.select("user_id", "event_type", (F.coalesce("n", F.lit(0)) / F.col(f"{name}_time")).alias(f"{name}_fr"), f"{name}_time"))
-    return sides[0].join(sides[1], ["user_id", "event_type"], "full")
+    state = F.when(F.col("value") > 20, "motion").when(F.col("value") <= 20, "stationary")
+    runs = segment.states(e, ["user_id"], "t", state).select("user_id", "state", F.col("start").alias("w0"), F.col("end").alias("w1")).filter("w1 > w0")
+    within = intervals.range_join(e.select("user_id", "event_type", "t"), runs, ["user_id"], "t", "w0", "w1", DAY, "both")
+    spikes = within.groupBy("user_id", "event_type").agg(*(F.count_if(F.col("state") == s).alias(f"_{s}") for s in ("stationary", "motion")))
+    times = runs.groupBy("user_id").agg(*(F.sum(F.when(F.col("state") == s, F.col("w1") - F.col("w0"))).alias(f"{s}_time") for s in ("stationary", "motion")))
+    out = e.select("user_id", "event_type").distinct().join(times, "user_id").join(spikes, ["user_id", "event_type"], "left")
+    rates = [(F.coalesce(f"_{s}", F.lit(0)) / F.col(f"{s}_time")).alias(f"{s}_fr") for s in ("stationary", "motion")]
+    return out.select("user_id", "event_type", rates[0], "stationary_time", rates[1], "motion_time")
 
 
 def f14_stationary_motion(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialspark.operators import glm, intervals, rates, rf, segment, select, signals, stats, tuning
 from trialspark.plans.event_queries import DAY, E, HOUR, events, rounded
-from trialspark.plans.table_queries import table
+from trialspark.plans.table_queries import _hazen_sql, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -50,12 +50,12 @@ def g17_synchronized(spark, d):
     return rounded(out.select("user_id", "event_id", "probe_t"), "probe_t", digits=4)
 
 
-@query(f"""{E}, r AS (SELECT user_id, event_id AS low, event_id + 40 AS high FROM e WHERE event_type = 'error' AND event_id % 50 = 0)
+@query(f"""{E}, r AS (SELECT user_id, event_id AS low, event_id + 40 AS high FROM e WHERE event_type = 'error')
 SELECT e.event_id, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.user_id = e.user_id AND e.event_id BETWEEN low AND high) THEN -2.0::DOUBLE ELSE value END AS value FROM e""")
 def g24_blanked(spark, d):
     e = events(spark, d)
-    ranges = e.filter("event_type = 'error' AND event_id % 50 = 0").select("user_id", F.col("event_id").alias("low"), (F.col("event_id") + 40).alias("high"))
-    return segment.blank(e, ranges, ["user_id"], "event_id", "value", -2.0).select("event_id", "value")
+    ranges = e.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("low"), (F.col("event_id") + 40).alias("high"))
+    return segment.blank(e, ranges, ["user_id"], "event_id", "value", -2.0, 40).select("event_id", "value")
 
 
 @query(f"{E} SELECT user_id, max(value) AS reach, CASE WHEN max(value) > 90 THEN 'long' ELSE 'short' END AS length_class FROM e GROUP BY 1")
@@ -63,12 +63,12 @@ def g25_trial_lengths(spark, d):
     return segment.trial_lengths(events(spark, d), ["user_id"], "value")
 
 
-@query(f"""{E}, i AS (SELECT user_id, event_id AS trial, event_id AS s, event_id + 200 AS f FROM e WHERE event_type = 'signup' AND event_id % 3 = 0)
+@query(f"""{E}, i AS (SELECT user_id, event_id AS trial, event_id AS s, event_id + 200 AS f FROM e WHERE event_type = 'signup')
 SELECT i.user_id, i.trial, e.event_id, e.event_id - s AS "offset" FROM i JOIN e ON i.user_id = e.user_id AND e.event_id BETWEEN s AND f""")
 def p1_trial_slices(spark, d):
     e = events(spark, d).select("user_id", "event_id", "event_type")
-    trials = e.filter("event_type = 'signup' AND event_id % 3 = 0").select("user_id", F.col("event_id").alias("trial"), F.col("event_id").alias("start_idx"), (F.col("event_id") + 200).alias("end_idx"))
-    return segment.slices(e, trials, ["user_id"], "event_id").select("user_id", "trial", "event_id", "offset")
+    trials = e.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("trial"), F.col("event_id").alias("start_idx"), (F.col("event_id") + 200).alias("end_idx"))
+    return segment.slices(e, trials, ["user_id"], "event_id", 200).select("user_id", "trial", "event_id", "offset")
 
 
 @query(f"""{E}, s AS (SELECT user_id, event_id, t AS t0 FROM e WHERE event_type = 'signup'), g AS (SELECT unnest(range(-4, 5)) AS step), p AS (SELECT s.user_id, step, t0 + step * 21600.0::DOUBLE AS at FROM s, g),
@@ -181,7 +181,9 @@ def m2_signed_modes(spark, d):
     return rounded(e.withColumn("mode", F.explode(modes)).groupBy("g", "mode").agg(F.count("*").alias("n"), F.avg("v").alias("mean")), "mean", digits=8)
 
 
-@query()
+@query(f"""{E}, s AS (SELECT user_id % 10 AS g, value - 20 AS v FROM e), m AS (SELECT g, 'all' AS mode, v FROM s UNION ALL SELECT g, 'acc', v FROM s WHERE v > 0 UNION ALL SELECT g, 'dec', v FROM s WHERE v < 0),
+{_hazen_sql('m', 'g, mode', 'v', 'list_transform(range(0, 6), lambda k: 100.0::DOUBLE * k / 5)')}, b AS (SELECT g, mode, row_number() OVER w AS bin, value AS lo, lead(value) OVER w AS hi FROM q WINDOW w AS (PARTITION BY g, mode ORDER BY prc))
+SELECT g, mode, bin::INT AS bin, round(lo, 6) AS lo, round(hi, 6) AS hi, round((lo + hi) / 2, 6) AS center FROM b WHERE bin <= 5""")
 def m2_signed_bins(spark, d):
     e = events(spark, d).select((F.col("user_id") % 10).alias("g"), (F.col("value") - 20).alias("v"))
     return rounded(tuning.signed_bins(e, ["g"], "v", 5), "lo", "hi", "center")

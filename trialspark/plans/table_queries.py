@@ -67,13 +67,13 @@ _CELLS = "c AS (SELECT l_suppkey, floor(l_quantity / 5)::INT AS x, round(avg(l_e
 
 
 @query(f"""WITH {_CELLS}, k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY x, y) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM c),
-s AS (SELECT l_suppkey, x, n, i, unnest(range(0, 50)) AS rep FROM k), a AS (SELECT *, (rep * 48271 + i * 69621 + 29152) % 2147483647 AS a FROM s),
+s AS (SELECT l_suppkey, x, n, i, unnest(range(0, 1000)) AS rep FROM k), a AS (SELECT *, (rep * 48271 + i * 69621 + 29152) % 2147483647 AS a FROM s),
 b AS (SELECT *, floor(((a * 39373 + a % 65536 * 7 + 1) % 2147483647 * 16807 % 2147483647) * n / 2147483647.0::DOUBLE)::BIGINT AS j FROM a),
 f AS (SELECT b.l_suppkey, b.rep, regr_r2(k.y, b.x) AS r FROM b JOIN k ON k.l_suppkey = b.l_suppkey AND k.i = b.j GROUP BY 1, 2), r AS (SELECT l_suppkey, regr_r2(y, x) AS r2, count(*) AS n FROM c GROUP BY 1)
-SELECT r.l_suppkey, round(any_value(r2), 8) AS r2, any_value(n) AS n, round(sum((r > r2)::INT) / 50, 6) AS p FROM f JOIN r USING (l_suppkey) GROUP BY 1""")
+SELECT r.l_suppkey, round(any_value(r2), 8) AS r2, any_value(n) AS n, round(sum((r > r2)::INT) / 1000, 6) AS p FROM f JOIN r USING (l_suppkey) GROUP BY 1""")
 def m9_shuffled_fits(spark, d):
     cells = table(spark, d, "lineitem").groupBy("l_suppkey", F.floor(F.col("l_quantity") / 5).cast("int").alias("x")).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("y"))
-    out = tuning.shuffled_fits(cells, ["l_suppkey"], "x", "y", reps=50)
+    out = tuning.shuffled_fits(cells, ["l_suppkey"], "x", "y")
     return rounded(rounded(out.drop("slope"), "r2", digits=8), "p")
 
 
@@ -158,8 +158,8 @@ def a17_win_shares(spark, d):
 
 @query("""SELECT p_partkey, (SELECT min_by(s_suppkey, (abs(s_acctbal - p_retailprice), s_acctbal)) FROM supplier) AS near_s_suppkey FROM part""")
 def j7_nearest(spark, d):
-    parts = table(spark, d, "part").select("p_partkey", "p_retailprice").withColumn("one", F.lit(1))
-    found = intervals.nearest(parts, table(spark, d, "supplier").select(F.lit(1).alias("one"), "s_suppkey", "s_acctbal"), ["one"], "p_retailprice", "s_acctbal")
+    parts = table(spark, d, "part").select("p_partkey", "p_retailprice")
+    found = intervals.nearest(parts, table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), [], "p_retailprice", "s_acctbal")
     return found.select("p_partkey", "near_s_suppkey")
 
 
