@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from trialspark.operators import anatomy, glm, rates, segment, select, stats, tuning
+from trialspark.operators import anatomy, glm, rates, rf, segment, select, signals, stats, tuning
 from trialspark.sources import readers
 
 
@@ -152,3 +152,70 @@ def test_readers_of_metadata_ranges_and_sequences(spark, tmp_path):
     seq = spark.createDataFrame([("s", [3, 1])], "session_id string, sequence array<int>")
     assert rows(readers.sequence_of_stimuli(seq), "trial_id", "stim") == [(1, 3), (2, 1)]
     assert select.empty(spark, "a int, b string").columns == ["a", "b"]
+
+
+def test_models_side_by_side(spark):
+    fits = spark.createDataFrame([(1, "Null", 0.1), (1, "Additive", 0.4), (1, "Selected", 0.3), (2, "Null", 0.0), (2, "Selected", 0.2)], "u int, model string, cv_bits double")
+    assert rows(glm.model_deltas(fits, ["u"]), "u", "delta_Additive", "delta_Selected") == [(1, pytest.approx(0.3), pytest.approx(0.2)), (2, None, pytest.approx(0.2))]
+    p = spark.createDataFrame([(1, m, b, float(b), float(b) * s) for m, s in (("Selected", 1), ("Additive", -1)) for b in range(4)], "u int, model string, bin int, observed double, predicted double")
+    assert rows(glm.compared_predictions(p, ["u"], "bin"), "Selected_r", "Additive_r") == [(pytest.approx(1.0), pytest.approx(-1.0))]
+    c = spark.createDataFrame([("g", "V_only"), ("g", "V_only"), ("g", "none"), ("h", "none")], "g string, category string")
+    assert rows(glm.categories(c, ["g"]), "g", "category", "n", "share") == [("g", "V_only", 2, pytest.approx(2 / 3)), ("g", "none", 1, pytest.approx(1 / 3)), ("h", "none", 1, 1.0)]
+    t = glm.trial_rates(p.withColumn("trial", F.col("bin") % 2), ["u", "model"], "trial").filter("model = 'Selected'")
+    assert rows(t, "trial", "observed", "predicted", "n_bins") == [(0, 1.0, 1.0, 2), (1, 2.0, 2.0, 2)]
+    scores = spark.createDataFrame([(k, float(k)) for k in range(6)], "u int, cv_bits double").withColumn("one", F.lit(1))
+    selection = spark.createDataFrame([(k, t) for k in range(5) for t in ("speed", "tf")] + [(5, "speed")], "u int, term string")
+    assert rows(glm.best_units(scores, selection, ["u"], ["one"], most=2), "u", "place") == [(3, 2), (4, 1)]
+    facts = glm.tuning_facts(spark.createDataFrame([(1, 2.0)], "trial int, center double"), spark.createDataFrame([(1, 0.08, 3.0)], "trial int, sf double, gain double"), ["trial"])
+    assert rows(facts, "sf", "tf") == [(0.08, 6.0)]
+
+
+def test_result_tables_are_written(spark, tmp_path):
+    glm.save_results({"coefficients": spark.createDataFrame([(1, [0.5])], "u int, beta array<double>")}, str(tmp_path / "out"))
+    assert spark.read.csv(str(tmp_path / "out/coefficients"), header=True).collect()[0].beta == "[0.5]"
+
+
+def test_column_profiles_are_linear_between_electrodes(spark):
+    df = spark.createDataFrame([("p", 0, 0.0, 1.0), ("p", 0, 10.0, 11.0), ("p", 1, 5.0, 3.0), ("p", 1, 8.0, 3.0)], "probe string, col int, depth double, power double")
+    out = {(r.col, r.depth): (r.power, r.smooth) for r in signals.column_profiles(df, ["probe"], "col", "depth", "power", smooth=2).collect()}
+    assert len(out) == 11 + 4 and all(out[(0, float(k))] == (pytest.approx(1 + k), pytest.approx(1 + k)) for k in range(11)) and out[(1, 6.0)][0] == 3.0
+
+
+def test_displays_and_frames(spark):
+    frames = spark.createDataFrame([(1, [0, 1, -1]), (2, [0, 0, 1])], "stim int, grid array<int>")
+    assert rows(rf.sparse_frames(frames), "stim", "cell", "polarity") == [(1, 1, 1), (1, 2, -1), (2, 2, 1)]
+    sta = spark.createDataFrame([(1, c, 1, d, float(c * s)) for c in range(4) for d, s in (("monitor", 2), ("goggles", 3))], "unit int, cell int, polarity int, display string, sta double")
+    assert rows(rf.compared_displays(sta, ["unit"], "display", "monitor", "goggles"), "r", "monitor_peak", "goggles_peak", "n_cells") == [(pytest.approx(1.0), 6.0, 9.0, 4)]
+    counts = rf.pooled(spark.createDataFrame([("a", 1, 2), ("b", 1, 3)], "session string, stim int, n int"), "session")
+    assert counts.select("stim").distinct().count() == 2
+
+
+def test_asymmetric_fit_of_its_own_shape(spark):
+    import numpy as np
+
+    x = np.linspace(0, 20, 20)
+    y = tuning._shape("asymmetric", np.array([5.0, 8.0, 6.0, 20.0, 1.0]), x)
+    out = tuning.asymmetric_fits(spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(x, y, strict=True)], "u int, x double, y double"), ["u"], "x", "y").collect()[0]
+    assert out.r2 > 0.99 and out.rmse < 0.2
+
+
+def test_export_rows_and_ratios(spark):
+    clusters = spark.createDataFrame([("p", 0, 1, 150.0), ("p", 1, 2, 150.0), ("p", 0, 3, 900.0)], "probe string, shank_id int, cluster_id int, from_tip double")
+    layers = spark.createDataFrame([("p", 0, "5", 100.0, 300.0), ("p", 1, "4", 0.0, 200.0)], "probe string, shank_id int, region string, lower double, upper double")
+    keys = ["probe", "shank_id"]
+    assert rows(anatomy.cluster_rows(clusters, layers, keys), "cluster_id", "region", "relative", "from_upper") == [(1, "5", 0.75, 150.0), (2, "4", 0.25, 50.0), (3, None, None, None)]
+    assert rows(anatomy.anatomy_rows(layers, keys, ["4", "5"]), "shank_id", "4", "5") == [(0, None, 200.0), (1, 200.0, None)]
+    good = spark.createDataFrame([("p", 1), ("p", 2)], "probe string, cluster_id int")
+    assert rows(anatomy.depths_of_good(clusters, good, ["probe", "cluster_id"], 0), "cluster_id", "from_tip") == [(1, 150.0)]
+    spikes = spark.createDataFrame([(1, 2.0), (1, 4.0), (1, 9.0)], "cluster_id int, amplitude double")
+    assert rows(anatomy.amplitude_ratio(spikes, ["cluster_id"]), "ratio") == [(2.0,)]
+
+
+def test_camera_table_prefers_the_fast_copy(spark, tmp_path):
+    for name in ("fast", "slow"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "energy.csv").write_text(f"frame,energy\n0,{len(name)}.5\n" if name == "slow" else "frame,energy\n")
+    schema = "frame int, energy double"
+    paths = [str(tmp_path / "none"), str(tmp_path / "fast"), str(tmp_path / "slow")]
+    assert rows(readers.camera_table(spark, paths, schema), "frame", "energy") == [(0, 4.5)]
+    assert readers.camera_table(spark, paths[:1], schema).count() == 0

@@ -27,6 +27,29 @@ def relative_depths(clusters: DataFrame, intervals: DataFrame, keys: list[str],
     return out.withColumn("relative", F.when(F.col("_times") == 1, share)).drop("_times")
 
 
+def depths_of_good(clusters: DataFrame, good: DataFrame, keys: list[str], shank: int, depth: str = "from_tip") -> DataFrame:
+    """Depths of the good units on a shank."""
+    return clusters.filter(F.col("shank_id") == shank).join(good.select(*keys), keys, "left_semi").select(*keys, depth)
+
+
+def cluster_rows(clusters: DataFrame, intervals: DataFrame, keys: list[str], depth: str = "from_tip") -> DataFrame:
+    """Export rows of clusters by probe and shank: region, relative depth within it and distance from the region's upper edge."""
+    out = relative_depths(clusters, intervals, keys, depth)
+    return out.withColumn("from_upper", F.col("upper") - F.col(depth)).drop("lower", "upper")
+
+
+def anatomy_rows(intervals: DataFrame, keys: list[str], layers: list[str]) -> DataFrame:
+    """Export rows of probes: thickness of each layer, a column for each."""
+    thick = F.col("upper") - F.col("lower")
+    return intervals.groupBy(*keys).agg(*(F.sum(F.when(F.col("region") == r, thick)).alias(r) for r in layers))
+
+
+def amplitude_ratio(spikes: DataFrame, keys: list[str], amplitude: str = "amplitude") -> DataFrame:
+    """Median over least amplitude of each cluster's spikes."""
+    least = F.min(amplitude)
+    return spikes.groupBy(*keys).agg(F.when(least != 0, F.median(amplitude) / least).alias("ratio"))
+
+
 def depth_code(depth, brain: float, tip: float):
     """Codes for depths above the brain or beyond the track, null between."""
     return F.when(depth > brain, ABOVE).when(depth < tip, BEYOND)

@@ -184,6 +184,51 @@ def model_curve(fits: DataFrame, keys: list[str], basis: Column, grid: list[floa
     return points.select(*keys, "model", "x", F.least(F.lit(CAP_HZ), F.exp(F.get("beta", F.lit(0)) + dot)).alias("rate"))
 
 
+def model_deltas(fits: DataFrame, keys: list[str], score: str = "cv_bits", base: str = "Null") -> DataFrame:
+    """Per unit the score of each fitted model less that of the base model, a column delta_<model> for each."""
+    names = [r[0] for r in fits.select("model").distinct().orderBy("model").collect() if r[0] != base]  # a handful of models
+    take = lambda m: F.max(F.when(F.col("model") == m, F.col(score)))
+    return fits.groupBy(*keys).agg(*((take(m) - take(base)).alias(f"delta_{m}") for m in names))
+
+
+def compared_predictions(predictions: DataFrame, keys: list[str], bin_: str, models: tuple[str, str] = ("Selected", "Additive")) -> DataFrame:
+    """Correlation and r2 of two models' predicted tuning with the observed one, side by side (predictions: keys, model, bin, observed, predicted)."""
+    each = observed_predicted(predictions.filter(F.col("model").isin(*models)), [*keys, "model"], bin_)
+    take = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{m}_{c}")
+    return each.groupBy(*keys).agg(*(take(m, c) for m in models for c in ("r", "r2")))
+
+
+def categories(classified: DataFrame, by: list[str]) -> DataFrame:
+    """How many units are in each category, and their share of all, by columns (a group, a spiking class)."""
+    n = classified.groupBy(*by, "category").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
+
+
+def tuning_facts(curves: DataFrame, stimuli: DataFrame, keys: list[str]) -> DataFrame:
+    """Tuning by bin beside the stimulus's attributes (stimuli: keys, sf, orientation, gain), speed as tf where there is a gain."""
+    return curves.join(stimuli, keys, "left").withColumn("tf", F.col("center") * F.col("gain"))
+
+
+def trial_rates(predictions: DataFrame, keys: list[str], trial: str) -> DataFrame:
+    """Mean observed and predicted rate of every trial."""
+    return predictions.groupBy(*keys, trial).agg(F.avg("observed").alias("observed"), F.avg("predicted").alias("predicted"), F.count("*").alias("n_bins"))
+
+
+def best_units(scores: DataFrame, selection: DataFrame, keys: list[str], by: list[str], score: str = "cv_bits", least_terms: int = 2, most: int = 4) -> DataFrame:
+    """The `most` units of each group with the greatest score among those that encode least_terms variables or more."""
+    many = selection.filter("term IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("n_terms")).filter(F.col("n_terms") >= least_terms)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), *keys))
+    return scores.join(many, keys).withColumn("place", place).filter(F.col("place") <= most)
+
+
+def save_results(tables: dict[str, DataFrame], path: str, overwrite: bool = False) -> None:
+    """Coefficients, comparisons, selection history and bins, each as a CSV below path."""
+    from trialspark.sources.writers import save_csv
+
+    for name, table in tables.items():
+        save_csv(table, f"{path.rstrip('/')}/{name}", overwrite=overwrite)
+
+
 def encoded_counts(selection: DataFrame, keys: list[str]) -> DataFrame:
     """How many units encode each variable, of all."""
     total = F.count_distinct(F.struct(*keys))

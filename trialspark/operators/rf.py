@@ -30,6 +30,23 @@ def sparse_average(counts: DataFrame, cells: DataFrame, keys: list[str]) -> Data
     return counts.join(cells, "stim").groupBy(*keys, "cell", "polarity").agg(F.avg("n").alias("sta"), F.count("*").alias("n_frames"))
 
 
+def sparse_frames(frames: DataFrame) -> DataFrame:
+    """(stim, cell, polarity) of every cell that a stimulus shows; frames: stim and grid (array of -1, 0 and 1 by cell)."""
+    return frames.select("stim", F.posexplode("grid").alias("cell", "polarity")).filter("polarity <> 0")
+
+
+def compared_displays(sta: DataFrame, keys: list[str], display: str, x: str, y: str) -> DataFrame:
+    """Per unit and polarity the correlation of the averages under two displays, cell by cell, and both greatest values."""
+    side = lambda name, s: sta.filter(F.col(display) == name).select(*keys, "cell", "polarity", F.col("sta").alias(s))
+    both = side(x, "x").join(side(y, "y"), [*keys, "cell", "polarity"])
+    return both.groupBy(*keys, "polarity").agg(F.corr("x", "y").alias("r"), F.max("x").alias(f"{x}_peak"), F.max("y").alias(f"{y}_peak"), F.count("*").alias("n_cells"))
+
+
+def pooled(counts: DataFrame, session: str, stim: str = "stim") -> DataFrame:
+    """Stimulus counts of several sessions as one: a stimulus is told apart by its session too."""
+    return counts.withColumn(stim, F.struct(F.col(session), F.col(stim)))
+
+
 def permutation_null(counts: DataFrame, cells: DataFrame, keys: list[str], reps: int = 100, seed: int = 1) -> DataFrame:
     """Mean and deviation over reps of the sparse average with counts dealt to other stimuli, by cell and polarity."""
     w = Window.partitionBy(*keys)

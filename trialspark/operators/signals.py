@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialspark.operators.intervals import interpolated
+
 
 def butterworth_sections(order: int, cutoff: float, rate: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sections (b, a) of a low-pass Butterworth filter by the bilinear transform."""
@@ -93,6 +95,16 @@ def moving_average(df: DataFrame, keys: list[str], order: str, value: str, half:
     return out.withColumn(name, options).drop("_i", "_n", "_sum")
 
 
+def column_profiles(profile: DataFrame, keys: list[str], column: str, depth: str, power: str, step: float = 1.0, smooth: int = 25) -> DataFrame:
+    """Power along each electrode column (keys, column) on a grid of depths `step` apart between its ends, linear between
+    electrodes, and its mean over `smooth` grid places to either side."""
+    ends = profile.groupBy(*keys, column).agg(F.min(depth).alias("_low"), F.max(depth).alias("_high"))
+    places = F.sequence(F.lit(0), F.floor((F.col("_high") - F.col("_low")) / step).cast("int"))
+    grid = ends.withColumn("_k", F.explode(places)).select(*keys, column, (F.col("_low") + F.col("_k") * F.lit(float(step))).alias(depth))
+    filled = interpolated(grid, profile.select(*keys, column, F.col(depth).cast("double").alias(depth), power), [*keys, column], depth, power, power)
+    return moving_average(filled, [*keys, column], depth, power, smooth)
+
+
 def peak_depth(profile: DataFrame, keys: list[str], depth: str, power: str, low: float, high: float) -> DataFrame:
     """Depth of the greatest mean power within a range, of equals the lowest."""
     mean = profile.filter(F.col(depth).between(low, high)).groupBy(*keys, depth).agg(F.avg(power).alias("_p"))

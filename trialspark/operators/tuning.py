@@ -177,6 +177,13 @@ def selected_models(curve: DataFrame, keys: list[str], x: str, y: str, models: t
     return curve.groupBy(*keys).applyInPandas(one, f"{key_schema}, model string, parameters array<double>, r2 double, log_likelihood double, bic double, best boolean")
 
 
+def asymmetric_fits(curve: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """The asymmetric Gaussian by keys with its root mean square error; of keys with four known bins or more."""
+    fits = selected_models(curve, keys, x, y, ("asymmetric",)).drop("best", "model")
+    known = curve.dropna(subset=[x, y]).groupBy(*keys).agg(F.var_pop(y).alias("_var"))
+    return fits.join(known, keys).withColumn("rmse", F.sqrt(F.greatest((1 - F.col("r2")) * F.col("_var"), F.lit(0.0)))).drop("_var")
+
+
 def model_p(cells: DataFrame, best: DataFrame, keys: list[str], bin_: str, x: str, y: str, reps: int = 1000, blocks: int = 20, seed: int = 1) -> DataFrame:
     """p of the best model: the share of redrawn curves fitted as well or better; repetitions spread over blocks."""
     key_schema = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys)

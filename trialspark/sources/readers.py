@@ -6,6 +6,7 @@ import io
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,26 @@ def table(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFr
     return spark.read.csv(path, schema=schema, header=True, sep=sep, nanValue="NaN", nullValue="NaN")
 
 
+def first_with_rows(*tables: DataFrame) -> DataFrame:
+    """The first of tables of one schema that has rows (a copy on the fast drive before the slow one's), else the last."""
+    for t in tables[:-1]:
+        if t.limit(1).count():
+            return t
+    return tables[-1]
+
+
+def camera_table(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """Motion energy, pupil or saccade CSVs below the first of paths that exists and has rows; empty where none does."""
+    found = []
+    for p in paths:
+        try:
+            found.append(table(spark, p, schema))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return first_with_rows(*found) if found else spark.createDataFrame([], schema)
+
+
 def single_values(spark: SparkSession, path: str) -> DataFrame:
     """Files of one number a line: file, value."""
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").try_cast("double").alias("value")).filter("value IS NOT NULL")
