@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialspark.operators.intervals import range_join
+
 #: Codes of places above the brain and beyond the track.
 ABOVE, BEYOND = -10, -11
 
 
-def regions_of(clusters: DataFrame, intervals: DataFrame, keys: list[str], depth: str = "from_tip") -> DataFrame:
+def regions_of(clusters: DataFrame, intervals: DataFrame, keys: list[str], depth: str = "from_tip", bucket: float = 500.0) -> DataFrame:
     """clusters with region, lower and upper of the interval that holds the depth: lower <= depth < upper."""
-    c, i = clusters.alias("c"), intervals.select(*keys, "region", "lower", "upper").alias("i")
-    on = [F.col(f"c.{k}") == F.col(f"i.{k}") for k in keys] + [F.col(f"c.{depth}") < F.col("i.upper"), F.col(f"c.{depth}") >= F.col("i.lower")]
-    match = on[0]
-    for x in on[1:]:
-        match = match & x
-    return c.join(i, match, "left").select("c.*", "i.region", "i.lower", "i.upper")
+    bounds = intervals.select(*keys, "region", "lower", "upper")
+    return range_join(clusters, bounds, keys, depth, "lower", "upper", bucket, "left", "left").select(*clusters.columns, "region", "lower", "upper")
 
 
 def relative_depths(clusters: DataFrame, intervals: DataFrame, keys: list[str], depth: str = "from_tip") -> DataFrame:
