@@ -246,11 +246,17 @@ def factor_lists(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     asks = asked.agg(F.collect_list("place").alias("places"), F.collect_list("single").alias("single"))
     ask = texts.join(asks, ["_key", "_tag"]).select("_key", "_tag", "_text", "places", "single")
     edges = stored(ask.mapInArrow(lambda b: _boundary_windows(b, window), "window long, key long, place long, single boolean"), "windows")
-    seen = edges.groupBy("window").agg(F.count("*").alias("n"), F.max("single").alias("any"), F.min(here).alias("low"), F.max(here).alias("high")).filter("n > 1 AND any")
-    found = edges.filter("single").join(seen.select("window", "low", "high"), "window").select("key", "place", other.alias("ref"))
-    each = whole.unionByName(found).groupBy(F.col("key").alias("_key"), tag_of.alias("_tag"), "place").agg(F.min("ref").alias("ref"))
-    told = each.groupBy("_key", "_tag").agg(F.collect_list(F.struct("place", F.col("ref.key").alias("k"), F.col("ref.place").alias("p"))).alias("found"))
-    return told.mapInArrow(lambda b: _factors_of(b, window), _FACTORS)
+    seen = edges.groupBy("window").agg(F.count("*").alias("n"), F.max("single").alias("any")).filter("n > 1 AND any").select("window")
+    matched = stored(edges.join(seen, "window"), "matched")  # few of all windows
+    places = matched.groupBy("window").agg(F.min(here).alias("low"), F.max(here).alias("high"))
+    found = matched.filter("single").join(places, "window").select("key", "place", other.alias("ref"))
+    # A row that is repeated wholly refers to one of the two ends in each of its copies, so its list is short.
+    told = whole.unionByName(found).groupBy(F.col("key").alias("_key"), tag_of.alias("_tag"))
+    told = told.agg(F.collect_set(F.struct("place", F.col("ref.key").alias("k"), F.col("ref.place").alias("p"))).alias("found"))
+    out = stored(told.mapInArrow(lambda b: _factors_of(b, window), _FACTORS), "factors")
+    for table in (index, contents, edges, matched):
+        discard(table)
+    return out
 
 
 def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
