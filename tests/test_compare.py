@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_queries import DIR, plain
+from tests.test_queries import DIR, QUERIES, plain
 from trialspark.operators import compare, intervals, ordered, segment, select, stats
-from trialspark.plans import compare_queries
+from trialspark.plans import compare_queries, tail_sql
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +30,15 @@ def test_same_rows_as_sql(spark, duck, name):
     assert mine and mine == sorted(tuple(plain(v) for v in r) for r in told)
 
 
+@pytest.mark.parametrize("name", sorted(tail_sql.ORACLES))
+def test_tails_kernels_and_spectra_as_sql(spark, duck, name):
+    df = QUERIES[name](spark, DIR)
+    names = sorted(df.columns)
+    mine = sorted(tuple(plain(r[c]) for c in names) for r in df.collect())
+    told = duck.execute(f"SELECT {', '.join(f'\"{c}\"' for c in names)} FROM ({tail_sql.ORACLES[name]})").fetchall()
+    assert mine and mine == sorted(tuple(plain(v) for v in r) for r in told)
+
+
 def test_places_of_values_and_ranks(spark):
     rng = random.Random(1)
     rows = [(rng.choice("ab"), rng.randrange(40)) for _ in range(500)] + [(None, 3), (None, 5), ("a", None)]

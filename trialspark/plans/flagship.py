@@ -39,7 +39,7 @@ def t2_stationary_vs_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t2_significant_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.signed_rank(rates_by_state(spark, sf_dir), ["event_type"], "stationary_fr", "motion_fr", digits=12), "z", "p")
+    return rounded(stats.signed_rank(rates_by_state(spark, sf_dir), ["event_type"], "stationary_fr", "motion_fr", digits=12), "z", "p").withColumns({c: F.round(c, 12) for c in ("x_median", "y_median")})
 
 
 _SIDE = """{n}_y AS (SELECT *, (f AND NOT coalesce(lag(f) OVER w, false))::INT AS s FROM (SELECT *, value {op} 20 AS f FROM e) WINDOW w AS (PARTITION BY user_id ORDER BY t)),
