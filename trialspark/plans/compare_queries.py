@@ -124,10 +124,10 @@ def t5_mismatch_ranks(spark, d):
 
 
 @query(f"""{E}, {_RESPONSES}, l AS (SELECT user_id % 5 AS unit, measure, v FROM resp UNPIVOT (v FOR measure IN (baseline, response, delta))),
-{_hazen_sql('l', 'unit, measure', 'v', '[25.0::DOUBLE, 50, 75]')} SELECT unit, measure, round(max(CASE WHEN prc = 25 THEN value END), 11) AS q1, round(max(CASE WHEN prc = 50 THEN value END), 11) AS median, round(max(CASE WHEN prc = 75 THEN value END), 11) AS q3 FROM q GROUP BY 1, 2""")
+{_hazen_sql('l', 'unit, measure', 'v', '[25.0::DOUBLE, 50, 75]')} SELECT unit, measure, round(max(CASE WHEN prc = 25 THEN value END), 11) + 0.0 AS q1, round(max(CASE WHEN prc = 50 THEN value END), 11) + 0.0 AS median, round(max(CASE WHEN prc = 75 THEN value END), 11) + 0.0 AS q3 FROM q GROUP BY 1, 2""")
 def t21_slip_quartiles(spark, d):
     out = compare.quartile_table(_responses(spark, d).withColumn("unit", F.col("user_id") % 5), ["unit"], ["baseline", "response", "delta"])
-    return rounded(out, "q1", "median", "q3", digits=11)
+    return out.withColumns({c: F.round(c, 11) + F.lit(0.0) for c in ("q1", "median", "q3")})  # no negative zeros
 
 
 @query(f"""WITH v AS (SELECT l_returnflag AS label, l_suppkey AS unit, s_nationkey, avg(CASE WHEN l_linestatus = 'F' THEN l_discount END) - avg(l_tax) AS delta FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
