@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ def hazen(df: DataFrame, keys: list[str], value: str, percents: list[float], nam
     at = lambda prc: F.greatest(F.lit(1.0), F.least(F.col("total").cast("double"), prc / 100 * F.col("total") + 0.5))
     last = F.col("before") + F.col("n")
     here = lambda prc: (F.floor(at(prc)) > F.col("before")) & (F.floor(at(prc)) <= last)
-    hit = places.withColumn("prc", F.explode(F.filter(F.array(*(F.lit(float(p)) for p in percents)), here))).withColumn("_at", at(F.col("prc")))
+    some = reduce(lambda x, y: x | y, (here(F.lit(float(p))) for p in percents))  # compiled, and true of few values
+    hit = places.filter(some).withColumn("prc", F.explode(F.filter(F.array(*(F.lit(float(p)) for p in percents)), here))).withColumn("_at", at(F.col("prc")))
     above = F.when(F.floor("_at") + 1 <= last, F.col("_v")).otherwise(F.col("next"))
     line = F.col("_v") + F.coalesce(above - F.col("_v"), F.lit(0.0)) * (F.col("_at") - F.floor("_at"))
     return hit.select(*keys, "prc", line.alias(name))
