@@ -200,3 +200,14 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: int = 1 << 23) ->
     for name, default, value in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", "67108864b", size)):
         if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of a text's UTF-8 bytes; null for null."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(c >> 8, ({table}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295)"
