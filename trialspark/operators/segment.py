@@ -1,7 +1,8 @@
 """Segmentation of sampled channels: edges, runs of a flag, sessions, trials, motion.
 
 A mask over samples is kept as the table of its runs. All operators work on every key at once: one shuffle by the keys
-and a sort by sample, which successive operators on the same keys share.
+and a sort by sample, which successive operators on the same keys share. Where a key may have any number of rows, such as
+a session of a fast channel, `span` cuts it to stretches of the order column (see `scan`); results are the same.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.operators.intervals import range_join
+from trialspark.operators.scan import Scan
 
 HIGH = 2.5
 
@@ -18,39 +20,38 @@ def _by(keys: list[str], order: str) -> Window:
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def edges(df: DataFrame, keys: list[str], order: str, flag: Column) -> DataFrame:
+def edges(df: DataFrame, keys: list[str], order: str, flag: Column, span: float | None = None) -> DataFrame:
     """The samples at which flag changes, with `edge` 1 (rising) or -1 (falling). A null flag is false."""
-    now = F.coalesce(flag, F.lit(False)).cast("int")
-    marked = df.withColumn("_now", now)
-    change = F.col("_now") - F.lag("_now").over(_by(keys, order))
-    return marked.withColumn("edge", change).filter("edge <> 0").drop("_now")
+    marked = df.withColumn("_now", F.coalesce(flag, F.lit(False)).cast("int"))
+    told = Scan(marked, keys, order, span).previous(_was=F.col("_now")).rows()
+    return told.withColumn("edge", F.col("_now") - F.col("_was")).filter("edge <> 0").drop("_now", "_was")
 
 
-def islands(df: DataFrame, keys: list[str], order: str, flag: Column, measures: dict[str, Column] | None = None) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], order: str, flag: Column, measures: dict[str, Column] | None = None, span: float | None = None) -> DataFrame:
     """The runs of true flags: keys, island (from 1), start and end (values of order), n samples, and measures."""
-    w = _by(keys, order)
-    marked = df.withColumn("_on", F.coalesce(flag, F.lit(False)))
-    new = (F.col("_on") & ~F.coalesce(F.lag("_on").over(w), F.lit(False))).cast("int")
-    numbered = marked.withColumn("_new", new).withColumn("island", F.sum("_new").over(w)).filter("_on")
+    marked = Scan(df.withColumn("_on", F.coalesce(flag, F.lit(False))), keys, order, span).previous(_was=F.col("_on"))
+    numbered = marked.derive(_new=(F.col("_on") & ~F.coalesce("_was", F.lit(False))).cast("int")).running(island=F.col("_new")).rows()
     more = [v.alias(k) for k, v in (measures or {}).items()]
-    return numbered.groupBy(*keys, "island").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n"), *more)
+    return numbered.filter("_on").groupBy(*keys, "island").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n"), *more)
 
 
-def merged(windows: DataFrame, keys: list[str], low: str = "w0", high: str = "w1") -> DataFrame:
+def merged(windows: DataFrame, keys: list[str], low: str = "w0", high: str = "w1", span: float | None = None) -> DataFrame:
     """Windows (keys, low, high) with those that overlap or touch made one."""
-    w = _by(keys, low)
-    before = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((F.col(low) > before).cast("int"), F.lit(1))
-    numbered = windows.select(*keys, low, high, new.alias("_new")).withColumn("_group", F.sum("_new").over(w))
+    told = Scan(windows.select(*keys, low, high), keys, low, span).running(F.max, _reach=F.col(high)).previous(_before=F.col("_reach"))
+    new = F.coalesce((F.col(low) > F.col("_before")).cast("int"), F.lit(1))
+    numbered = told.derive(_new=new).running(_group=F.col("_new")).rows()
     return numbered.groupBy(*keys, "_group").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("_group")
 
 
-def states(df: DataFrame, keys: list[str], order: str, state: Column) -> DataFrame:
+def _runs_of(df: DataFrame, keys: list[str], order: str, value: Column, run: str, span: float | None) -> Scan:
+    """df with `_v`, `_new` (whether a run of one value begins) and the number of its run."""
+    told = Scan(df.withColumn("_v", value), keys, order, span).previous(_was=F.struct(F.col("_v").alias("v")))
+    return told.derive(_new=(F.col("_was").isNull() | ~F.col("_v").eqNullSafe(F.col("_was.v"))).cast("int")).running(**{run: F.col("_new")})
+
+
+def states(df: DataFrame, keys: list[str], order: str, state: Column, span: float | None = None) -> DataFrame:
     """Runs of one state (any value; rows with a null one break runs): keys, state, run (from 1), start, end and n samples."""
-    w = _by(keys, order)
-    marked = df.withColumn("state", state)
-    new = (~F.col("state").eqNullSafe(F.lag("state").over(w)) | (F.row_number().over(w) == 1)).cast("int")
-    numbered = marked.withColumn("_new", new).withColumn("run", F.sum("_new").over(w)).filter(F.col("state").isNotNull())
+    numbered = _runs_of(df.withColumn("state", state), keys, order, F.col("state"), "run", span).rows().filter(F.col("state").isNotNull())
     return numbered.groupBy(*keys, "run", "state").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n"))
 
 
@@ -61,59 +62,55 @@ def long_runs(runs: DataFrame, least: float, rate: float = 1.0, strict: bool = F
     return out.filter(F.col("duration") > least if strict else F.col("duration") >= least)
 
 
-def flag_runs(df: DataFrame, keys: list[str], order: str, flag: Column, name: str, least: float, rate: float) -> DataFrame:
+def flag_runs(df: DataFrame, keys: list[str], order: str, flag: Column, name: str, least: float, rate: float, span: float | None = None) -> DataFrame:
     """df with the boolean `name`: whether the sample is in a run of flag that lasts at least `least`."""
-    w = _by(keys, order)
-    marked = df.withColumn("_on", F.coalesce(flag, F.lit(False)))
-    change = (F.col("_on") != F.coalesce(F.lag("_on").over(w), ~F.col("_on"))).cast("int")
-    numbered = marked.withColumn("_change", change).withColumn("_run", F.sum("_change").over(w))
-    run = Window.partitionBy(*keys, "_run")
-    duration = (F.max(order).over(run) - F.min(order).over(run)) / F.lit(float(rate))
-    return numbered.withColumn(name, F.col("_on") & (duration >= least)).drop("_on", "_change", "_run")
+    told = Scan(df.withColumn("_on", F.coalesce(flag, F.lit(False))), keys, order, span).previous(_was=F.col("_on")).following(_next=F.col("_on"))
+    change = lambda other: ~F.col("_on").eqNullSafe(F.col(other))
+    placed = told.held(_low=F.when(change("_was"), F.col(order))).awaited(_high=F.when(change("_next"), F.col(order))).rows()
+    duration = (F.col("_high") - F.col("_low")) / F.lit(float(rate))
+    return placed.withColumn(name, F.col("_on") & (duration >= least)).drop("_on", "_was", "_next", "_low", "_high")
 
 
-def acceleration(df: DataFrame, keys: list[str], order: str, velocity: str, rate: float, name: str = "acceleration") -> DataFrame:
+def acceleration(df: DataFrame, keys: list[str], order: str, velocity: str, rate: float, name: str = "acceleration", span: float | None = None) -> DataFrame:
     """Mean of the differences to both neighbours, in m/s2 of a velocity in cm/s; the ends repeat their neighbour's."""
-    w = _by(keys, order)
     v, per = F.col(velocity), rate / 100.0
-    before, after = v - F.lag(v).over(w), F.lead(v).over(w) - v
+    near = Scan(df, keys, order, span).previous(_b=v).following(_a=v).rows()
+    before, after = v - F.col("_b"), F.col("_a") - v
     mean = (F.coalesce(before, after) + F.coalesce(after, before)) / 2
-    return df.withColumn(name, mean * per)
+    return near.withColumn(name, mean * per).drop("_b", "_a")
 
 
-def position(df: DataFrame, keys: list[str], order: str, velocity: str, rate: float, deadband: float = 0.1, blank: Column | None = None, name: str = "position") -> DataFrame:
+def position(df: DataFrame, keys: list[str], order: str, velocity: str, rate: float, deadband: float = 0.1, blank: Column | None = None, name: str = "position", span: float | None = None) -> DataFrame:
     """Running sum of velocity / rate; samples within the deadband, blanked or null count 0."""
     v = F.coalesce(F.col(velocity), F.lit(0.0))
     kept = F.when((F.abs(v) < deadband) | (F.coalesce(blank, F.lit(False)) if blank is not None else F.lit(False)), 0.0).otherwise(v)
-    w = _by(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(kept).over(w) / F.lit(float(rate)))
+    return Scan(df, keys, order, span).running(_sum=kept).rows().withColumn(name, F.col("_sum") / F.lit(float(rate))).drop("_sum")
 
 
-def motion(df: DataFrame, keys: list[str], order: str, speed: str, rate: float, slow: float = 1.0, calm: float = 0.5, least: float = 0.2) -> DataFrame:
+def motion(df: DataFrame, keys: list[str], order: str, speed: str, rate: float, slow: float = 1.0, calm: float = 0.5, least: float = 0.2, span: float | None = None) -> DataFrame:
     """df with acceleration and `moving`: all samples but those of runs of slow, calm samples that last at least `least`."""
-    both = acceleration(df, keys, order, speed, rate)
+    both = acceleration(df, keys, order, speed, rate, span=span)
     still = (F.col(speed) < slow) & (F.abs("acceleration") < calm)
-    return flag_runs(both, keys, order, still, "_still", least, rate).withColumn("moving", ~F.col("_still")).drop("_still")
+    return flag_runs(both, keys, order, still, "_still", least, rate, span).withColumn("moving", ~F.col("_still")).drop("_still")
 
 
-def bouts(df: DataFrame, keys: list[str], order: str, moving: Column, rate: float, window: Column | None = None, true_start: bool = True) -> DataFrame:
+def bouts(df: DataFrame, keys: list[str], order: str, moving: Column, rate: float, window: Column | None = None, true_start: bool = True, span: float | None = None) -> DataFrame:
     """Runs of motion within the analysis window; with true_start only those whose sample before lies in the window too."""
-    w = _by(keys, order)
     inside = F.coalesce(window, F.lit(False)) if window is not None else F.lit(True)
-    marked = df.withColumn("_before", F.coalesce(F.lag(inside).over(w), F.lit(False)))
-    out = islands(marked, keys, order, moving & inside, {"_real": F.min_by("_before", order)})
+    marked = Scan(df, keys, order, span).previous(_before=inside).rows().withColumn("_before", F.coalesce("_before", F.lit(False)))
+    out = islands(marked, keys, order, moving & inside, {"_real": F.min_by("_before", order)}, span)
     return long_runs(out.filter("_real") if true_start else out, float("-inf"), rate).drop("_real")
 
 
-def sessions(df: DataFrame, keys: list[str], time: str, gap: float) -> DataFrame:
+def sessions(df: DataFrame, keys: list[str], time: str, gap: float, span: float | None = None) -> DataFrame:
     """df with `session`, from 1: a new one begins after a gap of more than `gap`."""
-    w = _by(keys, time)
-    new = F.coalesce(((F.col(time) - F.lag(time).over(w)) > gap).cast("int"), F.lit(0))
-    return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w) + 1).drop("_new")
+    told = Scan(df, keys, time, span).previous(_before=F.col(time))
+    new = F.coalesce(((F.col(time) - F.col("_before")) > gap).cast("int"), F.lit(0))
+    return told.derive(_new=new).running(session=F.col("_new")).rows().withColumn("session", F.col("session") + 1).drop("_new", "_before")
 
 
-def session_bounds(df: DataFrame, keys: list[str], time: str, gap: float) -> DataFrame:
-    return sessions(df, keys, time, gap).groupBy(*keys, "session").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n"))
+def session_bounds(df: DataFrame, keys: list[str], time: str, gap: float, span: float | None = None) -> DataFrame:
+    return sessions(df, keys, time, gap, span).groupBy(*keys, "session").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n"))
 
 
 def synchronized(samples: DataFrame, pulses: DataFrame, keys: list[str], gap: float = 2.0, stretch: float = 1.0) -> DataFrame:
@@ -170,20 +167,19 @@ def analysis_windows(facts: DataFrame, after_start: float = 0.2, before_end: flo
     return facts.withColumn("_w", F.explode(pieces)).select(*facts.columns, "_w.w0", "_w.w1").filter("w1 > w0")
 
 
-def mismatches(samples: DataFrame, keys: list[str], gain: str, time: str, stage: str, treadmill: str, level: float = HIGH) -> DataFrame:
+def mismatches(samples: DataFrame, keys: list[str], gain: str, time: str, stage: str, treadmill: str, level: float = HIGH, span: float | None = None) -> DataFrame:
     """Runs of a raised gain channel: onset, offset, duration and saliency (greatest stage - treadmill within)."""
     gap = F.col(stage) - F.col(treadmill)
-    out = islands(samples, keys, time, F.col(gain) > level, {"saliency": F.max(gap), "saliency_t": F.max_by(time, gap)})
+    out = islands(samples, keys, time, F.col(gain) > level, {"saliency": F.max(gap), "saliency_t": F.max_by(time, gap)}, span)
     return out.withColumn("duration", F.col("end") - F.col("start")).withColumnsRenamed({"start": "onset", "end": "offset"})
 
 
-def change_points(df: DataFrame, keys: list[str], order: str, value: str, offset: float = 0.0) -> DataFrame:
+def change_points(df: DataFrame, keys: list[str], order: str, value: str, offset: float = 0.0, span: float | None = None) -> DataFrame:
     """Intervals of a constant value along order: keys, instance, value, lower (its first place), upper (the next one's first)."""
-    w = _by(keys, order)
-    new = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("int")
-    runs = df.withColumn("_run", new).withColumn("instance", F.sum("_run").over(w)).groupBy(*keys, "instance", value).agg(F.min(order).alias("lower"), F.max(order).alias("_last"))
-    upper = F.coalesce(F.lead("lower").over(Window.partitionBy(*keys).orderBy("instance")), F.col("_last"))
-    return runs.withColumn("upper", upper + offset).withColumn("lower", F.col("lower") + offset).drop("_last")
+    placed = _runs_of(df, keys, order, F.col(value), "instance", span).awaited(_at=F.when(F.col("_new") == 1, F.col(order))).following(_ahead=F.col("_at")).rows()
+    runs = placed.groupBy(*keys, "instance", value).agg(F.min(order).alias("lower"), F.max(order).alias("_last"), F.max("_ahead").alias("_next"))
+    upper = F.coalesce("_next", "_last")
+    return runs.withColumn("upper", upper + offset).withColumn("lower", F.col("lower") + offset).drop("_last", "_next")
 
 
 def blank(samples: DataFrame, ranges: DataFrame, keys: list[str], order: str, channel: str, baseline: float, bucket: float = 10_000) -> DataFrame:
