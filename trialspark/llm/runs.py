@@ -155,15 +155,14 @@ def _tiled(batches, long: int, exponent: int, finish):
         n, text, out, found, cut = [], [], [], ([], [], []), []
         for row, words in words_of(texts):
             counts = np.diff(words.at)
-            some = int(counts.max(initial=0))
-            if some > long:  # a text of its own
-                cut += [(row, *s, words.hash[s[0] : s[3]].tobytes()) for s in _slices(words.hash, long, exponent)]
-                hits = np.empty((0, 3), np.int64)
-            else:
-                # Between texts stands a hash that occurs nowhere else, so that no stretch crosses it.
-                marks = mixed(np.arange(len(counts), dtype=np.uint64) + np.uint64(1 << 40))
-                hits = fragments(np.insert(words.hash, words.at[1:], marks), 0, _octaves(some, exponent), exponent)
             first = words.at[:-1] + np.arange(len(counts))
+            # Between texts stand hashes that occur nowhere else, so that no stretch crosses them; long texts are left out.
+            hashes = np.insert(words.hash, words.at[1:], mixed(np.arange(len(counts), dtype=np.uint64) + np.uint64(1 << 40)))
+            for d in np.flatnonzero(counts > long):
+                mine = words.hash[words.at[d] : words.at[d + 1]]
+                cut += [(row + int(d), *s, mine[s[0] : s[3]].tobytes()) for s in _slices(mine, long, exponent)]
+                hashes[first[d] : first[d] + counts[d]] = mixed(np.arange(counts[d], dtype=np.uint64) + np.uint64(d + 1 << 41))
+            hits = fragments(hashes, 0, _octaves(int(counts[counts <= long].max(initial=0)), exponent), exponent)
             doc = np.searchsorted(first, hits[:, 1], "right") - 1
             order = np.argsort(doc, kind="stable")
             at = np.searchsorted(doc[order], np.arange(len(counts) + 1))
