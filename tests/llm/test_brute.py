@@ -15,7 +15,7 @@ import tiktoken
 import xxhash
 
 from tests.llm import brute
-from trialspark.llm import decontaminate, fingerprint, language, licenses, substring, tokens, toxicity, warc
+from trialspark.llm import decontaminate, fingerprint, language, licenses, mixing, substring, tokens, toxicity, warc
 
 
 def words(rng, n, vocabulary=400):
@@ -249,6 +249,32 @@ def test_rows_without_an_id_lose_their_own_repeats(spark):
         assert (r._n_words, r._n_removed, hashlib.sha256(bytes(r._kept)).hexdigest()) == told[r.text]
 
 
+@pytest.mark.parametrize("second", [41, 120])
+def test_rows_of_one_id_are_told_apart_by_more_than_a_few_bits(spark, second):
+    """Two texts of no id whose hashes agree in their last 27 bits, one of them repeated elsewhere."""
+    rng, bits, seen, pair = random.Random(second), (1 << 27) - 1, {}, None
+    while pair is None:
+        text, other = (" ".join(words(rng, n, 10_000)) for n in (120, second))
+        seen[xxhash.xxh64_intdigest(text, 42) & bits] = text
+        if (match := seen.get(xxhash.xxh64_intdigest(other, 42) & bits)) and match != other:
+            pair = match, other
+    rows = [(None, pair[0]), (None, pair[1]), (7, pair[0] + " and more")]
+    out = substring.factored(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 35, ("text",)).collect()
+    told = {t: n for (_, t), (_, n, _) in zip(rows, brute.repeats([t for _, t in rows], 35), strict=True)}
+    assert {r.text: r._n_removed for r in out} == told and told[pair[1]] == 0
+
+
+def test_the_mix_takes_equal_rows_once_each(spark):
+    rows = [(None, "a b c d " * 10, "s", k) for k in range(5)] + [(1, "x " * 20, "s", 9), (1, "x " * 20, "t", 9), (2, "y " * 30, "t", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(3)
+    out = mixing.mix_documents(docs).collect()
+    plan = mixing.mix_plan(docs).collect()
+    assert sum(r.taken for r in out) == sum(r.taken for r in plan) and sorted(r.taken for r in out) == sorted(r.taken for r in plan if r.taken)
+    assert len({(r.doc_id, r.source, r.n) for r in out}) == len(out) and all(r.taken <= 3 * r["size"] for r in out)
+    two = spark.createDataFrame(rows[:1] * 2, docs.schema)
+    assert [r.taken for r in mixing.mix_documents(two).collect()] == [40, 40]
+
+
 # op7: fingerprints
 
 

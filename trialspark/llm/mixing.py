@@ -92,13 +92,37 @@ def mix_plan(docs: DataFrame, weight: Column | None = None, max_epochs: int = MA
     )
 
 
+def _numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with a number within keys, from 0, however many have the same keys: rows are numbered within the tasks that
+    wrote them, after those of the tasks before."""
+    parts = stored(rows.withColumn("_part", F.spark_partition_id()), "equal-rows")
+    sizes = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_size")
+    nth = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(F.lit(0))) - 1
+    return parts.join(sizes.select(*keys, "_part", before.alias("_before")), [*keys, "_part"]).withColumn(name, F.col("_before") + nth).drop("_part", "_before")
+
+
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target and taken (in place of columns of docs of these
-    names); those never taken are left out. Id and text must tell rows apart."""
-    tag, told = F.coalesce(F.xxhash64("text"), F.lit(0)), ["size", "source_size", "target", "taken"]
-    plan = mix_plan(docs, more={"_tag": tag}, **options).filter("taken > 0").select(id_key("doc_id").alias("_key"), "_tag", *told)
-    rows = packed(docs, id_key("doc_id").alias("_key"), tag.alias("_tag")).join(plan, ["_key", "_tag"])
-    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in told), *told)
+    names); those never taken are left out. Of rows equal in id, text and source, as many are taken, and with as many
+    words, as the plan takes; which of them doesn't matter."""
+    told, keys = ["size", "source_size", "target", "taken"], ["_key", "_tag"]
+    tag = F.coalesce(F.xxhash64("text", "source"), F.lit(0))
+    rows = packed(docs, id_key("doc_id").alias("_key"), tag.alias("_tag"))
+    plan = mix_plan(docs, more={"_tag": tag}, **options)
+    by_taken = plan.groupBy(id_key("doc_id").alias("_key"), "_tag", "taken").agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in told[:3]))
+    # Equal rows are next to each other in the plan, so that they are taken whole, in part once, or not at all.
+    least = Window.partitionBy(*keys).orderBy(F.col("taken").desc())
+    shares = stored(by_taken.withColumn("_to", F.sum("_n").over(least)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys))), "shares")
+    taken = shares.filter("taken > 0")
+    alone = rows.join(taken.filter("_all = 1").select(*keys, *told), keys)
+    out = alone.select("row", *told)
+    if not (repeated := taken.filter("_all > 1")).isEmpty():
+        equal = _numbered(rows.join(repeated.select(*keys).distinct(), keys, "left_semi"), keys, "_nth")
+        spans = repeated.select(F.col("_key").alias("_k"), F.col("_tag").alias("_t"), (F.col("_to") - F.col("_n")).alias("_from"), "_to", *told)
+        within = (F.col("_key") == F.col("_k")) & (F.col("_tag") == F.col("_t")) & (F.col("_nth") >= F.col("_from")) & (F.col("_nth") < F.col("_to"))
+        out = out.unionByName(equal.join(spans, within).select("row", *told))
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in told), *told)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

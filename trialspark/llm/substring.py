@@ -14,7 +14,7 @@ have equal anchors, so a block whose anchor occurs nowhere else holds no repeate
    next one begins where the last ended or before and its reference is the same document, as far away. A factor is
    (place, words, reference document, reference place); all are W words or longer and all their words are removed.
 
-Equality is that of 64-bit hashes of word sequences. No group is gathered: counts are partial aggregates, and rows of one
+Equality is that of 64-bit hashes of word sequences; rows are told apart by their id and a 64-bit hash of their text. No group is gathered: counts are partial aggregates, and rows of one
 key only stream through joins that Spark can split; what is collected are the distinct places of one text.
 
 Edge cases: a null or empty text has no words; texts of fewer than W words lose none; rows that repeat an id are
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from trialspark.llm.common import NOT_SPACE, Words, _prefix, blobs, discard, documents, id_key, lists, numbers, packed, planes, small_batches, spans, stored, text_chunks, windows, words_of
 
 WINDOW = 35
-#: A place is packed as the text's 27-bit tag, the first word's position (31 bits) and the number of windows - 1 (5 bits).
-TAG, POSITION, RUN = 27, 31, 5
+#: A place is packed as the first word's position (31 bits) and the number of windows - 1 (5 bits).
+POSITION, RUN = 31, 5
 #: Blocks that a task holds before it sends them.
 _FLUSH = 500_000
 #: What is sent: blocks whose anchor repeats in the task, blocks whose anchor doesn't, and one anchor for each that does.
@@ -67,7 +67,7 @@ def _run(places):
 
 
 def _blocks(batches, window: int):
-    """(anchors, blocks, keys, places) of batches of (key, tag, text)."""
+    """(anchors, blocks, keys, tags, places) of batches of (key, tag, text)."""
     gram = _gram(window)
     for batch in batches:
         keys, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
@@ -85,11 +85,11 @@ def _blocks(batches, window: int):
             new = np.flatnonzero(np.r_[True, (inside[1:] != inside[:-1] + 1) | (at[1:] != at[:-1])])
             first, last = inside[new], inside[np.r_[new[1:] - 1, len(inside) - 1]]
             d = doc[first]
-            place = (tags[row + d].astype(np.int64) << (POSITION + RUN)) | ((first - words.at[d]) << RUN) | (last - first)
-            yield grams[at[new]], spans(_prefix(h), first, last + window).view(np.int64), keys[row + d], place
+            place = ((first - words.at[d]) << RUN) | (last - first)
+            yield grams[at[new]], spans(_prefix(h), first, last + window).view(np.int64), keys[row + d], tags[row + d], place
 
 
-_SENT = "bucket int, kind int, anchors binary, blocks binary, keys binary, places binary"
+_SENT = "bucket int, kind int, anchors binary, blocks binary, keys binary, tags binary, places binary"
 
 
 def _indexed(batches, window: int, buckets: int):
@@ -97,27 +97,27 @@ def _indexed(batches, window: int, buckets: int):
     held, size = [], 0
 
     def rows():
-        anchor, block, key, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        anchor, block, key, tag, place = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(anchor, kind="stable")
-        anchor, block, key, place = anchor[order], block[order], key[order], place[order]
+        anchor, block, key, tag, place = anchor[order], block[order], key[order], tag[order], place[order]
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         sizes = np.diff(np.r_[first, len(anchor)])
         kind = np.repeat(np.where(sizes > 1, _KNOWN, _ALONE), sizes)
-        bucket = np.where(kind == _KNOWN, place % buckets, (anchor & np.uint64(0xFFFFFFFF)).astype(np.int64) % buckets)
+        bucket = np.where(kind == _KNOWN, (tag ^ place) % buckets, (anchor & np.uint64(0xFFFFFFFF)).astype(np.int64) % buckets)
         told = first[sizes > 1]
-        columns = [np.r_[x, x[told]] for x in (anchor, block, key, place)]
+        columns = [np.r_[x, x[told]] for x in (anchor, block, key, tag, place)]
         kind = np.r_[kind, np.full(len(told), _TOLD)]
         bucket = np.r_[bucket, (anchor[told] & np.uint64(0xFFFFFFFF)).astype(np.int64) % buckets]
         order = np.lexsort((columns[0], kind, bucket))
         kind, bucket = kind[order], bucket[order]
         columns = [x[order] for x in columns]
         at = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | (bucket[1:] != bucket[:-1])])
-        out = [], [], [], []
+        out = [], [], [], [], []
         for i, j in zip(at, np.r_[at[1:], len(kind)], strict=True):
             out[0].append(planes(np.diff(columns[0][i:j], prepend=np.uint64(0))))
-            for k in (1, 2, 3):
+            for k in (1, 2, 3, 4):
                 out[k].append(planes(columns[k][i:j]) if kind[i] != _TOLD else b"")
-        return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(kind[at].astype(np.int32)), *map(blobs, out)], ["bucket", "kind", "anchors", "blocks", "keys", "places"])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(kind[at].astype(np.int32)), *map(blobs, out)], ["bucket", "kind", "anchors", "blocks", "keys", "tags", "places"])
 
     for part in _blocks(batches, window):
         held.append(part)
@@ -129,18 +129,18 @@ def _indexed(batches, window: int, buckets: int):
         yield rows()
 
 
-_INDEX = "anchor long, block long, key long, place long"
+_INDEX = "anchor long, block long, key long, tag long, place long"
 
 
 def _repeated_anchors(batches):
-    """(anchor, block, key, place) of the blocks whose anchor occurs again, in the task that sent it or in others."""
+    """(anchor, block, key, tag, place) of the blocks whose anchor occurs again, in the task that sent it or in others."""
     alone, told = [], []
 
     def rows(*columns):
-        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], ["anchor", "block", "key", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], ["anchor", "block", "key", "tag", "place"])
 
     for batch in batches:
-        for kind, anchors, *others in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
+        for kind, anchors, *others in zip(*(batch.column(k).to_pylist() for k in range(1, 7)), strict=True):
             anchors = np.cumsum(numbers(anchors, np.uint64))
             if kind == _TOLD:
                 told.append(anchors)
@@ -158,7 +158,7 @@ def _repeated_anchors(batches):
 
 
 def _boundary_windows(batches, window: int):
-    """Rows (window, key, place, single) of batches of (key, tag, text, [place], [whether its block is single])."""
+    """Rows (window, key, tag, place, single) of batches of (key, tag, text, [place], [whether its block is single])."""
     for batch in batches:
         for row, data, offsets in text_chunks(batch.column(2), 1):
             h = windows(Words(data, offsets, NOT_SPACE, False).hash, window).view(np.int64)
@@ -168,8 +168,8 @@ def _boundary_windows(batches, window: int):
             nth = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
             at = np.repeat(_start(places), runs) + nth
             keys = np.full(len(at), batch.column(0)[row].as_py())
-            tag = np.int64(batch.column(1)[row].as_py()) << (POSITION + RUN)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[at], keys, tag | (at << RUN), np.repeat(single, runs))], ["window", "key", "place", "single"])
+            tags = np.full(len(at), batch.column(1)[row].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[at], keys, tags, at << RUN, np.repeat(single, runs))], ["window", "key", "tag", "place", "single"])
 
 
 def _greedy(places: np.ndarray, ref_keys: np.ndarray, ref_places: np.ndarray, window: int):
@@ -190,11 +190,14 @@ _FACTORS = "_key long, _tag long, starts array<long>, words array<long>, refs ar
 
 
 def _factors_of(batches, window: int):
-    """A text's factors from batches of (key, tag, [(place, reference key, reference place)])."""
+    """A text's factors from batches of (key, tag, [(place, reference key, reference tag, reference place)])."""
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [])
         for row in batch.column(2):
-            found = _greedy(*(row.values.field(k).to_numpy() for k in range(3)), window)
+            places, keys, tags, refs = (row.values.field(k).to_numpy() for k in range(4))
+            texts, text = np.unique(np.stack([keys, tags]), axis=1, return_inverse=True)  # rows of one id are told apart
+            found = _greedy(places, text.ravel(), refs, window)
+            found[:, 2] = texts[0, found[:, 2]]
             for k in range(4):
                 out[k].append(found[:, k])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(lists(x, pa.int64()) for x in out)], ["_key", "_tag", "starts", "words", "refs", "ref_starts"])
@@ -222,7 +225,7 @@ def _without(batches):
 
 
 def _keyed(docs: DataFrame, *others: str) -> DataFrame:
-    tag = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(1 << TAG)), F.lit(0))
+    tag = F.coalesce(F.xxhash64("text"), F.lit(0))
     return docs.select(id_key("doc_id").alias("_key"), tag.alias("_tag"), F.col("text").cast("binary").alias("_text"), *others)
 
 
@@ -232,27 +235,27 @@ def factor_lists(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError("window is at least 2 words")
     spark = docs.sparkSession
     small_batches(spark)
-    texts, tag_of = _keyed(docs), F.shiftrightunsigned("place", POSITION + RUN)
+    texts = _keyed(docs)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = texts.mapInArrow(lambda b: _indexed(b, window, buckets), _SENT)
     index = stored(sent.repartition("bucket").mapInArrow(_repeated_anchors, _INDEX), "index")
-    here = F.struct("key", "place")
+    here = F.struct("key", "tag", "place")
     contents = stored(index.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min(here).alias("low"), F.max(here).alias("high")), "contents")
     other = F.when(here == F.col("low"), F.col("high")).otherwise(F.col("low"))
-    whole = index.join(contents.filter("n > 1"), ["anchor", "block"]).select("key", "place", other.alias("ref"))
+    whole = index.join(contents.filter("n > 1"), ["anchor", "block"]).select("key", "tag", "place", other.alias("ref"))
     # A content that occurs once is compared with all others of its anchor, each from one document.
     open_ = contents.join(contents.filter("n = 1").select("anchor").distinct(), "anchor", "left_semi")
-    asked = open_.select("low.*", (F.col("n") == 1).alias("single")).groupBy(F.col("key").alias("_key"), tag_of.alias("_tag"))
+    asked = open_.select("low.*", (F.col("n") == 1).alias("single")).groupBy(F.col("key").alias("_key"), F.col("tag").alias("_tag"))
     asks = asked.agg(F.collect_list("place").alias("places"), F.collect_list("single").alias("single"))
     ask = texts.join(asks, ["_key", "_tag"]).select("_key", "_tag", "_text", "places", "single")
-    edges = stored(ask.mapInArrow(lambda b: _boundary_windows(b, window), "window long, key long, place long, single boolean"), "windows")
+    edges = stored(ask.mapInArrow(lambda b: _boundary_windows(b, window), "window long, key long, tag long, place long, single boolean"), "windows")
     seen = edges.groupBy("window").agg(F.count("*").alias("n"), F.max("single").alias("any")).filter("n > 1 AND any").select("window")
     matched = stored(edges.join(seen, "window"), "matched")  # few of all windows
     places = matched.groupBy("window").agg(F.min(here).alias("low"), F.max(here).alias("high"))
-    found = matched.filter("single").join(places, "window").select("key", "place", other.alias("ref"))
+    found = matched.filter("single").join(places, "window").select("key", "tag", "place", other.alias("ref"))
     # A row that is repeated wholly refers to one of the two ends in each of its copies, so its list is short.
-    told = whole.unionByName(found).groupBy(F.col("key").alias("_key"), tag_of.alias("_tag"))
-    told = told.agg(F.collect_set(F.struct("place", F.col("ref.key").alias("k"), F.col("ref.place").alias("p"))).alias("found"))
+    told = whole.unionByName(found).groupBy(F.col("key").alias("_key"), F.col("tag").alias("_tag"))
+    told = told.agg(F.collect_set(F.struct("place", F.col("ref.key").alias("k"), F.col("ref.tag").alias("t"), F.col("ref.place").alias("p"))).alias("found"))
     out = stored(told.mapInArrow(lambda b: _factors_of(b, window), _FACTORS), "factors")
     for table in (index, contents, edges, matched):
         discard(table)
