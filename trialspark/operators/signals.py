@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.operators.intervals import interpolated
+from trialspark.operators.scan import STRETCH, Scan
 
 
 def butterworth_sections(order: int, cutoff: float, rate: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -25,37 +27,116 @@ def butterworth_sections(order: int, cutoff: float, rate: float) -> list[tuple[n
     return out
 
 
-def _filtered(x: np.ndarray, sections) -> np.ndarray:
-    for b, a in sections:
-        gain = b.sum() / a.sum()
-        state = np.zeros(len(a) - 1)  # as if the first value had always stood
-        level = x[0] if len(x) else 0.0
-        for i in range(len(state) - 1, -1, -1):
-            state[i] = (b[i + 1] - a[i + 1] * gain) * level + (state[i + 1] if i + 1 < len(state) else 0.0)
-        y = np.empty_like(x)
-        for n, v in enumerate(x):
-            y[n] = b[0] * v + state[0]
-            for i in range(len(state) - 1):
-                state[i] = b[i + 1] * v - a[i + 1] * y[n] + state[i + 1]
-            state[-1] = b[-1] * v - a[-1] * y[n]
-        x = y
-    return x
-
-
-def low_pass(samples: DataFrame, keys: list[str], order: str, value: str, rate: float, cutoff: float = 50.0, poles: int = 3, name: str = "filtered") -> DataFrame:
-    """samples with value filtered forward and backward; a group is one trial or session, whose samples follow each other."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema) + f", {name} double"
-    sections = butterworth_sections(poles, cutoff, rate)
+def _section_states(b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """A, B, C and D of a section; a pair of complex poles turns and shrinks its two states, which keeps powers exact."""
+    rest = b[1:] - a[1:] * b[0]
+    if len(a) == 2:
+        return np.array([[-a[1]]]), np.ones(1), rest, float(b[0])
+    real, turn = -a[1] / 2, math.sqrt(a[2] - a[1] ** 2 / 4)
+    return np.array([[real, -turn], [turn, real]]), np.array([1.0, 0.0]), np.array([rest[0], (rest[1] + rest[0] * real) / turn]), float(b[0])
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
+
+class Recurrence:
+    """A recursive filter as steps of a state: y = C z + D x, then z = A z + B x. Stretches are linear in what enters them,
+    so they can be run from a zero state and corrected once the state that enters is known."""
+
+    CHUNK = 64
+
+    def __init__(self, sections: list[tuple[np.ndarray, np.ndarray]]):
+        a, b, c, d = np.empty((0, 0)), np.empty(0), np.empty(0), 1.0
+        for section in sections:  # one after the other
+            a2, b2, c2, d2 = _section_states(*section)
+            a = np.block([[a, np.zeros((len(a), len(a2)))], [np.outer(b2, c), a2]])
+            b, c, d = np.r_[b, b2 * d], np.r_[d2 * c, c2], d * d2
+        self.step, self.input, self.out, self.direct, self.order = a, b, c, d, len(a)
+        k = self.CHUNK
+        powers = [np.eye(self.order)]
+        for _ in range(k):
+            powers.append(a @ powers[-1])
+        self.powers = powers
+        self.free = np.stack([c @ p for p in powers[:k]])  # y of a chunk from its first state
+        self.push = np.stack([p @ b for p in powers[:k]])[::-1].T  # last state from a chunk's x
+        echo = np.r_[d, self.free[:-1] @ b]
+        self.response = np.array([[echo[i - j] if i >= j else 0.0 for j in range(k)] for i in range(k)])
+
+    def run(self, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """y of x from a state, and the state behind."""
+        z = np.zeros(self.order) if state is None else np.asarray(state, float)
+        k, m = self.CHUNK, len(x) // self.CHUNK
+        whole, rest = np.asarray(x[: m * k], float).reshape(m, k), np.asarray(x[m * k :], float)
+        pushed, states = whole @ self.push.T, np.empty((m, self.order))
+        for j in range(m):
+            states[j] = z
+            z = self.powers[k] @ z + pushed[j]
+        r = len(rest)
+        tail = self.response[:r, :r] @ rest + self.free[:r] @ z
+        y = np.r_[(whole @ self.response.T + states @ self.free.T).ravel(), tail]
+        return y, self.powers[r] @ z + self.push[:, k - r :] @ rest
+
+    def after(self, n: int) -> np.ndarray:
+        """The matrix that takes a state over n steps without input."""
+        return np.linalg.matrix_power(self.step, n)
+
+    def alone(self, n: int) -> np.ndarray:
+        """y of n steps without input, a row for each entry of the first state."""
+        return np.stack([self.run(np.zeros(n), e)[0] for e in np.eye(self.order)])
+
+
+def low_pass_recurrence(poles: int, cutoff: float, rate: float) -> Recurrence:
+    return Recurrence(butterworth_sections(poles, cutoff, rate))
+
+
+def low_pass(samples: DataFrame, keys: list[str], order: str, value: str, rate: float, cutoff: float = 50.0, poles: int = 3, name: str = "filtered", span: float | None = None) -> DataFrame:
+    """samples with value filtered forward, then reversed, each from a zero state and without padding.
+
+    Without a span a group is one trial, whose samples follow each other. With one, sessions of any length are cut to
+    stretches of `span` of order: each stretch is run from zero states in both directions, the states at its ends are
+    carried over the stretches' summary, and each stretch is run again from those. Nulls count as not a number.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema) + f", `{name}` double"
+    filt = low_pass_recurrence(poles, cutoff, rate)
+    p = filt.order
+
+    def both(rows: pd.DataFrame, enter=None, back=None) -> pd.DataFrame:
         rows = rows.sort_values(order)
-        x = rows[value].to_numpy(float)
-        pad = min(len(x) - 1, int(3 * rate / cutoff))
-        wide = np.r_[2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]] if pad > 0 else x
-        y = _filtered(_filtered(wide, sections)[::-1].copy(), sections)[::-1]
-        return rows.assign(**{name: y[pad : pad + len(x)]})
+        y, _ = filt.run(rows[value].to_numpy(float), enter)
+        return rows.assign(**{name: filt.run(y[::-1], back)[0][::-1]})
+
+    if span is None:
+        return samples.groupBy(*keys).applyInPandas(lambda rows: both(rows), schema)
+
+    cut = Scan(samples, keys, order, span).df
+    shape = f"_stretch {cut.schema[STRETCH].dataType.simpleString()}"
+    ends = f"{shape}, _n long, _ahead array<double>, _back array<double>, _turned array<double>"
 
-    return samples.groupBy(*keys).applyInPandas(one, schema)
+    def summary(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values(order)[value].to_numpy(float)
+        y, ahead = filt.run(x)
+        _, back = filt.run(y[::-1])
+        turned = np.stack([filt.run(free[::-1])[1] for free in filt.alone(len(x))], 1)
+        return pd.DataFrame({STRETCH: [rows[STRETCH].iloc[0]], "_n": [len(x)], "_ahead": [ahead], "_back": [back], "_turned": [turned.ravel()]})
+
+    def carried(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.iloc[np.argsort([s["_cell"] for s in rows[STRETCH]])]
+        over = [filt.after(int(n)) for n in rows["_n"]]
+        enter, z = [], np.zeros(p)
+        for m, ahead in zip(over, rows["_ahead"], strict=True):
+            enter.append(z)
+            z = m @ z + ahead
+        back, z = [], np.zeros(p)
+        for m, from_end, turned, s in reversed(list(zip(over, rows["_back"], rows["_turned"], enter, strict=True))):
+            back.append(z)
+            z = m @ z + from_end + np.asarray(turned).reshape(p, p) @ s
+        return pd.DataFrame({STRETCH: rows[STRETCH].to_numpy(), "_enter": enter, "_exit": back[::-1]})
+
+    told = cut.select(STRETCH, order, value).groupBy(STRETCH).applyInPandas(summary, ends)
+    states = told.groupBy(*(F.col(f"{STRETCH}.{k}") for k in keys)).applyInPandas(carried, f"{shape}, _enter array<double>, _exit array<double>")
+    names = [*samples.columns, name]
+
+    def again(rows: pd.DataFrame) -> pd.DataFrame:
+        return both(rows, rows["_enter"].iloc[0], rows["_exit"].iloc[0])[names]
+
+    return cut.join(states, STRETCH).groupBy(STRETCH).applyInPandas(again, schema)
 
 
 def batch_starts(duration: Column, first: float = 60.0, every: float = 300.0, length: float = 10.0) -> Column:
@@ -71,17 +152,50 @@ def band_power(samples: DataFrame, keys: list[str], order: str, value: str, rate
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values(order)[value].to_numpy(float)
-        window = np.hamming(len(x))
-        power = np.abs(np.fft.rfft(x * window)) ** 2 / (rate * (window**2).sum())
-        power[1 : -1 if len(x) % 2 == 0 else None] *= 2
-        at = np.fft.rfftfreq(len(x), 1 / rate)
-        within = (at >= low) & (at <= high)
-        step = rate / len(x)
-        return pd.DataFrame([(*(rows[k].iloc[0] for k in keys), float(power[within].sum() * step))], columns=[*keys, "power"])
+        return pd.DataFrame([(*(rows[k].iloc[0] for k in keys), _power_within(x, rate, low, high))], columns=[*keys, "power"])
 
     return samples.groupBy(*keys).applyInPandas(one, f"{key_schema}, power double")
 
 
+def _power_within(x: np.ndarray, rate: float, low: float, high: float) -> float:
+    window = np.hamming(len(x))
+    power = np.abs(np.fft.rfft(x * window)) ** 2 / (rate * (window**2).sum())
+    power[1 : -1 if len(x) % 2 == 0 else None] *= 2
+    at = np.fft.rfftfreq(len(x), 1 / rate)
+    return float(power[(at >= low) & (at <= high)].sum() * rate / len(x))
+
+
+def recording_band_power(batches: DataFrame, rate: float, low: float = 500.0, high: float = 5000.0, channels: list[int] | None = None) -> DataFrame:
+    """Power within a band by file, range (a batch) and channel, of samples (file, range, sample_idx, values by channel).
+
+    Samples are shuffled as arrays of a channel's stretch, so a group is one channel's batch, whatever a recording's length.
+    `channels` names the entries of values; by default they are numbered from 0.
+    """
+    pieces = "file string, range int, entry int, first long, data binary"
+
+    def stretches(tables):
+        for t in tables:
+            rows = t.to_pandas()
+            for (file, part), some in rows.groupby(["file", "range"], sort=False):
+                some = some.sort_values("sample_idx")
+                idx, data = some["sample_idx"].to_numpy(), np.stack(some["values"].to_numpy())
+                for run in np.split(np.arange(len(idx)), np.flatnonzero(np.diff(idx) != 1) + 1):
+                    yield pd.DataFrame([(file, part, c, idx[run[0]], data[run, c].astype("<i2").tobytes()) for c in range(data.shape[1])], columns=["file", "range", "entry", "first", "data"])
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.concatenate([np.frombuffer(d, "<i2") for d in rows.sort_values("first")["data"]]).astype(float)
+        return pd.DataFrame([(*rows[["file", "range", "entry"]].iloc[0], _power_within(x, rate, low, high))], columns=["file", "range", "entry", "power"])
+
+    def to_arrow(tables):
+        for frame in stretches(tables):
+            yield pa.RecordBatch.from_pandas(frame, pa.schema([("file", pa.string()), ("range", pa.int32()), ("entry", pa.int32()), ("first", pa.int64()), ("data", pa.binary())]), preserve_index=False)
+
+    out = batches.select("file", "range", "sample_idx", "values").mapInArrow(to_arrow, pieces)
+    out = out.groupBy("file", "range", "entry").applyInPandas(one, "file string, range int, entry int, power double")
+    channel = F.col("entry") if channels is None else F.get(F.lit(channels), F.col("entry"))
+    return out.select("file", "range", channel.cast("int").alias("channel"), "power")
+
+
 def moving_average(df: DataFrame, keys: list[str], order: str, value: str, half: int, name: str = "smooth") -> DataFrame:
     """Mean over half rows to either side; near an end as many on both sides as there are."""
     w = Window.partitionBy(*keys).orderBy(order)

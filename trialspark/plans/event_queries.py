@@ -328,7 +328,21 @@ def w4_moving_average(spark, d):
     return rounded(signals.moving_average(daily, ["event_type"], "day", "v", 3).select("event_type", "day", "smooth"), "smooth")
 
 
-@query()
+def low_pass_sql(partition: str, rate: float, cutoff: float) -> str:
+    """A third-order filter forward, then reversed, as recursive steps of three states."""
+    filt = signals.low_pass_recurrence(3, cutoff, rate)
+    number = lambda v: f"({float(v)!r}::DOUBLE)"
+    times = lambda row, x: " + ".join([*(f"{number(v)} * s.z{j}" for j, v in enumerate(row)), x])
+    states = ", ".join(f"{times(row, f'{number(v)} * n.v')} AS z{i}" for i, (row, v) in enumerate(zip(filt.step, filt.input, strict=True)))
+    first = ", ".join(f"{number(v)} * v AS z{i}" for i, v in enumerate(filt.input))
+    y = times(filt.out, f"{number(filt.direct)} * n.v")
+    step = lambda t: f"SELECT k, i, {number(filt.direct)} * v AS y, {first} FROM {t} WHERE i = 1 UNION ALL SELECT n.k, n.i, {y}, {states} FROM r{t} s JOIN {t} n ON n.k = s.k AND n.i = s.i + 1"
+    return f"""x AS (SELECT {partition} AS k, event_id, value::DOUBLE AS v, row_number() OVER (PARTITION BY {partition} ORDER BY event_id) AS i FROM e), rx AS ({step("x")}),
+w AS (SELECT k, y AS v, row_number() OVER (PARTITION BY k ORDER BY i DESC) AS i, max(i) OVER (PARTITION BY k) + 1 - row_number() OVER (PARTITION BY k ORDER BY i DESC) AS at FROM rx), rw AS ({step("w")})
+SELECT x.event_id, round(rw.y, 6) AS filtered FROM x JOIN w ON w.k = x.k AND w.at = x.i JOIN rw ON rw.k = w.k AND rw.i = w.i"""
+
+
+@query(f"{E.replace('WITH', 'WITH RECURSIVE', 1)}, {low_pass_sql('user_id', 10.0, 1.0)}")
 def g16_low_pass(spark, d):
     e = events(spark, d).select("user_id", "event_id", "value")
     return rounded(signals.low_pass(e, ["user_id"], "event_id", "value", 10.0, 1.0).select("event_id", "filtered"), "filtered")

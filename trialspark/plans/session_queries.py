@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trialspark.operators import scan, segment
-from trialspark.plans.event_queries import HOUR, E, events, rounded
+from trialspark.operators import scan, segment, signals
+from trialspark.plans.event_queries import HOUR, E, events, low_pass_sql, rounded
 
 QUERIES, ORACLES = {}, {}
 
@@ -86,3 +86,10 @@ def g23_change_points_one_session(spark, d):
     e, span = _session(spark, d, "event_id")
     out = segment.change_points(e, ["session_id"], "event_id", "event_type", 0, span).drop("session_id")
     return out.withColumns({c: F.col(c).cast("long") for c in ("lower", "upper")})
+
+
+@query(f"{E.replace('WITH', 'WITH RECURSIVE', 1)}, {low_pass_sql('1', 10.0, 1.0)}")
+def g16_low_pass_one_session(spark, d):
+    e, span = _session(spark, d, "event_id")
+    out = signals.low_pass(e.select("session_id", "event_id", "value"), ["session_id"], "event_id", "value", 10.0, 1.0, span=span)
+    return rounded(out.select("event_id", "filtered"), "filtered")

@@ -2,40 +2,50 @@
 
 from __future__ import annotations
 
-import io
+import json
 
-import numpy as np
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialspark.sources.ranges import SPLIT, ArraySource, RecordingSource
+
 EXPERIMENTS = "animal_id string, probe_id string, session_id string, protocol string, experiment_group string, probe_type string, git_commit string, discard int"
 METRICS = "cluster_id int, firing_rate double, isi_viol double, isolation_distance double, amplitude_cutoff double, max_drift double"
 TRACK = "probe_id string, shank_id int, pos double, region_id int, region string"
 REGION_MAP = "subregion string, parent_region string"
 
 
-def recording(spark: SparkSession, path: str, n_channels: int, block_rows: int = 1 << 16) -> DataFrame:
+def recording(spark: SparkSession, path: str, n_channels: int, block_rows: int = 1 << 16, first: int = 0, last: int | None = None, channels: list[int] | None = None, split: int = SPLIT) -> DataFrame:
     """Samples of int16 recordings, channels interleaved: file, sample_idx and values (an array by channel).
 
-    A file is read by one task and leaves it in blocks of block_rows samples; a recording is best cut to files of some
-    100 MB each, whose numbers of samples then add up by file order.
+    A file is cut to tasks of `split` bytes. Only splits that hold samples first to last (excluded; null: the end) are
+    opened, and of each sample only `channels` are kept, in their order; filters on sample_idx narrow the range where
+    spark.sql.python.filterPushdown.enabled is set.
     """
+    return recording_ranges(spark, path, n_channels, [(first, last)], block_rows, channels, split).drop("range")
+
+
+def recording_ranges(spark: SparkSession, path: str, n_channels: int, ranges: list[tuple[int, int | None]], block_rows: int = 1 << 16, channels: list[int] | None = None, split: int = SPLIT) -> DataFrame:
+    """Samples of several ranges of each recording, with `range`, the number of the range that a sample lies in."""
     if n_channels < 1:
         raise ValueError("n_channels is at least 1")
+    spark.dataSource.register(RecordingSource)
+    options = {"channels": n_channels, "block": block_rows, "split": split, "ranges": json.dumps(ranges), "filters": spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")} | ({} if channels is None else {"chosen": json.dumps(channels)})
+    return spark.read.format(RecordingSource.name()).options(**options).load(path)
+
+
+def recording_batches(spark: SparkSession, path: str, n_channels: int, rate: float, duration: float, first: float = 60.0, every: float = 300.0, length: float = 10.0, channels: list[int] | None = None, split: int = SPLIT) -> DataFrame:
+    """Only the batches of recordings of a duration (s) that `signals.batch_starts` tells: file, range (the batch),
+    sample_idx and values. What lies between batches isn't read."""
+    n = int((duration - length - first) // every) + 1 if duration - length >= first else 0
+    ranges = [(int(round((first + k * every) * rate)), int(round((first + k * every + length) * rate))) for k in range(n)]
+    return recording_ranges(spark, path, n_channels, ranges, channels=channels, split=split)
 
-    def blocks(batches):
-        for batch in batches:
-            for p, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = np.frombuffer(content.as_buffer(), "<i2")
-                data = data[: len(data) // n_channels * n_channels].reshape(-1, n_channels)
-                for i in range(0, len(data), block_rows):
-                    part = data[i : i + block_rows]
-                    values = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, n_channels, dtype=np.int32)), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(part)), pa.array(np.arange(i, i + len(part))), values], ["file", "sample_idx", "values"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(blocks, "file string, sample_idx long, values array<short>")
+def probe_slice(spark: SparkSession, path: str, n_channels: int, rate: float, t0: float, t1: float, channels: list[int] | None = None, split: int = SPLIT) -> DataFrame:
+    """Samples of [t0, t1) s of probe recordings; only the splits that hold them are opened."""
+    return recording(spark, path, n_channels, first=int(round(t0 * rate)), last=int(round(t1 * rate)), channels=channels, split=split)
 
 
 def volts(value: Column, offset: Column | float = 0.0, scale: Column | float = 1.0) -> Column:
@@ -64,18 +74,19 @@ def channel_map(meta: DataFrame, entry: str = "~imroTbl", flat: bool = False) ->
     return tuples.select("file", part(0).alias("channel"), part(2).alias("bank"), part(4).alias("electrode"), part(1).alias("shank"))
 
 
-def arrays(spark: SparkSession, path: str) -> DataFrame:
-    """One-dimensional numpy files as file, idx and value (double); rows come in blocks from each file."""
+def arrays(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """Numpy files as file, idx (row-major), at (the index, an entry a dimension) and value; a file is cut to tasks of
+    `split` bytes."""
+    spark.dataSource.register(ArraySource)
+    return spark.read.format(ArraySource.name()).option("split", split).load(path).drop("stored")
 
-    def rows(batches):
-        for batch in batches:
-            for p, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = np.load(io.BytesIO(content.as_py()), allow_pickle=False).ravel()
-                for i in range(0, len(data), 1 << 16):
-                    part = data[i : i + (1 << 16)].astype(float)
-                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(part)), pa.array(np.arange(i, i + len(part))), pa.array(part)], ["file", "idx", "value"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content").mapInArrow(rows, "file string, idx long, value double")
+def template_waveforms(values: DataFrame) -> DataFrame:
+    """(file, template_id, channel_idx, waveform) of arrays of template x sample x channel."""
+    place = lambda k: F.col("at")[k]
+    each = values.select("file", place(0).alias("template_id"), place(2).alias("channel_idx"), place(1).alias("_k"), "value")
+    waveform = F.transform(F.sort_array(F.collect_list(F.struct("_k", "value"))), lambda x: x["value"])
+    return each.groupBy("file", "template_id", "channel_idx").agg(waveform.alias("waveform"))
 
 
 def table(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
