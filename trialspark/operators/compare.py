@@ -5,6 +5,7 @@ Everything is a composition of joins and aggregates over all units at once.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trialspark.operators.intervals import pairs_by_place, range_join
 from trialspark.operators.rates import smoothed_means
+from trialspark.operators.scan import Scan
 from trialspark.operators.segment import edges
 from trialspark.operators.stats import hazen, signed_rank, two_way_anova
 
@@ -97,12 +99,21 @@ def populations(deltas: DataFrame, label: str, unit: list[str], value: str, x: s
     return signed_rank(side(x, "x").join(side(y, "y"), [*keys, *unit]), keys, "x", "y", **options)
 
 
-def isi_pairs(spikes: DataFrame, keys: list[str], time: str, limit: float, width: float) -> DataFrame:
-    """Histogram of the gaps between all pairs of spikes of a key that are less than limit apart (and more than 0), all spikes used."""
-    later = spikes.select(*keys, F.col(time).alias("t"))
-    ahead = spikes.select(*keys, F.col(time).alias("_t0"), (F.col(time) + limit).alias("_t1"))
-    near = range_join(later, ahead, keys, "t", "_t0", "_t1", limit, "neither")
-    return near.groupBy(*keys, F.floor((F.col("t") - F.col("_t0")) / width).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+def isi_pairs(spikes: DataFrame, keys: list[str], time: str, limit: float, width: float, span: float | None = None) -> DataFrame:
+    """Histogram of the gaps between all pairs of spikes of a key that are less than limit apart (and more than 0), all spikes used.
+
+    No pair is made: for each spike and edge of a bin, the spikes up to that far ahead are counted by one merge of edges
+    and spikes, and a bin's pairs are the difference of two edges' sums. With `span`, a unit may have any number of spikes.
+    """
+    n = math.ceil(limit / width)
+    edges = F.lit([min(k * width, limit) for k in range(n + 1)])
+    at = spikes.select(*keys, F.col(time).alias("_t"))
+    ahead = at.select(*keys, "_t", F.posexplode(edges).alias("bin", "_far")).select(*keys, (F.col("_t") + F.col("_far")).alias("_t"), F.when(F.col("bin") == 0, 2).otherwise(0).alias("_kind"), "bin")
+    both = at.select(*keys, "_t", F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("bin")).unionByName(ahead)
+    ranked = Scan(both, keys, "_t", span, ("_kind",)).running(_rank=F.col("bin").isNull().cast("long")).rows()
+    sums = ranked.filter(F.col("bin").isNotNull()).groupBy(*keys, "bin").agg(F.sum("_rank").alias("_sum"))
+    pairs = F.lead("_sum").over(Window.partitionBy(*keys).orderBy("bin")) - F.col("_sum")
+    return sums.select(*keys, "bin", pairs.alias("n")).filter("n > 0")
 
 
 def synthetic_sum(tuning: DataFrame, keys: list[str], label: str, bin: str, trial: str, value: str, rest: DataFrame, v: str = "V", t: str = "T", name: str = "V+T") -> DataFrame:
@@ -202,14 +213,17 @@ def rates_by_progress(samples: DataFrame, keys: list[str], value: str, width: fl
 def exported_spikes(spikes: DataFrame, samples: DataFrame, keys: list[str], time: str, place: str, lags: list[float], images_per_place: float, at) -> DataFrame:
     """Spikes with the place at their time and the number of the image shown at each lag before: image_<lag in ms>.
 
-    at: interpolated(events, samples, keys, time, value, name), which looks values up in the samples.
+    at: interpolated(events, samples, keys, time, value, name), which looks values up in the samples; all lags are looked
+    up at once.
     """
-    out = at(spikes, samples, keys, time, place, "position")
-    for lag in lags:
-        name = f"image_{round(lag * 1000)}ms"
-        moved = at(out.withColumn("_then", F.col(time) - lag), samples.withColumnRenamed(time, "_then"), keys, "_then", place, "_place")
-        out = moved.withColumn(name, F.floor(F.col("_place") * images_per_place).cast("int")).drop("_place", "_then")
-    return out
+    names = [f"image_{round(lag * 1000)}ms" for lag in lags]
+    row = F.struct(*(F.col(c) for c in spikes.columns if c not in keys))
+    asked = spikes.select(*keys, row.alias("_row"), F.posexplode(F.array(*(F.col(time) - lag for lag in (0.0, *lags)))).alias("_lag", time))
+    seen = at(asked, samples, keys, time, place, "_place")
+    one = lambda k: F.max(F.when(F.col("_lag") == k, F.col("_place")))
+    # Rows that repeat ask the same, so each lag has as many answers as there are rows.
+    wide = seen.groupBy(*keys, "_row").agg(F.count_if(F.col("_lag") == 0).alias("_n"), one(0).alias("position"), *(F.floor(one(k + 1) * images_per_place).cast("int").alias(n) for k, n in enumerate(names)))
+    return wide.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*keys, "_row.*", "position", *names)
 
 
 def two_condition_classes(tests: DataFrame, keys: list[str], first: str = "V", second: str = "VT") -> DataFrame:

@@ -1,17 +1,23 @@
 """Encoding models: time bins, folds, Poisson regression per unit, selection of terms, predicted curves.
 
-A unit's bins (some thousands) are one group; units and models spread over tasks.
+A unit's bins (some thousands) are one group; units and models spread over tasks. `fitted_in_steps` makes the same fits
+where a unit's bins are too many for one task.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialspark.operators.ordered import stored
+from trialspark.operators.stats import joined
+
 CLAMP, LEAST_GAIN, FOLDS, CAP_HZ = 20.0, 0.005, 5, 400.0
 
 
@@ -128,6 +134,120 @@ def fitted(bins: DataFrame, keys: list[str], order: list[str], models: dict[str,
     return _groups(bins, keys, order, work, schema)
 
 
+def _pooled(batches, keys: list[str], fold, width: int, flush: int = 256):
+    """Sums of fold(rows) over all rows of a key that a task holds, a row a key; `flush` keys are held at once."""
+    held: dict = {}
+
+    def told():
+        values = pa.array([list(v) for v in held.values()], pa.list_(pa.float64()))
+        columns = [pa.array([k[i] for k in held], t) for i, t in enumerate(types)]
+        return pa.RecordBatch.from_arrays([*columns, values], [*keys, "sums"])
+
+    for batch in batches:
+        types = [batch.schema.field(k).type for k in keys]
+        rows = batch.to_pandas()
+        for key, some in rows.groupby(keys, sort=False, dropna=False):
+            key = tuple(None if isinstance(k, float) and math.isnan(k) else k for k in key)
+            held[key] = held.get(key, np.zeros(width)) + fold(some)
+        if len(held) >= flush:
+            yield told()
+            held = {}
+    if held:
+        yield told()
+
+
+def _design(terms: list[str], bins: DataFrame):
+    """The array of a row's regressors, the intercept first."""
+    parts = [F.col(t).cast("array<double>") if bins.schema[t].dataType.typeName() == "array" else F.array(F.col(t).cast("double")) for t in terms]
+    return F.concat(F.array(F.lit(1.0)), *parts)
+
+
+def _rates(some: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    x, y, offset = np.stack(some["_x"].to_numpy()), some["_y"].to_numpy(float), some["_o"].to_numpy(float)
+    eta = np.clip(np.einsum("ij,ij->i", x, np.stack(some["_beta"].to_numpy())) + offset, -CLAMP, CLAMP)
+    return x, y, eta, np.exp(eta)
+
+
+def newton_steps(rows: DataFrame, keys: list[str], k: int, ridge: float = 1e-3, steps: int = 60, tolerance: float = 1e-8) -> DataFrame:
+    """(keys, beta, se) of ridge Poisson regressions of rows (keys, _x of k entries, _y, _o the log of time), by steps over
+    all keys at once.
+
+    A step sums X'WX and X'Wz per key within tasks, adds the tasks' sums and solves; so a key may have any number of rows,
+    and what is shuffled is k * k numbers a key and task. Between steps the coefficients are a small stored table.
+    """
+    key_schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+
+    def fold(some):
+        x, y, eta, mu = _rates(some)
+        return np.r_[(x.T @ (x * mu[:, None])).ravel(), x.T @ (mu * (eta - some["_o"].to_numpy(float)) + y - mu)]
+
+    def solve(parts: pd.DataFrame) -> pd.DataFrame:
+        sums = np.sum(np.stack(parts["sums"].to_numpy()), 0)
+        penalty = np.r_[0.0, np.full(k - 1, ridge)]
+        information = sums[: k * k].reshape(k, k) + np.diag(penalty) + 1e-9 * np.eye(k)
+        beta = np.linalg.solve(information, sums[k * k :])
+        return pd.DataFrame([(*(parts[c].iloc[0] for c in keys), beta, np.sqrt(np.diag(np.linalg.inv(information))))], columns=[*keys, "beta", "se"])
+
+    start = F.log((F.sum("_y") + 0.1) / F.sum(F.exp("_o")))
+    state = rows.groupBy(*keys).agg(F.concat(F.array(start), F.array_repeat(F.lit(0.0), k - 1)).alias("beta"))
+    state = stored(state.withColumn("se", F.lit(None).cast("array<double>")))
+    for _ in range(steps):
+        told = joined(rows, state.select(*keys, F.col("beta").alias("_beta")), keys)
+        sums = told.mapInArrow(lambda b: _pooled(b, keys, fold, k * k + k), f"{key_schema}, sums array<double>")
+        new = stored(sums.groupBy(*keys).applyInPandas(solve, f"{key_schema}, beta array<double>, se array<double>"))
+        change = F.array_max(F.zip_with("beta", "_old", lambda a, b: F.abs(a - b)))
+        moved = joined(new, state.select(*keys, F.col("beta").alias("_old")), keys).agg(F.max(change)).first()[0]
+        state = new
+        if moved is None or moved < tolerance:
+            break
+    return state
+
+
+def fitted_in_steps(bins: DataFrame, keys: list[str], models: dict[str, list[str]], ridge: float = 1e-3) -> DataFrame:
+    """As `fitted`, by steps over the whole table: a unit's rows needn't fit one task. Full fits and those without a fold
+    are all made at once, as units of their own."""
+    out = None
+    for name, terms in models.items():
+        rows = bins.select(*keys, F.col("fold").cast("int").alias("_fold"), _design(terms, bins).alias("_x"), F.col("spike_count").cast("double").alias("_y"), F.log(F.col("dt").cast("double")).alias("_o"))
+        rows = stored(rows)
+        first = rows.select(F.size("_x")).first()
+        k = first[0] if first else len(terms) + 1
+        folds = rows.select(*keys, F.col("_fold").alias("_held")).distinct()
+        theirs = folds.withColumnsRenamed({c: f"_k_{c}" for c in keys})
+        match = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys), F.col("_fold") != F.col("_held"))
+        training = rows.join(theirs, match).select(*keys, "_held", "_x", "_y", "_o").unionByName(rows.select(*keys, F.lit(-1).alias("_held"), "_x", "_y", "_o"))
+        fits = newton_steps(training, [*keys, "_held"], k, ridge)
+        full = fits.filter("_held = -1").drop("_held")
+
+        def score(some):
+            _, y, _, mu = _rates(some)
+            deviance = 2 * (np.where(y > 0, y * np.log(np.where(y > 0, y, 1) / mu), 0) - (y - mu)).sum()
+            return np.array([len(y), y.sum(), log_likelihood(y, mu), deviance, ((y - mu) ** 2 / mu).sum()])
+
+        def held_score(some):
+            told = some["_beta"].notna().to_numpy()
+            mu = np.full(len(some), 1e-300)
+            if told.any():
+                mu[told] = np.maximum(_rates(some[told])[3], 1e-300)
+            return np.array([log_likelihood(some["_y"].to_numpy(float), mu)])
+
+        key_schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+        total = lambda i: F.sum(F.col("sums")[i])
+        sums = joined(rows, full.select(*keys, F.col("beta").alias("_beta")), keys).mapInArrow(lambda b, f=score: _pooled(b, keys, f, 5), f"{key_schema}, sums array<double>")
+        sums = sums.groupBy(*keys).agg(*(total(i).alias(n) for i, n in enumerate(("_n", "_spikes", "log_likelihood", "deviance", "_pearson"))))
+        others = fits.filter("_held >= 0").select(*keys, F.col("_held").alias("_fold"), F.col("beta").alias("_beta"))
+        held = joined(rows, others, [*keys, "_fold"]).mapInArrow(lambda b, f=held_score: _pooled(b, keys, f, 1), f"{key_schema}, sums array<double>")
+        held = held.groupBy(*keys).agg(total(0).alias("_held_ll"))
+        told = joined(joined(full, sums, keys), held, keys)
+        ll = F.col("log_likelihood")
+        told = told.select(
+            *keys, F.lit(name).alias("model"), "beta", "se", "log_likelihood", (2 * k - 2 * ll).alias("aic"), (k * F.log(F.greatest("_n", F.lit(1.0))) - 2 * ll).alias("bic"), "deviance",
+            (F.col("_pearson") / F.greatest(F.col("_n") - k, F.lit(1.0))).alias("dispersion"), (F.col("_held_ll") / F.greatest("_spikes", F.lit(1.0)) / math.log(2)).alias("cv_bits"),
+        )
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 def forward_selected(bins: DataFrame, keys: list[str], order: list[str], mains: list[str], interactions: dict[str, tuple[str, str]], least: float = LEAST_GAIN, ridge: float = 1e-3) -> DataFrame:
     """Terms added one by one while the best adds more than `least` held-out bits per spike: first main effects, then
     interactions (name: its two main effects) of chosen ones. A row per step."""

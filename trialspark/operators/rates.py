@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trialspark.operators.intervals import range_join
 from trialspark.operators.ordered import row_numbers
+from trialspark.operators.stats import joined
 
 SIGMA, REACH, RATE = 0.02, 0.5, 10_000
 
@@ -112,9 +113,9 @@ def response_order(responses: DataFrame, keys: list[str], value: str = "delta")
 
 
 def baseline_subtracted(responses: DataFrame, keys: list[str], lag: str, value: str, base: tuple[float, float]) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    mean = F.avg(F.when((F.col(lag) >= base[0]) & (F.col(lag) < base[1]), F.col(value))).over(w)
-    return responses.withColumn("subtracted", F.col(value) - mean)
+    mean = F.avg(F.when((F.col(lag) >= base[0]) & (F.col(lag) < base[1]), F.col(value)))
+    told = joined(responses, responses.groupBy(*keys).agg(mean.alias("_mean")), keys)
+    return told.withColumn("subtracted", F.col(value) - F.col("_mean")).drop("_mean")
 
 
 def spatial_map(spikes: DataFrame, samples: DataFrame, keys: list[str], unit: str, width: float, dt: str, speed: str | None = None) -> DataFrame:

@@ -26,12 +26,13 @@ def even_span(df: DataFrame, order: str, rows: float | None = None) -> float:
 
 @dataclass(frozen=True)
 class Scan:
-    """Rows of a table in order within keys; a span cuts them to stretches."""
+    """Rows of a table in order within keys, equals by `ties`; a span cuts them to stretches."""
 
     df: DataFrame
     keys: list[str]
     order: str
     span: float | None = None
+    ties: tuple[str, ...] = ()
 
     def __post_init__(self):
         if self.span is not None:
@@ -43,13 +44,16 @@ class Scan:
 
     def _with(self, df: DataFrame) -> Scan:
         out = object.__new__(Scan)
-        for name, value in (("df", df), ("keys", self.keys), ("order", self.order), ("span", self.span)):
+        for name, value in (("df", df), ("keys", self.keys), ("order", self.order), ("span", self.span), ("ties", self.ties)):
             object.__setattr__(out, name, value)
         return out
 
     def _window(self, backward: bool = False):
         by = self.keys if self.span is None else (STRETCH,)
-        return Window.partitionBy(*by).orderBy(F.col(self.order).desc() if backward else F.col(self.order))
+        return Window.partitionBy(*by).orderBy(*(F.col(c).desc() if backward else F.col(c) for c in (self.order, *self.ties)))
+
+    def _place(self) -> Column:
+        return F.struct(self.order, *self.ties) if self.ties else F.col(self.order)
 
     def _carried(self, summary: dict[str, Column], carry) -> DataFrame:
         """Rows with columns that a window over the stretches' summary gives."""
@@ -62,7 +66,7 @@ class Scan:
         if self.span is None:
             return self._with(self.df.withColumns({n: near(c).over(w) for n, c in columns.items()}))
         end = F.min_by if behind else F.max_by
-        rows = self._carried({n: end(F.struct(c.alias("v")), F.col(self.order)) for n, c in columns.items()}, lambda e, s: near(e).over(s))
+        rows = self._carried({n: end(F.struct(c.alias("v")), self._place()) for n, c in columns.items()}, lambda e, s: near(e).over(s))
         # A struct tells a null value from there being no neighbour within the stretch.
         found = {n: F.coalesce(near(F.struct(c.alias("v"))).over(w), F.col(f"_c_{n}"))["v"] for n, c in columns.items()}
         return self._with(rows.withColumns(found).drop(*(f"_c_{n}" for n in columns)))
@@ -94,7 +98,7 @@ class Scan:
             carry = lambda e, s: F.first(e, ignorenulls=True).over(s.rowsBetween(1, Window.unboundedFollowing))
         else:
             carry = lambda e, s: last(e, s.rowsBetween(Window.unboundedPreceding, -1))
-        rows = self._carried({n: end(c, F.when(c.isNotNull(), F.col(self.order))) for n, c in columns.items()}, carry)
+        rows = self._carried({n: end(c, F.when(c.isNotNull(), self._place())) for n, c in columns.items()}, carry)
         return self._with(rows.withColumns({n: F.coalesce(last(c, w), F.col(f"_c_{n}")) for n, c in columns.items()}).drop(*(f"_c_{n}" for n in columns)))
 
     def held(self, **columns: Column) -> Scan:

@@ -7,6 +7,8 @@ a session of a fast channel, `span` cuts it to stretches of the order column (se
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,13 +201,77 @@ def slices(samples: DataFrame, intervals: DataFrame, keys: list[str], order: str
     return joined.withColumn("offset", F.col(order) - F.col("start_idx"))
 
 
-def best_lag(original: DataFrame, replay: DataFrame, keys: list[str], order: str, value: str, lags: list[int]) -> DataFrame:
-    """Per keys the lag with the greatest correlation of replay (shifted back by it) with original."""
-    tried = replay.select(*keys, F.col(order).alias("_at"), F.col(value).alias("_v"), F.explode(F.array(*map(F.lit, lags))).alias("lag"))
-    shifted = tried.withColumn(order, F.col("_at") - F.col("lag"))
-    both = original.select(*keys, order, value).join(shifted, [*keys, order])
-    scored = both.groupBy(*keys, "lag").agg(F.corr(value, "_v").alias("r"), F.count("*").alias("n"))
-    return scored.groupBy(*keys).agg(F.max_by("lag", F.struct(F.coalesce("r", F.lit(-2.0)), -F.col("lag"))).alias("lag"), F.max("r").alias("r"))
+def _lag_correlations(o: np.ndarray, r: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Correlations of o[i] with r[i + lag] over the i where both are numbers, for lag = low..high, by FFT; nan without any spread."""
+    size = 1 << int(np.ceil(np.log2(len(o) + len(r))))
+    shift = np.arange(low, high + 1)
+    known = (shift > -len(o)) & (shift < len(r))
+    both = lambda x, y: np.fft.irfft(np.conj(np.fft.rfft(x, size)) * np.fft.rfft(y, size), size)[shift[known] % size]
+    parts = []
+    for x in (o, r):
+        told = np.isfinite(x)
+        middle = x[told].mean() if told.any() else 0.0  # less to cancel
+        parts.append((told.astype(float), np.where(told, x - middle, 0.0)))
+    (mo, vo), (mr, vr) = parts
+    n = np.rint(both(mo, mr))
+    so, sr, oo, rr, cross = both(vo, mr), both(mo, vr), both(vo * vo, mr), both(mo, vr * vr), both(vo, vr)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        spread_o, spread_r = oo - so * so / n, rr - sr * sr / n
+        found = (cross - so * sr / n) / np.sqrt(spread_o * spread_r)
+    least_o, least_r = 1e-12 * max(1e-300, (vo * vo).sum()), 1e-12 * max(1e-300, (vr * vr).sum())
+    out = np.full(len(shift), np.nan)
+    out[known] = np.where((n > 1) & (spread_o > least_o) & (spread_r > least_r), np.clip(found, -1, 1), np.nan)
+    return out
+
+
+def _lag_groups(original: DataFrame, replay: DataFrame, keys: list[str], order: str, value: str, choose) -> DataFrame:
+    """(keys, lag, r) that `choose` takes from a key's two traces on one grid of whole steps; a group is one trial's pair."""
+    schema = ", ".join(f"`{k}` {original.schema[k].dataType.simpleString()}" for k in keys) + ", lag int, r double"
+    slim = lambda df, side: df.select(*keys, F.col(order).cast("long").alias("_at"), F.col(value).cast("double").alias("_v"), F.lit(side).alias("_side"))
+
+    def dense(rows: pd.DataFrame, start: int) -> np.ndarray:
+        out = np.full(int(rows["_at"].max()) - start + 1, np.nan)
+        out[rows["_at"].to_numpy() - start] = rows["_v"].to_numpy(float)
+        return out
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        o, r = (rows[rows["_side"] == side] for side in (0, 1))
+        if not len(o) or not len(r):
+            return pd.DataFrame(columns=[*keys, "lag", "r"])
+        low, high = int(o["_at"].min()), int(r["_at"].min())
+        lag, found = choose(dense(o, low), dense(r, high), low - high)
+        return pd.DataFrame([(*(o[k].iloc[0] for k in keys), lag, None if np.isnan(found) else found)], columns=[*keys, "lag", "r"])
+
+    return slim(original, 0).unionByName(slim(replay, 1)).groupBy(*keys).applyInPandas(one, schema)
+
+
+def best_lag(original: DataFrame, replay: DataFrame, keys: list[str], order: str, value: str, lags: list[int], digits: int = 9) -> DataFrame:
+    """Per keys the lag with the greatest correlation of replay (shifted back by it) with original, to `digits`; of equals
+    the least. All lags come from a few Fourier transforms of a trial, whatever their number. order counts whole steps."""
+    wanted = np.array(sorted(lags))
+
+    def choose(o, r, shift):  # replay's sample lag steps ahead of o[i] is r[i + lag + shift]
+        found = np.round(_lag_correlations(o, r, int(wanted[0]) + shift, int(wanted[-1]) + shift)[wanted - wanted[0]], digits)
+        best = int(np.argmax(np.where(np.isnan(found), -2.0, found)))
+        return int(wanted[best]), found[best]
+
+    return _lag_groups(original, replay, keys, order, value, choose)
+
+
+def matched_offset(original: DataFrame, replay: DataFrame, keys: list[str], order: str, value: str, coarse: int = 1000, digits: int = 9) -> DataFrame:
+    """Per keys how many samples (0 or more) the replay's trace begins before the original's: the best of every `coarse`-th
+    lag, then the best of those up to half as far from it, both traces counted from their first samples."""
+
+    def choose(o, r, _shift):
+        last = max(len(o), len(r)) - 1
+        found = np.round(_lag_correlations(o, r, 0, last), digits)
+        found = np.where(np.isnan(found), -2.0, found)
+        rough = coarse * int(np.argmax(found[::coarse]))
+        low = max(0, rough - coarse // 2)
+        best = low + int(np.argmax(found[low : min(last + 1, rough + coarse - coarse // 2)]))
+        return best, found[best] if found[best] >= -1 else np.nan
+
+    return _lag_groups(original, replay, keys, order, value, choose)
 
 
 def aligned(replay: DataFrame, original: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,10 +14,43 @@ from trialspark.operators.ordered import stored, value_places
 EXACT_PAIRS = 15
 
 
-def hazen(df: DataFrame, keys: list[str], value: str, percents: list[float], name: str = "value") -> DataFrame:
+def near_ranks(df: DataFrame, keys: list[str], value: str, percents: list[float], accuracy: int = 20_000) -> DataFrame:
+    """(keys, value, n, before, total, next) of the distinct values around each of the percents' ranks, as `value_places`
+    has them for all values, by selection.
+
+    A sketch per key, with a rank error of at most a part in `accuracy`, gives each percent a bracket four times as wide on
+    either side. One aggregate then counts the values between brackets, by the number of brackets begun and ended, and the
+    distinct values within; a key of up to `accuracy` values is one bracket. Nothing is dealt, sorted or stored but the
+    few values within brackets, which are ordered within one.
+    """
+    share = 4.0 / accuracy
+    ends = lambda sign: F.lit([min(1.0, max(0.0, p / 100 + sign * share)) for p in percents])
+    sketch = df.groupBy(*keys).agg(F.count("*").alias("total"), F.percentile_approx(value, ends(-1), accuracy).alias("_low"), F.percentile_approx(value, ends(1), accuracy).alias("_high"))
+    # A small key's only bracket begins and ends nowhere.
+    sketch = sketch.withColumns({c: F.when(F.col("total") > accuracy, F.col(c)) for c in ("_low", "_high")})
+    theirs = sketch.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    match = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))
+    begun = F.when(F.col("_low").isNull(), 1).otherwise(F.size(F.filter("_low", lambda x: x <= F.col(value))))
+    ended = F.when(F.col("_high").isNull(), 0).otherwise(F.size(F.filter("_high", lambda x: x < F.col(value))))
+    placed = df.join(theirs, match).select(*keys, "total", begun.alias("_a"), ended.alias("_b"), F.col(value).alias("_v"))
+    within = F.when(F.col("_a") > F.col("_b"), F.col("_v"))
+    counts = placed.groupBy(*keys, "total", "_a", "_b", within.alias("_v")).agg(F.count("*").alias("n"))
+    # Cells follow each other by the sum of begun and ended brackets; a key has at most two a percent, and one more.
+    cell = F.col("_a") + F.col("_b")
+    counts = counts.withColumn("_cell", cell)
+    sizes = counts.groupBy(*keys, "_cell").agg(F.sum("n").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_cell").alias("_k_cell"), before.alias("_before"))
+    inside = counts.filter("_a > _b").join(sizes, match & (F.col("_cell") == F.col("_k_cell")))
+    w = Window.partitionBy(*keys, "_cell").orderBy("_v")
+    so_far = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return inside.select(*keys, F.col("_v").alias(value), "n", (F.col("_before") + so_far).alias("before"), "total", F.lead("_v").over(w).alias("next"))
+
+
+def hazen(df: DataFrame, keys: list[str], value: str, percents: list[float], name: str = "value", accuracy: int = 20_000) -> DataFrame:
     """Percentiles with the ith of n values at 100 (i - 0.5) / n, linear between, the extremes beyond: keys, prc, value."""
     kept = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    places = value_places(kept, keys, "_v")
+    places = near_ranks(kept, keys, "_v", percents, accuracy)
     at = lambda prc: F.greatest(F.lit(1.0), F.least(F.col("total").cast("double"), prc / 100 * F.col("total") + 0.5))
     last = F.col("before") + F.col("n")
     here = lambda prc: (F.floor(at(prc)) > F.col("before")) & (F.floor(at(prc)) <= last)
@@ -28,16 +61,30 @@ def hazen(df: DataFrame, keys: list[str], value: str, percents: list[float], nam
     return hit.select(*keys, "prc", line.alias(name))
 
 
+def medians(df: DataFrame, keys: list[str], **columns: str) -> DataFrame:
+    """keys and the median of each column, in one selection over all of them; null where a key has no value."""
+    one = F.explode(F.array(*(F.struct(F.lit(n).alias("_name"), F.col(c).cast("double").alias("_value")) for n, c in columns.items())))
+    long = df.select(*keys, one.alias("_m")).select(*keys, "_m.*")
+    found = hazen(long, [*keys, "_name"], "_value", [50.0]).groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == n, F.col("value"))).alias(n) for n in columns))
+    return found
+
+
 def quantile(value: str, share: float) -> Column:
     return F.percentile(value, F.lit(share))
 
 
+def joined(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the other columns of a table that has a row for each of its keys; null keys are keys."""
+    theirs = other.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    match = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys), F.lit(True))
+    return df.join(theirs, match, "left").drop(*(f"_k_{k}" for k in keys))
+
+
 def described(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, sem, median, std, min and max by keys."""
     std = F.stddev_samp(value)
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), (std / F.sqrt(F.count(value))).alias("sem"), F.median(value).alias("median"), std.alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
-    )
+    told = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (std / F.sqrt(F.count(value))).alias("sem"), std.alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return joined(told, medians(df, keys, median=value), keys).select(*keys, "n", "mean", "sem", "median", "std", "min", "max")
 
 
 def mid_ranks(df: DataFrame, keys: list[str], value: str, name: str = "rank") -> DataFrame:
@@ -158,9 +205,9 @@ def modulation_index(x: Column, y: Column) -> Column:
 
 def zscore(df: DataFrame, keys: list[str], value: str, base: Column, name: str = "z") -> DataFrame:
     """df with value standardised by the rows where base holds."""
-    w = Window.partitionBy(*keys)
     kept = F.when(base, F.col(value))
-    return df.withColumn(name, (F.col(value) - F.avg(kept).over(w)) / F.stddev_samp(kept).over(w))
+    told = joined(df, df.groupBy(*keys).agg(F.avg(kept).alias("_mean"), F.stddev_samp(kept).alias("_std")), keys)
+    return told.withColumn(name, (F.col(value) - F.col("_mean")) / F.col("_std")).drop("_mean", "_std")
 
 
 def drops(df: DataFrame, keys: list[str], value: str, before: Column, after: Column, n_sd: float = 2.0) -> DataFrame:
@@ -207,8 +254,8 @@ def linear_fit(df: DataFrame, keys: list[str], y: str, x: str, p_values: bool =
 
 def normalised(df: DataFrame, keys: list[str], value: str, reference: Column, name: str = "normalised") -> DataFrame:
     """df with value over the mean of the rows of its keys where reference holds."""
-    mean = F.avg(F.when(reference, F.col(value))).over(Window.partitionBy(*keys))
-    return df.withColumn(name, F.when(mean != 0, F.col(value) / mean))
+    told = joined(df, df.groupBy(*keys).agg(F.avg(F.when(reference, F.col(value))).alias("_mean")), keys)
+    return told.withColumn(name, F.when(F.col("_mean") != 0, F.col(value) / F.col("_mean"))).drop("_mean")
 
 
 def rescaled_to(df: DataFrame, reference: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -232,7 +279,8 @@ def distribution(df: DataFrame, keys: list[str], value: str, width: float, n_edg
 
 
 def scorecard(df: DataFrame, keys: list[str], x: str, y: str, direction: str) -> DataFrame:
-    """Medians and quartiles of both sides, how many went up, down or neither, and how many lack a side."""
+    """Medians and quartiles of both sides, how many went up, down or neither, and how many lack a side. Quartiles lie
+    linearly between ranks, the first and last value being the ends."""
     return df.groupBy(*keys).agg(
         *(F.median(c).alias(f"{c}_median") for c in (x, y)),
         *(quantile(c, q).alias(f"{c}_q{n}") for c in (x, y) for n, q in ((1, 0.25), (3, 0.75))),

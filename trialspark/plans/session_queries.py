@@ -1,10 +1,10 @@
-"""Segmentation of one long session: all events are samples of a single key, cut to stretches of even span."""
+"""Queries whose keys may have any number of rows: all events as one session, cut to stretches of even span, and fits in steps."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trialspark.operators import scan, segment, signals
+from trialspark.operators import compare, glm, scan, segment, signals
 from trialspark.plans.event_queries import HOUR, E, events, low_pass_sql, rounded
 
 QUERIES, ORACLES = {}, {}
@@ -93,3 +93,50 @@ def g16_low_pass_one_session(spark, d):
     e, span = _session(spark, d, "event_id")
     out = signals.low_pass(e.select("session_id", "event_id", "value"), ["session_id"], "event_id", "value", 10.0, 1.0, span=span)
     return rounded(out.select("event_id", "filtered"), "filtered")
+
+
+def _steps_sql(steps: int = 12, ridge: float = 1e-3) -> str:
+    """A Poisson regression on an intercept and x by Newton steps, of each unit and of each unit without one fold."""
+    eta = "greatest(-20, least(20, b0 + b1 * x + o))"
+    out = f"""c AS (SELECT user_id % 4 AS unit, floor(t / 21600)::INT AS bin, count(*) AS y, avg(value) / 100 AS x, ln(6.0::DOUBLE) AS o FROM e GROUP BY 1, 2),
+f AS (SELECT *, bin % 5 AS fold FROM c), r AS (SELECT *, -1 AS held FROM f UNION ALL SELECT f.*, h.held FROM f JOIN (SELECT DISTINCT unit, fold AS held FROM f) h ON h.unit = f.unit AND h.held <> f.fold),
+s0 AS (SELECT unit, held, ln((sum(y) + 0.1::DOUBLE) / sum(exp(o))) AS b0, 0.0::DOUBLE AS b1 FROM r GROUP BY 1, 2)"""
+    for k in range(steps):
+        out += f""",
+t{k} AS (SELECT unit, held, sum(m) + 1e-9::DOUBLE AS a, sum(m * x) AS b, sum(m * x * x) + {ridge} + 1e-9::DOUBLE AS c, sum(m * (g - o) + y - m) AS u, sum(x * (m * (g - o) + y - m)) AS v
+FROM (SELECT r.*, {eta} AS g, exp({eta}) AS m FROM r JOIN s{k} USING (unit, held)) GROUP BY 1, 2),
+s{k + 1} AS (SELECT unit, held, (c * u - b * v) / (a * c - b * b) AS b0, (a * v - b * u) / (a * c - b * b) AS b1 FROM t{k})"""
+    return f"""{out},
+w AS (SELECT unit, count(*) AS n, sum(y) AS spikes, sum(y * g - m - lgamma(y + 1)) AS ll, sum(2 * (y * (ln(y) - g) - (y - m))) AS deviance, sum((y - m) ^ 2 / m) AS pearson FROM (SELECT f.*, {eta} AS g, exp({eta}) AS m FROM f JOIN s{steps} s ON s.unit = f.unit AND held = -1) GROUP BY 1),
+p AS (SELECT unit, sum(y * g - exp(g) - lgamma(y + 1)) AS ll FROM (SELECT f.*, {eta} AS g FROM f JOIN s{steps} s ON s.unit = f.unit AND held = fold) GROUP BY 1)
+SELECT s.unit, round(b0, 6) AS b0, round(b1, 6) AS b1, round(w.ll, 5) AS log_likelihood, round(4 - 2 * w.ll, 5) AS aic, round(2 * ln(n) - 2 * w.ll, 5) AS bic, round(deviance, 5) AS deviance,
+round(pearson / (n - 2), 5) AS dispersion, round(p.ll / spikes / ln(2.0::DOUBLE), 6) AS cv_bits FROM s{steps} s JOIN w USING (unit) JOIN p USING (unit) WHERE held = -1"""
+
+
+@query(f"{E}, {_steps_sql()}")
+def l6_fits_in_steps(spark, d):
+    e = events(spark, d)
+    cells = e.groupBy((F.col("user_id") % 4).alias("unit"), F.floor(F.col("t") / 21_600).cast("int").alias("bin")).agg(F.count("*").alias("spike_count"), (F.avg("value") / 100).alias("x"))
+    out = glm.fitted_in_steps(cells.withColumns({"dt": F.lit(6.0), "fold": F.col("bin") % 5}), ["unit"], {"speed": ["x"]})
+    out = out.select("unit", F.round(F.col("beta")[0], 6).alias("b0"), F.round(F.col("beta")[1], 6).alias("b1"), "log_likelihood", "aic", "bic", "deviance", "dispersion", F.round("cv_bits", 6).alias("cv_bits"))
+    return rounded(out, "log_likelihood", "aic", "bic", "deviance", "dispersion", digits=5)
+
+
+@query(f"{E} SELECT floor((b.t - a.t) / 600)::INT AS bin, count(*) AS n FROM e a JOIN e b ON b.t > a.t AND b.t < a.t + 14400 GROUP BY 1")
+def t19_isi_pairs_one_unit(spark, d):
+    e, span = _session(spark, d, "t")
+    return compare.isi_pairs(e, ["session_id"], "t", 4 * HOUR, HOUR / 6, span).drop("session_id")
+
+
+_GRID = "g AS (SELECT c.cell, coalesce(count(e.t), 0)::DOUBLE AS v FROM (SELECT unnest(range(0, 720)) AS cell) c LEFT JOIN e ON floor(e.t / 3600)::INT = c.cell AND event_type = '{}' GROUP BY 1)"
+
+
+@query(f"""{E}, {_GRID.format("view")}, h AS ({_GRID.format("click")[6:-1]}),
+c AS (SELECT l.lag, round(corr(g.v, h.v), 9) AS r FROM (SELECT unnest(range(0, 720)) AS lag) l JOIN g ON true JOIN h ON h.cell = g.cell + l.lag GROUP BY 1),
+a AS (SELECT lag FROM c WHERE lag % 24 = 0 ORDER BY CASE WHEN isnan(r) THEN NULL ELSE r END DESC NULLS LAST, lag LIMIT 1)
+SELECT lag::INT AS lag, round(r, 6) AS r FROM c, (SELECT lag AS rough FROM a) WHERE lag >= rough - 12 AND lag < rough + 12 ORDER BY CASE WHEN isnan(r) THEN NULL ELSE r END DESC NULLS LAST, lag LIMIT 1""")
+def g19_matched_offset(spark, d):
+    cells = events(spark, d).groupBy("event_type", F.floor(F.col("t") / HOUR).cast("int").alias("cell")).agg(F.count("*").cast("double").alias("n"))
+    grid = spark.range(720).select(F.lit(1).alias("trial"), F.col("id").cast("int").alias("cell"))
+    trace = lambda kind: grid.join(cells.filter(F.col("event_type") == kind), "cell", "left").select("trial", "cell", F.coalesce("n", F.lit(0.0)).alias("v"))
+    return rounded(segment.matched_offset(trace("view"), trace("click"), ["trial"], "cell", "v", 24).drop("trial"), "r")
