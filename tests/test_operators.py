@@ -159,7 +159,7 @@ def test_forward_selection_takes_the_term_that_matters(spark):
 
 def test_raised_cosines(spark):
     out = spark.range(1).select(basis.raised_cosine(F.lit(0.5), 3, 0.5, 7.5).alias("a"), basis.onset_kernel(F.lit(-0.1), 3, 1.0).alias("b"), basis.products(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(5.0))).alias("c"), basis.dummies(F.lit("y"), ["x", "y", "z"]).alias("d")).collect()[0]
-    assert out.a == pytest.approx([1.0, 0.5, 0.0]) and out.b == [0, 0, 0] and out.c == [3, 5, 6, 10] and out.d == [1, 0]
+    assert out.a == pytest.approx([1.0, 0.25, 0.0]) and out.b == [0, 0, 0] and out.c == [3, 5, 6, 10] and out.d == [1, 0]
 
 
 def test_receptive_field_of_a_planted_patch(spark):

@@ -121,7 +121,7 @@ def baseline_subtracted(responses: DataFrame, keys: list[str], lag: str, value:
 def spatial_map(spikes: DataFrame, samples: DataFrame, keys: list[str], unit: str, width: float, dt: str, speed: str | None = None) -> DataFrame:
     """Rate by place bin: spikes (keys, unit, place) over occupancy of samples (keys, place, dt); bins never visited are absent."""
     cell = lambda c: F.floor(F.col(c) / width).cast("int")
-    measures = [F.sum(dt).alias("occupancy"), *([F.avg(speed).alias("mean_speed")] if speed else [])]
+    measures = [F.sum(dt).alias("occupancy"), *([(F.sum(F.col(speed) * F.col(dt)) / F.sum(F.when(F.col(speed).isNotNull(), F.col(dt)))).alias("mean_speed")] if speed else [])]
     visited = samples.groupBy(*keys, cell("place").alias("bin")).agg(*measures)
     fired = spikes.groupBy(*keys, unit, cell("place").alias("bin")).agg(F.count("*").alias("n"))
     every = visited.join(spikes.select(*keys, unit).distinct(), keys)
@@ -130,8 +130,8 @@ def spatial_map(spikes: DataFrame, samples: DataFrame, keys: list[str], unit: st
 
 
 def smoothed_over_bins(table: DataFrame, keys: list[str], value: str, width: float, sigma: float, n_bins: int) -> DataFrame:
-    """value smoothed over bin 0 to n_bins - 1 by a Gaussian, the ends mirrored; `reach` is three sigma."""
-    reach = max(1, math.ceil(3 * sigma / width))
+    """value smoothed over bin 0 to n_bins - 1 by a Gaussian, the ends mirrored; it is cut at four sigma."""
+    reach = max(1, math.ceil(4 * sigma / width))
     spread = table.withColumn("_d", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("_to", F.col("bin") + F.col("_d"))
     mirrored = F.when(F.col("_to") < 0, -1 - F.col("_to")).when(F.col("_to") >= n_bins, 2 * n_bins - 1 - F.col("_to")).otherwise(F.col("_to"))
     weight = F.exp(-F.pow(F.col("_d") * width, 2) / (2 * sigma**2))

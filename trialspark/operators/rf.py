@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.operators.ordered import following
-from trialspark.operators.tuning import draw_index
+from trialspark.operators.tuning import draw_index, hashed_uniform
 
 DEGREES = 5.0
 
@@ -60,7 +60,7 @@ def permutation_null(counts: DataFrame, cells: DataFrame, keys: list[str], reps:
 
 
 def field_masks(sta: DataFrame, null: DataFrame, keys: list[str], columns: int, k: float = 3.0, least: int = 4) -> DataFrame:
-    """Cells of each field: above null_mean + k * null_std and in a patch (side by side) of at least `least` cells."""
+    """Cells of each field: above null_mean + k * null_std and in a patch of at least `least` cells that touch, corners included."""
     key_schema = ", ".join(f"{c} {sta.schema[c].dataType.simpleString()}" for c in keys)
     hot = sta.join(null, [*keys, "cell", "polarity"]).filter(F.col("sta") > F.col("null_mean") + k * F.col("null_std"))
 
@@ -72,7 +72,7 @@ def field_masks(sta: DataFrame, null: DataFrame, keys: list[str], columns: int,
                 c = todo.popleft()
                 patch.append(c)
                 r, q = divmod(c, columns)
-                for d in (c - columns, c + columns, *([c - 1] if q else []), *([c + 1] if q < columns - 1 else [])):
+                for d in (i * columns + j for i in (r - 1, r, r + 1) for j in (q - 1, q, q + 1) if 0 <= j < columns):
                     if d in left:
                         left.remove(d)
                         todo.append(d)
@@ -97,27 +97,29 @@ def frame_average(counts: DataFrame, frames: DataFrame, keys: list[str]) -> Data
     return pixels.groupBy(*keys, "pixel").agg((F.sum(F.col("n") * F.col("value").cast("double")) / F.sum("n")).alias("sta"), F.sum("n").alias("n_spikes"))
 
 
-def best_lags(sta: DataFrame, keys: list[str], lag: str = "lag") -> DataFrame:
-    """Per keys the lag whose average has the greatest signal to noise (greatest deviation from its mean over its deviation)."""
-    by = sta.groupBy(*keys, lag).agg(F.avg("sta").alias("_m"), F.stddev_samp("sta").alias("_s"), F.max("sta").alias("_x"), F.min("sta").alias("_y"))
-    snr = F.when(F.col("_s") > 0, F.greatest(F.col("_x") - F.col("_m"), F.col("_m") - F.col("_y")) / F.col("_s")).otherwise(F.lit(0.0))
+def best_lags(sta: DataFrame, keys: list[str], lag: str = "lag", null: DataFrame | None = None) -> DataFrame:
+    """Per keys the lag whose average has the greatest signal to noise: its greatest absolute value over the null's
+    deviation (null: keys, lag, null_std, a mean over pixels), without a null over the average's own."""
+    by = sta.groupBy(*keys, lag).agg(F.max(F.abs("sta")).alias("_top"), F.stddev_samp("sta").alias("_s"))
+    if null is not None:
+        by = by.drop("_s").join(null.groupBy(*keys, lag).agg(F.avg("null_std").alias("_s")), [*keys, lag])
+    snr = F.col("_top") / F.greatest(F.coalesce("_s", F.lit(0.0)), F.lit(2.0**-52))
     return by.withColumn("snr", snr).groupBy(*keys).agg(F.max_by(lag, F.struct("snr", -F.col(lag))).alias(lag), F.max("snr").alias("snr"))
 
 
 def resampled_null(counts: DataFrame, frames: DataFrame, keys: list[str], reps: int = 100, seed: int = 1) -> DataFrame:
-    """Deviation over reps of the average with as many spikes dealt to frames at random, by pixel. A group is one
-    unit's frame counts and repetition; frames are joined after the draw."""
-    key_schema = ", ".join(f"{c} {counts.schema[c].dataType.simpleString()}" for c in keys)
-    spread = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame")
-        rng = np.random.default_rng([seed, int(rows["rep"].iloc[0]), int(rows["n"].sum())])
-        drawn = rng.multinomial(int(rows["n"].sum()), np.full(len(rows), 1 / len(rows)))
-        return rows.assign(n=drawn)[[*keys, "rep", "frame", "n"]]
-
-    dealt = spread.groupBy(*keys, "rep").applyInPandas(one, f"{key_schema}, rep int, frame {counts.schema['frame'].dataType.simpleString()}, n long")
-    sta = frame_average(dealt.filter("n > 0"), frames, [*keys, "rep"])
+    """Mean and deviation over reps of the average with each of a unit's spikes dealt to one of its frames at random, by pixel.
+
+    A spike's draw is a hash of its number and the repetition, turned to a frame by the inverse of the equal distribution.
+    Draws are counted per frame before frames are joined, so a repetition costs one row per frame that was hit.
+    """
+    w = Window.partitionBy(*keys).orderBy("frame")
+    numbered = counts.select(*keys, "frame", "n", (F.row_number().over(w) - 1).alias("_i"), (F.sum("n").over(w) - F.col("n")).alias("_first"))
+    total = counts.groupBy(*keys).agg(F.count("*").alias("_m"))
+    spikes = numbered.join(total, keys).select(*keys, "_m", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("n") - 1)).alias("_s"))
+    drawn = spikes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_i", F.floor(hashed_uniform(F.col("rep"), F.col("_s"), seed=seed) * F.col("_m")))
+    dealt = drawn.groupBy(*keys, "rep", "_i").agg(F.count("*").alias("n")).join(numbered.select(*keys, "_i", "frame"), [*keys, "_i"])
+    sta = frame_average(dealt, frames, [*keys, "rep"])
     return sta.groupBy(*keys, "pixel").agg(F.avg("sta").alias("null_mean"), F.stddev_samp("sta").alias("null_std"))
 
 

@@ -217,14 +217,18 @@ def drops(df: DataFrame, keys: list[str], value: str, before: Column, after: Col
     return out.withColumn("dropped", F.col("after") < F.col("before") - n_sd * F.col("sd"))
 
 
-def isi_violations(spikes: DataFrame, keys: list[str], time: str, refractory: float, least: float = 0.0) -> DataFrame:
-    """Intervals shorter than refractory (and than none of `least`, taken for doubles) and the false-positive rate."""
+def isi_violations(spikes: DataFrame, keys: list[str], time: str, refractory: float, least: float = 0.0, corrected: bool = False) -> DataFrame:
+    """Spikes, intervals shorter than refractory, and the false-positive rate: violations over the time in which they could
+    be seen, 2 n (refractory - least), over the rate. corrected: (1 - sqrt(1 - 4 rate)) / 2 below a quarter, 1 from there on."""
     w = Window.partitionBy(*keys).orderBy(time)
-    gaps = spikes.withColumn("_isi", F.col(time) - F.lag(time).over(w)).filter(F.col("_isi").isNull() | (F.col("_isi") > least))
+    gaps = spikes.withColumn("_isi", F.col(time) - F.lag(time).over(w))
     out = gaps.groupBy(*keys).agg(F.count("*").alias("n"), F.sum((F.col("_isi") < refractory).cast("long")).alias("violations"), (F.max(time) - F.min(time)).alias("duration"))
     out = out.withColumn("violations", F.coalesce("violations", F.lit(0)))
     limit = 2 * (F.lit(refractory) - least) * F.col("n")
-    return out.withColumn("fp_rate", F.when(F.col("duration") > 0, (F.col("violations") / limit) / (F.col("n") / F.col("duration"))))
+    rate = F.when(F.col("duration") > 0, (F.col("violations") / limit) / (F.col("n") / F.col("duration")))
+    if corrected:
+        rate = F.when(rate < 0.25, (1 - F.sqrt(1 - 4 * rate)) / 2).when(rate.isNotNull(), 1.0)
+    return out.withColumn("fp_rate", rate)
 
 
 def two_regressors(df: DataFrame, keys: list[str], y: str, x1: str, x2: str) -> DataFrame:

@@ -13,7 +13,8 @@ from trialspark.operators.rates import smoothed_means
 from trialspark.operators.segment import islands
 from trialspark.operators.stats import hazen
 
-MODELS = ("linear", "quadratic", "cubic", "gaussian", "asymmetric", "sigmoid")
+POLYNOMIALS = ("linear", "quadratic", "cubic")
+MODELS = (*POLYNOMIALS, "gaussian", "asymmetric", "sigmoid")
 
 
 def equal_population_bins(samples: DataFrame, keys: list[str], value: str, n_bins: int = 20) -> DataFrame:
@@ -100,6 +101,12 @@ def draw_index(rep: Column, cell: Column, n: Column, seed: int = 1) -> Column:
     return F.floor((b * 16_807 % prime) * n / F.lit(float(prime))).cast("long")
 
 
+def hashed_uniform(*parts: Column, seed: int = 1) -> Column:
+    """A number in [0, 1) of 32 bits of the MD5 of the parts, joined by colons: independent however the parts run."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+
+
 def shuffle_envelope(cells: DataFrame, keys: list[str], bin_: str, y: str, reps: int = 1000, seed: int = 1) -> DataFrame:
     """Mean, deviation and count of redrawn values by bin and repetition, as their means over repetitions."""
     numbered = cells.withColumns({"_i": F.row_number().over(Window.partitionBy(*keys).orderBy(bin_, y)) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
@@ -110,19 +117,19 @@ def shuffle_envelope(cells: DataFrame, keys: list[str], bin_: str, y: str, reps:
 
 
 def _shape(model: str, p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if model in ("linear", "quadratic", "cubic"):
+    if model in POLYNOMIALS:
         return np.polyval(p, x)
     if model == "gaussian":
         return p[3] + p[0] * np.exp(-((x - p[1]) ** 2) / (2 * p[2] ** 2 + 1e-12))
     if model == "asymmetric":  # divided by the width itself, not by twice its square
         return p[4] + p[0] * np.exp(-((x - p[1]) ** 2) / (np.where(x < p[1], np.abs(p[2]), np.abs(p[3])) + 1e-12))
-    return p[3] + p[0] / (1 + np.exp(-np.clip((x - p[1]) / (p[2] if abs(p[2]) > 1e-9 else 1e-9), -60, 60)))
+    return p[3] + p[0] / (1 + np.exp(-np.clip((x - p[1]) / np.where(np.abs(p[2]) > 1e-9, p[2], 1e-9), -60, 60)))
 
 
 def _fit(model: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Least squares: polynomials directly, the others by damped Gauss-Newton steps with numeric derivatives."""
-    if model in ("linear", "quadratic", "cubic"):
-        return np.polyfit(x, y, ("linear", "quadratic", "cubic").index(model) + 1)
+    if model in POLYNOMIALS:
+        return np.polyfit(x, y, POLYNOMIALS.index(model) + 1)
     span, high = max(np.ptp(x), 1e-9), y.max() - y.min()
     peak = x[int(y.argmax())]
     p = np.array({"gaussian": [high, peak, span / 4, y.min()], "asymmetric": [high, peak, span, span, y.min()], "sigmoid": [high, np.median(x), span / 8 * np.sign(np.corrcoef(x, y)[0, 1] or 1), y.min()]}[model], float)
@@ -149,6 +156,40 @@ def _fit(model: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return p
 
 
+def _fit_rows(model: str, x: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """The sum of squares that `_fit` leaves of each row of ys, the steps of all rows being made together."""
+    if model in POLYNOMIALS:
+        base, _ = np.linalg.qr(np.vander((x - x.mean()) / max(np.ptp(x), 1e-300), POLYNOMIALS.index(model) + 2))
+        return ((ys - ys @ base @ base.T) ** 2).sum(1)
+    high, low, peak = np.ptp(ys, axis=1), ys.min(1), x[ys.argmax(1)]
+    span = np.full(len(ys), max(np.ptp(x), 1e-9))
+    side = np.sign((ys - ys.mean(1, keepdims=True)) @ (x - x.mean()))
+    start = {"gaussian": (high, peak, span / 4, low), "asymmetric": (high, peak, span, span, low), "sigmoid": (high, np.full(len(ys), np.median(x)), span / 8 * np.where(side == 0, 1, side), low)}
+    p = np.stack(start[model], 1).astype(float)
+    shape = lambda q: _shape(model, q.T[:, :, None], x)
+    damping, error, active = np.full(len(ys), 1e-2), ((ys - shape(p)) ** 2).sum(1), np.ones(len(ys), bool)
+    for _ in range(200):
+        if not len(i := np.flatnonzero(active)):
+            break
+        q, y = p[i], ys[i]
+        base, steps = shape(q), 1e-6 * np.maximum(np.abs(q), 1e-3)
+        jacobian = np.stack([(shape(q + np.eye(q.shape[1])[k] * steps) - base) / steps[:, k, None] for k in range(q.shape[1])], 2)
+        normal = jacobian.transpose(0, 2, 1) @ jacobian
+        slack = damping[i, None] * (np.diagonal(normal, axis1=1, axis2=2) + 1e-9)
+        normal += slack[:, :, None] * np.eye(q.shape[1])
+        right = (jacobian.transpose(0, 2, 1) @ (y - base)[:, :, None])[:, :, 0]
+        ok = np.isfinite(normal).all((1, 2)) & (np.linalg.det(np.where(np.isfinite(normal), normal, 0.0)) != 0)
+        new = q.copy()
+        new[ok] += np.linalg.solve(normal[ok], right[ok][:, :, None])[:, :, 0]
+        fresh = ((y - shape(new)) ** 2).sum(1)
+        better = ok & np.isfinite(fresh) & (fresh < error[i])
+        done = ~ok | (better & (error[i] - fresh < 1e-10 * np.maximum(error[i], 1e-12)))
+        p[i[better]], error[i[better]] = new[better], fresh[better]
+        damping[i] = np.where(better, damping[i] / 3, damping[i] * 4)
+        active[i] = ~(done | (~better & (damping[i] > 1e12)))
+    return error
+
+
 def fit_statistics(sse: float, total: float, n: int, k: int) -> tuple[float, float, float]:
     """r2, Gaussian log-likelihood and BIC of a fit with k parameters."""
     r2 = 1 - sse / total if total > 0 else math.nan
@@ -156,52 +197,58 @@ def fit_statistics(sse: float, total: float, n: int, k: int) -> tuple[float, flo
     return r2, log_likelihood, k * math.log(n) - 2 * log_likelihood
 
 
-def selected_models(curve: DataFrame, keys: list[str], x: str, y: str, models: tuple[str, ...] = MODELS) -> DataFrame:
-    """A row per keys and model with parameters, r2, log-likelihood, BIC and whether it is the best (greatest r2) of its
-    keys. curve holds a mean per bin (a few dozen rows a key); keys with fewer than 4 known bins have none."""
-    key_schema = ", ".join(f"{k} {curve.schema[k].dataType.simpleString()}" for k in keys)
+def _by_place(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct x and the mean of y at each."""
+    places, at = np.unique(x, return_inverse=True)
+    return places, np.bincount(at, y) / np.bincount(at)
+
+
+def selected_models(cells: DataFrame, keys: list[str], x: str, y: str, models: tuple[str, ...] = MODELS) -> DataFrame:
+    """A row per keys and model with parameters, r2, log-likelihood and BIC of the fit to all cells (a row per bin and
+    trial, or per bin), mean_r2 of the same curve against the mean of each x, and whether it is the best of its keys
+    (greatest mean_r2). Keys with fewer than 4 known cells have none."""
+    key_schema = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.dropna(subset=[x, y]).sort_values([x, y])
         out = []
         if len(rows) >= 4:
             a, b = rows[x].to_numpy(float), rows[y].to_numpy(float)
+            places, means = _by_place(a, b)
+            spread = float(((means - means.mean()) ** 2).sum())
             for m in models:
                 p = _fit(m, a, b)
                 sse = float(((b - _shape(m, p, a)) ** 2).sum())
-                out.append((*(rows[k].iloc[0] for k in keys), m, p.tolist(), *fit_statistics(sse, float(((b - b.mean()) ** 2).sum()), len(a), len(p))))
-            best = max(range(len(out)), key=lambda i: (-1 if math.isnan(out[i][-3]) else round(out[i][-3], 12), -i))
+                mean_r2 = 1 - float(((means - _shape(m, p, places)) ** 2).sum()) / spread if spread > 0 else math.nan
+                out.append((*(rows[k].iloc[0] for k in keys), m, p.tolist(), mean_r2, *fit_statistics(sse, float(((b - b.mean()) ** 2).sum()), len(a), len(p))))
+            best = max(range(len(out)), key=lambda i: (-1e9 if math.isnan(out[i][-4]) else round(out[i][-4], 12), -i))
             out = [(*r, i == best) for i, r in enumerate(out)]
-        return pd.DataFrame(out, columns=[*keys, "model", "parameters", "r2", "log_likelihood", "bic", "best"])
+        return pd.DataFrame(out, columns=[*keys, "model", "parameters", "mean_r2", "r2", "log_likelihood", "bic", "best"])
 
-    return curve.groupBy(*keys).applyInPandas(one, f"{key_schema}, model string, parameters array<double>, r2 double, log_likelihood double, bic double, best boolean")
+    return cells.groupBy(*keys).applyInPandas(one, f"{key_schema}, model string, parameters array<double>, mean_r2 double, r2 double, log_likelihood double, bic double, best boolean")
 
 
 def asymmetric_fits(curve: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """The asymmetric Gaussian by keys with its root mean square error; of keys with four known bins or more."""
-    fits = selected_models(curve, keys, x, y, ("asymmetric",)).drop("best", "model")
+    fits = selected_models(curve, keys, x, y, ("asymmetric",)).drop("best", "model", "mean_r2")
     known = curve.dropna(subset=[x, y]).groupBy(*keys).agg(F.var_pop(y).alias("_var"))
     return fits.join(known, keys).withColumn("rmse", F.sqrt(F.greatest((1 - F.col("r2")) * F.col("_var"), F.lit(0.0)))).drop("_var")
 
 
 def model_p(cells: DataFrame, best: DataFrame, keys: list[str], bin_: str, x: str, y: str, reps: int = 1000, blocks: int = 20, seed: int = 1) -> DataFrame:
-    """p of the best model: the share of redrawn curves fitted as well or better; repetitions spread over blocks."""
+    """p of the best model: the share of redrawn cells, each value drawn from all of the key's, that it fits as well or
+    better; repetitions spread over blocks, and a block's are fitted together."""
     key_schema = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys)
     spread = cells.join(best.filter("best").select(*keys, "model", "r2"), keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.dropna(subset=[x, y]).sort_values([bin_, y])
-        values, block = rows[y].to_numpy(float), int(rows["block"].iloc[0])
-        rng = np.random.default_rng([seed, block])
-        groups = [np.flatnonzero(rows[bin_].to_numpy() == b) for b in sorted(rows[bin_].unique())]
-        places = np.array([rows[x].to_numpy(float)[g].mean() for g in groups])
-        hits, n = 0, reps // blocks
-        for _ in range(n):
-            drawn = values[rng.integers(0, len(values), len(values))]
-            means = np.array([drawn[g].mean() for g in groups])
-            total = ((means - means.mean()) ** 2).sum()
-            fit = ((means - _shape(rows["model"].iloc[0], _fit(rows["model"].iloc[0], places, means), places)) ** 2).sum()
-            hits += total > 0 and 1 - fit / total >= rows["r2"].iloc[0]
+        values, places, model, least = rows[y].to_numpy(float), rows[x].to_numpy(float), rows["model"].iloc[0], rows["r2"].iloc[0]
+        rng, n = np.random.default_rng([seed, int(rows["block"].iloc[0])]), reps // blocks
+        drawn = values[rng.integers(0, len(values), (n, len(values)))]
+        total = ((drawn - drawn.mean(1, keepdims=True)) ** 2).sum(1)
+        rest = _fit_rows(model, places, drawn)
+        hits = int(((total > 0) & (1 - rest / np.where(total > 0, total, 1) >= least)).sum())
         return pd.DataFrame([(*(rows[k].iloc[0] for k in keys), hits, n)], columns=[*keys, "hits", "n"])
 
     parts = spread.groupBy(*keys, "block").applyInPandas(one, f"{key_schema}, hits long, n long")

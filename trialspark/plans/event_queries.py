@@ -224,8 +224,8 @@ def j8_replayed_originals(spark, d):
     return intervals.replayed_originals(e, ["user_id"], "name", "replay", "event_id").select("user_id", "event_id", "original")
 
 
-@query(f"""{E}, x AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS isi FROM e), y AS (SELECT * FROM x WHERE isi IS NULL OR isi > 60),
-z AS (SELECT user_id, count(*) AS n, coalesce(sum((isi < 3600)::INT), 0)::BIGINT AS violations, max(t) - min(t) AS duration FROM y GROUP BY 1)
+@query(f"""{E}, x AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS isi FROM e),
+z AS (SELECT user_id, count(*) AS n, coalesce(sum((isi < 3600)::INT), 0)::BIGINT AS violations, max(t) - min(t) AS duration FROM x GROUP BY 1)
 SELECT user_id, n, violations, round(duration, 4) AS duration, round(CASE WHEN duration > 0 THEN (violations / (2 * 3540.0::DOUBLE * n)) / (n / duration) END, 8) AS fp_rate FROM z""")
 def t18_isi_violations(spark, d):
     out = stats.isi_violations(events(spark, d), ["user_id"], "t", HOUR, 60.0)
@@ -285,7 +285,7 @@ def v8_frame_average(spark, d):
 
 
 @query(f"""{E}, x AS (SELECT user_id, ln(greatest(value, 0) + 0.5) AS u FROM e), k AS (SELECT unnest(range(0, 5)) AS j),
-b AS (SELECT user_id, j, CASE WHEN abs(u - (ln(0.5) + j * s)) <= 2 * s THEN 0.5 * (1 + cos((u - (ln(0.5) + j * s)) * (pi() / (2 * s)))) ELSE 0 END AS v FROM x, k, (SELECT (ln(500.5) - ln(0.5)) / 4 AS s))
+b AS (SELECT user_id, j, CASE WHEN abs(u - (ln(0.5) + j * s)) <= 1.5 * s THEN 0.5 * (1 + cos((u - (ln(0.5) + j * s)) * (pi() / (1.5 * s)))) ELSE 0 END AS v FROM x, k, (SELECT (ln(500.5) - ln(0.5)) / 4 AS s))
 SELECT user_id, j::INT AS j, round(sum(v), 6) AS weight FROM b GROUP BY 1, 2""")
 def l3_raised_cosine(spark, d):
     spread = events(spark, d).select("user_id", F.posexplode(basis.raised_cosine(F.col("value"), 5, 0.0, 500.0)).alias("j", "v"))
@@ -354,8 +354,20 @@ def h2_band_power(spark, d):
     return rounded(signals.band_power(e, ["user_id"], "event_id", "value", 10.0, 1.0, 4.0), "power")
 
 
+def _daily_cells(spark, d):
+    return events(spark, d).groupBy("event_type", F.floor(F.col("t") / DAY).cast("double").alias("x"), (F.col("user_id") % 4).alias("trial")).agg(F.avg("value").alias("rate"))
+
+
 @query()
 def m11_selected_models(spark, d):
-    curve = events(spark, d).groupBy("event_type", F.floor(F.col("t") / DAY).cast("double").alias("x")).agg(F.avg("value").alias("rate"))
-    out = tuning.selected_models(curve, ["event_type"], "x", "rate")
-    return out.select("event_type", "model", F.round("r2", 5).alias("r2"), F.round("bic", 3).alias("bic"), "best")
+    out = tuning.selected_models(_daily_cells(spark, d), ["event_type"], "x", "rate")
+    return out.select("event_type", "model", F.round("r2", 5).alias("r2"), F.round("mean_r2", 5).alias("mean_r2"), F.round("bic", 3).alias("bic"), "best")
+
+
+@query(f"""{E}, c AS (SELECT event_type, floor(t / 86400)::DOUBLE AS x, user_id % 4 AS trial, avg(value) AS y FROM e GROUP BY ALL),
+s AS (SELECT event_type, count(*) AS n, regr_syy(y, x) AS syy, regr_syy(y, x) - regr_sxy(y, x) ^ 2 / regr_sxx(y, x) AS sse, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM c GROUP BY 1),
+m AS (SELECT event_type, x, avg(y) AS y FROM c GROUP BY 1, 2), q AS (SELECT event_type, 1 - sum((y - (a * x + b)) ^ 2) / (var_pop(y) * count(*)) AS mean_r2 FROM m JOIN (SELECT event_type, a, b FROM s) USING (event_type) GROUP BY 1)
+SELECT event_type, round(1 - sse / syy, 6) AS r2, round(mean_r2, 6) AS mean_r2, round(-n / 2.0::DOUBLE * (ln(2 * pi() * sse / n) + 1), 4) AS log_likelihood, round(2 * ln(n) + n * (ln(2 * pi() * sse / n) + 1), 4) AS bic FROM s JOIN q USING (event_type)""")
+def m12_linear_fit_statistics(spark, d):
+    out = tuning.selected_models(_daily_cells(spark, d), ["event_type"], "x", "rate", ("linear",))
+    return rounded(rounded(out.select("event_type", "r2", "mean_r2", "log_likelihood", "bic"), "r2", "mean_r2"), "log_likelihood", "bic", digits=4)

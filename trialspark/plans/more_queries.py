@@ -193,8 +193,7 @@ def m2_signed_bins(spark, d):
 def m13_model_p(spark, d):
     cells = events(spark, d).groupBy("event_type", F.floor(F.col("t") / (3 * DAY)).cast("int").alias("bin"), (F.col("user_id") % 4).alias("trial")).agg(F.avg("value").alias("rate"))
     cells = cells.withColumn("x", F.col("bin").cast("double"))
-    means = cells.groupBy("event_type", "x").agg(F.avg("rate").alias("rate"))
-    best = tuning.selected_models(means, ["event_type"], "x", "rate")
+    best = tuning.selected_models(cells, ["event_type"], "x", "rate")
     return rounded(tuning.model_p(cells, best, ["event_type"], "bin", "x", "rate"), "p")
 
 
@@ -203,7 +202,15 @@ def t7_lilliefors(spark, d):
     return rounded(stats.lilliefors(events(spark, d), ["event_type"], "value"), "d", "critical")
 
 
-@query()
+_FRAMES = "n AS (SELECT count(*) AS k FROM embeddings), c AS (SELECT user_id % 3 AS unit, event_id % k AS frame, count(*) AS n FROM e, n GROUP BY 1, 2)"
+_DRAWN = """i AS (SELECT unit, frame, n, row_number() OVER (PARTITION BY unit ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY unit) AS m, sum(n) OVER (PARTITION BY unit ORDER BY frame) - n AS first FROM c),
+s AS (SELECT unit, m, unnest(range(first::BIGINT, (first + n)::BIGINT)) AS s FROM i), r AS (SELECT *, unnest(range(0, 100)) AS rep FROM s),
+b AS (SELECT unit, rep, floor(('0x' || substr(md5('1:' || rep || ':' || s), 1, 8))::BIGINT / 4294967296.0::DOUBLE * m)::BIGINT AS i FROM r),
+h AS (SELECT unit, rep, i, count(*) AS n FROM b GROUP BY ALL), p AS (SELECT h.unit, rep, h.n, unnest(range(0, len(embedding))) AS pixel, unnest(embedding)::DOUBLE AS v FROM h JOIN i USING (unit, i) JOIN embeddings ON vec_id = frame),
+t AS (SELECT unit, rep, pixel, sum(n * v) / sum(n) AS sta FROM p GROUP BY ALL)"""
+
+
+@query(f"{E}, {_FRAMES}, {_DRAWN} SELECT unit, pixel::INT AS pixel, round(avg(sta), 6) AS null_mean, round(stddev_samp(sta), 6) AS null_std FROM t GROUP BY 1, 2")
 def v9_resampled_null(spark, d):
     frames = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("frame"), F.col("embedding").alias("pixels"))
     n = frames.agg(F.count("*")).scalar()
