@@ -14,6 +14,14 @@ from trialspark.operators.ordered import stored, value_places
 EXACT_PAIRS = 15
 
 
+def count_up_to(array: str, less: str, value: str, low: int, high: int) -> str:
+    """SQL of how many entries of a sorted array are less, by bisection; the entries before low are, those from high on (or beyond the array) aren't."""
+    if low == high:
+        return str(low)
+    middle = (low + high) // 2
+    return f"CASE WHEN get({array}, {middle}) {less} {value} THEN {count_up_to(array, less, value, middle + 1, high)} ELSE {count_up_to(array, less, value, low, middle)} END"
+
+
 def near_ranks(df: DataFrame, keys: list[str], value: str, percents: list[float], accuracy: int = 20_000) -> DataFrame:
     """(keys, value, n, before, total, next) of the distinct values around each of the percents' ranks, as `value_places`
     has them for all values, by selection.
@@ -24,14 +32,15 @@ def near_ranks(df: DataFrame, keys: list[str], value: str, percents: list[float]
     few values within brackets, which are ordered within one.
     """
     share = 4.0 / accuracy
-    ends = lambda sign: F.lit([min(1.0, max(0.0, p / 100 + sign * share)) for p in percents])
+    ends = lambda sign: F.lit([min(1.0, max(0.0, p / 100 + sign * share)) for p in sorted(percents)])
     sketch = df.groupBy(*keys).agg(F.count("*").alias("total"), F.percentile_approx(value, ends(-1), accuracy).alias("_low"), F.percentile_approx(value, ends(1), accuracy).alias("_high"))
     # A small key's only bracket begins and ends nowhere.
     sketch = sketch.withColumns({c: F.when(F.col("total") > accuracy, F.col(c)) for c in ("_low", "_high")})
     theirs = sketch.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     match = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))
-    begun = F.when(F.col("_low").isNull(), 1).otherwise(F.size(F.filter("_low", lambda x: x <= F.col(value))))
-    ended = F.when(F.col("_high").isNull(), 0).otherwise(F.size(F.filter("_high", lambda x: x < F.col(value))))
+    many = len(percents)
+    begun = F.expr(f"CASE WHEN _low IS NULL THEN 1 ELSE {count_up_to('_low', '<=', f'`{value}`', 0, many)} END")
+    ended = F.expr(f"CASE WHEN _high IS NULL THEN 0 ELSE {count_up_to('_high', '<', f'`{value}`', 0, many)} END")
     placed = df.join(theirs, match).select(*keys, "total", begun.alias("_a"), ended.alias("_b"), F.col(value).alias("_v"))
     within = F.when(F.col("_a") > F.col("_b"), F.col("_v"))
     counts = placed.groupBy(*keys, "total", "_a", "_b", within.alias("_v")).agg(F.count("*").alias("n"))
@@ -51,12 +60,12 @@ def hazen(df: DataFrame, keys: list[str], value: str, percents: list[float], nam
     """Percentiles with the ith of n values at 100 (i - 0.5) / n, linear between, the extremes beyond: keys, prc, value."""
     kept = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     places = near_ranks(kept, keys, "_v", percents, accuracy)
-    at = lambda prc: F.greatest(F.lit(1.0), F.least(F.col("total").cast("double"), prc / 100 * F.col("total") + 0.5))
-    last = F.col("before") + F.col("n")
-    here = lambda prc: (F.floor(at(prc)) > F.col("before")) & (F.floor(at(prc)) <= last)
-    some = reduce(lambda x, y: x | y, (here(F.lit(float(p))) for p in percents))  # compiled, and true of few values
-    hit = places.filter(some).withColumn("prc", F.explode(F.filter(F.array(*(F.lit(float(p)) for p in percents)), here))).withColumn("_at", at(F.col("prc")))
-    above = F.when(F.floor("_at") + 1 <= last, F.col("_v")).otherwise(F.col("next"))
+    at = lambda prc: f"greatest(1D, least(double(total), {prc} / 100 * total + 0.5D))"
+    here = lambda prc: f"floor({at(prc)}) > before AND floor({at(prc)}) <= before + n"
+    some = " OR ".join(f"({here(f'{float(p)!r}D')})" for p in percents)  # compiled, and true of few values
+    wanted = f"explode(filter(array({', '.join(f'{float(p)!r}D' for p in percents)}), p -> {here('p')}))"
+    hit = places.filter(some).withColumn("prc", F.expr(wanted)).withColumn("_at", F.expr(at("prc")))
+    above = F.when(F.floor("_at") + 1 <= F.col("before") + F.col("n"), F.col("_v")).otherwise(F.col("next"))
     line = F.col("_v") + F.coalesce(above - F.col("_v"), F.lit(0.0)) * (F.col("_at") - F.floor("_at"))
     return hit.select(*keys, "prc", line.alias(name))
 

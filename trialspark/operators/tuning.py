@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trialspark.operators.rates import smoothed_means
 from trialspark.operators.segment import islands
-from trialspark.operators.stats import hazen
+from trialspark.operators.stats import count_up_to, hazen
 
 POLYNOMIALS = ("linear", "quadratic", "cubic")
 MODELS = (*POLYNOMIALS, "gaussian", "asymmetric", "sigmoid")
@@ -49,11 +49,14 @@ def scaled_by_gain(samples: DataFrame, gains: DataFrame, keys: list[str], speed:
 def binned(samples: DataFrame, bins: DataFrame, keys: list[str], value: str) -> DataFrame:
     """samples with the bin whose [lo, hi) holds value; those below the first or at and above the last edge are left out.
 
-    A key's edges are gathered to one short array, so each sample is placed by an expression without a range join.
+    A key's edges are gathered to one short array, in which a sample is placed by bisection (of up to 63 bins compiled),
+    without a range join. Bins of a key don't overlap.
     """
-    arrays = bins.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "lo", "hi"))).alias("_bins"))
-    hit = F.filter("_bins", lambda b: (b["lo"] <= F.col(value)) & (F.col(value) < b["hi"]))
-    return samples.join(arrays, keys).withColumn("bin", F.get(hit, F.lit(0))["bin"]).filter("bin IS NOT NULL").drop("_bins")
+    arrays = bins.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("lo", "bin", "hi"))).alias("_bins")).withColumn("_lo", F.col("_bins.lo"))
+    placed = samples.join(arrays, keys).withColumn("_value", F.col(value).cast("double"))
+    count = f"CASE WHEN size(_lo) < 64 THEN {count_up_to('_lo', '<=', '_value', 0, 63)} ELSE size(filter(_lo, x -> x <= _value)) END"
+    placed = placed.withColumn("_hit", F.get("_bins", F.expr(count) - 1))
+    return placed.withColumn("bin", F.when(F.col("_value") < F.col("_hit.hi"), F.col("_hit.bin"))).filter("bin IS NOT NULL").drop("_bins", "_lo", "_value", "_hit")
 
 
 def mean_by_bin(rows: DataFrame, bins: DataFrame, keys: list[str], by: list[str], axis: str, value: str) -> DataFrame:
