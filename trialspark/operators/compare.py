@@ -8,14 +8,16 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialspark.operators.intervals import pairs_by_place, range_join
+from trialspark.operators.intervals import pairs_by_place, range_join, window_rates
 from trialspark.operators.rates import smoothed_means
 from trialspark.operators.scan import Scan
 from trialspark.operators.segment import edges
-from trialspark.operators.stats import hazen, signed_rank, two_way_anova
+from trialspark.operators.stats import hazen, joined, signed_rank, two_way_anova
 
 
 def stationary(window: Column, *moving: Column) -> Column:
@@ -79,6 +81,37 @@ def mismatch_responses(spikes: DataFrame, onsets: DataFrame, keys: list[str], tr
     return sides[0].join(sides[1], [*keys, trial]).withColumn("delta", F.col("response") - F.col("baseline"))
 
 
+def mismatch_windows(onsets: DataFrame, keys: list[str], trial: str, onset: str, n_windows: int = 4, width: float = 0.1) -> DataFrame:
+    """(keys, trial, part, window, w0, w1): n_windows windows of a width from each mismatch's onset on (response), as many
+    before it (baseline), and as many before those (control); none overlap."""
+    parts = F.explode(F.array(*(F.struct(F.lit(n).alias("part"), F.lit(k).alias("_k")) for n, k in (("control", -2), ("baseline", -1), ("response", 0)))))
+    steps = F.explode(F.sequence(F.lit(0), F.lit(n_windows - 1)))
+    spread = onsets.select(*keys, trial, onset, parts.alias("_p")).select(*keys, trial, onset, "_p.*", steps.alias("window"))
+    step = F.col("_k") * n_windows + F.col("window")
+    return spread.select(*keys, trial, "part", "window", (F.col(onset) + step * F.lit(float(width))).alias("w0"), (F.col(onset) + (step + 1) * F.lit(float(width))).alias("w1"))
+
+
+def mismatch_anova(spikes: DataFrame, onsets: DataFrame, keys: list[str], unit: list[str], trial: str, onset: str, n_windows: int = 4, width: float = 0.1, p_values: bool = True) -> DataFrame:
+    """Per unit the rates in a mismatch's baseline and response, F (and p) of part in a two-way ANOVA (part, window; no
+    interaction) of baseline and response, and of baseline and control. With p values also whether the response is
+    significant (p_response, null where control and baseline differ, below 0.05) and its direction.
+
+    spikes: keys, t; onsets: keys, unit, trial, onset. A unit may span several keys.
+    """
+    windows = mismatch_windows(onsets, [*keys, *unit], trial, onset, n_windows, width)
+    rates = window_rates(spikes, windows, keys, [*unit, trial, "part", "window"], max(width, n_windows * width))
+    means = rates.groupBy(*unit).agg(*(F.avg(F.when(F.col("part") == p, F.col("rate"))).alias(p) for p in ("baseline", "response")))
+    out = means
+    for side in ("response", "control"):
+        found = two_way_anova(rates.filter(F.col("part").isin("baseline", side)), unit, "part", "window", "rate", p_values, interaction=False)
+        out = joined(out, found.select(*unit, F.col("f_a").alias(f"f_{side}"), *([F.col("p_a").alias(f"p_{side}")] if p_values else [])), unit)
+    if not p_values:
+        return out
+    out = out.withColumn("p_response", F.when(F.coalesce(F.col("p_control") >= 0.05, F.lit(True)), F.col("p_response")))
+    out = out.withColumn("significant", F.coalesce(F.col("p_response") < 0.05, F.lit(False)))
+    return out.withColumn("direction", F.when(F.col("significant"), F.when(F.col("baseline") < F.col("response"), 1).otherwise(-1)).otherwise(0))
+
+
 def mismatch_medians(responses: DataFrame, keys: list[str], mean: bool = False) -> DataFrame:
     """By keys the median (or mean) baseline and response, and their difference."""
     average = F.avg if mean else F.median
@@ -180,9 +213,98 @@ def grating_intervals(starts: DataFrame, keys: list[str], length: float, blanks:
     return shown.unionByName(before).unionByName(after)
 
 
-def trip_progress(samples: DataFrame, keys: list[str], time: str, velocity: str, running: float = 2.0, least: float = 0.1) -> DataFrame:
+def spline_values(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A cubic spline through (x, y), x increasing, at places inside and beyond: its first two and last two pieces are one
+    cubic each; of three points a parabola, of two a line."""
+    n = len(x)
+    if n < 4:
+        return np.polyval(np.polyfit(x, y, n - 1), at)
+    h, slope = np.diff(x), np.diff(y) / np.diff(x)
+    below, middle, above, right = np.zeros(n), np.ones(n), np.zeros(n), np.zeros(n)  # of the second derivatives
+    below[1:-1], middle[1:-1], above[1:-1], right[1:-1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:], 6 * np.diff(slope)
+    # The ends' rows, h1 m0 - (h0 + h1) m1 + h0 m2 = 0, lose their third entry to the rows next to them.
+    for end, near, h0, h1, side in ((0, 1, h[0], h[1], above), (n - 1, n - 2, h[-1], h[-2], below)):
+        share = h0 / side[near]
+        middle[end] = h1 - share * (below if side is above else above)[near]
+        (above if end == 0 else below)[end] = -(h0 + h1) - share * middle[near]
+        right[end] = -share * right[near]
+    for i in range(1, n):
+        f = below[i] / middle[i - 1]
+        middle[i] -= f * above[i - 1]
+        right[i] -= f * right[i - 1]
+    m = np.zeros(n)
+    m[-1] = right[-1] / middle[-1]
+    for i in range(n - 2, -1, -1):
+        m[i] = (right[i] - above[i] * m[i + 1]) / middle[i]
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
+    a, b = x[k + 1] - at, at - x[k]
+    return (m[k] * a**3 + m[k + 1] * b**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * a + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * b
+
+
+def gaussian_values(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray | None:
+    """a exp(-((t - b) / c)**2) fitted to (x, y) by damped Gauss-Newton steps, at places; none where no fit is found."""
+    shape = lambda p, t: p[0] * np.exp(-(((t - p[1]) / p[2]) ** 2))
+    p = np.array([y.max(), x[int(y.argmax())], 0.3])
+    damping, error = 1e-2, ((y - shape(p, x)) ** 2).sum()
+    for _ in range(200):
+        base, u = shape(p, x), (x - p[1]) / p[2]
+        jacobian = np.stack([base / p[0] if p[0] else np.exp(-(u**2)), base * 2 * u / p[2], base * 2 * u**2 / p[2]], 1)
+        normal = jacobian.T @ jacobian
+        try:
+            new = p + np.linalg.solve(normal + damping * np.diag(np.diag(normal) + 1e-12), jacobian.T @ (y - base))
+        except np.linalg.LinAlgError:
+            return None
+        fresh = ((y - shape(new, x)) ** 2).sum() if abs(new[2]) > 1e-9 else np.inf
+        if np.isfinite(fresh) and fresh < error:
+            done = error - fresh <= 1e-12 * max(error, 1e-300)
+            p, error, damping = new, fresh, damping / 3
+            if done:
+                break
+        else:
+            damping *= 4
+            if damping > 1e12:
+                break
+    return shape(p, at)
+
+
+def planned_progress(samples: DataFrame, keys: list[str], time: str, velocity: str, plan: str, running: float = 2.0, least: float = 0.1) -> DataFrame:
+    """As trip_progress, with the velocity planned by plan "gaussian" or "spline" (through the running samples); a trip is
+    one group. Where no Gaussian is found it is a parabola."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema) + ", progress double"
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(time)
+        t, v = rows[time].to_numpy(float), rows[velocity].to_numpy(float)
+        x = (t - t[0]) / (t[-1] - t[0]) if t[-1] > t[0] else np.zeros(len(t))
+        run = v > running
+        planned = None
+        if run.sum() < 3:
+            planned = np.full(len(v), np.nanmean(v) if np.isfinite(v).any() else np.nan)
+        elif plan == "spline":
+            places, at = np.unique(x[run], return_inverse=True)
+            planned = spline_values(places, np.bincount(at, v[run]) / np.bincount(at), x)
+        else:
+            planned = gaussian_values(x[run], v[run], x)
+        if planned is None:
+            planned = np.polyval(np.polyfit(x[run], v[run], 2), x)
+        if run.sum() >= 3:
+            planned = np.maximum(planned, least)
+        dt = np.append(np.diff(t), 0.0)
+        total = np.nansum(planned * dt)
+        way = np.cumsum(np.where(np.isfinite(v), v, 0.0) * dt)
+        return rows.assign(progress=np.clip(100 * way / total, 0, 100) if total else None)
+
+    return samples.groupBy(*keys).applyInPandas(one, schema)
+
+
+def trip_progress(samples: DataFrame, keys: list[str], time: str, velocity: str, running: float = 2.0, least: float = 0.1, plan: str = "parabola") -> DataFrame:
     """samples with `progress` (0 to 100): the way so far over the way of a planned trip, a parabola of the velocity in
-    time fitted by trial (keys) to the running samples, at least `least` everywhere; with fewer than three the mean."""
+    time fitted by trial (keys) to the running samples, at least `least` everywhere; with fewer than three the mean.
+    plan: "parabola", "gaussian" or "spline"."""
+    if plan not in ("parabola", "gaussian", "spline"):
+        raise ValueError("plan is parabola, gaussian or spline")
+    if plan != "parabola":
+        return planned_progress(samples, keys, time, velocity, plan, running, least)
     w, whole = Window.partitionBy(*keys).orderBy(time), Window.partitionBy(*keys)
     first, last = F.min(time).over(whole), F.max(time).over(whole)
     placed = samples.withColumns({"_x": F.when(last > first, (F.col(time) - first) / (last - first)).otherwise(0.0), "_dt": F.coalesce(F.lead(time).over(w) - F.col(time), F.lit(0.0)), "_v": F.col(velocity).cast("double")})

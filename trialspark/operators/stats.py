@@ -173,8 +173,9 @@ def chi2_equal(df: DataFrame, keys: list[str], category: str) -> DataFrame:
     return out.withColumn("p", p_chi2(F.col("chi2"), F.col("df").cast("double")))
 
 
-def two_way_anova(df: DataFrame, keys: list[str], a: str, b: str, value: str, p_values: bool = True) -> DataFrame:
-    """Balanced two-way ANOVA with interaction, by keys: F (and p) of a, b and a x b. Rows with a null value are left out."""
+def two_way_anova(df: DataFrame, keys: list[str], a: str, b: str, value: str, p_values: bool = True, interaction: bool = True) -> DataFrame:
+    """Balanced two-way ANOVA, by keys: F (and p) of a, b and a x b; without interaction it is left in the error, and only
+    a and b are told. Rows with a null value are left out."""
     kept = df.filter(F.col(value).isNotNull())
     cells = kept.groupBy(*keys, a, b).agg(F.sum(value).alias("s"), F.count("*").alias("m"), F.sum(F.col(value) ** 2).alias("q"))
     square = lambda by: cells.groupBy(*keys, by).agg(F.sum("s").alias("s"), F.sum("m").alias("m")).groupBy(*keys).agg(F.sum(F.col("s") ** 2 / F.col("m")).alias(f"_{by}"), F.count("*").alias(f"_n{by}"))
@@ -185,8 +186,12 @@ def two_way_anova(df: DataFrame, keys: list[str], a: str, b: str, value: str, p_
     ss = {a: F.col(f"_{a}") - mean, b: F.col(f"_{b}") - mean}
     inter, rest = F.col("_c") - mean - ss[a] - ss[b], F.col("_q") - F.col("_c")
     df_rest = F.col("n") - F.col("_nc")
+    if not interaction:
+        rest, df_rest = rest + inter, F.col("n") - 1 - df_a - df_b
     error = rest / df_rest
-    stats = {"a": (ss[a] / df_a / error, df_a), "b": (ss[b] / df_b / error, df_b), "ab": (inter / (df_a * df_b) / error, df_a * df_b)}
+    stats = {"a": (ss[a] / df_a / error, df_a), "b": (ss[b] / df_b / error, df_b)}
+    if interaction:
+        stats["ab"] = inter / (df_a * df_b) / error, df_a * df_b
     out = [v.alias(f"f_{k}") for k, (v, _) in stats.items()]
     if p_values:
         out += [p_f(v, d.cast("double"), df_rest.cast("double")).alias(f"p_{k}") for k, (v, d) in stats.items()]

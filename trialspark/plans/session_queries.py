@@ -140,3 +140,29 @@ def g19_matched_offset(spark, d):
     grid = spark.range(720).select(F.lit(1).alias("trial"), F.col("id").cast("int").alias("cell"))
     trace = lambda kind: grid.join(cells.filter(F.col("event_type") == kind), "cell", "left").select("trial", "cell", F.coalesce("n", F.lit(0.0)).alias("v"))
     return rounded(segment.matched_offset(trace("view"), trace("click"), ["trial"], "cell", "v", 24).drop("trial"), "r")
+
+
+_ADDITIVE = """c{0} AS (SELECT unit, part AS a, k AS b, sum(v) AS s, count(*) AS m, sum(v * v) AS q FROM r WHERE part IN ('baseline', '{0}') GROUP BY ALL),
+ra{0} AS (SELECT unit, sum(s * s / m) AS v, count(*) AS k FROM (SELECT unit, a, sum(s) AS s, sum(m) AS m FROM c{0} GROUP BY ALL) GROUP BY 1), rb{0} AS (SELECT unit, sum(s * s / m) AS v, count(*) AS k FROM (SELECT unit, b, sum(s) AS s, sum(m) AS m FROM c{0} GROUP BY ALL) GROUP BY 1),
+t{0} AS (SELECT unit, sum(s) AS s, sum(m) AS n, sum(q) AS q FROM c{0} GROUP BY 1),
+f{0} AS (SELECT t.unit, (ra.v - s * s / n) / (ra.k - 1) / ((q - ra.v - rb.v + s * s / n) / (n - ra.k - rb.k + 1)) AS f FROM t{0} t JOIN ra{0} ra USING (unit) JOIN rb{0} rb USING (unit))"""
+
+
+@query(f"""{E}, w AS (SELECT user_id, event_id AS trial, part, k, t + (off * 4 + k) * 21600.0::DOUBLE AS w0, t + (off * 4 + k + 1) * 21600.0::DOUBLE AS w1 FROM e, (VALUES ('control', -2), ('baseline', -1), ('response', 0)) p(part, off), (SELECT unnest(range(0, 4)) AS k) WHERE event_type = 'error'),
+r AS (SELECT w.user_id % 5 AS unit, trial, part, k, count(e.t) / any_value(w1 - w0) AS v FROM w LEFT JOIN e ON e.user_id = w.user_id AND e.t >= w0 AND e.t < w1 GROUP BY ALL),
+{_ADDITIVE.format("response")}, {_ADDITIVE.format("control")}, m AS (SELECT unit, avg(CASE WHEN part = 'baseline' THEN v END) AS baseline, avg(CASE WHEN part = 'response' THEN v END) AS response FROM r GROUP BY 1)
+SELECT unit, round(baseline * 86400, 8) AS baseline, round(response * 86400, 8) AS response, round(x.f, 5) AS f_response, round(y.f, 5) AS f_control FROM m JOIN fresponse x USING (unit) JOIN fcontrol y USING (unit)""")
+def t4_mismatch_anova(spark, d):
+    e = events(spark, d)
+    onsets = e.filter("event_type = 'error'").select("user_id", (F.col("user_id") % 5).alias("unit"), F.col("event_id").alias("trial"), F.col("t").alias("onset"))
+    out = compare.mismatch_anova(e.select("user_id", "t"), onsets, ["user_id"], ["unit"], "trial", "onset", 4, 6 * HOUR, p_values=False)
+    out = out.withColumns({c: F.col(c) * 86_400 for c in ("baseline", "response")})
+    return rounded(rounded(out, "baseline", "response", digits=8), "f_response", "f_control", digits=5)
+
+
+@query(f"""{E}, u AS (SELECT user_id, event_id, value, t, min(t) OVER u AS a, max(t) OVER u AS b, coalesce(lead(t) OVER o - t, 0) AS dt FROM e WINDOW u AS (PARTITION BY user_id), o AS (PARTITION BY user_id ORDER BY t))
+SELECT event_id, round(least(100, 100 * sum(value * dt) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) / sum(greatest(value, 0.1::DOUBLE) * dt) OVER (PARTITION BY user_id)), 4) AS progress FROM u""")
+def f17_spline_progress(spark, d):
+    """All samples run, so the planned speed goes through all of them."""
+    e = events(spark, d).select("user_id", "event_id", "t", "value")
+    return rounded(compare.trip_progress(e, ["user_id"], "t", "value", running=-1.0, plan="spline").select("event_id", "progress"), "progress", digits=4)
