@@ -146,11 +146,11 @@ def field_order(maps: DataFrame, keys: list[str], rate: str = "rate") -> DataFra
     return maps.join(peak, keys).withColumn("scaled", F.when(F.col("peak") > 0, F.col(rate) / F.col("peak")))
 
 
-def stationary_motion(spikes: DataFrame, stationary: DataFrame, moving: DataFrame, keys: list[str], unit: str, by: list[str], bucket: float) -> DataFrame:
+def stationary_motion(spikes: DataFrame, stationary: DataFrame, moving: DataFrame, keys: list[str], unit: str, by: list[str], bucket: float, sigma: float = SIGMA, reach: float = REACH) -> DataFrame:
     """The central table: per trial and unit the smoothed rate and time at rest and in motion (interval tables: keys, by, w0, w1)."""
     units = spikes.select(*keys, unit).distinct()
     sides = []
     for name, table in (("stationary", stationary), ("motion", moving)):
-        rates = smoothed_means(spikes, table.join(units, keys), [*keys, unit], by, bucket)
+        rates = smoothed_means(spikes, table.join(units, keys), [*keys, unit], by, bucket, sigma, reach)
         sides.append(rates.withColumnsRenamed({"rate": f"{name}_fr", "dt": f"{name}_time"}))
     return sides[0].join(sides[1], [*keys, unit, *by], "full")

@@ -311,6 +311,17 @@ def bonferroni(p: Column, n: int) -> Column:
     return F.least(F.lit(1.0), p * n)
 
 
+def category_tests(pairs: DataFrame, keys: list[str], category: str, value: str, rest: str, p_values: bool = True) -> DataFrame:
+    """By keys and category the signed-rank test of value against rest, p times the key's number of categories (at most 1),
+    and the direction of what is significant then (1 where value is greater)."""
+    tests = signed_rank(pairs, [*keys, category], rest, value, p_values=p_values)
+    if not p_values:
+        return tests
+    many = tests.groupBy(*keys).agg(F.count("*").alias("_many"))
+    out = joined(tests, many, keys).withColumn("p", F.least(F.lit(1.0), F.col("p") * F.col("_many"))).drop("_many")
+    return out.withColumn("direction", F.when(F.col("p") < 0.05, F.col("direction")).otherwise(0))
+
+
 def response_classes(tests: DataFrame, keys: list[str], category: str, kruskal_p: str, rank_p: str, rate: str) -> DataFrame:
     """Per unit 'tuned' (groups differ), 'responsive' (some category does from rest) or 'unresponsive', and the category of the greatest rate."""
     out = tests.groupBy(*keys).agg(F.min(kruskal_p).alias("_k"), F.min(rank_p).alias("_r"), F.max_by(category, rate).alias("preferred"))

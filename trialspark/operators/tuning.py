@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialspark.operators.rates import smoothed_means
+from trialspark.operators.rates import REACH, SIGMA, smoothed_means
 from trialspark.operators.segment import islands
 from trialspark.operators.stats import count_up_to, hazen
 
@@ -64,14 +64,14 @@ def mean_by_bin(rows: DataFrame, bins: DataFrame, keys: list[str], by: list[str]
     return binned(rows, bins, keys, axis).groupBy(*keys, *by, "bin").agg(F.avg(value).alias("rate"), F.count("*").alias("n"))
 
 
-def tuning_curve(spikes: DataFrame, samples: DataFrame, bins: DataFrame, keys: list[str], trial: str, axis: str, order: str, time: str, dt: float, bucket: float, moving: Column) -> DataFrame:
+def tuning_curve(spikes: DataFrame, samples: DataFrame, bins: DataFrame, keys: list[str], trial: str, axis: str, order: str, time: str, dt: float, bucket: float, moving: Column, sigma: float = SIGMA, reach: float = REACH) -> DataFrame:
     """Smoothed rate and time by bin and trial: runs of samples in one bin are intervals, whose kernel masses are summed.
 
     spikes: keys, t, on the clock of time; samples: keys, trial, order, time, axis.
     """
     placed = binned(samples.filter(moving), bins, keys, axis)
     runs = islands(placed.withColumn("_gap", F.col(order) - F.row_number().over(Window.partitionBy(*keys, trial, "bin").orderBy(order))), [*keys, trial, "bin", "_gap"], order, F.lit(True), {"w0": F.min(time), "w1": F.max(time) + dt})
-    return smoothed_means(spikes, runs.select(*keys, trial, "bin", "w0", "w1"), keys, [trial, "bin"], bucket)
+    return smoothed_means(spikes, runs.select(*keys, trial, "bin", "w0", "w1"), keys, [trial, "bin"], bucket, sigma, reach)
 
 
 def records(curve: DataFrame, bins: DataFrame, keys: list[str], trial: str) -> DataFrame:
