@@ -7,7 +7,7 @@
    one. The Viterbi path, least cost under the channel and the language model, is the word restored.
 3. Features of the restored text are its words and their beginnings (PREFIXES letters). A feature's toxicity is the lower
    bound of its share of toxic texts in a bounded sample of labelled ones (about SAMPLE of each label, by hash of the id,
-   weighted back to all); features of LEAST_TEXTS toxic texts or more, surely above LEAST, are kept, FEATURES of them at most.
+   weighted back to all); features of LEAST_TEXTS toxic texts or more, surely above LEAST, are all kept.
 4. A text's score is the noisy-or of its words' toxicities and of the rate among texts without such a word.
 
 Edge cases: null and empty texts score that base rate; without labels of both kinds all score 0; a null id is not learned
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from trialspark.llm.common import ALNUM, NOT_SPACE, Words, _prefix, documents, mixed, small_batches, spans, stored, text_chunks
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
-SAMPLE, LEAST, LEAST_TEXTS, FEATURES, PREFIXES, SEED = 20_000, 0.55, 5, 1 << 13, (4, 5, 6), "toxicity-1"
+SAMPLE, LEAST, LEAST_TEXTS, PREFIXES, SEED = 20_000, 0.55, 5, (4, 5, 6), "toxicity-1"
 
 #: Letters that a sign resembles.
 RESEMBLES = {
@@ -283,7 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, corpus: DataFrame, sample: int = S
     z2 = 1.96**2
     bound = (share + z2 / (2 * n) - 1.96 * F.sqrt((share * (1 - share) + z2 / (4 * n)) / n)) / (1 + z2 / n)
     best = totals.filter((F.col("feature") != 0) & (F.col("toxic") >= LEAST_TEXTS)).select("feature", "toxic", bound.alias("rate")).filter(F.col("rate") >= LEAST)
-    best = best.orderBy(F.desc("toxic"), "feature").limit(FEATURES).toArrow()
+    best = best.toArrow()  # all of them: the sample bounds their number
     order = np.argsort(best["feature"].to_numpy())
     model = Model(restorer, best["feature"].to_numpy()[order], best["rate"].to_numpy()[order], 0.0)
     shared = spark.sparkContext.broadcast(model)
