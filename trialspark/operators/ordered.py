@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART = "_part"
+_PATHS: list[str] = []
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -21,9 +22,17 @@ def stored(df: DataFrame) -> DataFrame:
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
     path = f"{top.rstrip('/')}/ordered-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _PATHS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_stored(spark) -> None:
+    """Deletes all tables that `stored` wrote in this process; results that were not read yet are lost."""
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """df dealt by range of keys and order, with the number of each row's part."""
     return stored(df.repartitionByRange(*keys, *order).withColumn(PART, F.spark_partition_id()))
