@@ -1,6 +1,7 @@
 """Percentiles by selection, counts of gaps, lags by Fourier transforms, regressions in steps: against plain versions."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -112,6 +113,19 @@ def test_a_unit_of_one_fold_has_no_held_out_fit(spark):
     assert mine.cv_bits == pytest.approx(told.cv_bits) and list(mine.beta) == pytest.approx(list(told.beta), abs=1e-6)
 
 
+def test_stored_tables_can_be_deleted(spark, monkeypatch):
+    from trialspark.operators import ordered
+
+    mine = []
+    monkeypatch.setattr(ordered, "_PATHS", mine)
+    df = ordered.row_numbers(spark.range(50).withColumn("v", F.col("id") % 7), ["v", "id"], "place")
+    assert df.count() == 50 and len(mine) == 1
+    path = Path(mine[0].removeprefix("file://"))
+    assert path.exists()
+    ordered.discard_stored(spark)
+    assert not path.exists() and mine == []
+
+
 def test_spikes_are_exported_with_all_lags_at_once(spark):
     from trialspark.operators.intervals import interpolated
 

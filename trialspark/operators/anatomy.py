@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.operators.intervals import range_join
+from trialspark.operators.select import in_region
 
 #: Codes of places above the brain and beyond the track.
 ABOVE, BEYOND = -10, -11
@@ -25,6 +26,15 @@ def relative_depths(clusters: DataFrame, intervals: DataFrame, keys: list[str],
     return out.withColumn("relative", F.when(F.col("_times") == 1, share)).drop("_times")
 
 
+def layer_positions(clusters: DataFrame, intervals: DataFrame, keys: list[str], shank: str = "shank_id", depth: str = "from_tip") -> DataFrame:
+    """clusters with `layer` and `relative` (0 at its upper edge, 1 at its lower one) by the anatomy of their own shank; of
+    a cluster in no cortical layer '' and -1. intervals: keys, shank, region, lower, upper."""
+    placed = regions_of(clusters, intervals, [*keys, shank], depth)
+    inside = F.coalesce(in_region(F.col("region")), F.lit(False))
+    share = (F.col("upper") - F.col(depth)) / (F.col("upper") - F.col("lower"))
+    return placed.select(*clusters.columns, F.when(inside, F.col("region")).otherwise("").alias("layer"), F.when(inside, share).otherwise(-1.0).alias("relative"))
+
+
 def depths_of_good(clusters: DataFrame, good: DataFrame, keys: list[str], shank: int, depth: str = "from_tip") -> DataFrame:
     """Depths of the good units on a shank."""
     return clusters.filter(F.col("shank_id") == shank).join(good.select(*keys), keys, "left_semi").select(*keys, depth)

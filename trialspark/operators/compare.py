@@ -348,6 +348,11 @@ def exported_spikes(spikes: DataFrame, samples: DataFrame, keys: list[str], time
     return wide.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*keys, "_row.*", "position", *names)
 
 
+def with_stimulus(spikes: DataFrame, shown: DataFrame, keys: list[str], time: str, bucket: float) -> DataFrame:
+    """spikes with `stim`, the stimulus shown (keys, stim, w0, w1) at their time, null between stimuli."""
+    return range_join(spikes, shown.select(*keys, "stim", "w0", "w1"), keys, time, "w0", "w1", bucket, "left", "left").drop("w0", "w1")
+
+
 def two_condition_classes(tests: DataFrame, keys: list[str], first: str = "V", second: str = "VT") -> DataFrame:
     """Per unit, by its class in two conditions (columns first and second: tuned, responsive or unresponsive): V tuned, V
     responsive, V silent but VT tuned, or none."""

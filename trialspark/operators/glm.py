@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.operators.ordered import stored
-from trialspark.operators.stats import joined
+from trialspark.operators.stats import joined, medians, one_tailed, signed_rank
 
 CLAMP, LEAST_GAIN, FOLDS, CAP_HZ = 20.0, 0.005, 5, 400.0
 
@@ -304,6 +304,27 @@ def model_curve(fits: DataFrame, keys: list[str], basis: Column, grid: list[floa
     return points.select(*keys, "model", "x", F.least(F.lit(CAP_HZ), F.exp(F.get("beta", F.lit(0)) + dot)).alias("rate"))
 
 
+def compared_models(bins: DataFrame, keys: list[str], order: list[str], mains: list[str], interactions: dict[str, tuple[str, str]], least: float = LEAST_GAIN, ridge: float = 1e-3) -> DataFrame:
+    """(keys, model, cv_bits) of four models: Null (none of the terms), Selected (those that forward selection takes),
+    Additive (all main effects) and FullInteraction (all main effects and interactions)."""
+    whole = {"Null": [], "Additive": mains, "FullInteraction": [*mains, *interactions]}
+    fits = fitted(bins, keys, order, whole, ridge).select(*keys, "model", "cv_bits")
+    steps = forward_selected(bins, keys, order, mains, interactions, least, ridge)
+    chosen = steps.groupBy(*keys).agg(F.max_by("cv_bits", "step").alias("cv_bits"))
+    return fits.unionByName(chosen.withColumn("model", F.lit("Selected")))
+
+
+def generalised(scores: DataFrame, keys: list[str], standard: str, profile: str, p_values: bool = True) -> DataFrame:
+    """How well models generalise across speed profiles, by keys, over units: the median gain under trial folds and under
+    profile folds, what share of the first the second retains (median over units that gain under trial folds), and a
+    one-tailed signed-rank test that profile gains are above 0."""
+    ratio = F.when(F.col(standard) > 0, F.col(profile) / F.col(standard))
+    told = medians(scores.withColumn("_ratio", ratio), keys, standard=standard, profile=profile, retained="_ratio")
+    tests = signed_rank(scores.withColumn("_none", F.when(F.col(profile).isNotNull(), 0.0)), keys, profile, "_none", p_values=p_values)
+    tests = one_tailed(tests) if p_values else tests
+    return joined(told, tests.select(*keys, "n", "w_plus", "w_minus", *(["p_greater"] if p_values else [])), keys)
+
+
 def model_deltas(fits: DataFrame, keys: list[str], score: str = "cv_bits", base: str = "Null") -> DataFrame:
     """Per unit the score of each fitted model less that of the base model, a column delta_<model> for each."""
     names = [r[0] for r in fits.select("model").distinct().orderBy("model").collect() if r[0] != base]  # a handful of models

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialspark.operators.intervals import range_join
+from trialspark.operators.intervals import interpolated, range_join
 from trialspark.operators.ordered import row_numbers
 from trialspark.operators.stats import joined
 
@@ -34,6 +34,19 @@ def population_mean(table: DataFrame, unit: list[str], keys: list[str], axis: st
     return table.groupBy(*keys, axis).agg(F.sum(value).alias("_s")).select(*keys, axis, (F.col("_s") / units).alias(f"mean_{'count' if value == 'n' else value}"))
 
 
+def coarse_traces(samples: DataFrame, keys: list[str], time: str, channels: list[str], rate: float = 60.0) -> DataFrame:
+    """(keys, channel, step, at, value): each channel on a grid of about `rate` points a second, evenly from a trial's
+    (keys) first sample to its last, linear between samples. All channels are looked up at once."""
+    long = samples.select(*keys, F.col(time).cast("double").alias("_t"), F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value")) for c in channels))).alias("_c")).select(*keys, "_t", "_c.*")
+    ends = long.groupBy(*keys, "channel").agg(F.min("_t").alias("_low"), F.max("_t").alias("_high"))
+    n = F.round((F.col("_high") - F.col("_low")) * rate).cast("int")
+    steps = ends.withColumn("_n", n).filter("_n > 1").withColumn("step", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    # The last point is the last sample itself, whatever the product rounds to.
+    at = F.when(F.col("step") == F.col("_n") - 1, F.col("_high")).otherwise(F.col("_low") + F.col("step") * ((F.col("_high") - F.col("_low")) / (F.col("_n") - 1)))
+    grid = steps.select(*keys, "channel", "step", at.alias("at"))
+    return interpolated(grid, long.withColumnRenamed("_t", "at"), [*keys, "channel"], "at", "value", "value")
+
+
 def histogram(spikes: DataFrame, keys: list[str], low: float, high: float, width: float) -> DataFrame:
     """Counts of spikes between low and high (both excluded) in bins of a width; bins without spikes have no row."""
     inside = spikes.filter((F.col("t") > low) & (F.col("t") < high))

@@ -140,6 +140,12 @@ def signed_rank(df: DataFrame, keys: list[str], x: str, y: str, exact_pairs: int
     return out.withColumn("direction", F.when(F.col("p") < 0.05, greater).otherwise(0).cast("int"))
 
 
+def one_tailed(tests: DataFrame) -> DataFrame:
+    """Signed-rank tests with p_greater: of x being greater than y, not of their being different."""
+    greater = F.when(F.col("w_plus") > F.col("w_minus"), F.col("p") / 2).when(F.col("w_plus") < F.col("w_minus"), 1 - F.col("p") / 2).otherwise(0.5)
+    return tests.withColumn("p_greater", greater)
+
+
 def kruskal_wallis(df: DataFrame, keys: list[str], group: str, value: str, p_values: bool = True) -> DataFrame:
     """H (corrected for ties), degrees of freedom and p of value between groups, by keys."""
     kept = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())

@@ -238,6 +238,12 @@ def asymmetric_fits(curve: DataFrame, keys: list[str], x: str, y: str) -> DataFr
     return fits.join(known, keys).withColumn("rmse", F.sqrt(F.greatest((1 - F.col("r2")) * F.col("_var"), F.lit(0.0)))).drop("_var")
 
 
+def asymmetric_p(cells: DataFrame, keys: list[str], bin_: str, x: str, y: str, reps: int = 1000, blocks: int = 20, seed: int = 1) -> DataFrame:
+    """The asymmetric Gaussian's fit to cells with rmse and p, the share of redrawn cells that it fits as well or better."""
+    fits = selected_models(cells, keys, x, y, ("asymmetric",))
+    return asymmetric_fits(cells, keys, x, y).join(model_p(cells, fits, keys, bin_, x, y, reps, blocks, seed), keys)
+
+
 def model_p(cells: DataFrame, best: DataFrame, keys: list[str], bin_: str, x: str, y: str, reps: int = 1000, blocks: int = 20, seed: int = 1) -> DataFrame:
     """p of the best model: the share of redrawn cells, each value drawn from all of the key's, that it fits as well or
     better; repetitions spread over blocks, and a block's are fitted together."""

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trialspark.operators import glm, rates, rf, segment, select, signals, stats, tuning
+from trialspark.operators import anatomy, compare, glm, rates, rf, segment, select, signals, stats, tuning
 from trialspark.plans.event_queries import DAY, HOUR, E, events, rounded
 from trialspark.plans.table_queries import table
 
@@ -137,3 +137,46 @@ def m15_tuned_classes(spark, d):
     fits = stats.linear_fit(events(spark, d).withColumn("unit", F.col("user_id") % 40).withColumn("day", F.col("t")), ["unit", "event_type"], "value", "day")
     mean = events(spark, d).groupBy((F.col("user_id") % 40).alias("unit"), "event_type").agg(F.avg("value").alias("rate"))
     return tuning.tuned_classes(fits.join(mean, ["unit", "event_type"]).withColumns({"p": F.col("r2") / 0.4, "rest": F.lit(30.0)}), "rate", "rest").select("unit", "event_type", "class")
+
+
+_LAYERS = "SELECT r_regionkey, CASE WHEN r_regionkey < 4 THEN 'VISp' || (r_regionkey + 1) ELSE 'root' END AS region, p AS probe, s AS shank_id, 900.0::DOUBLE + 150 * r_regionkey + 20 * s + 7 * p AS lower, 1050.0::DOUBLE + 150 * r_regionkey + 20 * s + 7 * p AS upper FROM region, (SELECT DISTINCT p_size % 3 AS p, p_partkey % 2 AS s FROM part)"
+
+
+@query(f"""WITH l AS ({_LAYERS}) SELECT p_partkey, CASE WHEN region LIKE 'VISp%' THEN region ELSE '' END AS layer, CASE WHEN region LIKE 'VISp%' THEN round((upper - p_retailprice) / (upper - lower), 8) ELSE -1 END AS relative
+FROM part LEFT JOIN l ON probe = p_size % 3 AND shank_id = p_partkey % 2 AND lower <= p_retailprice AND p_retailprice < upper""")
+def j12_layers_by_shank(spark, d):
+    clusters = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 3).cast("int").alias("probe"), (F.col("p_partkey") % 2).cast("int").alias("shank_id"), F.col("p_retailprice").cast("double").alias("from_tip"))
+    shanks = clusters.select("probe", "shank_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    names = table(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("k"))
+    lower = F.lit(900.0) + 150 * F.col("k") + 20 * F.col("shank_id") + 7 * F.col("probe")
+    layers = shanks.join(names, "k").select("probe", "shank_id", F.when(F.col("k") < 4, F.concat(F.lit("VISp"), F.col("k") + 1)).otherwise("root").alias("region"), lower.alias("lower"), (lower + 150).alias("upper"))
+    return rounded(anatomy.layer_positions(clusters, layers, ["probe"]).select("p_partkey", "layer", "relative"), "relative", digits=8)
+
+
+@query(f"""{E}, g AS (SELECT user_id, min(t) AS a, max(t) AS b, round((max(t) - min(t)) / 21600)::INT AS n FROM e GROUP BY 1), s AS (SELECT *, unnest(range(0, n)) AS step FROM g WHERE n > 1),
+q AS (SELECT user_id, step, CASE WHEN step = n - 1 THEN b ELSE a + step * ((b - a) / (n - 1)) END AS x FROM s), v AS (SELECT user_id, t, value, event_id, lead(t) OVER w AS nt, lead(value) OVER w AS nv, lead(event_id) OVER w AS ne FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+j AS (SELECT q.*, v.* EXCLUDE (user_id) FROM q ASOF JOIN v ON q.user_id = v.user_id AND q.x >= v.t)
+SELECT user_id, 'value' AS channel, step::INT AS step, round(value + CASE WHEN x > t THEN (nv - value) / (nt - t) * (x - t) ELSE 0 END, 5) AS value FROM j
+UNION ALL SELECT user_id, 'event_id', step::INT, round(event_id + CASE WHEN x > t THEN (ne - event_id)::DOUBLE / (nt - t) * (x - t) ELSE 0 END, 5) FROM j""")
+def f22_coarse_traces(spark, d):
+    out = rates.coarse_traces(events(spark, d), ["user_id"], "t", ["value", "event_id"], 1 / 21_600)
+    return rounded(out.select("user_id", "channel", "step", "value"), "value", digits=5)
+
+
+@query(f"""{E}, s AS (SELECT user_id, event_id AS stim, t AS w0, least(t + 86400, coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY t), t + 86400)) AS w1 FROM e WHERE event_type = 'signup')
+SELECT e.event_id, stim FROM e LEFT JOIN s ON e.user_id = s.user_id AND t >= w0 AND t < w1""")
+def f20_stimuli(spark, d):
+    e = events(spark, d)
+    ahead = F.lead("t").over(Window.partitionBy("user_id").orderBy("t"))
+    shown = e.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("stim"), F.col("t").alias("w0"), F.least(F.col("t") + DAY, F.coalesce(ahead, F.col("t") + DAY)).alias("w1"))
+    return compare.with_stimulus(e.select("user_id", "event_id", "t"), shown, ["user_id"], "t", DAY).select("event_id", "stim")
+
+
+@query(f"""{E}, u AS (SELECT user_id, user_id % 3 AS g, avg(CASE WHEN event_type = 'click' THEN value END) - avg(CASE WHEN event_type = 'view' THEN value END) AS s, avg(CASE WHEN event_type = 'purchase' THEN value END) - avg(CASE WHEN event_type = 'error' THEN value END) AS p FROM e GROUP BY 1),
+r AS (SELECT *, abs(round(p, 9)) AS a FROM u WHERE round(p, 9) <> 0), k AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY g, a) - 1) / 2.0::DOUBLE AS rank FROM r WINDOW w AS (PARTITION BY g ORDER BY a)),
+s AS (SELECT g, sum(CASE WHEN p > 0 THEN rank ELSE 0 END) AS w_plus, sum(CASE WHEN p < 0 THEN rank ELSE 0 END) AS w_minus FROM k GROUP BY 1)
+SELECT g, round(median(s), 8) AS standard, round(median(p), 8) AS profile, round(median(CASE WHEN s > 0 THEN p / s END), 8) AS retained, count(p) AS n, any_value(w_plus) AS w_plus, any_value(w_minus) AS w_minus FROM u JOIN s USING (g) GROUP BY 1""")
+def l11_generalised(spark, d):
+    mean = lambda kind: F.avg(F.when(F.col("event_type") == kind, F.col("value")))
+    units = events(spark, d).groupBy("user_id", (F.col("user_id") % 3).alias("g")).agg((mean("click") - mean("view")).alias("s"), (mean("purchase") - mean("error")).alias("p"))
+    return rounded(glm.generalised(units, ["g"], "s", "p", p_values=False), "standard", "profile", "retained", digits=8)
