@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_queries import DIR, duck, plain  # noqa: F401
-from trialspark.operators import anatomy, glm, rates, stats, tuning
+from trialspark.operators import anatomy, glm, rates, rf, stats, tuning
 from trialspark.plans import compare_queries, operator_queries
 
 
@@ -74,6 +75,28 @@ def test_traces_on_a_coarse_grid(spark):
     assert out == [("a", 0, 0.0, 0.0), ("a", 1, 0.5, 5.0), ("a", 2, 1.0, 10.0), ("a", 3, 1.5, 5.0), ("a", 4, 2.0, 0.0), ("b", 0, 0.0, 5.0), ("b", 1, 0.5, 5.0), ("b", 2, 1.0, 5.0), ("b", 3, 1.5, 6.0), ("b", 4, 2.0, 7.0)]
 
 
+def test_functions_without_a_query(spark):
+    around = spark.createDataFrame([(u, lag, v) for u, vs in ((1, (1.0, 5.0)), (2, (4.0, 2.0))) for lag, v in zip((-0.5, 0.5), vs, strict=True)], "u int, lag double, v double")
+    out = {r.u: (r.baseline, r.response, r.delta, r.place) for r in rates.heatmap(around, ["u"], "lag", "v", (-1.0, 0.0), (0.0, 1.0)).collect()}
+    assert out == {1: (1.0, 5.0, 4.0, 2), 2: (4.0, 2.0, -2.0, 1)}
+    depths = spark.createDataFrame([(1500.0,), (700.0,), (-5.0,)], "d double").select(anatomy.depth_code(F.col("d"), 1200.0, 0.0).alias("c"))
+    assert [r.c for r in depths.collect()] == [anatomy.ABOVE, None, anatomy.BEYOND]
+    bins = spark.createDataFrame([(1, i, float(i % 4), int(i % 4 > 1), 0.5, i % 5) for i in range(40)], "u int, i int, a double, spike_count int, dt double, fold int")
+    told = glm.held_out_predictions(bins, ["u"], ["i"], ["a"]).orderBy("i").collect()
+    assert [r.observed for r in told] == [2.0 * (i % 4 > 1) for i in range(40)]
+    x = np.array([i % 4 for i in range(40)], float)
+    rest = np.array([i % 5 != 0 for i in range(40)])
+    fit = glm.Fit(np.stack([np.ones(40), x], 1)[rest], np.array([float(i % 4 > 1) for i in range(40)])[rest], np.full(rest.sum(), np.log(0.5)))
+    assert told[0].predicted == pytest.approx(np.exp(fit.beta[0])) and told[5].predicted == pytest.approx(np.exp(fit.beta[0] + fit.beta[1]))
+
+
+def test_stimuli_of_any_length_are_counted_with_any_bucket(spark):
+    spikes = spark.createDataFrame([(1, 7, t) for t in (0.1, 5.0, 99.0, 100.1)], "k int, unit int, t double")
+    onsets = spark.createDataFrame([(1, 0, 0.0), (1, 1, 50.0), (1, 2, 100.0)], "k int, stim int, onset double")
+    for bucket in (None, 0.5, 1000.0):
+        assert {r.stim: r.n for r in rf.stimulus_counts(spikes, onsets, ["k"], "unit", bucket=bucket).collect()} == {0: 2, 1: 1, 2: 1}
+
+
 def test_all_queries_have_names_of_their_own():
     import __spark_entry__ as entry
 

@@ -15,12 +15,17 @@ from trialspark.operators.tuning import draw_index, hashed_uniform
 DEGREES = 5.0
 
 
-def stimulus_counts(spikes: DataFrame, onsets: DataFrame, keys: list[str], unit: str, last_s: float = 0.25) -> DataFrame:
-    """Spikes of each unit during each stimulus (keys, stim, onset), which lasts until the next onset, the last last_s."""
+def stimulus_counts(spikes: DataFrame, onsets: DataFrame, keys: list[str], unit: str, last_s: float = 0.25, bucket: float | None = None) -> DataFrame:
+    """Spikes of each unit during each stimulus (keys, stim, onset), which lasts until the next onset, the last last_s.
+
+    bucket: width of the time buckets that stimuli are spread over; by default the stimuli's mean length.
+    """
     shown = following(onsets, keys, "onset", "w1").withColumns({"w0": F.col("onset"), "w1": F.coalesce("w1", F.col("onset") + last_s)})
     from trialspark.operators.intervals import range_join
 
-    hits = range_join(spikes, shown, keys, "t", "w0", "w1", 1.0).groupBy(*keys, unit, "stim").agg(F.count("*").alias("n"))
+    if bucket is None:
+        bucket = shown.agg(F.avg(F.col("w1") - F.col("w0"))).first()[0] or 1.0
+    hits = range_join(spikes, shown, keys, "t", "w0", "w1", bucket).groupBy(*keys, unit, "stim").agg(F.count("*").alias("n"))
     every = shown.select(*keys, "stim").join(spikes.select(*keys, unit).distinct(), keys)
     return every.join(hits, [*keys, unit, "stim"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
