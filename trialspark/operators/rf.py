@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import deque
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
