@@ -6,6 +6,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from trialspark.operators import intervals
 from trialspark.plans import event_queries
 
 START = datetime.datetime(2024, 1, 1)
@@ -28,3 +29,9 @@ def test_differences_that_are_halves_are_rounded_as_in_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     assert mine == sorted(con.execute(f"SELECT user_id, baseline, response, delta, place FROM ({event_queries.ORACLES['f10_heatmap']})").fetchall())
+
+
+def test_of_targets_at_one_place_the_first_in_order_is_nearest(spark):
+    points = spark.createDataFrame([(1, 4.0), (2, 5.0), (3, 6.0), (4, 7.5)], "id int, x double")
+    targets = spark.createDataFrame([(n, place) for place, names in ((5.0, (3, 2, 9)), (8.0, (7, 4, 8))) for n in names], "name int, y double").repartition(3)
+    assert {r.id: r.near_name for r in intervals.nearest(points, targets, [], "x", "y").collect()} == {1: 2, 2: 2, 3: 2, 4: 4}

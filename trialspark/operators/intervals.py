@@ -58,13 +58,14 @@ def psth(spikes: DataFrame, triggers: DataFrame, keys: list[str], bin_s: float,
 
 
 def nearest(points: DataFrame, targets: DataFrame, keys: list[str], place: str, target: str) -> DataFrame:
-    """Each point with the target of its keys nearest by place (of equals the lower), its columns prefixed `near_`.
+    """Each point with the target of its keys nearest by place, its columns prefixed `near_`.
 
-    Points and targets are merged in order and dealt by range, so a key may have any number of them; each point looks at
-    the last target before and the first after.
+    Of targets as near the lower is taken, of those at one place the one whose columns come first in order. Points and
+    targets are merged in order and dealt by range, so a key may have any number of them; each point looks at the last
+    target before and the first after.
     """
     names = [c for c in targets.columns if c not in keys]
-    tagged = targets.select(*keys, F.col(target).cast("double").alias("_at"), F.struct(*names).alias("_t"), F.lit(0).alias("_kind"))
+    tagged = targets.groupBy(*keys, F.col(target).cast("double").alias("_at")).agg(F.min(F.struct(*names)).alias("_t")).withColumn("_kind", F.lit(0))
     rest = [c for c in points.columns if c not in keys]
     mine = points.select(*keys, F.col(place).cast("double").alias("_at"), F.struct(*rest).alias("_p"), F.lit(1).alias("_kind"))
     both = tagged.unionByName(mine, allowMissingColumns=True)
