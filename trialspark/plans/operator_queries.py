@@ -83,9 +83,14 @@ w AS (SELECT user_id, coalesce(max(CASE WHEN event_type = 'view' THEN p END) < 0
 SELECT user_id, CASE WHEN t AND v THEN 'T_and_V' WHEN t THEN 'T_only' WHEN v THEN 'V_only' WHEN vt THEN 'VT_only' ELSE 'none' END AS category, t OR v OR vt AS fit FROM w""")
 def l1_category(spark, d):
     names = F.create_map(*(F.lit(x) for pair in (("view", "T"), ("click", "V"), ("purchase", "VT")) for x in pair))
-    mean = events(spark, d).filter(F.col("event_type").isin("view", "click", "purchase")).groupBy("user_id", "event_type").agg(F.avg("value").alias("m"))
-    tests = mean.select("user_id", names[F.col("event_type")].alias("condition"), ((F.col("event_type") == "view").cast("int") * 0.01 + F.abs(F.col("m") - 50) / 100).alias("p"))
-    return glm.category(tests, ["user_id"])
+    rows = events(spark, d).filter(F.col("event_type").isin("view", "click", "purchase"))
+    p = (F.col("event_type") == "view").cast("int") * 0.01 + F.abs(F.col("m") - 50) / 100
+    mean = rows.groupBy("user_id", "event_type").agg(F.avg("value").alias("m"))
+    # A mean on the threshold falls to either side by the order in which its values are added, so those are added in order.
+    close = rows.join(mean.filter(F.abs(p - 0.05) < 1e-9).drop("m"), ["user_id", "event_type"], "left_semi")
+    told = stats.mean_in_order(close, ["user_id", "event_type"], "event_id", "value", "_m")
+    mean = mean.join(told, ["user_id", "event_type"], "left").withColumn("m", F.coalesce("_m", "m"))
+    return glm.category(mean.select("user_id", names[F.col("event_type")].alias("condition"), p.alias("p")), ["user_id"])
 
 
 @query(f"""{E}, c AS (SELECT user_id % 7 AS unit, floor(t / 86400)::INT AS day, event_type, avg(value) AS v FROM e GROUP BY ALL), r AS (SELECT unit, day, avg(v) AS rest FROM c WHERE event_type = 'error' GROUP BY 1, 2),
