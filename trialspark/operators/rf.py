@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialspark.functions.digests import md5_of_numbers
 from trialspark.operators.ordered import following
-from trialspark.operators.tuning import draw_index, hashed_uniform
+from trialspark.operators.tuning import draw_index
 
 DEGREES = 5.0
+#: Spikes whose draws are hashed at once.
+BLOCK = 1 << 20
 
 
 def stimulus_counts(spikes: DataFrame, onsets: DataFrame, keys: list[str], unit: str, last_s: float = 0.25, bucket: float | None = None) -> DataFrame:
@@ -114,15 +118,36 @@ def best_lags(sta: DataFrame, keys: list[str], lag: str = "lag", null: DataFrame
 def resampled_null(counts: DataFrame, frames: DataFrame, keys: list[str], reps: int = 100, seed: int = 1) -> DataFrame:
     """Mean and deviation over reps of the average with each of a unit's spikes dealt to one of its frames at random, by pixel.
 
-    A spike's draw is a hash of its number and the repetition, turned to a frame by the inverse of the equal distribution.
-    Draws are counted per frame before frames are joined, so a repetition costs one row per frame that was hit.
+    A spike's draw is a hash of its number and the repetition (that of `tuning.hashed_uniform`), turned to a frame by the
+    inverse of the equal distribution. The hash is the same for all units, so each block of numbers is hashed once a
+    repetition, and only how often each frame was hit leaves it.
     """
     w = Window.partitionBy(*keys).orderBy("frame")
-    numbered = counts.select(*keys, "frame", "n", (F.row_number().over(w) - 1).alias("_i"), (F.sum("n").over(w) - F.col("n")).alias("_first"))
-    total = counts.groupBy(*keys).agg(F.count("*").alias("_m"))
-    spikes = numbered.join(total, keys).select(*keys, "_m", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("n") - 1)).alias("_s"))
-    drawn = spikes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_i", F.floor(hashed_uniform(F.col("rep"), F.col("_s"), seed=seed) * F.col("_m")))
-    dealt = drawn.groupBy(*keys, "rep", "_i").agg(F.count("*").alias("n")).join(numbered.select(*keys, "_i", "frame"), [*keys, "_i"])
+    numbered = counts.select(*keys, "frame", (F.row_number().over(w) - 1).alias("_i"))
+    total = counts.groupBy(*keys).agg(F.count("*").alias("_m"), F.sum("n").alias("_n")).filter("_n > 0")
+    blocks = total.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / BLOCK))))
+    asked = blocks.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    # The number of parts is given, since their rows are few and cost much.
+    by_block = asked.repartition(reps, "rep", "_block").sortWithinPartitions("rep", "_block")
+    key_schema = "".join(f"{c} {counts.schema[c].dataType.simpleString()}, " for c in keys)
+
+    def hit(batches):
+        at = hashes = None
+        for rows in batches:
+            for k, (rep, block, m, n) in enumerate(zip(rows["rep"], rows["_block"], rows["_m"], rows["_n"], strict=True)):
+                if at != (rep, block):
+                    # Rows of one block come together, those of units with most spikes maybe last.
+                    at, hashes = (rep, block), np.empty(0, np.uint32)
+                low, many = block * BLOCK, min(n - block * BLOCK, BLOCK)
+                if len(hashes) < many:
+                    hashes = np.concatenate([hashes, md5_of_numbers(f"{seed}:{rep}:", low + len(hashes), low + many)])
+                n_hit = np.bincount(np.floor(hashes[:many] / 4294967296.0 * m).astype(np.int64))
+                frame = n_hit.nonzero()[0]
+                own = {c: rows[c].iloc[[k]].repeat(len(frame)).reset_index(drop=True) for c in keys}
+                yield pd.DataFrame(own | {"rep": np.int32(rep), "_i": frame, "n": n_hit[frame]})
+
+    drawn = by_block.mapInPandas(hit, f"{key_schema}rep int, _i long, n long")
+    dealt = drawn.groupBy(*keys, "rep", "_i").agg(F.sum("n").alias("n")).join(numbered, [*keys, "_i"])
     sta = frame_average(dealt, frames, [*keys, "rep"])
     return sta.groupBy(*keys, "pixel").agg(F.avg("sta").alias("null_mean"), F.stddev_samp("sta").alias("null_std"))
 
