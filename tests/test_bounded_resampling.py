@@ -1,13 +1,15 @@
 """Nulls, redrawn fits and rates around triggers whose work doesn't grow with all pairs or all draws at once."""
 
 import hashlib
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trialspark.functions.digests import md5_of_numbers
-from trialspark.operators import rf
+from trialspark.functions.gauss import Spikes
+from trialspark.operators import rates, rf
 
 
 def test_md5_of_numbers_is_hashlibs():
@@ -39,3 +41,36 @@ def test_a_null_makes_no_row_for_a_draw(spark):
     frames = spark.range(20).select(F.col("id").alias("frame"), F.array(F.lit(1.0)).alias("pixels"))
     plan = rf.resampled_null(counts, frames, ["u"], 30)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" in plan and "md5" not in plan
+
+
+def test_sums_by_nodes_are_those_of_pairs():
+    rng = np.random.default_rng(4)
+    for start, sigma, reach in ((0.0, 7200.0, 28_800.0), (1.7e9, 0.25, 1.0), (-50.0, 0.02, 0.5)):
+        t = np.round(start + rng.uniform(0, 12 * reach, 3000), 6)
+        at = np.concatenate([t[:40] + reach, t[:40] - reach, start + rng.uniform(-2 * reach, 14 * reach, 400)])
+        spikes = Spikes(t, sigma, reach)
+        told = np.array([np.exp(-((x - p) ** 2) / (2 * sigma**2)).sum() for p in at for x in [t[(t >= p - reach) & (t <= p + reach)]]])
+        low, high = (np.searchsorted(spikes.t, at + r, side) for r, side in ((-reach, "left"), (reach, "right")))
+        np.testing.assert_allclose(spikes._by_nodes(at, low, high), told, atol=1e-10)
+        np.testing.assert_allclose(spikes._direct(at, low, high - low), told, atol=1e-10)
+        np.testing.assert_allclose(spikes.sums(at), told, atol=1e-10)
+    assert Spikes(np.empty(0), 1.0, 2.0).sums(np.array([1.0, 2.0])).tolist() == [0.0, 0.0]
+
+
+def test_responses_around_triggers_make_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    fired = [("a", round(float(t), 6)) for t in rng.uniform(-5, 25, 4000)] + [("b", 3.0), ("b", None), (None, 1.0)]
+    shown = [("a", round(float(t), 6)) for t in rng.uniform(0, 20, 50)] + [("a", fired[0][1] - 1.5), ("a", fired[0][1] - 1.5), ("b", 2.0), ("b", 400.0), ("c", 1.0), ("c", None), (None, 1.0)]
+    sigma, reach = 0.5, 2.0
+    out = rates.mean_response(spark.createDataFrame(fired, "u string, t double"), spark.createDataFrame(shown, "u string, t0 double"), ["u"], 1.0, 1.5, 2.0, sigma, reach)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "_bucket" not in plan
+    mine = {(r.u, r.step): (r.rate, r.n_triggers) for r in out.collect()}
+    scale = 1 / (sigma * math.sqrt(2 * math.pi) * math.erf(reach / (sigma * math.sqrt(2))))
+    told = {}
+    for u in "abc":
+        t, t0 = (np.array([x for k, x in rows if k == u and x is not None]) for rows in (fired, shown))
+        for k in range(-2, 4):
+            d = t[None, :] - (t0 + k / 2)[:, None]
+            told[u, k] = (pytest.approx((np.exp(-(d**2) / (2 * sigma**2)) * (np.abs(d) <= reach)).sum() / len(t0) * scale, abs=1e-9), len(t0))
+    assert mine == told

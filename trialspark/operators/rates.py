@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialspark.functions.gauss import Spikes
 from trialspark.operators.intervals import interpolated, range_join
 from trialspark.operators.ordered import row_numbers
 from trialspark.operators.stats import joined
@@ -102,10 +105,33 @@ def grid(triggers: DataFrame, before: float, after: float, rate: float = 60.0) -
 
 
 def mean_response(spikes: DataFrame, triggers: DataFrame, keys: list[str], before: float, after: float, rate: float = 60.0, sigma: float = SIGMA, reach: float = REACH) -> DataFrame:
-    """Mean smoothed rate by lag around triggers (keys, t0)."""
-    points = grid(triggers, before, after, rate)
-    rates = smoothed_at(spikes, points.select(*keys, "at").distinct(), keys, sigma, reach)
-    return points.join(rates, [*keys, "at"]).groupBy(*keys, "step").agg(F.avg("rate").alias("rate"), F.count("*").alias("n_triggers"))
+    """Mean smoothed rate by lag around triggers (keys, t0).
+
+    Triggers are dealt by stretches of time, spikes to each stretch whose triggers they may reach; a task holds those of
+    one, and of many spikes within reach no pairs are made (`functions.gauss`). A step's sum and count leave it.
+    """
+    steps = range(-round(before * rate), round(after * rate) + 1)
+    scale = 1 / (sigma * math.sqrt(2 * math.pi) * (1 - math.erfc(reach / (sigma * math.sqrt(2)))))
+    ends = steps[0] / rate - reach * 1.001, steps[-1] / rate + reach * 1.001
+    span = F.lit((ends[1] - ends[0]) / 2)
+    known = lambda df, time: df.select(*keys, F.col(time).cast("double").alias("_t")).dropna()
+    stretch = lambda t: F.floor(t / span)
+    shown = known(triggers, "t0").withColumns({"_stretch": stretch(F.col("_t")), "_is_spike": F.lit(False)})
+    fired = known(spikes, "t").withColumn("_stretch", F.explode(F.sequence(stretch(F.col("_t") - ends[1]), stretch(F.col("_t") - ends[0])))).withColumn("_is_spike", F.lit(True))
+    both = shown.unionByName(fired.join(shown.select(*keys, "_stretch").distinct(), [*keys, "_stretch"], "left_semi"))
+    # The number of parts is given, since their rows are few and cost much.
+    parts = int(triggers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key_schema = "".join(f"{c} {triggers.schema[c].dataType.simpleString()}, " for c in keys)
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        spike = rows["_is_spike"].to_numpy()
+        times = rows["_t"].to_numpy()
+        near, t0 = Spikes(times[spike], sigma, reach), np.sort(times[~spike])
+        sums = [scale * float(near.sums(t0 + k / rate).sum()) for k in steps]
+        return pd.DataFrame({**{c: [v] * len(steps) for c, v in zip(keys, key, strict=False)}, "step": list(steps), "_s": sums, "_n": len(t0)})
+
+    told = both.repartition(parts, *keys, "_stretch").groupBy(*keys, "_stretch").applyInPandas(one, f"{key_schema}step int, _s double, _n long")
+    return told.groupBy(*keys, "step").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("n_triggers")).select(*keys, "step", (F.col("_s") / F.col("n_triggers")).alias("rate"), "n_triggers")
 
 
 def heatmap(responses: DataFrame, keys: list[str], lag: str, value: str, base: tuple[float, float], response: tuple[float, float]) -> DataFrame:
