@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trialspark.functions.digests import md5_of_numbers
 from trialspark.functions.gauss import Spikes
-from trialspark.operators import rates, rf
+from trialspark.operators import rates, rf, tuning
 
 
 def test_md5_of_numbers_is_hashlibs():
@@ -74,3 +74,45 @@ def test_responses_around_triggers_make_no_pairs(spark):
             d = t[None, :] - (t0 + k / 2)[:, None]
             told[u, k] = (pytest.approx((np.exp(-(d**2) / (2 * sigma**2)) * (np.abs(d) <= reach)).sum() / len(t0) * scale, abs=1e-9), len(t0))
     assert mine == told
+
+
+def test_redrawn_fits_stay_in_their_task(spark):
+    rng = np.random.default_rng(6)
+    cells = [(k, i, round(float(v), 6)) for k, n in (("a", 11), ("b", 11), ("c", 4), ("d", 25)) for i, v in enumerate(rng.normal(size=n) + np.arange(n) * (k == "d"))]
+    cells += [("e", 1, 2.0), ("f", 3, 1.0), ("f", 3, 2.0), ("g", 1, 5.0), ("g", 2, 5.0), ("g", 3, 5.0), (None, 1, 1.0), (None, 2, 3.0), ("a", None, 9.0)]
+    cells += [("h", x, y) for x, y in ((1, 1.37), (2, None), (5, 2.51), (11, 0.53), (23, 7.91), (40, 3.3))]
+    df = spark.createDataFrame(cells, "u string, x int, y double")
+    for strict in (True, False):
+        out = tuning.shuffled_fits(df, ["u"], "x", "y", 40, 2, strict)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan and "Generate" not in plan
+        mine = {r.u: (r.r2, r.slope, r.n, r.p) for r in out.collect()}
+        told = {}
+        for u in "abcdefgh":
+            own = sorted(((x, y) for k, x, y in cells if k == u and x is not None), key=lambda c: (c[0], c[1] is not None, c[1]))
+            n = len(own)
+            drawn = tuning.draw_indices(np.arange(40)[:, None], np.arange(n)[None, :], n, 2)
+            fits = [_r2([(own[i][0], own[j][1]) for i, j in enumerate(row)]) for row in drawn.tolist()]
+            real = _r2(own)
+            # Fits that are equal but for their last bits, as of the same values backwards, fall to either side.
+            shares = [sum(f is not None and f > real + by for f in fits) / 40 for by in (1e-12, -1e-12)] if real is not None else None
+            told[u] = (None if real is None else pytest.approx(real), n, shares)
+        assert {u: (r2, n) for u, (r2, _, n, _) in mine.items()} == {u: t[:2] for u, t in told.items()}
+        for u, (*_, p) in mine.items():
+            assert p is None if told[u][2] is None else told[u][2][0] <= p <= told[u][2][1]
+        assert all(told[u][2][0] == told[u][2][1] for u in "abdh") and mine["g"][3] == (0.0 if strict else 1.0)
+    assert mine["d"][1] == pytest.approx(np.polyfit(range(25), [y for k, _, y in cells if k == "d"], 1)[0])
+
+
+def _r2(pairs):
+    x, y = np.array([c for c in pairs if c[1] is not None], float).reshape(-1, 2).T
+    if len(x) == 0 or np.ptp(x) == 0:
+        return None
+    return 1.0 if np.ptp(y) == 0 else float(np.corrcoef(x, y)[0, 1] ** 2)
+
+
+def test_draws_of_arrays_are_those_of_columns(spark):
+    df = spark.range(60).select((F.col("id") % 10).alias("rep"), F.floor(F.col("id") / 10).alias("i"))
+    out = {(r.rep, r.i): r.j for r in df.withColumn("j", tuning.draw_index(F.col("rep"), F.col("i"), F.lit(6), 3)).collect()}
+    told = tuning.draw_indices(np.arange(10)[:, None], np.arange(6)[None, :], 6, 3)
+    assert out == {(rep, i): int(told[rep, i]) for rep in range(10) for i in range(6)}

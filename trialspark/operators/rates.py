@@ -114,7 +114,7 @@ def mean_response(spikes: DataFrame, triggers: DataFrame, keys: list[str], befor
     scale = 1 / (sigma * math.sqrt(2 * math.pi) * (1 - math.erfc(reach / (sigma * math.sqrt(2)))))
     ends = steps[0] / rate - reach * 1.001, steps[-1] / rate + reach * 1.001
     span = F.lit((ends[1] - ends[0]) / 2)
-    known = lambda df, time: df.select(*keys, F.col(time).cast("double").alias("_t")).dropna()
+    known = lambda df, time: df.select(*keys, F.col(time).cast("double").alias("_t")).filter(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "_t")))
     stretch = lambda t: F.floor(t / span)
     shown = known(triggers, "t0").withColumns({"_stretch": stretch(F.col("_t")), "_is_spike": F.lit(False)})
     fired = known(spikes, "t").withColumn("_stretch", F.explode(F.sequence(stretch(F.col("_t") - ends[1]), stretch(F.col("_t") - ends[0])))).withColumn("_is_spike", F.lit(True))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from trialspark.operators.stats import count_up_to, hazen
 
 POLYNOMIALS = ("linear", "quadratic", "cubic")
 MODELS = (*POLYNOMIALS, "gaussian", "asymmetric", "sigmoid")
+#: Draws that are held at once, and fits of one numpy step.
+_INDICES, _FITS = 1 << 22, 1 << 17
 
 
 def equal_population_bins(samples: DataFrame, keys: list[str], value: str, n_bins: int = 20) -> DataFrame:
@@ -84,16 +88,71 @@ def records(curve: DataFrame, bins: DataFrame, keys: list[str], trial: str) -> D
 def shuffled_fits(cells: DataFrame, keys: list[str], x: str, y: str, reps: int = 1000, seed: int = 1, strict: bool = True) -> DataFrame:
     """r2 of y on x by keys, and p: the share of reps whose redrawn y (with replacement) fits better (strict) or as well.
 
-    The draws of a repetition and cell are a hash, so reruns agree. Cells are joined by number; keys times reps spread.
+    The draws of a repetition and cell are a hash, so reruns agree. A key's cells are one row of two arrays, and its redrawn
+    fits stay in the task that made them: keys spread, and no draw is a row.
     """
-    numbered = cells.filter(F.col(x).isNotNull()).withColumns({"_i": F.row_number().over(Window.partitionBy(*keys).orderBy(x, y)) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
-    real = numbered.groupBy(*keys).agg(F.regr_r2(y, x).alias("r2"), F.regr_slope(y, x).alias("slope"), F.count("*").alias("n"))
-    spread = numbered.select(*keys, F.col(x).alias("_x"), "_i", "_n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    draw = spread.withColumn("_j", draw_index(F.col("rep"), F.col("_i"), F.col("_n"), seed)).drop("_i", "_n")
-    other = numbered.select(*keys, F.col("_i").alias("_j"), F.col(y).alias("_y"))
-    fits = draw.join(other, [*keys, "_j"]).groupBy(*keys, "rep").agg(F.regr_r2("_y", "_x").alias("_r2"))
-    better = F.col("_r2") > F.col("r2") if strict else F.col("_r2") >= F.col("r2")
-    return fits.join(real, keys).groupBy(*keys, "r2", "slope", "n").agg((F.sum(better.cast("int")) / F.lit(reps)).alias("p"))
+    cell = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    # The number of parts is given, since their rows are few and cost much.
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = cells.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, x))).repartition(parts, *keys)
+    real = known.groupBy(*keys).agg(F.regr_r2(y, x).alias("r2"), F.regr_slope(y, x).alias("slope"), F.count("*").alias("n"), F.sort_array(F.collect_list(cell)).alias("_cells"))
+    arrays = real.select(*keys, "r2", "slope", "n", F.col("_cells.x").alias("_x"), F.col("_cells.y").alias("_y"))
+    schema = "".join(f"{c} {cells.schema[c].dataType.simpleString()}, " for c in keys) + "r2 double, slope double, n long, p double"
+    return arrays.mapInArrow(lambda batches: _shares_of_better_fits(batches, reps, seed, strict), schema)
+
+
+def _shares_of_better_fits(batches: Iterator[pa.RecordBatch], reps: int, seed: int, strict: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of keys (n, _x, _y: their cells) with p; fits are held against one made the same way from the cells in order."""
+    for batch in batches:
+        n, lists = np.asarray(batch.column("n")), [batch.column(c).flatten() for c in ("_x", "_y")]
+        null = np.asarray(lists[1].is_null().to_numpy(zero_copy_only=False))
+        xs, ys = (np.where(gone, 0.0, v.to_numpy(zero_copy_only=False)) for v, gone in zip(lists, (False, null), strict=True))
+        start, better, told = np.cumsum(n) - n, np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+        # Keys with as many cells have the same draws.
+        for size in map(int, np.unique(n)):
+            places, cell = np.flatnonzero(n == size), np.arange(size)
+            at_once = max(1, min(reps, _INDICES // size))
+            many = max(1, _FITS // at_once)
+            for first in range(0, reps, at_once):
+                drawn = draw_indices(np.arange(first, min(first + at_once, reps))[None, :], cell[:, None], size, seed)
+                for k in range(0, len(places), many):
+                    own = places[k : k + many]
+                    at = start[own][:, None] + cell
+                    x, y, held = xs[at], ys[at], None if not null[at].any() else ~null[at]
+                    fit, no_fit = _r2((x[:, [i]], y[:, [i]], None if held is None else held[:, [i]]) for i in cell)
+                    redrawn, none = _r2((x[:, [i]], y[:, drawn[i]], None if held is None else held[:, drawn[i]]) for i in cell)
+                    more = (redrawn > fit) | (np.isnan(redrawn) & ~np.isnan(fit))  # as Spark and SQL order them
+                    if not strict:
+                        more |= (redrawn == fit) | (np.isnan(redrawn) & np.isnan(fit))
+                    compared = np.broadcast_to(~none & ~no_fit, more.shape)
+                    better[own] += (more & compared).sum(1)
+                    told[own] |= compared.any(1)
+        out = [c for c in batch.schema.names if c not in ("_x", "_y")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(better / reps, mask=~told)], names=[*out, "p"])
+
+
+def _r2(pairs: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray]:
+    """r2 over pairs (x, y, which are known; None: all) and where there is none, with sums updated pair by pair as Spark does."""
+    n = mean_x = mean_y = xy = xx = yy = 0.0
+    for x, y, known in pairs:
+        of = (lambda v: v) if known is None else (lambda v, k=known: np.where(k, v, 0.0))
+        n = n + (1.0 if known is None else known)
+        count = np.maximum(n, 1.0)
+        dx, dy = of(x - mean_x), of(y - mean_y)
+        mean_x, mean_y = mean_x + dx / count, mean_y + dy / count
+        rest = of(y - mean_y)
+        xy, xx, yy = xy + dx * rest, xx + dx * of(x - mean_x), yy + dy * rest
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = xy / np.sqrt(xx * yy)
+        return np.where(yy == 0, 1.0, r * r), xx == 0
+
+
+def draw_indices(rep: np.ndarray, cell: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
+    """`draw_index` of arrays."""
+    prime = 2_147_483_647
+    a = (rep.astype(np.int64) * 48_271 + cell * 69_621 + (16_807 * seed + 12_345)) % prime
+    b = (a * 39_373 + (a % 65_536) * 7 + 1) % prime
+    return np.floor((b * 16_807 % prime) * n / float(prime)).astype(np.int64)
 
 
 def draw_index(rep: Column, cell: Column, n: Column, seed: int = 1) -> Column:
