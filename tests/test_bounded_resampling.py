@@ -40,7 +40,7 @@ def test_a_null_makes_no_row_for_a_draw(spark):
     counts = spark.range(20).select((F.col("id") % 2).alias("u"), F.col("id").alias("frame"), F.lit(1000).cast("long").alias("n"))
     frames = spark.range(20).select(F.col("id").alias("frame"), F.array(F.lit(1.0)).alias("pixels"))
     plan = rf.resampled_null(counts, frames, ["u"], 30)._jdf.queryExecution().optimizedPlan().toString()
-    assert "MapInPandas" in plan and "md5" not in plan
+    assert "MapInPandas" in plan and "md5" not in plan and "strategy=merge" in plan
 
 
 def test_sums_by_nodes_are_those_of_pairs():

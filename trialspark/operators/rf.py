@@ -147,7 +147,8 @@ def resampled_null(counts: DataFrame, frames: DataFrame, keys: list[str], reps:
                 yield pd.DataFrame(own | {"rep": np.int32(rep), "_i": frame, "n": n_hit[frame]})
 
     drawn = by_block.mapInPandas(hit, f"{key_schema}rep int, _i long, n long")
-    dealt = drawn.groupBy(*keys, "rep", "_i").agg(F.sum("n").alias("n")).join(numbered, [*keys, "_i"])
+    # Spark takes the draws for as few as the blocks that they come from, and would broadcast them.
+    dealt = drawn.groupBy(*keys, "rep", "_i").agg(F.sum("n").alias("n")).hint("merge").join(numbered, [*keys, "_i"])
     sta = frame_average(dealt, frames, [*keys, "rep"])
     return sta.groupBy(*keys, "pixel").agg(F.avg("sta").alias("null_mean"), F.stddev_samp("sta").alias("null_std"))
 
